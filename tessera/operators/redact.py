@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.rules import DEFAULT_RULES, Rule, apply_rules, count_marker, count_pattern
 from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_OR_GAP_RE, WORD_RE, col_of,
@@ -70,8 +71,8 @@ def redact_with(df: DataFrame, model_factory: Callable[[], Callable[[pd.Series],
                 col: str = "text", out: str = "output") -> DataFrame:
     """``mapInPandas`` hook. ``model_factory()`` is called once per task (load once),
     then applied to Arrow batches of prompts; blank rows are passed through untouched."""
-    schema = df.schema.add(out, "string")
-    names = df.columns
+    names = list(df.columns)
+    schema = StructType(list(df.schema.fields) + [StructField(out, StringType(), True)])
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None

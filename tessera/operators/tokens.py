@@ -14,6 +14,7 @@ from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, decode_ids, encode_ids
 from tessera.functions.text import EOS_TEXT, WORD_RE, col_of
 
 UNK_ID = 0
+UNK_TEXT = "<unk>"
 WORD_EOS_ID = 1
 # Broadcast the vocabulary only up to this many rows; beyond it, shuffle-join.
 VOCAB_BROADCAST_ROWS = 2_000_000
@@ -98,11 +99,12 @@ def encode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
 
 def decode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str = "ids",
                  out: str = "text", vocab_rows: int | None = None) -> DataFrame:
-    """Ids -> words joined by one space (lossy: UNK and white space runs)."""
+    """Ids -> words joined by one space (lossy: rare words come back as ``<unk>``,
+    white space runs as one space)."""
     ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
     bound = vocab_rows if vocab_rows is not None else VOCAB_BROADCAST_ROWS + 1
-    v = vocab.select("id", "token").union(
-        df.sparkSession.createDataFrame([(WORD_EOS_ID, EOS_TEXT)], "id int, token string"))
+    v = vocab.select(F.col("id").cast("int").alias("id"), "token").union(
+        df.sparkSession.createDataFrame([(WORD_EOS_ID, EOS_TEXT), (UNK_ID, UNK_TEXT)], "id int, token string"))
     joined = ex.join(_vocab_side(v, bound), "id", "inner")
     words = (joined.groupBy(key)
              .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p")))
