@@ -83,8 +83,12 @@ def limit_steps(df: DataFrame, steps: int) -> DataFrame:
 def collate(df: DataFrame, cols: tuple[str, ...] = ("window_id", "input", "target")) -> DataFrame:
     """One row per (epoch, batch_idx) with rows ordered by slot (group size = batch size)."""
     items = F.array_sort(F.collect_list(F.struct("slot", *cols)))
+
+    def field(name):
+        return F.transform("_rows", lambda r: r[name]).alias(name)
+
     return (df.groupBy("epoch", "batch_idx").agg(items.alias("_rows"))
-            .select("epoch", "batch_idx", *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in cols]))
+            .select("epoch", "batch_idx", *[field(c) for c in cols]))
 
 
 def last_tokens(df: DataFrame, L: int, ids: str = "ids", out: str | None = None) -> DataFrame:
