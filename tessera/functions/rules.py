@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import col_of
@@ -23,6 +23,8 @@ class Rule:
     pattern: str
     replacement: str
     passes: int = 1
+    # A literal every match contains; texts without it skip the regex.
+    gate: str | None = None
 
     @property
     def marker(self) -> str:
@@ -31,18 +33,34 @@ class Rule:
 
 # The redaction rule table (tag, pattern, replacement, passes).
 DEFAULT_RULES: tuple[Rule, ...] = (
-    Rule("SECRET", '((?:token|api_key|apikey|secret|password) ?[=:] ?")[^"\\n]+(")', "$1[SECRET]$2"),
-    Rule("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]"),
+    Rule("SECRET", '((?:token|api_key|apikey|secret|password) ?[=:] ?")[^"\\n]+(")', "$1[SECRET]$2", 1, '"'),
+    Rule("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]", 1, "@"),
     Rule("CARD", "(^|[^0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}([^0-9]|$)", "$1[CARD]$2", 2),
-    Rule("IP", "(^|[^0-9.])[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}([^0-9]|$)", "$1[IP]$2", 2),
-    Rule("PHONE", "\\+[0-9]{1,3} ?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}", "[PHONE]"),
+    Rule("IP", "(^|[^0-9.])[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}([^0-9]|$)", "$1[IP]$2", 2, "."),
+    Rule("PHONE", "\\+[0-9]{1,3} ?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}", "[PHONE]", 1, "+"),
 )
 
 TAGS = tuple(r.tag for r in DEFAULT_RULES)
 
 
+def _gated(x: Column, literal: str | None, then: Column) -> Column:
+    if literal is None:
+        return then
+    return F.when(F.instr(x, literal) > 0, then).otherwise(x)
+
+
+def apply_rule(x: Column, r: Rule) -> Column:
+    """One rule. A later pass can only match next to a marker the previous pass
+    wrote (it lost its delimiter to that match), so it runs only when the
+    marker is present — the result equals unconditional passes."""
+    out = _gated(x, r.gate, F.regexp_replace(x, r.pattern, r.replacement))
+    for _ in range(r.passes - 1):
+        out = _gated(out, r.marker, F.regexp_replace(out, r.pattern, r.replacement))
+    return out
+
+
 def apply_rules(c, rules=DEFAULT_RULES) -> Column:
-    """Ordered chain of ``regexp_replace`` — one codegen'd projection."""
+    """Ungated chain of ``regexp_replace`` as a single column expression."""
     out = col_of(c)
     for r in rules:
         for _ in range(r.passes):
@@ -50,14 +68,42 @@ def apply_rules(c, rules=DEFAULT_RULES) -> Column:
     return out
 
 
+def with_rules(df: DataFrame, src: str, out: str, rules=DEFAULT_RULES) -> DataFrame:
+    """Gated rules, one projection per pass.
+
+    Each pass reads the previous pass's column up to three times (gate,
+    replace, pass-through); since ``regexp_replace`` is not cheap, Catalyst
+    keeps the projections apart instead of inlining, so every regex runs once
+    per row and the generated code stays small.
+    """
+    tmp = "_rx"
+    df = df.withColumn(tmp, F.col(src))
+    for r in rules:
+        x = F.col(tmp)
+        df = df.withColumn(tmp, _gated(x, r.gate, F.regexp_replace(x, r.pattern, r.replacement)))
+        for _ in range(r.passes - 1):
+            x = F.col(tmp)
+            df = df.withColumn(tmp, _gated(x, r.marker, F.regexp_replace(x, r.pattern, r.replacement)))
+    return df.withColumnRenamed(tmp, out) if out not in df.columns else \
+        df.withColumn(out, F.col(tmp)).drop(tmp)
+
+
+def count_literal(c, literal: str) -> Column:
+    """Non-overlapping occurrences of a literal (length arithmetic, no regex)."""
+    x = col_of(c)
+    return ((F.length(x) - F.length(F.replace(x, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+
+
 def count_marker(c, tag: str) -> Column:
     """Occurrences of ``[TAG]`` in a string."""
-    return F.size(F.regexp_extract_all(col_of(c), F.lit(f"\\[{tag}\\]"), 0))
+    return count_literal(c, f"[{tag}]")
 
 
 def count_pattern(c, rule: Rule) -> Column:
     """Raw matches of a rule pattern (used for the residual check)."""
-    return F.size(F.regexp_extract_all(col_of(c), F.lit(rule.pattern), 0))
+    x = col_of(c)
+    n = F.size(F.regexp_extract_all(x, F.lit(rule.pattern), 0))
+    return n if rule.gate is None else F.when(F.instr(x, rule.gate) > 0, n).otherwise(F.lit(0))
 
 
 def duck_replacement(rule: Rule) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.functions.rules import DEFAULT_RULES, Rule, apply_rules, count_marker, count_pattern
+from tessera.functions.rules import DEFAULT_RULES, Rule, count_marker, count_pattern, with_rules
 from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_OR_GAP_RE, WORD_RE, col_of,
                                     nonblank, py_strip)
 from tessera.operators.sft import answer_text, prompt_text
@@ -25,8 +25,8 @@ TERMS_BROADCAST_ROWS = 2_000_000
 
 
 def redact(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, out: str | None = None) -> DataFrame:
-    """Replace every rule match by its ``[TAG]`` marker."""
-    return df.withColumn(out or col, apply_rules(col, rules))
+    """Replace every rule match by its ``[TAG]`` marker (narrow; no shuffle)."""
+    return with_rules(df, col, out or col, rules)
 
 
 def extract_redacted_col(c) -> Column:
@@ -94,11 +94,12 @@ def redact_with(df: DataFrame, model_factory: Callable[[], Callable[[pd.Series],
 
 def scrub(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, out: str = "scrubbed") -> DataFrame:
     """P5 -> R1 -> R2 in expressions: the status, and the extracted answer or the blank message."""
-    full = F.concat(prompt_text(col), answer_text(apply_rules(col, rules)))
     status = F.when(nonblank(col), F.lit("ok")).otherwise(F.lit("blank"))
-    return (df.withColumn("status", status)
-            .withColumn(out, F.when(F.col("status") == "ok", extract_redacted_col(full))
-                        .otherwise(F.lit(BLANK_MESSAGE))))
+    red = with_rules(df.withColumn("status", status), col, "_red", rules)
+    full = red.withColumn("_full", F.concat(prompt_text(col), answer_text("_red")))
+    return (full.withColumn(out, F.when(F.col("status") == "ok", extract_redacted_col("_full"))
+                            .otherwise(F.lit(BLANK_MESSAGE)))
+            .drop("_red", "_full"))
 
 
 # ---- R5: dictionary terms -------------------------------------------------
@@ -150,7 +151,7 @@ def weak_pairs(df: DataFrame, n_words: int, key: str = "doc_id", col: str = "tex
                rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """(raw, redacted) segment pairs for fine-tuning, keyed by (key, seg_idx)."""
     seg = segment(df, n_words, key, col, out="original_text")
-    return seg.withColumn("redacted_text", apply_rules("original_text", rules))
+    return with_rules(seg, "original_text", "redacted_text", rules)
 
 
 # ---- R8/R9: reports -------------------------------------------------------

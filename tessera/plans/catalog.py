@@ -17,7 +17,7 @@ from tessera.functions.text import words
 from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
 from tessera.plans import finetune, pretrain
 from tessera.session import shared_dir
-from tessera.sources.tables import load_corpus, read_table, split_bucket, table_path
+from tessera.sources.tables import balance, load_corpus, read_table, split_bucket, table_path
 from tessera.streaming.redact_stream import run_redaction_stream
 
 # Fixed parameters of the registered queries.
@@ -134,7 +134,7 @@ def q_decode_roundtrip(spark, base):
 
 
 def q_token_stats(spark, base):
-    d = corpus.drop_blank(read_table(spark, base, "documents", ["doc_id", "text", "lang"]))
+    d = corpus.drop_blank(balance(read_table(spark, base, "documents", ["doc_id", "text", "lang"]), "doc_id"))
     return tokens.token_stats(tokens.encode_bytes(d), by=["lang"])
 
 
@@ -340,7 +340,7 @@ def q_rms_vectors(spark, base):
 
 
 def q_doc_vectors(spark, base):
-    conv = read_table(spark, base, "conversations", ["conv_id", "turn", "text"])
+    conv = balance(read_table(spark, base, "conversations", ["conv_id", "turn", "text"]), "conv_id")
     ids = tokens.encode_bytes(conv)
     pooled = vectors.pooled_vectors(ids, ["conv_id", "turn"], _unit_vectors(spark, base), dim=64,
                                     vector_rows=None)

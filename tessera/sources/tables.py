@@ -18,6 +18,20 @@ def read_table(spark: SparkSession, base: str, name: str, columns: Iterable[str]
     return df.select(*columns) if columns else df
 
 
+def balance(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that came out in fewer splits than the cluster has cores.
+
+    A big corpus arrives in many row groups and is left alone (no shuffle).
+    A small file written as one row group would be a single task; hash it by
+    ``key`` (deterministic on retry) across the default parallelism instead.
+    Planning-only check: no job runs.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """S3: fail fast (at plan time, no job) when expected columns are missing."""
     have = {f.name.lower() for f in df.schema.fields}
@@ -40,7 +54,7 @@ def load_corpus(spark: SparkSession, base: str, table: str = "documents", id_col
     it is deterministic, needs no shuffle and survives re-reads.
     """
     df = require_columns(spark.read.parquet(table_path(base, table)), [id_col, text_col])
-    df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    df = balance(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     if split is None:
         return df
     cut = 256 - holdout

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tessera.functions.rules import DEFAULT_RULES, Rule, apply_rules
+from tessera.functions.rules import DEFAULT_RULES, Rule, with_rules
 from tessera.functions.text import nonblank
 
 
@@ -29,7 +29,7 @@ def read_text_stream(spark: SparkSession, path: str, schema: StructType | str,
 def redact_stream(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES,
                   keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The batch redaction expressions on a streaming frame (blank rows dropped)."""
-    return df.filter(nonblank(col)).select(*keep, apply_rules(col, rules).alias(col))
+    return with_rules(df.filter(nonblank(col)), col, col, rules).select(*keep, col)
 
 
 def write_redacted_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool = True,
