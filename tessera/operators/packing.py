@@ -28,9 +28,15 @@ def fdiv(x: Column, d: int) -> Column:
 
 
 def doc_offsets(df: DataFrame, ids: str = "ids", key: str = "doc_id", eos: int = EOS_ID,
-                max_buckets: int = DEFAULT_MAX_BUCKETS) -> DataFrame:
-    """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N)."""
-    with_n = df.withColumn("n", (F.size(ids) + 1).cast("long"))
+                max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
+    """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N).
+
+    ``n_ids`` may name a column that already holds ``size(ids)`` computed
+    cheaply (e.g. ``encoded_length`` of the text): the bucket totals are a
+    second pass over the input, and with it that pass never builds arrays.
+    """
+    size = F.col(n_ids) if n_ids else F.size(ids)
+    with_n = df.withColumn("n", (size + 1).cast("long"))
     bucket = numeric_bucket(with_n, key, max_buckets)
     return prefix_sum(with_n, [key], bucket, weight=F.col("n"), before="start", total="total")
 
@@ -41,11 +47,11 @@ def window_count(total: Column, L: int) -> Column:
 
 
 def pack(df: DataFrame, L: int, ids: str = "ids", key: str = "doc_id", eos: int = EOS_ID,
-         max_buckets: int = DEFAULT_MAX_BUCKETS) -> DataFrame:
+         max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
     """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream."""
     if L < 1:
         raise ValueError("L must be positive")
-    off = doc_offsets(df, ids, key, eos, max_buckets)
+    off = doc_offsets(df, ids, key, eos, max_buckets, n_ids)
     stream = F.concat(F.col(ids), F.array(F.lit(eos)))
     W = window_count(F.col("total"), L)
     start, n = F.col("start"), F.col("n")

@@ -133,12 +133,15 @@ def segment(df: DataFrame, n_words: int, key: str = "doc_id", col: str = "text",
     """Split text into segments of ``n_words`` words joined by one space."""
     if n_words < 1:
         raise ValueError("n_words must be positive")
-    w = F.regexp_extract_all(col_of(col), F.lit(WORD_RE), 0)
+    # The word array is its own column: a lambda that referenced the
+    # extraction expression would re-run it once per segment.
+    words_df = df.select(key, F.regexp_extract_all(col_of(col), F.lit(WORD_RE), 0).alias("_w"))
+    w = F.col("_w")
     nseg = F.ceil(F.size(w) / n_words).cast("int")
     seq = F.when(nseg > 0, F.sequence(F.lit(0), nseg - 1)).otherwise(F.array().cast("array<int>"))
     segs = F.transform(seq, lambda i: F.struct(i.alias("seg_idx"),
                                                F.array_join(F.slice(w, i * n_words + 1, n_words), " ").alias(out)))
-    return df.select(key, F.explode(segs).alias("_s")).select(key, "_s.seg_idx", f"_s.{out}")
+    return words_df.select(key, F.explode(segs).alias("_s")).select(key, "_s.seg_idx", f"_s.{out}")
 
 
 def rejoin(df: DataFrame, key: str = "doc_id", col: str = "segment", out: str = "text") -> DataFrame:

@@ -13,10 +13,12 @@ VECTOR_BROADCAST_ROWS = 1_000_000
 
 def rms_normalize(df: DataFrame, col: str = "embedding", out: str | None = None, eps: float = 1e-6) -> DataFrame:
     """X / sqrt(mean(x^2) + eps) per vector (weight 1), as doubles."""
-    x = F.transform(col, lambda v: v.cast("double"))
-    ms = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(col)
-    inv = F.lit(1.0) / F.sqrt(ms + F.lit(eps))
-    return df.withColumn(out or col, F.transform(x, lambda v: v * inv))
+    # The scale is its own column: referenced inside the lambda as an
+    # expression it would be recomputed for every element.
+    ms = F.aggregate(col, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size(col)
+    scaled = df.withColumn("_inv", F.lit(1.0) / F.sqrt(ms + F.lit(eps)))
+    return (scaled.withColumn(out or col, F.transform(col, lambda v: v.cast("double") * F.col("_inv")))
+            .drop("_inv"))
 
 
 def lookup_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: str = "ids",

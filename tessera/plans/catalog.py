@@ -163,7 +163,8 @@ def q_decode_vocab(spark, base):
 
 def q_doc_offsets(spark, base):
     ids = pretrain.corpus_ids(spark, base)
-    return packing.doc_offsets(ids).select("doc_id", _long("n").alias("n"), _long("start").alias("start"))
+    return packing.doc_offsets(ids, n_ids="n_ids").select("doc_id", _long("n").alias("n"),
+                                                          _long("start").alias("start"))
 
 
 def _window_out(w: DataFrame) -> DataFrame:

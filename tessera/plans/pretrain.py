@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.batching import batches, epochs_needed, limit_steps, shuffle, update_groups
 from tessera.operators.corpus import cap, drop_blank
 from tessera.operators.packing import pack
+from tessera.functions.bytes import encoded_length
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
 from tessera.sources.tables import load_corpus, write_windows
@@ -27,14 +28,15 @@ class PackConfig:
 
 def corpus_ids(spark: SparkSession, base: str, max_samples: int | None = None,
                split: str | None = None) -> DataFrame:
-    """``(doc_id, ids)``: non-blank documents as byte ids."""
+    """``(doc_id, ids, n_ids)``: non-blank documents as byte ids, with their count
+    computed from the text (so sizing passes skip the array)."""
     docs = drop_blank(load_corpus(spark, base, split=split))
     docs = cap(docs, max_samples)
-    return encode_bytes(docs).select("doc_id", "ids")
+    return encode_bytes(docs).select("doc_id", "ids", encoded_length("text").alias("n_ids"))
 
 
 def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
-    return pack(corpus_ids(spark, base, max_samples), L)
+    return pack(corpus_ids(spark, base, max_samples), L, n_ids="n_ids")
 
 
 def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:
