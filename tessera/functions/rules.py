@@ -43,49 +43,42 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 TAGS = tuple(r.tag for r in DEFAULT_RULES)
 
 
-def _gated(x: Column, literal: str | None, then: Column) -> Column:
+def _gated(x: Column, literal: str | None, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` run only on texts that contain ``literal``.
+
+    The gate needs the text three times (test, replace, pass through). It is
+    bound once as a lambda variable, so ``x`` itself appears once: chains of
+    gated passes stay linear in size when Catalyst inlines or pushes
+    predicates through them (a plain CASE WHEN would grow 3x per pass).
+    """
     if literal is None:
-        return then
-    return F.when(F.instr(x, literal) > 0, then).otherwise(x)
+        return F.regexp_replace(x, pattern, replacement)
+    body = F.transform(F.array(x), lambda s: F.when(F.instr(s, literal) > 0,
+                                                     F.regexp_replace(s, pattern, replacement)).otherwise(s))
+    return F.element_at(body, 1)
 
 
 def apply_rule(x: Column, r: Rule) -> Column:
     """One rule. A later pass can only match next to a marker the previous pass
     wrote (it lost its delimiter to that match), so it runs only when the
     marker is present — the result equals unconditional passes."""
-    out = _gated(x, r.gate, F.regexp_replace(x, r.pattern, r.replacement))
+    out = _gated(x, r.gate, r.pattern, r.replacement)
     for _ in range(r.passes - 1):
-        out = _gated(out, r.marker, F.regexp_replace(out, r.pattern, r.replacement))
+        out = _gated(out, r.marker, r.pattern, r.replacement)
     return out
 
 
 def apply_rules(c, rules=DEFAULT_RULES) -> Column:
-    """Ungated chain of ``regexp_replace`` as a single column expression."""
+    """Gated rule chain as one column expression (each pass evaluated once per row)."""
     out = col_of(c)
     for r in rules:
-        for _ in range(r.passes):
-            out = F.regexp_replace(out, r.pattern, r.replacement)
+        out = apply_rule(out, r)
     return out
 
 
 def with_rules(df: DataFrame, src: str, out: str, rules=DEFAULT_RULES) -> DataFrame:
-    """Gated rules, one projection per pass.
-
-    Each pass reads the previous pass's column up to three times (gate,
-    replace, pass-through); since ``regexp_replace`` is not cheap, Catalyst
-    keeps the projections apart instead of inlining, so every regex runs once
-    per row and the generated code stays small.
-    """
-    tmp = "_rx"
-    df = df.withColumn(tmp, F.col(src))
-    for r in rules:
-        x = F.col(tmp)
-        df = df.withColumn(tmp, _gated(x, r.gate, F.regexp_replace(x, r.pattern, r.replacement)))
-        for _ in range(r.passes - 1):
-            x = F.col(tmp)
-            df = df.withColumn(tmp, _gated(x, r.marker, F.regexp_replace(x, r.pattern, r.replacement)))
-    return df.withColumnRenamed(tmp, out) if out not in df.columns else \
-        df.withColumn(out, F.col(tmp)).drop(tmp)
+    """``apply_rules`` of ``src`` into ``out``."""
+    return df.withColumn(out, apply_rules(src, rules))
 
 
 def count_literal(c, literal: str) -> Column:
