@@ -16,7 +16,7 @@ from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, ids_fingerprint
 from tessera.functions.text import words
 from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
 from tessera.plans import finetune, pretrain
-from tessera.session import shared_dir
+from tessera.session import materialize, shared_dir
 from tessera.sources.tables import balance, load_corpus, read_table, split_bucket, table_path
 from tessera.streaming.redact_stream import run_redaction_stream
 
@@ -281,9 +281,11 @@ def q_next_token_sample(spark, base):
     return scores.draw_one(f, ["prev"], SEED).select("prev", "drawn")
 
 
-def _window_loss(spark, base):
-    win = _windows(spark, base)
-    counts = scores.bigrams(win, prev="input", nxt="target")
+def _window_loss(spark, base, win: DataFrame | None = None):
+    win = win if win is not None else _windows(spark, base)
+    # The count table (<= 257*257 rows) feeds two joins; write it once instead
+    # of re-packing the corpus for each.
+    counts = materialize(scores.bigrams(win, prev="input", nxt="target"), "byte-counts")
     return scores.cross_entropy(win, counts, ["window_id"], BYTE_VOCAB, 1.0, prev="input", nxt="target",
                                 rows_bound=BYTE_VOCAB * BYTE_VOCAB)
 
@@ -293,7 +295,7 @@ def q_window_loss(spark, base):
 
 
 def q_sft_loss(spark, base):
-    counts = _byte_counts(spark, base)
+    counts = materialize(_byte_counts(spark, base), "byte-counts")
     ex = finetune.examples(spark, base, SFT_L, "uniform").withColumn("k", F.struct("doc_id", "seg_idx"))
     per = scores.masked_cross_entropy(ex, counts, ["k", "overflow"], BYTE_VOCAB, 1.0,
                                       rows_bound=BYTE_VOCAB * BYTE_VOCAB)
@@ -305,8 +307,10 @@ def q_sft_loss(spark, base):
 
 
 def _update_loss(spark, base):
-    loss = _window_loss(spark, base)
-    sched = _schedule(spark, base)
+    win = _windows(spark, base)
+    loss = _window_loss(spark, base, win)
+    cfg = pretrain.PackConfig(L=PACK_L, batch_size=BATCH, accum=ACCUM, steps=STEPS, seed=SEED)
+    sched = pretrain.schedule(win.select("window_id"), cfg, EPOCHS)
     return scores.accumulated_loss(sched.join(loss, "window_id"), "nll")
 
 

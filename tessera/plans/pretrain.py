@@ -45,16 +45,28 @@ def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:
     return limit_steps(update_groups(batches(s, cfg.batch_size, drop_last=True), cfg.accum), cfg.steps)
 
 
-def prepare(spark: SparkSession, base: str, out: str | None = None, cfg: PackConfig = PackConfig()) -> str:
-    """The whole job, writing parquet. Windows are written once (lineage cut in the
-    shared folder) and the schedule reads them back, so a lost executor never
-    re-runs tokenization and packing."""
-    win_path = shared_dir(spark, "windows")
+def prepare(spark: SparkSession, base: str, out: str | None = None, cfg: PackConfig = PackConfig(),
+            windows_out: str | None = None) -> str:
+    """The whole job, writing parquet; returns the schedule path.
+
+    Windows are written once (a lineage cut in the shared folder), so a lost
+    executor never re-runs tokenization and packing. The schedule is an index
+    ``(epoch, batch_idx, slot, update_id, window_id)``: only window ids are
+    shuffled per epoch, not the token arrays; ``batch_rows`` joins them back
+    when physical batch rows are wanted.
+    """
+    win_path = windows_out or shared_dir(spark, "windows")
     write_windows(windows(spark, base, cfg.L, cfg.max_samples), win_path)
     win = spark.read.parquet(win_path)
     n = win.count()  # parquet footers: no scan of the arrays
     epochs = epochs_needed(n, cfg.batch_size, cfg.accum, cfg.steps)
     out = out or shared_dir(spark, "schedule")
-    write_windows(schedule(win, cfg, epochs).withColumn("epoch", F.col("epoch").cast("int")), out,
-                  partition_by=["epoch"])
+    sched = schedule(win.select("window_id"), cfg, epochs).select(
+        F.col("epoch").cast("int").alias("epoch"), "batch_idx", "slot", "update_id", "window_id")
+    write_windows(sched, out, partition_by=["epoch"])
     return out
+
+
+def batch_rows(sched: DataFrame, win: DataFrame) -> DataFrame:
+    """Physical rows of a schedule: join the window arrays by id (one shuffle join)."""
+    return sched.join(win, "window_id")

@@ -17,3 +17,5 @@ def test_prepare_writes_schedule(spark):
     assert all(r.mb == 2 and r.n == 8 for r in per.collect())
     win = pretrain.windows(spark, SF0001, 64)
     assert s.join(win.select("window_id"), "window_id", "left_anti").count() == 0
+    rows = pretrain.batch_rows(s, win)
+    assert rows.count() == s.count() and rows.filter(F.size("input") != 64).count() == 0
