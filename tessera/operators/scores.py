@@ -73,19 +73,24 @@ def uniform_from(seed: int, by: Sequence[str]) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def draw_one(df: DataFrame, by: Sequence[str], seed: int, item: str = "item", prob: str = "prob") -> DataFrame:
-    """E5: one multinomial draw per group by inverse CDF over items in ``item`` order.
+def draw_one(df: DataFrame, by: Sequence[str], seed: int, item: str = "item", prob: str = "prob",
+             score: str | None = "score") -> DataFrame:
+    """E5: one multinomial draw per group by inverse CDF.
 
+    Items are walked in ``(score desc, item)`` order — the order top-p already
+    sorted by, so no extra sort — or in ``item`` order when ``score`` is None.
     Picks the first item whose running probability exceeds u (the last item
     when rounding leaves the total just under u).
     """
-    w = _g(by).orderBy(F.col(item)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col(score).desc(), F.col(item)] if score else [F.col(item)]
+    w = _g(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = F.round(F.sum(prob).over(w), ROUND_CMP)
-    marked = df.withColumn("_cum", cum).withColumn("_u", uniform_from(seed, by))
-    agg = marked.groupBy(*by).agg(
-        F.coalesce(F.min(F.when(F.col("_cum") > F.col("_u"), F.col(item))), F.max(item)).alias("drawn"),
-        F.first("_u").alias("u"))
-    return agg
+    pos = F.row_number().over(_g(by).orderBy(*order))
+    marked = (df.withColumn("_cum", cum).withColumn("_pos", pos).withColumn("_u", uniform_from(seed, by))
+              .withColumn("_hit", F.when(F.col("_cum") > F.col("_u"), F.col("_pos"))))
+    # the first hit; with no hit (rounding) the last item: key 2**40 - pos
+    first_hit = F.min_by(F.col(item), F.coalesce(F.col("_hit"), F.lit(1 << 40) - F.col("_pos")))
+    return marked.groupBy(*by).agg(first_hit.alias("drawn"), F.first("_u").alias("u"))
 
 
 def adjacent_pairs(ids: str) -> Column:

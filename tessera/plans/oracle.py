@@ -152,14 +152,16 @@ fq AS (SELECT *, exp(score - max(score) OVER (PARTITION BY prev)) AS e FROM fk),
 fq2 AS (SELECT *, e / sum(e) OVER (PARTITION BY prev) AS p0 FROM fq),
 {top_p}
 ff AS (SELECT prev, item, score, exp(score - max(score) OVER (PARTITION BY prev)) AS e2 FROM fp),
-fin AS (SELECT prev, item, e2 / sum(e2) OVER (PARTITION BY prev) AS prob FROM ff)"""
+fin AS (SELECT prev, item, score, e2 / sum(e2) OVER (PARTITION BY prev) AS prob FROM ff)"""
 
 
 def DRAW(seed: int) -> str:
-    return f"""dc AS (SELECT prev, item, round(sum(prob) OVER (PARTITION BY prev ORDER BY item
+    return f"""dc AS (SELECT prev, item, round(sum(prob) OVER (PARTITION BY prev ORDER BY score DESC, item
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS cum,
+              row_number() OVER (PARTITION BY prev ORDER BY score DESC, item) AS pos,
               ('0x' || substr(md5('{seed}|' || prev), 1, 8))::BIGINT / 4294967296.0 AS u FROM fin),
-drawn AS (SELECT prev, coalesce(min(CASE WHEN cum > u THEN item END), max(item)) AS drawn FROM dc GROUP BY prev)"""
+drawn AS (SELECT prev, coalesce(arg_min(CASE WHEN cum > u THEN item END, CASE WHEN cum > u THEN pos END),
+                                arg_max(item, pos)) AS drawn FROM dc GROUP BY prev)"""
 
 
 def UNIT_VECTORS() -> str:

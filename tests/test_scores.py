@@ -72,12 +72,21 @@ def test_bad_temperature(spark):
 def test_draw_is_inverse_cdf(spark):
     rows = [(g, it, p) for g in range(40) for it, p in enumerate([0.5, 0.3, 0.2])]
     df = spark.createDataFrame(rows, "prev int, item int, prob double")
-    out = {r.prev: (r.drawn, r.u) for r in draw_one(df, ["prev"], 11).collect()}
+    out = {r.prev: (r.drawn, r.u) for r in draw_one(df, ["prev"], 11, score=None).collect()}
     for g, (d, u) in out.items():
         cum = np.cumsum([0.5, 0.3, 0.2])
         assert d == int(np.argmax(cum > u))
-    again = {r.prev: r.drawn for r in draw_one(df, ["prev"], 11).collect()}
+    again = {r.prev: r.drawn for r in draw_one(df, ["prev"], 11, score=None).collect()}
     assert again == {g: v[0] for g, v in out.items()}
+    # walking items by descending score: item 2 (score 3) first, then 1, then 0
+    scored = df.withColumn("score", F.col("item").cast("double"))
+    by_score = {r.prev: (r.drawn, r.u) for r in draw_one(scored, ["prev"], 11).collect()}
+    for g, (d, u) in by_score.items():
+        cum = np.cumsum([0.2, 0.3, 0.5])
+        assert d == [2, 1, 0][int(np.argmax(cum > u))]
+    # totals just under u fall back to the last item in walk order
+    tiny = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 0.0, -1.0)], "prev int, item int, prob double, score double")
+    assert draw_one(tiny, ["prev"], 1).first().drawn == 1
 
 
 def test_bigrams_and_losses(spark):
