@@ -103,9 +103,22 @@ def pack_tail(total: Column, L: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), total - (W * L + 1))
 
 
-def corpus_summary(df: DataFrame, L: int, ids: str = "ids") -> DataFrame:
-    """One row — docs, stream tokens N (incl. EOS per doc), windows W, unused tail."""
-    agg = df.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(ids) + 1).cast("long").alias("tokens"))
+def corpus_summary(df: DataFrame, L: int, ids: str = "ids", n_ids: str | None = None) -> DataFrame:
+    """One row — docs, stream tokens N (incl. EOS per doc), windows W, unused tail.
+
+    With ``n_ids`` (a cheap per-document token count) no array is built.
+    """
+    size = F.col(n_ids) if n_ids else F.size(ids)
+    agg = df.agg(F.count(F.lit(1)).alias("docs"), F.sum(size + 1).cast("long").alias("tokens"))
     tokens = F.coalesce(F.col("tokens"), F.lit(0).cast("long"))
     return agg.select("docs", tokens.alias("tokens"), window_count(tokens, L).cast("long").alias("windows"),
                       pack_tail(tokens, L).cast("long").alias("tail"))
+
+
+def window_ids(summary: DataFrame) -> DataFrame:
+    """All window ids ``0..W-1`` as a distributed range (reads W from a K5 summary).
+
+    Schedules (B2-B5) need only ids; this avoids packing to get them.
+    """
+    W = summary.first()["windows"]
+    return summary.sparkSession.range(int(W or 0)).withColumnRenamed("id", "window_id")

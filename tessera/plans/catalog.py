@@ -182,7 +182,7 @@ def q_pack_benchmark(spark, base):
 
 
 def q_corpus_summary(spark, base):
-    return packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L)
+    return packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L, n_ids="n_ids")
 
 
 def q_corpus_split(spark, base):
@@ -200,7 +200,8 @@ def q_cap_corpus(spark, base):
 
 def _schedule(spark, base):
     cfg = pretrain.PackConfig(L=PACK_L, batch_size=BATCH, accum=ACCUM, steps=STEPS, seed=SEED)
-    return pretrain.schedule(_windows(spark, base).select("window_id"), cfg, EPOCHS)
+    ids = packing.window_ids(packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L, n_ids="n_ids"))
+    return pretrain.schedule(ids, cfg, EPOCHS)
 
 
 def q_shuffle_batches(spark, base):
@@ -307,10 +308,8 @@ def q_sft_loss(spark, base):
 
 
 def _update_loss(spark, base):
-    win = _windows(spark, base)
-    loss = _window_loss(spark, base, win)
-    cfg = pretrain.PackConfig(L=PACK_L, batch_size=BATCH, accum=ACCUM, steps=STEPS, seed=SEED)
-    sched = pretrain.schedule(win.select("window_id"), cfg, EPOCHS)
+    loss = _window_loss(spark, base)
+    sched = _schedule(spark, base)
     return scores.accumulated_loss(sched.join(loss, "window_id"), "nll")
 
 
