@@ -82,9 +82,11 @@ def with_rules(df: DataFrame, src: str, out: str, rules=DEFAULT_RULES) -> DataFr
 
 
 def count_literal(c, literal: str) -> Column:
-    """Non-overlapping occurrences of a literal (length arithmetic, no regex)."""
+    """Non-overlapping occurrences of a literal (length arithmetic, no regex);
+    texts without the literal skip the copy that ``replace`` makes."""
     x = col_of(c)
-    return ((F.length(x) - F.length(F.replace(x, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+    n = ((F.length(x) - F.length(F.replace(x, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+    return F.when(F.instr(x, literal) > 0, n).otherwise(F.lit(0))
 
 
 def count_marker(c, tag: str) -> Column:

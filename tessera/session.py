@@ -46,18 +46,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local runs and tests) do we create one of our own.
+    The cluster names it in ``spark.checkpoint.dir`` (or has already called
+    ``setCheckpointDir``); only when neither is set (local runs and tests) do we
+    create one of our own.
     """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() if sc.getCheckpointDir() else None
-    if not path:
-        path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = None
+    try:
+        path = spark.conf.get(CHECKPOINT_CONF, None)
+    except Exception:  # noqa: BLE001 - some sessions refuse core keys at runtime
+        path = None
+    path = path or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, path)
+        except Exception:  # noqa: BLE001
+            pass
+    sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
