@@ -19,3 +19,17 @@ def test_prepare_writes_schedule(spark):
     assert s.join(win.select("window_id"), "window_id", "left_anti").count() == 0
     rows = pretrain.batch_rows(s, win)
     assert rows.count() == s.count() and rows.filter(F.size("input") != 64).count() == 0
+
+
+def test_finetune_prepare(spark):
+    from tessera.plans import finetune
+
+    ex_path, sched_path = finetune.prepare(spark, SF0001, L=64, batch_size=8, epochs=2)
+    ex = spark.read.parquet(ex_path)
+    s = spark.read.parquet(sched_path)
+    n = ex.count()
+    assert n == finetune.document_pairs(spark, SF0001).count()
+    assert s.count() == 2 * n
+    nb = -(-n // 8)
+    assert s.agg(F.max("update_id")).first()[0] == 2 * nb   # short batch kept, one update per batch
+    assert ex.filter(F.size("input") != 64).count() == 0
