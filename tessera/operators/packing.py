@@ -31,7 +31,7 @@ def fdiv(x: Column, d: int) -> Column:
     return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("long")
 
 
-def doc_offsets(df: DataFrame, ids: str = "ids", key: str = "doc_id", eos: int = EOS_ID,
+def doc_offsets(df: DataFrame, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
                 max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
     """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N).
 
@@ -39,6 +39,8 @@ def doc_offsets(df: DataFrame, ids: str = "ids", key: str = "doc_id", eos: int =
     cheaply (e.g. ``encoded_length`` of the text): the bucket totals are a
     second pass over the input, and with it that pass never builds arrays.
     """
+    if n_ids is None and not isinstance(ids, str):
+        raise ValueError("an ids expression needs n_ids (its length per row)")
     size = F.col(n_ids) if n_ids else F.size(ids)
     with_n = df.withColumn("n", (size + 1).cast("long"))
     bucket = numeric_bucket(with_n, key, max_buckets)
@@ -50,13 +52,21 @@ def window_count(total: Column, L: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), fdiv(total - 1, L))
 
 
-def pack(df: DataFrame, L: int, ids: str = "ids", key: str = "doc_id", eos: int = EOS_ID,
+def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
          max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
-    """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream."""
+    """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream.
+
+    ``ids`` is an array column, or an expression over the input's columns
+    (e.g. ``encode_ids("text")``) that is then evaluated *after* the offsets
+    shuffle: the rows travel as text (about one byte per byte token instead
+    of four for an int array) and are encoded once. An expression needs
+    ``n_ids`` (its length, computed without building the array).
+    """
     if L < 1:
         raise ValueError("L must be positive")
     off = doc_offsets(df, ids, key, eos, max_buckets, n_ids)
-    stream = F.concat(F.col(ids), F.array(F.lit(eos)))
+    ids_col = F.col(ids) if isinstance(ids, str) else ids
+    stream = F.concat(ids_col, F.array(F.lit(eos)))
     W = window_count(F.col("total"), L)
     start, n = F.col("start"), F.col("n")
     end = start + n - 1                      # last stream position of this doc

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.batching import batches, epochs_needed, limit_steps, shuffle, update_groups
 from tessera.operators.corpus import cap, drop_blank
 from tessera.operators.packing import pack
-from tessera.functions.bytes import encoded_length
+from tessera.functions.bytes import encode_ids, encoded_length
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
 from tessera.sources.tables import load_corpus, write_windows
@@ -35,8 +35,17 @@ def corpus_ids(spark: SparkSession, base: str, max_samples: int | None = None,
     return encode_bytes(docs).select("doc_id", "ids", encoded_length("text").alias("n_ids"))
 
 
+def corpus_text(spark: SparkSession, base: str, max_samples: int | None = None,
+                split: str | None = None) -> DataFrame:
+    """``(doc_id, text, n_ids)``: non-blank documents with their byte-token count."""
+    docs = cap(drop_blank(load_corpus(spark, base, split=split)), max_samples)
+    return docs.select("doc_id", "text", encoded_length("text").alias("n_ids"))
+
+
 def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
-    return pack(corpus_ids(spark, base, max_samples), L, n_ids="n_ids")
+    """Packed byte windows. Documents cross the offsets shuffle as text and are
+    encoded after it (4x less shuffle than int arrays)."""
+    return pack(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids")
 
 
 def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:
