@@ -4,7 +4,8 @@
 helpers here split the order into buckets that are monotone in the sort key:
 
 1. rows are hash-partitioned once by bucket (one shuffle of the rows);
-2. per-bucket totals are aggregated from that same shuffle output;
+2. per-bucket totals come from a narrow pass with map-side partial
+   aggregation (only partial sums are shuffled);
 3. the bucket table (bounded by construction: at most ``max_buckets`` rows
    per group) gets its own exclusive prefix sum and is broadcast back;
 4. a running sum inside each bucket finishes the job.
@@ -23,16 +24,24 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BUCKETS = 1 << 16
 
 
-def numeric_bucket(df: DataFrame, col: str, max_buckets: int = DEFAULT_MAX_BUCKETS) -> Column:
+def numeric_bucket(df: DataFrame, col: str, max_buckets: int = DEFAULT_MAX_BUCKETS,
+                   bounds: tuple[int, int] | None = None) -> Column:
     """Bucket expression ``(col - min) div width`` with at most ``max_buckets`` values.
 
-    Runs one scalar aggregate (min/max of one column) to size the buckets.
+    Without ``bounds`` it runs one scalar aggregate (min/max of one column);
+    callers that know the range (e.g. update ids 1..steps) pass it and skip
+    that job, which matters when ``df`` is expensive to compute.
     """
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo = row["lo"] if row and row["lo"] is not None else 0
-    hi = row["hi"] if row and row["hi"] is not None else 0
+    if bounds is None:
+        row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        lo = row["lo"] if row and row["lo"] is not None else 0
+        hi = row["hi"] if row and row["hi"] is not None else 0
+    else:
+        lo, hi = bounds
     width = max(1, -(-(int(hi) - int(lo) + 1) // max_buckets))
-    return F.expr(f"(`{col}` - {int(lo)}) div {width}").cast("long")
+    # values outside given bounds still land in a valid (first/last) bucket
+    b = F.expr(f"(`{col}` - {int(lo)}) div {width}").cast("long")
+    return b if bounds is None else F.least(F.greatest(b, F.lit(0)), F.lit((int(hi) - int(lo)) // width))
 
 
 def hex_bucket(key: Column, digits: int = 4) -> Column:
@@ -52,9 +61,11 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], bucket: Column,
     by = list(by)
     w = weight if weight is not None else F.lit(1).cast("long")
     rows = df.withColumn("_bk", bucket).withColumn("_wt", w.cast("long"))
-    # One shuffle of the rows; both uses below read the same exchange.
+    # The rows move once, clustered by bucket.
     shuffled = rows.repartition(*[F.col(c) for c in by], F.col("_bk"))
-    totals = shuffled.groupBy(*by, "_bk").agg(F.sum("_wt").alias("_bt"))
+    # Bucket totals: a narrow pass over (by, bucket, weight) with map-side
+    # partial aggregation, so only per-task partial sums are shuffled.
+    totals = rows.groupBy(*by, "_bk").agg(F.sum("_wt").alias("_bt"))
     tw = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bk")
     offsets = totals.withColumn(
         "_bo", F.coalesce(F.sum("_bt").over(tw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -32,18 +32,21 @@ def fdiv(x: Column, d: int) -> Column:
 
 
 def doc_offsets(df: DataFrame, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
-                max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
+                max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
+                key_bounds: tuple[int, int] | None = None) -> DataFrame:
     """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N).
 
     ``n_ids`` may name a column that already holds ``size(ids)`` computed
     cheaply (e.g. ``encoded_length`` of the text): the bucket totals are a
     second pass over the input, and with it that pass never builds arrays.
+    ``key_bounds`` (a known id range, e.g. ``sources.tables.id_bounds``) skips
+    the min/max job that would otherwise size the buckets.
     """
     if n_ids is None and not isinstance(ids, str):
         raise ValueError("an ids expression needs n_ids (its length per row)")
     size = F.col(n_ids) if n_ids else F.size(ids)
     with_n = df.withColumn("n", (size + 1).cast("long"))
-    bucket = numeric_bucket(with_n, key, max_buckets)
+    bucket = numeric_bucket(with_n, key, max_buckets, key_bounds)
     return prefix_sum(with_n, [key], bucket, weight=F.col("n"), before="start", total="total")
 
 
@@ -53,7 +56,8 @@ def window_count(total: Column, L: int) -> Column:
 
 
 def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
-         max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None) -> DataFrame:
+         max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
+         key_bounds: tuple[int, int] | None = None) -> DataFrame:
     """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream.
 
     ``ids`` is an array column, or an expression over the input's columns
@@ -64,7 +68,7 @@ def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id",
     """
     if L < 1:
         raise ValueError("L must be positive")
-    off = doc_offsets(df, ids, key, eos, max_buckets, n_ids)
+    off = doc_offsets(df, ids, key, eos, max_buckets, n_ids, key_bounds)
     ids_col = F.col(ids) if isinstance(ids, str) else ids
     stream = F.concat(ids_col, F.array(F.lit(eos)))
     W = window_count(F.col("total"), L)

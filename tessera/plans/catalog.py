@@ -17,7 +17,7 @@ from tessera.functions.text import words
 from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
 from tessera.plans import finetune, pretrain
 from tessera.session import materialize, shared_dir
-from tessera.sources.tables import balance, load_corpus, read_table, split_bucket, table_path
+from tessera.sources.tables import balance, id_bounds, load_corpus, read_table, split_bucket, table_path
 from tessera.streaming.redact_stream import run_redaction_stream
 
 # Fixed parameters of the registered queries.
@@ -163,7 +163,8 @@ def q_decode_vocab(spark, base):
 
 def q_doc_offsets(spark, base):
     ids = pretrain.corpus_ids(spark, base)
-    return packing.doc_offsets(ids, n_ids="n_ids").select("doc_id", _long("n").alias("n"),
+    return packing.doc_offsets(ids, n_ids="n_ids", key_bounds=id_bounds(spark, base)).select(
+        "doc_id", _long("n").alias("n"),
                                                           _long("start").alias("start"))
 
 
@@ -178,7 +179,8 @@ def q_pack_windows(spark, base):
 
 def q_pack_benchmark(spark, base):
     docs = corpus.drop_blank(load_corpus(spark, base, table="benchmark", id_col="item_id"))
-    return _window_out(packing.pack(tokens.encode_bytes(docs).select("doc_id", "ids"), SMALL_L))
+    return _window_out(packing.pack(tokens.encode_bytes(docs).select("doc_id", "ids"), SMALL_L,
+                                    key_bounds=id_bounds(spark, base, "benchmark", "item_id")))
 
 
 def q_corpus_summary(spark, base):
@@ -320,7 +322,7 @@ def q_update_loss(spark, base):
 
 
 def q_loss_log(spark, base):
-    u = corpus.sample_every(_update_loss(spark, base), LOG_EVERY, "update_id")
+    u = corpus.sample_every(_update_loss(spark, base), LOG_EVERY, "update_id", bounds=(1, STEPS))
     return u.select("update_id", _long("step").alias("step"), _r6("logged_loss").alias("logged_loss"))
 
 

@@ -13,7 +13,7 @@ from tessera.operators.packing import pack
 from tessera.functions.bytes import encode_ids, encoded_length
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
-from tessera.sources.tables import load_corpus, write_windows
+from tessera.sources.tables import id_bounds, load_corpus, write_windows
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,8 @@ def corpus_text(spark: SparkSession, base: str, max_samples: int | None = None,
 def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
     """Packed byte windows. Documents cross the offsets shuffle as text and are
     encoded after it (4x less shuffle than int arrays)."""
-    return pack(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids")
+    return pack(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids",
+                key_bounds=id_bounds(spark, base))
 
 
 def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:

@@ -32,6 +32,13 @@ def balance(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def id_bounds(spark: SparkSession, base: str, table: str = "documents", id_col: str = "doc_id") -> tuple[int, int]:
+    """(min, max) of an id column read on its own (the scan prunes every other
+    column): a cheap, filter-independent range for order buckets."""
+    row = spark.read.parquet(table_path(base, table)).agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+    return (int(row["lo"] or 0), int(row["hi"] or 0))
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """S3: fail fast (at plan time, no job) when expected columns are missing."""
     have = {f.name.lower() for f in df.schema.fields}
