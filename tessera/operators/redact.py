@@ -111,13 +111,16 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
 
     Text is split into word and gap runs, so white space survives. Only the
     matched positions travel: ``(key, pos, tag)`` hits are grouped per row and
-    joined back; rows without hits keep their text. The dictionary side is
-    broadcast when its bound is known, else shuffle-joined.
+    joined back; rows without hits keep their text. The dictionary is counted
+    (or its bound passed as ``terms_rows``): broadcast up to
+    ``TERMS_BROADCAST_ROWS``, shuffle-joined beyond (AQE splits hot words).
     """
     parts = F.regexp_extract_all(col_of(col), F.lit(WORD_OR_GAP_RE), 0)
     ex = df.select(key, F.posexplode(parts).alias("_pos", "_tok"))
-    small = terms_rows is not None and terms_rows <= TERMS_BROADCAST_ROWS
     t = terms.select(F.col(term).alias("_tok"), F.col(tag).alias("_tag")).dropDuplicates(["_tok"])
+    if terms_rows is None:
+        terms_rows = t.count()  # size check on the dictionary side only
+    small = terms_rows <= TERMS_BROADCAST_ROWS
     hits = ex.join(F.broadcast(t) if small else t, "_tok")
     marks = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_tag"))).alias("_m"))
     joined = df.join(marks, key, "left")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 VECTOR_BROADCAST_ROWS = 1_000_000
 
 
+def _vector_rows(vectors: DataFrame, bound: int | None) -> int:
+    """Size check before broadcasting the vector table (one row per id)."""
+    return bound if bound is not None else vectors.count()
+
+
 def rms_normalize(df: DataFrame, col: str = "embedding", out: str | None = None, eps: float = 1e-6) -> DataFrame:
     """X / sqrt(mean(x^2) + eps) per vector (weight 1), as doubles."""
     # The scale is its own column: referenced inside the lambda as an
@@ -31,7 +36,7 @@ def lookup_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: s
     """
     ex = df.select(*key, F.posexplode_outer(ids).alias("pos", "_id"))
     v = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v"))
-    small = vector_rows is not None and vector_rows <= VECTOR_BROADCAST_ROWS
+    small = _vector_rows(vectors, vector_rows) <= VECTOR_BROADCAST_ROWS
     joined = ex.join(F.broadcast(v) if small else v, "_id", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "_v"))
     return (joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
@@ -49,7 +54,7 @@ def pooled_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: s
     counts = (df.select(*key, F.explode(ids).alias("_id")).groupBy(*key, "_id")
               .agg(F.count(F.lit(1)).alias("_c")))
     v = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v"))
-    small = vector_rows is not None and vector_rows <= VECTOR_BROADCAST_ROWS
+    small = _vector_rows(vectors, vector_rows) <= VECTOR_BROADCAST_ROWS
     joined = counts.join(F.broadcast(v) if small else v, "_id")
     d = dim or 0
     weighted = joined.select(*key, "_c", F.transform("_v", lambda x: x.cast("double") * F.col("_c")).alias("_w"))
@@ -61,10 +66,17 @@ def pooled_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: s
 
 
 def append_token(df: DataFrame, drawn: DataFrame, ids: str = "ids", key: str = "prev",
-                 token: str = "drawn") -> DataFrame:
-    """Append the token drawn for each row's last id (join on that id)."""
+                 token: str = "drawn", drawn_rows: int | None = None) -> DataFrame:
+    """Append the token drawn for each row's last id (join on that id).
+
+    ``drawn`` has one row per context token (at most the vocabulary); with a
+    known bound under ``VECTOR_BROADCAST_ROWS`` it is broadcast, otherwise
+    shuffle-joined.
+    """
     last = F.try_element_at(ids, F.lit(-1))
     d = drawn.select(F.col(key).alias("_last"), F.col(token).alias("_next"))
+    if drawn_rows is not None and drawn_rows <= VECTOR_BROADCAST_ROWS:
+        d = F.broadcast(d)
     joined = df.withColumn("_last", last).join(d, "_last", "left")
     return (joined.withColumn(ids, F.when(F.col("_next").isNotNull(), F.concat(ids, F.array("_next")))
                               .otherwise(F.col(ids)))

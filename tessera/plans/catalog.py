@@ -348,8 +348,7 @@ def q_rms_vectors(spark, base):
 def q_doc_vectors(spark, base):
     conv = balance(read_table(spark, base, "conversations", ["conv_id", "turn", "text"]), "conv_id")
     ids = tokens.encode_bytes(conv)
-    pooled = vectors.pooled_vectors(ids, ["conv_id", "turn"], _unit_vectors(spark, base), dim=64,
-                                    vector_rows=None)
+    pooled = vectors.pooled_vectors(ids, ["conv_id", "turn"], _unit_vectors(spark, base), dim=64)
     return pooled.select("conv_id", "turn", _long("tokens").alias("tokens"),
                          _r6(F.col("pooled")[0]).alias("first"),
                          _r6(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x)).alias("total"))
@@ -357,7 +356,7 @@ def q_doc_vectors(spark, base):
 
 def q_gather_vectors(spark, base):
     b = tokens.encode_bytes(load_corpus(spark, base, table="benchmark", id_col="item_id"))
-    g = vectors.lookup_vectors(b, ["doc_id"], _unit_vectors(spark, base), vector_rows=None)
+    g = vectors.lookup_vectors(b, ["doc_id"], _unit_vectors(spark, base))
     return g.select(F.col("doc_id").alias("item_id"), _long(F.size("vectors")).alias("n"),
                     _r6(F.try_element_at(F.try_element_at("vectors", F.lit(1)), F.lit(1))).alias("first"),
                     _r6(F.try_element_at(F.try_element_at("vectors", F.lit(-1)), F.lit(1))).alias("last"))
@@ -367,7 +366,7 @@ def q_append_drawn(spark, base):
     cands = scores.candidates(_byte_counts(spark, base))
     drawn = scores.draw_one(_filtered(cands, CHAT_TEMPERATURE, CHAT_TOP_K, None), ["prev"], CHAT_SEED)
     ids = pretrain.corpus_ids(spark, base)
-    out = vectors.append_token(ids, drawn, ids="ids", key="prev", token="drawn")
+    out = vectors.append_token(ids, drawn, ids="ids", key="prev", token="drawn", drawn_rows=BYTE_VOCAB)
     return out.select("doc_id", _long(F.size("ids")).alias("n"),
                       _long(F.try_element_at("ids", F.lit(-1))).alias("last"))
 
