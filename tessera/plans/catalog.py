@@ -247,6 +247,14 @@ def q_sft_examples_reference(spark, base):
     return _sft_out(finetune.examples(spark, base, SFT_L, "reference"))
 
 
+def q_conversation_examples(spark, base):
+    """S2/P2 pairs (user turn -> next assistant turn) through F1-F6 (long texts: overflow, all-masked)."""
+    ex = sft.sft_examples(finetune.conversation_pairs(spark, base), SFT_L, "uniform")
+    return ex.select("conv_id", "turn", _long("prompt_len").alias("prompt_len"), _long("full_len").alias("full_len"),
+                     "overflow", ids_fingerprint("input").alias("input_md5"),
+                     ids_fingerprint("target").alias("target_md5"), _long(sft.scored_tokens()).alias("scored"))
+
+
 def q_sft_audit(spark, base):
     return sft.sft_audit(finetune.examples(spark, base, SFT_L, "uniform"))
 
@@ -400,6 +408,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sft_examples": q_sft_examples,
     "sft_examples_reference": q_sft_examples_reference,
     "sft_audit": q_sft_audit,
+    "conversation_examples": q_conversation_examples,
     "byte_bigrams": q_byte_bigrams,
     "next_token_probs": q_next_token_probs,
     "next_token_sample": q_next_token_sample,

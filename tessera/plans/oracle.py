@@ -112,11 +112,16 @@ su AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update_id
 sched AS (SELECT * FROM su WHERE update_id <= {steps})"""
 
 
-def SFT(L: int, uniform: bool) -> str:
-    """Uniform or reference-length examples from the weak pairs, as CTE ``sft``."""
+CONV_PAIRS = """wp AS (SELECT u.conv_id AS doc_id, u.turn AS seg_idx, u.text AS original_text, a.text AS redacted_text
+      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+      WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def SFT(L: int, uniform: bool, pairs: str | None = None) -> str:
+    """Uniform or reference-length examples from a pairs CTE ``wp`` (default: weak pairs), as CTE ``sft``."""
     inp = f"list_slice(inp, 1, {L})" if uniform else "inp"
     tgt = f"list_slice(tgt, 1, {L})" if uniform else "tgt"
-    return f"""{WEAK_PAIRS()},
+    return f"""{pairs or WEAK_PAIRS()},
 se AS (SELECT doc_id, seg_idx, {ENC("'[RAW] ' || original_text || ' [REDACTED] '")} AS pi,
               {ENC(f"redacted_text || '{EOS}'")} AS ai FROM wp),
 sf AS (SELECT doc_id, seg_idx, len(pi) AS prompt_len, list_concat(pi, ai) AS full0 FROM se),
@@ -270,6 +275,10 @@ SELECT doc_id, CAST(seg_idx AS BIGINT) AS seg_idx, CAST(len(cut) AS BIGINT) AS n
 
     q["sft_examples"] = f"WITH {SFT(C.SFT_L, True)}\n{SFT_OUT()}"
     q["sft_examples_reference"] = f"WITH {SFT(C.SFT_L, False)}\n{SFT_OUT()}"
+    q["conversation_examples"] = f"""WITH {SFT(C.SFT_L, True, CONV_PAIRS)}
+SELECT doc_id AS conv_id, seg_idx AS turn, CAST(prompt_len AS BIGINT) AS prompt_len, CAST(full_len AS BIGINT) AS full_len,
+       overflow, md5(array_to_string(input, ',')) AS input_md5, md5(array_to_string(target, ',')) AS target_md5,
+       CAST(len(list_filter(target, lambda x: x <> -100)) AS BIGINT) AS scored FROM sft"""
     q["sft_audit"] = f"""WITH {SFT(C.SFT_L, True)},
 a AS (SELECT overflow, len(input) AS n, len(list_filter(target, lambda x: x <> -100)) AS s FROM sft)
 SELECT overflow, CAST(count(*) AS BIGINT) AS examples, CAST(sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) AS BIGINT) AS all_masked,
