@@ -17,7 +17,7 @@ from tessera.functions.text import words
 from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
 from tessera.plans import finetune, pretrain
 from tessera.session import materialize, shared_dir
-from tessera.sources.tables import balance, id_bounds, load_corpus, read_table, split_bucket, table_path
+from tessera.sources.tables import balance, id_bounds, load_corpus, read_table, split_bucket
 from tessera.streaming.redact_stream import run_redaction_stream
 
 # Fixed parameters of the registered queries.

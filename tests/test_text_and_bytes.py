@@ -1,6 +1,5 @@
 """P1/P5 blank semantics and T1/T2/T5 byte codec."""
 
-from pyspark.sql import functions as F
 
 from tessera.functions.bytes import EOS_ID, decode_ids, encode_ids, encoded_length
 from tessera.functions.text import nonblank, py_strip
