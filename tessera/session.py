@@ -50,7 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``setCheckpointDir``); only when neither is set (local runs and tests) do we
     create one of our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): use the conf or a local folder
+        sc = None
+    if sc is None:
+        path = spark.conf.get(CHECKPOINT_CONF, None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="tessera-ckpt-")
+            spark.conf.set(CHECKPOINT_CONF, path)
+        return path
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -26,10 +26,12 @@ def balance(df: DataFrame, key: str) -> DataFrame:
     ``key`` (deterministic on retry) across the default parallelism instead.
     Planning-only check: no job runs.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
+        return df
+    return df.repartition(want, key) if have < want else df
 
 
 def id_bounds(spark: SparkSession, base: str, table: str = "documents", id_col: str = "doc_id") -> tuple[int, int]:
