@@ -7,8 +7,10 @@ looks tokens up with a broadcast join whose size is bounded by ``size``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, decode_ids, encode_ids
 from tessera.functions.text import EOS_TEXT, WORD_RE, col_of
@@ -18,6 +20,9 @@ UNK_TEXT = "<unk>"
 WORD_EOS_ID = 1
 # Broadcast the vocabulary only up to this many rows; beyond it, shuffle-join.
 VOCAB_BROADCAST_ROWS = 2_000_000
+# In-task dictionary lookup (no shuffle) up to this many vocabulary rows: each
+# Python worker holds the dictionary once.
+VOCAB_LOOKUP_ROWS = 500_000
 
 
 def encode_bytes(df: DataFrame, text: str = "text", out: str = "ids", allow_special: bool = True) -> DataFrame:
@@ -78,15 +83,24 @@ def _vocab_side(vocab: DataFrame, max_rows: int) -> DataFrame:
 
 
 def encode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
-                 out: str = "ids", vocab_rows: int | None = None) -> DataFrame:
+                 out: str = "ids", vocab_rows: int | None = None, method: str = "auto") -> DataFrame:
     """Word ids by vocabulary lookup (unknown -> 0), order kept by position.
 
-    ``vocab_rows`` is the bound the caller knows (``size`` of T6); the lookup is
-    broadcast only under ``VOCAB_BROADCAST_ROWS`` and shuffle-joined beyond it.
-    Re-assembly groups by ``key``: one document's tokens are one group, which is
-    the size of the input row itself. Returns ``(key, out)``; rows without words
-    get an empty array.
+    ``vocab_rows`` is the bound the caller knows (``size`` of T6).
+
+    * ``lookup`` (default up to ``VOCAB_LOOKUP_ROWS``): the vocabulary is
+      broadcast once as a dictionary and each task maps its rows' word arrays
+      in Arrow batches — narrow, no shuffle of tokens.
+    * ``join`` (beyond it): words are exploded and equi-joined (broadcast up to
+      ``VOCAB_BROADCAST_ROWS``, shuffle-joined beyond), then re-assembled by
+      ``key`` — one document's tokens per group, the size of its input row.
+
+    Returns ``(key, out)``; rows without words get an empty array.
     """
+    if method == "auto":
+        method = "lookup" if vocab_rows is not None and vocab_rows <= VOCAB_LOOKUP_ROWS else "join"
+    if method == "lookup":
+        return _encode_vocab_lookup(df, vocab, key, text, out, vocab_rows)
     toks = df.select(key, F.posexplode_outer(F.regexp_extract_all(col_of(text), F.lit(WORD_RE), 0))
                      .alias("pos", "token"))
     bound = vocab_rows if vocab_rows is not None else VOCAB_BROADCAST_ROWS + 1
@@ -97,6 +111,22 @@ def encode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     return ids.select(key, F.transform("_p", lambda s: s["id"]).alias(out))
 
 
+def _encode_vocab_lookup(df: DataFrame, vocab: DataFrame, key: str, text: str, out: str,
+                         vocab_rows: int | None) -> DataFrame:
+    rows = vocab.select("token", "id").collect()  # bounded: at most vocab_rows entries
+    if vocab_rows is not None and len(rows) > vocab_rows:
+        raise ValueError("vocabulary larger than its declared bound")
+    table = df.sparkSession.sparkContext.broadcast({r["token"]: int(r["id"]) for r in rows})
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def lookup(words: pd.Series) -> pd.Series:
+        get = table.value.get
+        return pd.Series([[get(w, UNK_ID) for w in ws] for ws in words])
+
+    # the split stays JVM-side; Python only maps strings to ints
+    return df.select(key, lookup(F.regexp_extract_all(col_of(text), F.lit(WORD_RE), 0)).alias(out))
+
+
 def decode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str = "ids",
                  out: str = "text", vocab_rows: int | None = None) -> DataFrame:
     """Ids -> words joined by one space (lossy: rare words come back as ``<unk>``,
