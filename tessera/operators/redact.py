@@ -22,6 +22,8 @@ from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_OR_GAP
 from tessera.operators.sft import answer_text, prompt_text
 
 TERMS_BROADCAST_ROWS = 2_000_000
+# In-task dictionary lookup (no shuffle) up to this many terms.
+TERMS_LOOKUP_ROWS = 500_000
 
 
 def redact(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, out: str | None = None) -> DataFrame:
@@ -106,20 +108,41 @@ def scrub(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULE
 
 def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text",
                  term: str = "term", tag: str = "tag", out: str | None = None,
-                 terms_rows: int | None = None) -> DataFrame:
+                 terms_rows: int | None = None, method: str = "auto") -> DataFrame:
     """Replace whole words found in a ``(term, tag)`` dictionary by ``[tag]``.
 
-    Text is split into word and gap runs, so white space survives. Only the
-    matched positions travel: ``(key, pos, tag)`` hits are grouped per row and
-    joined back; rows without hits keep their text. The dictionary is counted
-    (or its bound passed as ``terms_rows``): broadcast up to
-    ``TERMS_BROADCAST_ROWS``, shuffle-joined beyond (AQE splits hot words).
+    Text is split (JVM-side) into word and gap runs, so white space survives.
+    The dictionary is counted (or its bound passed as ``terms_rows``):
+
+    * ``lookup`` (up to ``TERMS_LOOKUP_ROWS``): broadcast once as a dictionary;
+      each task rebuilds its rows' texts in Arrow batches — narrow, no shuffle.
+    * ``join`` (beyond): words are exploded and equi-joined (broadcast up to
+      ``TERMS_BROADCAST_ROWS``, else shuffle-joined with AQE splitting hot
+      words); only matched ``(key, pos, tag)`` hits are grouped per row and
+      joined back; rows without hits keep their text.
     """
     parts = F.regexp_extract_all(col_of(col), F.lit(WORD_OR_GAP_RE), 0)
-    ex = df.select(key, F.posexplode(parts).alias("_pos", "_tok"))
     t = terms.select(F.col(term).alias("_tok"), F.col(tag).alias("_tag")).dropDuplicates(["_tok"])
     if terms_rows is None:
         terms_rows = t.count()  # size check on the dictionary side only
+    if method == "auto":
+        method = "lookup" if terms_rows <= TERMS_LOOKUP_ROWS else "join"
+    if method == "lookup":
+        table = df.sparkSession.sparkContext.broadcast({r["_tok"]: r["_tag"] for r in t.collect()})
+
+        @F.pandas_udf("string")
+        def rebuild(texts: pd.Series, arrs: pd.Series) -> pd.Series:
+            get = table.value.get
+            res = []
+            for txt, a in zip(texts, arrs):
+                if a is None or not any(get(p) is not None for p in a):
+                    res.append(txt)
+                else:
+                    res.append("".join(f"[{get(p)}]" if get(p) is not None else p for p in a))
+            return pd.Series(res, dtype=object)
+
+        return df.withColumn(out or col, rebuild(col_of(col), parts))
+    ex = df.select(key, F.posexplode(parts).alias("_pos", "_tok"))
     small = terms_rows <= TERMS_BROADCAST_ROWS
     hits = ex.join(F.broadcast(t) if small else t, "_tok")
     marks = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_tag"))).alias("_m"))

@@ -128,14 +128,33 @@ def _encode_vocab_lookup(df: DataFrame, vocab: DataFrame, key: str, text: str, o
 
 
 def decode_vocab(df: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str = "ids",
-                 out: str = "text", vocab_rows: int | None = None) -> DataFrame:
+                 out: str = "text", vocab_rows: int | None = None, method: str = "auto") -> DataFrame:
     """Ids -> words joined by one space (lossy: rare words come back as ``<unk>``,
-    white space runs as one space)."""
+    white space runs as one space). ``lookup`` (bounded vocabulary) maps ids in
+    each task; ``join`` explodes, joins and re-assembles per ``key``."""
+    if method == "auto":
+        method = "lookup" if vocab_rows is not None and vocab_rows <= VOCAB_LOOKUP_ROWS else "join"
+    if method == "lookup":
+        rows = vocab.select("id", "token").collect()  # bounded: at most vocab_rows entries
+        if vocab_rows is not None and len(rows) > vocab_rows:
+            raise ValueError("vocabulary larger than its declared bound")
+        words = {int(r["id"]): r["token"] for r in rows}
+        words.update({WORD_EOS_ID: EOS_TEXT, UNK_ID: UNK_TEXT})
+        table = df.sparkSession.sparkContext.broadcast(words)
+
+        @F.pandas_udf("string")
+        def lookup(arrs: pd.Series) -> pd.Series:
+            get = table.value.get
+            return pd.Series([None if a is None or len(a) == 0 else " ".join(get(int(i), UNK_TEXT) for i in a)
+                              for a in arrs])
+
+        res = df.select(key, lookup(F.col(ids)).alias(out))
+        return res.filter(F.col(out).isNotNull())
     ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
     bound = vocab_rows if vocab_rows is not None else VOCAB_BROADCAST_ROWS + 1
     v = vocab.select(F.col("id").cast("int").alias("id"), "token").union(
         df.sparkSession.createDataFrame([(WORD_EOS_ID, EOS_TEXT), (UNK_ID, UNK_TEXT)], "id int, token string"))
     joined = ex.join(_vocab_side(v, bound), "id", "inner")
-    words = (joined.groupBy(key)
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p")))
-    return words.select(key, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias(out))
+    words_ = (joined.groupBy(key)
+              .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p")))
+    return words_.select(key, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias(out))

@@ -71,8 +71,9 @@ def test_scrub_and_hook_agree(spark):
 def test_terms(spark):
     df = spark.createDataFrame([(1, "Hi  Alice\tfrom Paris!"), (2, "nobody"), (3, "")], "doc_id int, text string")
     terms = spark.createDataFrame([("Alice", "NAME"), ("Paris!", "PLACE")], "term string, tag string")
-    got = {r.doc_id: r.text for r in redact_terms(df, terms, terms_rows=2).collect()}
-    assert got == {1: "Hi  [NAME]\tfrom [PLACE]", 2: "nobody", 3: ""}
+    for method in ("lookup", "join"):
+        got = {r.doc_id: r.text for r in redact_terms(df, terms, terms_rows=2, method=method).collect()}
+        assert got == {1: "Hi  [NAME]\tfrom [PLACE]", 2: "nobody", 3: ""}, method
 
 
 def test_segment_rejoin(spark):
