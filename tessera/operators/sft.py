@@ -58,9 +58,15 @@ def sft_target(df: DataFrame, eos: int = EOS_ID) -> DataFrame:
 
 
 def sft_mask(df: DataFrame) -> DataFrame:
-    """target positions before ``prompt_len - 1`` become -100."""
-    return df.withColumn("target", F.transform(
-        "target", lambda x, i: F.when(i < F.col("prompt_len") - 1, F.lit(IGNORE_INDEX)).otherwise(x)))
+    """target positions before ``prompt_len - 1`` become -100.
+
+    Written with whole-array functions (repeat + slice + concat), not a
+    per-element lambda, so it runs in generated code.
+    """
+    n = F.size("target")
+    m = F.least(F.greatest(F.col("prompt_len") - 1, F.lit(0)), n)
+    return df.withColumn("target", F.concat(F.array_repeat(F.lit(IGNORE_INDEX), m),
+                                            F.slice("target", m + 1, F.greatest(n - m, F.lit(0)))))
 
 
 def sft_pad(df: DataFrame, L: int, eos: int = EOS_ID) -> DataFrame:
@@ -84,7 +90,7 @@ def sft_examples(df: DataFrame, L: int, mode: str = "uniform", raw: str = "origi
 
 def scored_tokens(target: str = "target") -> Column:
     """Number of target positions that carry loss (not -100)."""
-    return F.size(F.filter(target, lambda x: x != IGNORE_INDEX))
+    return F.size(F.array_remove(target, IGNORE_INDEX))
 
 
 def sft_audit(df: DataFrame) -> DataFrame:
