@@ -57,7 +57,8 @@ def window_count(total: Column, L: int) -> Column:
 
 def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
          max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
-         key_bounds: tuple[int, int] | None = None) -> DataFrame:
+         key_bounds: tuple[int, int] | None = None,
+         head_ids: Column | None = None, tail_ids: Column | None = None) -> DataFrame:
     """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream.
 
     ``ids`` is an array column, or an expression over the input's columns
@@ -65,6 +66,11 @@ def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id",
     shuffle: the rows travel as text (about one byte per byte token instead
     of four for an int array) and are encoded once. An expression needs
     ``n_ids`` (its length, computed without building the array).
+
+    Boundary windows only ever touch a document's first or last L+1 stream
+    tokens. ``head_ids``/``tail_ids`` may give expressions for at least the
+    first/last L+1 ids (e.g. encoding a bounded prefix/suffix of the text),
+    so that branch never encodes whole documents.
     """
     if L < 1:
         raise ValueError("L must be positive")
@@ -78,7 +84,14 @@ def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id",
     w_hi = F.least(fdiv(end, L), W - 1)
     iw_lo = fdiv(start + (L - 1), L)         # first window starting inside the doc
     iw_hi = F.least(fdiv(end - L, L), W - 1)  # last window ending inside the doc
-    docs = off.select(key, stream.alias("s"), start.alias("start"), n.alias("n"),
+    # first and last min(n, L+1) stream tokens (the only ones boundary windows use)
+    head_src = ids_col if head_ids is None else head_ids
+    tail_src = ids_col if tail_ids is None else tail_ids
+    hd = F.slice(F.concat(F.slice(head_src, 1, L + 1), F.array(F.lit(eos))), 1, L + 1)
+    tl_ids = F.slice(tail_src, F.greatest(F.size(tail_src) - (L + 1), F.lit(0)) + 1, L + 1)
+    tl_s = F.concat(tl_ids, F.array(F.lit(eos)))
+    tl = F.slice(tl_s, F.greatest(F.size(tl_s) - (L + 1), F.lit(0)) + 1, L + 1)
+    docs = off.select(key, stream.alias("s"), hd.alias("hd"), tl.alias("tl"), start.alias("start"), n.alias("n"),
                       w_lo.alias("w_lo"), w_hi.alias("w_hi"), iw_lo.alias("iw_lo"), iw_hi.alias("iw_hi"))
 
     empty = F.array().cast("array<long>")
@@ -101,8 +114,13 @@ def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id",
     def piece(w):
         lo = F.greatest(w * L, F.col("start"))
         hi = F.least(w * L + L, F.col("start") + F.col("n") - 1)
-        return F.struct(w.alias("window_id"), lo.alias("lo"),
-                        F.slice("s", (lo - F.col("start") + 1).cast("int"), (hi - lo + 1).cast("int")).alias("piece"))
+        rlo = lo - F.col("start")                      # doc-relative first position
+        length = (hi - lo + 1).cast("int")
+        # a window starting before the doc takes the doc's first tokens (head);
+        # otherwise it runs past the doc's end and takes its last ones (tail)
+        tail_at = rlo - (F.col("n") - F.size("tl")) + 1
+        part = F.when(rlo == 0, F.slice("hd", 1, length)).otherwise(F.slice("tl", tail_at.cast("int"), length))
+        return F.struct(w.alias("window_id"), lo.alias("lo"), part.alias("piece"))
 
     pieces = docs.select(F.explode(F.transform(edge_ws, piece)).alias("x")).select("x.*")
     seg = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "piece"))), lambda p: p["piece"]))

@@ -68,3 +68,34 @@ def test_offsets_and_summary(spark):
     assert (s.docs, s.tokens, s.windows, s.tail) == (3, 16, 3, 3)
     empty = corpus_summary(spark.createDataFrame([], "doc_id long, ids array<int>"), 4).first()
     assert (empty.docs, empty.tokens, empty.windows, empty.tail) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("L", [1, 3, 8])
+def test_pack_text_path_with_eos_literals(spark, L):
+    """Text shuffled and encoded after the exchange, boundary windows from a
+    bounded prefix/suffix — including EOS literals cut at the prefix/suffix edge."""
+    from tessera.operators.corpus import drop_blank  # noqa: F401
+    from tessera.plans import pretrain
+
+    rnd = random.Random(100 + L)
+    pieces = ["a", "é", "<|endoftext|>", "xy", "€", " "]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.choice([1, 2, 5, 14, 40]))) for _ in range(30)]
+    docs = []
+    for i, t in enumerate(texts):
+        ids = []
+        for j, part in enumerate(t.split("<|endoftext|>")):
+            if j:
+                ids.append(EOS_ID)
+            ids.extend(part.encode("utf-8"))
+        docs.append((i, ids))
+    exp, _ = reference_windows(docs, L)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    from tessera.functions.bytes import encode_ids, encoded_length
+    span = 13 * (L + 1)
+    w = pack(df.withColumn("n_ids", encoded_length("text")), L, ids=encode_ids("text"), n_ids="n_ids",
+             head_ids=encode_ids(F.substring("text", 1, span)),
+             tail_ids=encode_ids(F.substring("text", -span, span)), max_buckets=3)
+    got = {r.window_id: (list(r.input), list(r.target)) for r in w.collect()}
+    assert got == exp
