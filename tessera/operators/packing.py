@@ -36,18 +36,23 @@ def doc_offsets(df: DataFrame, ids: str | Column = "ids", key: str = "doc_id", e
                 key_bounds: tuple[int, int] | None = None) -> DataFrame:
     """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N).
 
+    The prefix sum runs on narrow ``(key, n)`` rows (16 bytes per document),
+    so its sort never touches document bodies. The offsets are then joined
+    back by ``key`` with a shuffled hash join (build side: the narrow
+    offsets), so the documents move once and are not sorted.
+
     ``n_ids`` may name a column that already holds ``size(ids)`` computed
-    cheaply (e.g. ``encoded_length`` of the text): the bucket totals are a
-    second pass over the input, and with it that pass never builds arrays.
-    ``key_bounds`` (a known id range, e.g. ``sources.tables.id_bounds``) skips
-    the min/max job that would otherwise size the buckets.
+    cheaply (e.g. ``encoded_length`` of the text), so sizing never builds
+    arrays. ``key_bounds`` (a known id range, e.g. ``sources.tables.id_bounds``)
+    skips the min/max job that would otherwise size the buckets.
     """
     if n_ids is None and not isinstance(ids, str):
         raise ValueError("an ids expression needs n_ids (its length per row)")
     size = F.col(n_ids) if n_ids else F.size(ids)
-    with_n = df.withColumn("n", (size + 1).cast("long"))
-    bucket = numeric_bucket(with_n, key, max_buckets, key_bounds)
-    return prefix_sum(with_n, [key], bucket, weight=F.col("n"), before="start", total="total")
+    narrow = df.select(key, (size + 1).cast("long").alias("n"))
+    bucket = numeric_bucket(narrow, key, max_buckets, key_bounds)
+    off = prefix_sum(narrow, [key], bucket, weight=F.col("n"), before="start", total="total")
+    return df.join(off.hint("shuffle_hash"), key)
 
 
 def window_count(total: Column, L: int) -> Column:
