@@ -159,3 +159,38 @@ def window_ids(summary: DataFrame) -> DataFrame:
     """
     W = summary.first()["windows"]
     return summary.sparkSession.range(int(W or 0)).withColumnRenamed("id", "window_id")
+
+
+def stream_bigrams(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
+                   max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
+                   key_bounds: tuple[int, int] | None = None) -> DataFrame:
+    """E6 over packed windows without packing: ``(prev, next, count)`` of the
+    (input[i], target[i]) pairs of all windows of length L.
+
+    Those pairs are the adjacent stream pairs at positions ``[0, W*L)``: the
+    pairs inside each document's stream (tokens + EOS), plus one pair per
+    document boundary (EOS -> next document's first token), cut at ``W*L``.
+    Boundary pairs come from a narrow join of per-document ``(start, first)``
+    rows; counting is a partial aggregate.
+    """
+    if n_ids is None and not isinstance(ids, str):
+        raise ValueError("an ids expression needs n_ids (its length per row)")
+    size = F.col(n_ids) if n_ids else F.size(ids)
+    narrow = df.select(key, (size + 1).cast("long").alias("n"))
+    bucket = numeric_bucket(narrow, key, max_buckets, key_bounds)
+    off = prefix_sum(narrow, [key], bucket, weight=F.col("n"), before="start", total="total")
+    limit = window_count(F.col("total"), L) * L          # pair positions [0, W*L)
+    ids_col = F.col(ids) if isinstance(ids, str) else ids
+    docs = df.join(off.hint("shuffle_hash"), key)
+    s = F.concat(ids_col, F.array(F.lit(eos)))
+    m = F.least(F.col("n") - 1, limit - F.col("start")).cast("int")   # pairs of this doc inside the cut
+    inner = docs.select(F.explode(F.arrays_zip(
+        F.slice(s, 1, F.greatest(m, F.lit(0))).alias("prev"),
+        F.slice(s, 2, F.greatest(m, F.lit(0))).alias("next"))).alias("p")).select("p.prev", "p.next")
+    # boundary pairs: EOS at position start+n-1 followed by the next doc's first token
+    firsts = docs.select(F.col("start").alias("_pos"), F.try_element_at(s, F.lit(1)).alias("next"))
+    ends = off.select((F.col("start") + F.col("n")).alias("_pos"),
+                      (F.col("start") + F.col("n") - 1 < limit).alias("_keep"))
+    cross = (ends.filter("_keep").join(firsts, "_pos")
+             .select(F.lit(eos).alias("prev"), "next"))
+    return inner.unionByName(cross).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("count"))

@@ -262,7 +262,8 @@ def q_sft_audit(spark, base):
 # ---- score tables -----------------------------------------------------------
 
 def _byte_counts(spark, base):
-    return scores.bigrams(_windows(spark, base), prev="input", nxt="target")
+    """(input, target) pair counts of the L=512 windows, counted from the stream."""
+    return pretrain.window_bigrams(spark, base, PACK_L)
 
 
 def q_byte_bigrams(spark, base):
@@ -294,9 +295,8 @@ def q_next_token_sample(spark, base):
 
 def _window_loss(spark, base, win: DataFrame | None = None):
     win = win if win is not None else _windows(spark, base)
-    # The count table (<= 257*257 rows) feeds two joins; write it once instead
-    # of re-packing the corpus for each.
-    counts = materialize(scores.bigrams(win, prev="input", nxt="target"), "byte-counts")
+    # The count table (<= 257*257 rows) feeds two joins; write it once.
+    counts = materialize(_byte_counts(spark, base), "byte-counts")
     return scores.cross_entropy(win, counts, ["window_id"], BYTE_VOCAB, 1.0, prev="input", nxt="target",
                                 rows_bound=BYTE_VOCAB * BYTE_VOCAB)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.batching import batches, epochs_needed, limit_steps, shuffle, update_groups
 from tessera.operators.corpus import cap, drop_blank
-from tessera.operators.packing import pack
+from tessera.operators.packing import pack, stream_bigrams
 from tessera.functions.bytes import encode_ids, encoded_length
 from tessera.functions.text import EOS_TEXT
 from tessera.operators.tokens import encode_bytes
@@ -56,6 +56,13 @@ def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = No
                 tail_ids=encode_ids(F.substring("text", -span, span)))
 
 
+def window_bigrams(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
+    """Next-token counts of the windows' (input, target) pairs, straight from
+    the documents (no packing): ``packing.stream_bigrams``."""
+    return stream_bigrams(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids",
+                          key_bounds=id_bounds(spark, base))
+
+
 def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:
     """B2-B5 on packed windows: epoch, rank, batch_idx, slot, update_id (within the budget)."""
     s = shuffle(win, cfg.seed, epochs, id_col="window_id")

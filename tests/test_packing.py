@@ -99,3 +99,19 @@ def test_pack_text_path_with_eos_literals(spark, L):
              tail_ids=encode_ids(F.substring("text", -span, span)), max_buckets=3)
     got = {r.window_id: (list(r.input), list(r.target)) for r in w.collect()}
     assert got == exp
+
+
+@pytest.mark.parametrize("L", [1, 3, 8])
+def test_stream_bigrams_equal_window_pairs(spark, L):
+    from collections import Counter
+
+    from tessera.operators.packing import stream_bigrams
+    rnd = random.Random(L * 7)
+    docs = [(i, [rnd.randrange(5) for _ in range(rnd.choice([0, 1, 2, 6, 19]))]) for i in range(25)]
+    exp, _ = reference_windows(docs, L)
+    want = Counter()
+    for inp, tgt in exp.values():
+        want.update(zip(inp, tgt))
+    df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
+    got = {(r.prev, r.next): r["count"] for r in stream_bigrams(df, L, max_buckets=3).collect()}
+    assert got == dict(want)
