@@ -33,11 +33,25 @@ def with_temperature(df: DataFrame, temperature: float, score: str = "score") ->
 
 
 def softmax(df: DataFrame, by: Sequence[str], score: str = "score", out: str = "prob",
-            temperature: float = 1.0) -> DataFrame:
-    """E1 (+E2): max-subtracted softmax inside each group."""
-    z = F.col(score) / F.lit(float(temperature)) if temperature != 1.0 else F.col(score)
+            temperature: float = 1.0, method: str = "window") -> DataFrame:
+    """E1 (+E2): max-subtracted softmax inside each group.
+
+    ``window`` (default; used after top-k, when groups are small) computes max
+    and sum as window aggregates. ``aggregate`` suits untrimmed tables whose
+    groups may be huge: group max and sum are ``groupBy`` aggregates with
+    map-side partial aggregation, joined back on the group key (AQE splits a
+    hot key), so no task holds a whole group.
+    """
     if temperature <= 0:
         raise ValueError("temperature must be > 0")
+    z = F.col(score) / F.lit(float(temperature)) if temperature != 1.0 else F.col(score)
+    if method == "aggregate":
+        keys = list(by)
+        with_z = df.withColumn("_z", z)
+        mx = with_z.groupBy(*keys).agg(F.max("_z").alias("_m"))
+        ex = with_z.join(mx, keys).withColumn("_e", F.exp(F.col("_z") - F.col("_m")))
+        tot = ex.groupBy(*keys).agg(F.sum("_e").alias("_s"))
+        return ex.join(tot, keys).withColumn(out, F.col("_e") / F.col("_s")).drop("_z", "_m", "_e", "_s")
     g = _g(by)
     e = F.exp(z - F.max(z).over(g))
     return df.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(g)).drop("_e")

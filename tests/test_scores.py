@@ -117,3 +117,13 @@ def test_accumulated_loss(spark):
     got = {r.update_id: (r.loss, r.logged_loss, r.micro_batches) for r in accumulated_loss(df).collect()}
     assert got[1] == (3.5, 5.0, 2)
     assert got[2] == (8.0, 9.0, 2)  # the spilled batch of epoch 0 comes first; epoch 1 is logged
+
+
+def test_softmax_methods_agree(spark):
+    rnd = random.Random(3)
+    rows = make_groups(rnd, 20) + [(99, i, float(i % 7)) for i in range(300)]  # one large group
+    df = spark.createDataFrame(rows, "prev int, item int, score double")
+    a = {(r.prev, r.item): r.prob for r in softmax(df, ["prev"], temperature=0.7).collect()}
+    b = {(r.prev, r.item): r.prob for r in softmax(df, ["prev"], temperature=0.7, method="aggregate").collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
