@@ -36,11 +36,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tie_breaker(docs: DataFrame) -> Column:
-    """Second part of a document key: 0 while ``doc_id`` is unique, else a hash of the text.
+def tie_breaker(docs: DataFrame) -> tuple[Column, bool]:
+    """Second part of a document key, and whether some ``doc_id`` occurs twice.
 
-    The check is one narrow aggregation over ``doc_id``; the constant keeps the
-    key of every shuffled row short in the usual case.
+    0 while ``doc_id`` is unique, else a hash of the text. The check is one narrow
+    aggregation over ``doc_id``; the constant keeps the key of every shuffled row
+    short in the usual case.
     """
-    twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if twice else F.lit(0).cast("long")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), True
+    return F.lit(0).cast("long"), False
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tie, text)`` with one row per document; rows equal in all three are one document."""
+    tie, repeated = tie_breaker(docs)
+    out = docs.select("doc_id", tie.alias("tie"), "text")
+    return out.dropDuplicates(["doc_id", "tie"]) if repeated else out

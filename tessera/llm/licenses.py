@@ -114,14 +114,22 @@ def license_labels(docs: DataFrame, phrases: dict[str, str] | None = None,
     """Per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     The base columns count the exact places of ``phrases``; ``labels`` adds those
-    of template spans that score at least ``coverage``; ``score`` is the best
+    of template spans that score at least ``coverage`` (the best of overlapping ones); ``score`` is the best
     one of an accepted span (1 for an exact place), 0 without any.
     """
     grams = template_grams(docs.sparkSession, PHRASES if phrases is None else phrases,
                            TEMPLATES if templates is None else templates)
     spans = license_spans(license_votes(docs, grams))
     based = F.col("n_base") > 0
-    accepted = based | (~F.col("base") & (F.col("score") >= coverage))
+    near = ~F.col("base") & (F.col("score") >= coverage)
+    # where accepted spans overlap, only the best of them gives its label
+    order = Window.partitionBy("row", near).orderBy("first", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("first") >= F.max("stop").over(order), F.lit(True))
+    place = Window.partitionBy("row", near).orderBy("first", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("_apart", apart.cast("int")).withColumn("_place", F.sum("_apart").over(place))
+    best = F.max("score").over(Window.partitionBy("row", near, "_place"))
+    spans = spans.withColumn("_best", best)
+    accepted = based | (near & (F.col("score") == F.col("_best")))
     out = spans.groupBy("doc_id", "row").agg(
         F.max(F.when(F.col("tid").isNull(), F.col("first"))).cast("long").alias("n_words"),
         F.sum("n_base").alias("n_base"), F.min("first_word").cast("long").alias("first_word"),

@@ -3,24 +3,79 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, licenses, urls
+from tessera.llm import (
+    decontaminate,
+    fingerprints,
+    language,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    substrings,
+    toxicity,
+    urls,
+)
 from tessera.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    rows = fingerprints.document_fingerprints(table(spark, base, "documents"))
+    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return rows.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        fingerprints.hex_fingerprint(fp).alias("fingerprint"),
+        fingerprints.hex_fingerprint(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(fp, edited).alias("near_edited"), fingerprints.likeness(fp, after).alias("near_next"))
+
+
+def op2_quality(spark: SparkSession, base: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_quality(table(spark, base, "documents"))
+
+
+def op3_languages(spark: SparkSession, base: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify_languages(table(spark, base, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, base: str) -> DataFrame:
     """Hit words and items of every document, and whether it is contaminated."""
     return decontaminate.contamination(table(spark, base, "documents"), table(spark, base, "benchmark")).drop("hits")
 
 
+def op5_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Power-of-two pieces of every document."""
+    return packing.pack_documents(table(spark, base, "documents"))
+
+
+def op6_substrings(spark: SparkSession, base: str) -> DataFrame:
+    """Words of every document that repeat an earlier passage, and a digest of the rest."""
+    return substrings.substring_digests(table(spark, base, "documents"))
+
+
 def op7_licenses(spark: SparkSession, base: str) -> DataFrame:
     """License phrases and template spans of every document."""
     return licenses.license_labels(table(spark, base, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    """Expected severity of every document."""
+    return toxicity.grade_documents(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 def op9_urls(spark: SparkSession, base: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
     return urls.judge_urls(table(spark, base, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op7_licenses, op9_urls)}
+def op10_near_copies(spark: SparkSession, base: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_copies(table(spark, base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprints, op2_quality, op3_languages, op4_decontamination, op5_packing, op6_substrings, op7_licenses,
+    op8_toxicity, op9_urls, op10_near_copies)}
