@@ -3,12 +3,13 @@
 Each rule is (tag, Java regex, replacement). Patterns stay inside the subset
 that Java and RE2 read the same way (no \\b, no lookaround, explicit classes).
 Order matters: secrets first (their values may look like cards), then e-mail,
-card, IP and phone. CARD and IP consume one delimiter each, so they run twice
-to catch values separated by a single character.
+card, IP, phone and street address. Rules that consume a delimiter run twice to
+catch values separated by a single character.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,12 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]", 1, "@"),
     Rule("CARD", "(^|[^0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}([^0-9]|$)", "$1[CARD]$2", 2),
     Rule("IP", "(^|[^0-9.])[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}([^0-9]|$)", "$1[IP]$2", 2, "."),
-    Rule("PHONE", "\\+[0-9]{1,3} ?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}", "[PHONE]", 1, "+"),
+    # +CC with groups of 2-4 digits; (NNN) NNN-NNNN; NNN-NNN-NNNN or with dots
+    Rule("PHONE", "(^|[^0-9+])(\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
+         "|\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})([^0-9]|$)", "$1[PHONE]$3", 2),
+    # house number, one to three capitalised words, kind of street
+    Rule("ADDRESS", "(^|[^0-9A-Za-z])[0-9]{1,5} (?:[A-Z][A-Za-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd"
+         "|Lane|Ln|Drive|Dr|Court|Ct|Square|Sq|Place|Pl|Way)([^A-Za-z]|$)", "$1[ADDRESS]$2", 2),
 )
 
 TAGS = tuple(r.tag for r in DEFAULT_RULES)
@@ -103,4 +109,4 @@ def count_pattern(c, rule: Rule) -> Column:
 
 def duck_replacement(rule: Rule) -> str:
     """The same replacement in RE2 syntax (``$1`` -> ``\\1``)."""
-    return rule.replacement.replace("$1", "\\1").replace("$2", "\\2")
+    return re.sub(r"\$(\d)", r"\\\1", rule.replacement)

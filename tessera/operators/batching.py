@@ -2,8 +2,8 @@
 
 The shuffle order is a seeded md5 key (engine-independent and restartable:
 a lost task recomputes the same order). The global position inside an epoch
-comes from a two-level rank over the key's leading hex digits, so no task sees
-more than one key bucket.
+comes from a two-level rank over range-sorted parts, so no task sees more than
+one part.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_rank, hex_bucket
+from tessera.operators.ordering import global_rank
 
 
 def with_epochs(df: DataFrame, epochs: int) -> DataFrame:
@@ -25,15 +25,10 @@ def shuffle_key(seed: int, id_col: str) -> F.Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(id_col).cast("string")))
 
 
-def shuffle(df: DataFrame, seed: int, epochs: int = 1, id_col: str = "window_id", digits: int = 4) -> DataFrame:
-    """B2: per-epoch permutation; adds ``epoch``, ``rank`` (1-based) and ``n_epoch``.
-
-    Bucket table = epochs x 16**digits rows at most (bounded, broadcast).
-    """
+def shuffle(df: DataFrame, seed: int, epochs: int = 1, id_col: str = "window_id") -> DataFrame:
+    """B2: per-epoch permutation; adds ``epoch``, ``rank`` (1-based) and ``n_epoch``."""
     keyed = with_epochs(df, epochs).withColumn("_key", shuffle_key(seed, id_col))
-    ranked = global_rank(keyed, ["_key", id_col], hex_bucket(F.col("_key"), digits), by=["epoch"],
-                         name="rank", total="n_epoch")
-    return ranked.drop("_key")
+    return global_rank(keyed, ["_key", id_col], by=["epoch"], name="rank", total="n_epoch").drop("_key")
 
 
 def batches(df: DataFrame, size: int, drop_last: bool) -> DataFrame:
@@ -67,7 +62,7 @@ def update_groups(df: DataFrame, accum: int) -> DataFrame:
 
 
 def epochs_needed(n_rows: int, size: int, accum: int, steps: int, drop_last: bool = True) -> int:
-    """Epoch count the step budget consumes: ``ceil(steps / U)`` (with one more for spill)."""
+    """Epochs that the step budget consumes: ``ceil(steps / U)`` with U updates per epoch."""
     nb = n_rows // size if drop_last else -(-n_rows // size)
     U = nb // accum
     if U == 0:

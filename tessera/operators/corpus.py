@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import nonblank
-from tessera.operators.ordering import DEFAULT_MAX_BUCKETS, global_rank, numeric_bucket
+from tessera.operators.ordering import global_rank
 
 
 def drop_blank(df: DataFrame, col: str = "text") -> DataFrame:
@@ -37,19 +37,17 @@ def cap(df: DataFrame, n: int | None, order: Sequence[str | Column] = ("doc_id",
 
 
 def sample_every(df: DataFrame, n: int, order: str, by: Sequence[str] = (), include_first: bool = True,
-                 one_based: bool = True, step: str = "step",
-                 max_buckets: int = DEFAULT_MAX_BUCKETS, bounds: tuple[int, int] | None = None) -> DataFrame:
+                 one_based: bool = True, step: str = "step") -> DataFrame:
     """Keep every n-th row of a log (by ``step`` = position in ``order`` within ``by``).
 
     ``one_based=True`` follows the pre-training log (``step % n == 0 or step == 1``);
     ``one_based=False`` the fine-tuning log (0-based ``step % n == 0``). The
     position comes from a two-level rank, so a hot ``by`` value is spread over
-    many buckets instead of one window task. ``bounds`` (known min/max of
-    ``order``) skips the sizing job.
+    many sorted parts instead of one window task.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    ranked = global_rank(df, [order], numeric_bucket(df, order, max_buckets, bounds), by=by, name=step)
+    ranked = global_rank(df, [order], by=by, name=step)
     if not one_based:
         ranked = ranked.withColumn(step, F.col(step) - 1)
     keep = (F.col(step) % n == 0)

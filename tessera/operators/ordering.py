@@ -1,17 +1,17 @@
 """Global order without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` pulls every row into one task. The
-helpers here split the order into buckets that are monotone in the sort key:
+helpers here number rows in two levels:
 
-1. rows are hash-partitioned once by bucket (one shuffle of the rows);
-2. per-bucket totals come from a narrow pass with map-side partial
-   aggregation (only partial sums are shuffled);
-3. the bucket table (bounded by construction: at most ``max_buckets`` rows
-   per group) gets its own exclusive prefix sum and is broadcast back;
-4. a running sum inside each bucket finishes the job.
+1. the rows are range-sorted (Spark samples the keys, so outlier or clumped ids
+   still give even parts) and written once to the shared folder, each with the
+   place it was written at: its part and its position in that part;
+2. totals per part come from a narrow aggregate, and their prefix sum gives each
+   part (and group) its start: one row per part and group, joined back;
+3. a running sum inside each part finishes the job.
 
-So the rows move once, only bucket totals cross the driver-side plan, and no
-task ever holds more than one bucket.
+The table on disk is the lineage cut: a lost executor re-reads it, and the parts
+stay as they were written. A hot group spans as many parts as its rows need.
 """
 
 from __future__ import annotations
@@ -21,69 +21,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BUCKETS = 1 << 16
+from tessera.session import materialize
 
+#: Parts above which the table of their totals is joined without a broadcast hint.
+MAX_BROADCAST_PARTS = 200_000
 
-def numeric_bucket(df: DataFrame, col: str, max_buckets: int = DEFAULT_MAX_BUCKETS,
-                   bounds: tuple[int, int] | None = None) -> Column:
-    """Bucket expression ``(col - min) div width`` with at most ``max_buckets`` values.
 
-    Without ``bounds`` it runs one scalar aggregate (min/max of one column);
-    callers that know the range (e.g. update ids 1..steps) pass it and skip
-    that job, which matters when ``df`` is expensive to compute.
-    """
-    if bounds is None:
-        row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-        lo = row["lo"] if row and row["lo"] is not None else 0
-        hi = row["hi"] if row and row["hi"] is not None else 0
-    else:
-        lo, hi = bounds
-    width = max(1, -(-(int(hi) - int(lo) + 1) // max_buckets))
-    # values outside given bounds still land in a valid (first/last) bucket
-    b = F.expr(f"(`{col}` - {int(lo)}) div {width}").cast("long")
-    return b if bounds is None else F.least(F.greatest(b, F.lit(0)), F.lit((int(hi) - int(lo)) // width))
-
-
-def hex_bucket(key: Column, digits: int = 4) -> Column:
-    """Bucket of a hex-string key: its first ``digits`` hex digits (16**digits buckets)."""
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
-
-
-def prefix_sum(df: DataFrame, order: Sequence[str | Column], bucket: Column,
-               weight: Column | None = None, by: Sequence[str] = (),
-               before: str = "before", total: str | None = None) -> DataFrame:
+def prefix_sum(df: DataFrame, order: Sequence[str], weight: Column | None = None, by: Sequence[str] = (),
+               before: str = "before", total: str | None = None, unique: bool = False) -> DataFrame:
     """Add ``before`` = sum of ``weight`` over rows earlier in ``order`` (within ``by``).
 
-    ``bucket`` must be non-decreasing along ``order`` inside each ``by`` group.
-    With ``weight=None`` every row weighs 1, so ``before + 1`` is the rank.
-    ``total`` (optional) receives the group total.
+    ``order`` must break its own ties. With ``weight=None`` every row weighs 1, so
+    ``before + 1`` is the rank. ``total`` (optional) receives the group total.
+    ``unique`` makes a repeated key (``by`` and ``order``) an error.
     """
-    by = list(by)
-    w = weight if weight is not None else F.lit(1).cast("long")
-    rows = df.withColumn("_bk", bucket).withColumn("_wt", w.cast("long"))
-    # The rows move once, clustered by bucket.
-    shuffled = rows.repartition(*[F.col(c) for c in by], F.col("_bk"))
-    # Bucket totals: a narrow pass over (by, bucket, weight) with map-side
-    # partial aggregation, so only per-task partial sums are shuffled.
-    totals = rows.groupBy(*by, "_bk").agg(F.sum("_wt").alias("_bt"))
-    tw = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bk")
-    offsets = totals.withColumn(
-        "_bo", F.coalesce(F.sum("_bt").over(tw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keep = [*by, "_bk", "_bo"]
+    by, order = list(by), list(order)
+    w = (weight if weight is not None else F.lit(1)).cast("long")
+    rows = df.withColumn("_wt", w).orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(rows, "ordered").withColumn("_part", F.shiftright("_at", 33))
+    totals = rows.groupBy(*by, "_part").agg(F.sum("_wt").alias("_pt"))
+    # one row per part (and group in it): parts are files of the sorted table
+    tw = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part")
+    starts = totals.withColumn(
+        "_po", F.coalesce(F.sum("_pt").over(tw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    keep = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)] + [F.col("_part").alias("_sp"), F.col("_po")]
     if total:
-        gw = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        offsets = offsets.withColumn(total, F.sum("_bt").over(gw))
-        keep.append(total)
-    offsets = offsets.select(*keep)
-    joined = shuffled.join(F.broadcast(offsets), [*by, "_bk"])
-    iw = Window.partitionBy(*by, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (joined
-            .withColumn(before, F.col("_bo") + F.coalesce(F.sum("_wt").over(iw), F.lit(0)))
-            .drop("_bk", "_bo", "_wt"))
-
-
-def global_rank(df: DataFrame, order: Sequence[str | Column], bucket: Column,
-                by: Sequence[str] = (), name: str = "rank", total: str | None = None) -> DataFrame:
+        whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        keep.append(F.sum("_pt").over(whole).alias(total))
+    starts = starts.select(*keep)
+    if not by:
+        # as many rows as parts; with groups the table grows with them, and Spark picks the join
+        parts = rows.select("_part").distinct().limit(MAX_BROADCAST_PARTS + 1).count()
+        starts = F.broadcast(starts) if parts <= MAX_BROADCAST_PARTS else starts
+    same = F.col("_part") == F.col("_sp")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    joined = rows.join(starts, same).drop("_sp", *[f"_g{i}" for i in range(len(by))])
+    here = Window.partitionBy(*by, "_part").orderBy("_at")
+    value = F.col("_po") + F.coalesce(F.sum("_wt").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if unique:
+        again = F.lit(True)
+        for c in order:
+            again = again & F.col(c).eqNullSafe(F.lag(c).over(here)) & (F.row_number().over(here) > 1)
+        value = F.when(again, F.raise_error(F.concat(
+            F.lit("repeated key: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in order]))).cast("long")).otherwise(value)
+    return joined.withColumn(before, value).drop("_part", "_po", "_wt", "_at")
+
+
+def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank",
+                total: str | None = None) -> DataFrame:
     """1-based position in ``order`` (ties must be broken by ``order`` itself)."""
-    out = prefix_sum(df, order, bucket, None, by, before="_before", total=total)
+    out = prefix_sum(df, order, None, by, before="_before", total=total)
     return out.withColumn(name, F.col("_before") + 1).drop("_before")

@@ -15,11 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import EOS_ID
-from tessera.operators.ordering import numeric_bucket, prefix_sum
-
-# Offsets buckets: at ~1e10 documents this keeps a bucket near 40k documents
-# while the broadcast bucket table stays under ~6 MB (262,144 rows x 3 longs).
-DEFAULT_MAX_BUCKETS = 1 << 18
+from tessera.operators.ordering import prefix_sum
 
 
 def fdiv(x: Column, d: int) -> Column:
@@ -32,27 +28,26 @@ def fdiv(x: Column, d: int) -> Column:
 
 
 def doc_offsets(df: DataFrame, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
-                max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
-                key_bounds: tuple[int, int] | None = None) -> DataFrame:
+                n_ids: str | None = None) -> DataFrame:
     """K1: add ``n`` (tokens incl. trailing EOS), ``start`` (global offset) and ``total`` (N).
 
-    The prefix sum runs on narrow ``(key, n)`` rows (16 bytes per document),
-    so its sort never touches document bodies. The offsets are then joined
-    back by ``key`` with a shuffled hash join (build side: the narrow
-    offsets), so the documents move once and are not sorted.
+    The prefix sum runs on narrow ``(key, n)`` rows (16 bytes per document) that
+    are sorted and written once, so the sizing pass is one scan and its sort never
+    touches document bodies. The offsets are then joined back by ``key``; Spark
+    chooses the join, which can spill. A repeated key raises.
 
     ``n_ids`` may name a column that already holds ``size(ids)`` computed
-    cheaply (e.g. ``encoded_length`` of the text), so sizing never builds
-    arrays. ``key_bounds`` (a known id range, e.g. ``sources.tables.id_bounds``)
-    skips the min/max job that would otherwise size the buckets.
+    cheaply (e.g. ``encoded_length`` of the text), so sizing never builds arrays.
     """
+    return df.join(_offsets(df, ids, key, n_ids), key)
+
+
+def _offsets(df: DataFrame, ids: str | Column, key: str, n_ids: str | None) -> DataFrame:
     if n_ids is None and not isinstance(ids, str):
         raise ValueError("an ids expression needs n_ids (its length per row)")
     size = F.col(n_ids) if n_ids else F.size(ids)
     narrow = df.select(key, (size + 1).cast("long").alias("n"))
-    bucket = numeric_bucket(narrow, key, max_buckets, key_bounds)
-    off = prefix_sum(narrow, [key], bucket, weight=F.col("n"), before="start", total="total")
-    return df.join(off.hint("shuffle_hash"), key)
+    return prefix_sum(narrow, [key], weight=F.col("n"), before="start", total="total", unique=True)
 
 
 def window_count(total: Column, L: int) -> Column:
@@ -61,8 +56,7 @@ def window_count(total: Column, L: int) -> Column:
 
 
 def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
-         max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
-         key_bounds: tuple[int, int] | None = None,
+         n_ids: str | None = None,
          head_ids: Column | None = None, tail_ids: Column | None = None) -> DataFrame:
     """K3: ``(window_id, input, target)`` windows of length L over the EOS-joined stream.
 
@@ -79,7 +73,7 @@ def pack(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id",
     """
     if L < 1:
         raise ValueError("L must be positive")
-    off = doc_offsets(df, ids, key, eos, max_buckets, n_ids, key_bounds)
+    off = doc_offsets(df, ids, key, eos, n_ids)
     ids_col = F.col(ids) if isinstance(ids, str) else ids
     stream = F.concat(ids_col, F.array(F.lit(eos)))
     W = window_count(F.col("total"), L)
@@ -162,8 +156,7 @@ def window_ids(summary: DataFrame) -> DataFrame:
 
 
 def stream_bigrams(df: DataFrame, L: int, ids: str | Column = "ids", key: str = "doc_id", eos: int = EOS_ID,
-                   max_buckets: int = DEFAULT_MAX_BUCKETS, n_ids: str | None = None,
-                   key_bounds: tuple[int, int] | None = None) -> DataFrame:
+                   n_ids: str | None = None, first_id: Column | None = None) -> DataFrame:
     """E6 over packed windows without packing: ``(prev, next, count)`` of the
     (input[i], target[i]) pairs of all windows of length L.
 
@@ -171,24 +164,21 @@ def stream_bigrams(df: DataFrame, L: int, ids: str | Column = "ids", key: str =
     pairs inside each document's stream (tokens + EOS), plus one pair per
     document boundary (EOS -> next document's first token), cut at ``W*L``.
     Boundary pairs come from a narrow join of per-document ``(start, first)``
-    rows; counting is a partial aggregate.
+    rows; counting is a partial aggregate. ``first_id`` may give each document's
+    first token without encoding the document (an empty one starts with EOS).
     """
-    if n_ids is None and not isinstance(ids, str):
-        raise ValueError("an ids expression needs n_ids (its length per row)")
-    size = F.col(n_ids) if n_ids else F.size(ids)
-    narrow = df.select(key, (size + 1).cast("long").alias("n"))
-    bucket = numeric_bucket(narrow, key, max_buckets, key_bounds)
-    off = prefix_sum(narrow, [key], bucket, weight=F.col("n"), before="start", total="total")
+    off = _offsets(df, ids, key, n_ids)
     limit = window_count(F.col("total"), L) * L          # pair positions [0, W*L)
     ids_col = F.col(ids) if isinstance(ids, str) else ids
-    docs = df.join(off.hint("shuffle_hash"), key)
+    docs = df.join(off, key)
     s = F.concat(ids_col, F.array(F.lit(eos)))
     m = F.least(F.col("n") - 1, limit - F.col("start")).cast("int")   # pairs of this doc inside the cut
     inner = docs.select(F.explode(F.arrays_zip(
         F.slice(s, 1, F.greatest(m, F.lit(0))).alias("prev"),
         F.slice(s, 2, F.greatest(m, F.lit(0))).alias("next"))).alias("p")).select("p.prev", "p.next")
     # boundary pairs: EOS at position start+n-1 followed by the next doc's first token
-    firsts = docs.select(F.col("start").alias("_pos"), F.try_element_at(s, F.lit(1)).alias("next"))
+    first = F.try_element_at(s, F.lit(1)) if first_id is None else F.coalesce(first_id, F.lit(eos))
+    firsts = docs.select(F.col("start").alias("_pos"), first.alias("next"))
     ends = off.select((F.col("start") + F.col("n")).alias("_pos"),
                       (F.col("start") + F.col("n") - 1 < limit).alias("_keep"))
     cross = (ends.filter("_keep").join(firsts, "_pos")

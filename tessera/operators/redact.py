@@ -1,9 +1,9 @@
 """PII redaction as expressions, joins and a model hook.
 
-R1 is a chain of ``regexp_replace`` calls in one projection: narrow, codegen'd,
-no shuffle, any text length. R5 looks words up in a term dictionary with an
-equi-join. R4 runs a Python scrubber per partition (loaded once per task),
-the only place Python touches rows.
+R1 is a chain of ``regexp_replace`` calls in one projection: narrow, no shuffle, any
+text length. R5 joins the distinct words of each text with the first words of a term
+dictionary and rebuilds only texts with hits, all in Spark expressions. R4 runs a
+Python scrubber per partition (loaded once per task): the hook for a model.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.rules import DEFAULT_RULES, Rule, count_marker, count_pattern, with_rules
-from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_OR_GAP_RE, WORD_RE, col_of,
-                                    nonblank, py_strip)
+from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_RE, col_of, nonblank, py_strip)
 from tessera.operators.sft import answer_text, prompt_text
+from tessera.operators.sizes import broadcast_if_small
 
-TERMS_BROADCAST_ROWS = 2_000_000
-# In-task dictionary lookup (no shuffle) up to this many terms.
-TERMS_LOOKUP_ROWS = 500_000
+# R5 splits a text into runs of letters and digits, and the runs between them.
+TERM_PART_RE = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+"
 
 
 def redact(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, out: str | None = None) -> DataFrame:
@@ -70,11 +69,28 @@ def rule_scrubber(rules: Sequence[Rule] = DEFAULT_RULES) -> Callable[[pd.Series]
 
 
 def redact_with(df: DataFrame, model_factory: Callable[[], Callable[[pd.Series], pd.Series]] = rule_scrubber,
-                col: str = "text", out: str = "output") -> DataFrame:
+                col: str = "text", out: str = "output", chunk_words: int | None = None) -> DataFrame:
     """``mapInPandas`` hook. ``model_factory()`` is called once per task (load once),
-    then applied to Arrow batches of prompts; blank rows are passed through untouched."""
+    then applied to Arrow batches of prompts; blank rows are passed through untouched.
+
+    ``chunk_words`` bounds what the model sees at once: a text goes to it in segments
+    of that many words (R6), and the answers are joined by one space again, so rows and
+    their order stay as they are.
+    """
+    if chunk_words is not None and chunk_words < 1:
+        raise ValueError("chunk_words must be positive")
     names = list(df.columns)
     schema = StructType(list(df.schema.fields) + [StructField(out, StringType(), True)])
+    word = re.compile(WORD_RE)
+
+    def chunks(text: str) -> list[str]:
+        words = word.findall(text) if chunk_words else []
+        if not words:
+            return [text]
+        return [" ".join(words[i:i + chunk_words]) for i in range(0, len(words), chunk_words)]
+
+    def answer(output: str) -> str:
+        return output.rsplit(MARKER, 1)[-1].replace(EOS_TEXT, "").strip()
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -83,10 +99,19 @@ def redact_with(df: DataFrame, model_factory: Callable[[], Callable[[pd.Series],
                 model = model_factory()
             text = pdf[col]
             ok = text.notna() & text.map(lambda s: isinstance(s, str) and s.strip() != "")
-            prompts = text[ok].map(lambda s: f"[RAW] {s} [REDACTED] ")
             res = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            if len(prompts):
-                res[ok] = model(prompts.reset_index(drop=True)).values
+            if ok.any():
+                parts = text[ok].map(chunks)
+                prompts = pd.Series([f"[RAW] {c} [REDACTED] " for p in parts for c in p], dtype=object)
+                answers = list(model(prompts))
+                if chunk_words:
+                    at, whole = 0, []
+                    for original, p in zip(text[ok], parts):
+                        own = " ".join(answer(x) for x in answers[at:at + len(p)])
+                        whole.append(f"[RAW] {original} [REDACTED] {own}{EOS_TEXT}")
+                        at += len(p)
+                    answers = whole
+                res[ok] = answers
             pdf = pdf[names].copy()
             pdf[out] = res
             yield pdf
@@ -106,50 +131,83 @@ def scrub(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULE
 
 # ---- R5: dictionary terms -------------------------------------------------
 
+def _term_parts(c: Column) -> Column:
+    """Word and gap runs of a text, white space in a gap as one space."""
+    return F.transform(F.regexp_extract_all(c, F.lit(TERM_PART_RE), 0), lambda p: F.regexp_replace(p, "\\s+", " "))
+
+
+def term_table(terms: DataFrame, term: str = "term", tag: str = "tag") -> DataFrame:
+    """``(first, norm, n, tag)`` of each distinct term: its first word, its normal form and its number of runs.
+
+    A term begins and ends with a word, whatever surrounds it; its normal form has white
+    space as one space. Terms without a word are left out; of several tags the smallest stays.
+    """
+    parts = _term_parts(F.regexp_extract(F.col(term), "(?s)([\\p{L}\\p{N}].*[\\p{L}\\p{N}]|[\\p{L}\\p{N}])", 1))
+    rows = terms.select(parts.alias("_p"), F.col(tag).alias("tag")).filter(F.size("_p") > 0)
+    return rows.groupBy(F.element_at("_p", 1).alias("first"), F.array_join("_p", "").alias("norm"),
+                        F.size("_p").alias("n")).agg(F.min("tag").alias("tag"))
+
+
 def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str = "text",
-                 term: str = "term", tag: str = "tag", out: str | None = None,
-                 terms_rows: int | None = None, method: str = "auto") -> DataFrame:
-    """Replace whole words found in a ``(term, tag)`` dictionary by ``[tag]``.
-
-    Text is split (JVM-side) into word and gap runs, so white space survives.
-    The dictionary is counted (or its bound passed as ``terms_rows``):
-
-    * ``lookup`` (up to ``TERMS_LOOKUP_ROWS``): broadcast once as a dictionary;
-      each task rebuilds its rows' texts in Arrow batches — narrow, no shuffle.
-    * ``join`` (beyond): words are exploded and equi-joined (broadcast up to
-      ``TERMS_BROADCAST_ROWS``, else shuffle-joined with AQE splitting hot
-      words); only matched ``(key, pos, tag)`` hits are grouped per row and
-      joined back; rows without hits keep their text.
+                 term: str = "term", tag: str = "tag", out: str | None = None, method: str = "auto") -> DataFrame:
+    """Replace the terms of a ``(term, tag)`` dictionary by ``[tag]``.
+
+    A term matches at word boundaries (any character that is no letter or digit) and
+    across several words; from left to right the longest term wins, and matches do not
+    overlap. The distinct words of each text are joined with the terms' first words,
+    so only texts with a candidate are grouped, and only they are rebuilt, in one
+    expression. The join broadcasts the dictionary if it is measured to be small
+    (``auto``) or not at all (``join``); the rows are the same. Rows are matched by
+    ``key`` and a hash of the text, so keys may repeat; NULL and empty texts stay.
     """
-    parts = F.regexp_extract_all(col_of(col), F.lit(WORD_OR_GAP_RE), 0)
-    t = terms.select(F.col(term).alias("_tok"), F.col(tag).alias("_tag")).dropDuplicates(["_tok"])
-    if terms_rows is None:
-        terms_rows = t.count()  # size check on the dictionary side only
-    if method == "auto":
-        method = "lookup" if terms_rows <= TERMS_LOOKUP_ROWS else "join"
-    if method == "lookup":
-        table = df.sparkSession.sparkContext.broadcast({r["_tok"]: r["_tag"] for r in t.collect()})
-
-        @F.pandas_udf("string")
-        def rebuild(texts: pd.Series, arrs: pd.Series) -> pd.Series:
-            get = table.value.get
-            res = []
-            for txt, a in zip(texts, arrs):
-                if a is None or not any(get(p) is not None for p in a):
-                    res.append(txt)
-                else:
-                    res.append("".join(f"[{get(p)}]" if get(p) is not None else p for p in a))
-            return pd.Series(res, dtype=object)
-
-        return df.withColumn(out or col, rebuild(col_of(col), parts))
-    ex = df.select(key, F.posexplode(parts).alias("_pos", "_tok"))
-    small = terms_rows <= TERMS_BROADCAST_ROWS
-    hits = ex.join(F.broadcast(t) if small else t, "_tok")
-    marks = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_tag"))).alias("_m"))
-    joined = df.join(marks, key, "left")
-    rebuilt = F.array_join(F.transform(parts, lambda x, i: F.coalesce(
-        F.concat(F.lit("["), F.col("_m")[i], F.lit("]")), x)), "")
-    return joined.withColumn(out or col, F.when(F.col("_m").isNull(), col_of(col)).otherwise(rebuilt)).drop("_m")
+    if method not in ("auto", "join"):
+        raise ValueError(f"unknown method {method!r}")
+    names = df.columns
+    t = term_table(terms, term, tag)
+    t = broadcast_if_small(t) if method == "auto" else t
+    rows = df.withColumn("_hash", F.xxhash64(col_of(col)))
+    words = F.array_distinct(F.regexp_extract_all(col_of(col), F.lit("[\\p{L}\\p{N}]+"), 0))
+    found = rows.select(F.col(key).alias("_key"), "_hash", F.explode(words).alias("first")).join(t, "first")
+    found = found.groupBy("_key", "_hash").agg(F.collect_set(F.struct("first", "norm", "n", "tag")).alias("_terms"))
+    found = found.withColumnRenamed("_hash", "_fh")
+    joined = rows.join(found, rows[key].eqNullSafe(found["_key"]) & (rows["_hash"] == found["_fh"]), "left")
+    text = F.when(F.col("_terms").isNull(), col_of(col)).otherwise(_rebuilt(col_of(col), F.col("_terms")))
+    return joined.withColumn(out or col, text).select(*names, *([out] if out and out not in names else []))
+
+
+def _rebuilt(text: Column, terms: Column) -> Column:
+    """``text`` with the longest match at each place replaced by its tag, from left to right."""
+    def matched(parts: Column) -> Column:
+        def over(norm: Column) -> Column:
+            # candidates by first word, so a text's places are compared with its own few terms only
+            by_first = F.map_from_entries(F.transform(
+                F.array_distinct(F.transform(terms, lambda t: t["first"])),
+                lambda f: F.struct(f, F.filter(terms, lambda t: t["first"] == f))))
+            return F.element_at(F.transform(F.array(by_first), lambda m: best(norm, m)), 1)
+
+        def best(norm: Column, by_first: Column) -> Column:
+            def at(p: Column, i: Column) -> Column:
+                fits = F.filter(F.try_element_at(by_first, p),
+                                lambda t: F.array_join(F.slice(norm, i + 1, t["n"]), "") == t["norm"])
+                longest = F.try_element_at(F.reverse(F.array_sort(F.transform(
+                    fits, lambda t: F.struct(t["n"].alias("n"), t["tag"].alias("tag"))))), F.lit(1))
+                return F.struct(i.alias("i"), longest["n"].alias("n"), longest["tag"].alias("tag"))
+            return F.filter(F.transform(norm, at), lambda h: h["n"].isNotNull())
+
+        hits = F.element_at(F.transform(F.array(F.transform(parts, lambda p: F.regexp_replace(p, "\\s+", " "))), over), 1)
+        return F.element_at(F.transform(F.array(hits), lambda h: pieces(parts, h)), 1)
+
+    def pieces(parts: Column, hits: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+
+        def take(a: Column, h: Column) -> Column:
+            before = F.array_join(F.slice(parts, a["end"] + 1, F.greatest(h["i"] - a["end"], F.lit(0))), "")
+            taken = F.struct((h["i"] + h["n"]).alias("end"), F.concat(
+                a["out"], F.array(before, F.concat(F.lit("["), h["tag"], F.lit("]")))).alias("out"))
+            return F.when(h["i"] >= a["end"], taken).otherwise(a)
+        return F.aggregate(hits, start, take, lambda a: F.array_join(F.concat(a["out"], F.array(F.array_join(
+            F.slice(parts, a["end"] + 1, F.size(parts)), ""))), ""))
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(TERM_PART_RE), 0)), matched), 1)
 
 
 # ---- R6/R7: segments ------------------------------------------------------

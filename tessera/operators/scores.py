@@ -1,4 +1,4 @@
-"""Score tables — softmax, temperature, top-k, top-p, seeded draws, losses.
+"""Score tables — softmax, temperature, top-k, top-p, seeded draws, losses.
 
 A score table is long: ``(group..., item, score)``. Every per-group step is a
 window partitioned by the group; a group's size is bounded by the vocabulary
@@ -22,7 +22,9 @@ COUNTS_BROADCAST_ROWS = 2_000_000
 
 
 def _g(by: Sequence[str]) -> Window:
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        raise ValueError("a score table needs a group column: without one all rows meet in one task")
+    return Window.partitionBy(*by)
 
 
 def with_temperature(df: DataFrame, temperature: float, score: str = "score") -> DataFrame:
@@ -45,6 +47,8 @@ def softmax(df: DataFrame, by: Sequence[str], score: str = "score", out: str = "
     if temperature <= 0:
         raise ValueError("temperature must be > 0")
     z = F.col(score) / F.lit(float(temperature)) if temperature != 1.0 else F.col(score)
+    if not by:
+        raise ValueError("a score table needs a group column")
     if method == "aggregate":
         keys = list(by)
         with_z = df.withColumn("_z", z)
@@ -135,14 +139,23 @@ def candidates(counts: DataFrame) -> DataFrame:
                          "count")
 
 
-def _model(counts: DataFrame, alpha: float, V: int, rows_bound: int | None):
-    """Smoothed log-probabilities log p(next|prev) = log((c+a)/(c_prev+a*V))."""
+def _dense_model(counts: DataFrame, alpha: float, V: int) -> DataFrame:
+    """``(prev, next, _lp)`` for all V*V pairs of token ids: log((c+a) / (c_prev+a*V))."""
+    ids = F.sequence(F.lit(0), F.lit(V - 1))
+    pairs = counts.sparkSession.range(V).select(F.col("id").cast("int").alias("prev"), F.explode(ids).alias("next"))
+    c = counts.select(F.col("prev").cast("int").alias("prev"), F.col("next").cast("int").alias("next"), "count")
+    prev_tot = c.groupBy("prev").agg(F.sum("count").alias("_cp"))
+    n, cp = F.coalesce("count", F.lit(0)), F.coalesce("_cp", F.lit(0))
+    return (pairs.join(c, ["prev", "next"], "left").join(prev_tot, "prev", "left")
+            .select("prev", "next", F.log((n + alpha) / (cp + alpha * V)).alias("_lp")))
+
+
+def _sparse_model(counts: DataFrame, alpha: float, V: int) -> tuple[DataFrame, DataFrame]:
+    """Log-probabilities of the counted pairs, and of an uncounted one by ``prev``."""
     prev_tot = counts.groupBy("prev").agg(F.sum("count").alias("_cp"))
     table = counts.join(prev_tot, "prev").select(
         "prev", "next", F.log((F.col("count") + alpha) / (F.col("_cp") + alpha * V)).alias("_lp"))
-    small = rows_bound is not None and rows_bound <= COUNTS_BROADCAST_ROWS
-    unseen = prev_tot.select("prev", F.log(F.lit(alpha) / (F.col("_cp") + alpha * V)).alias("_lp0"))
-    return (F.broadcast(table) if small else table), (F.broadcast(unseen) if small else unseen)
+    return table, prev_tot.select("prev", F.log(F.lit(alpha) / (F.col("_cp") + alpha * V)).alias("_lp0"))
 
 
 def cross_entropy(df: DataFrame, counts: DataFrame, key: Sequence[str], V: int, alpha: float = 1.0,
@@ -151,8 +164,9 @@ def cross_entropy(df: DataFrame, counts: DataFrame, key: Sequence[str], V: int,
     """Mean negative log-likelihood per ``key`` under the smoothed count model.
 
     ``mask_ignored`` skips target positions equal to -100 (token-weighted mean,
-    like ``ignore_index``); an all-masked row yields NULL. ``rows_bound`` is the
-    caller's bound on the count table (V*V in byte mode) and allows broadcast.
+    like ``ignore_index``); an all-masked row yields NULL. With ``rows_bound`` (V*V
+    for token ids 0..V-1, at most ``COUNTS_BROADCAST_ROWS``) the model is one dense
+    table, broadcast and joined once; else its counted pairs are joined unhinted.
     """
     if prev and nxt:
         pairs = F.arrays_zip(F.col(prev).alias("prev"), F.col(nxt).alias("next"))
@@ -162,9 +176,13 @@ def cross_entropy(df: DataFrame, counts: DataFrame, key: Sequence[str], V: int,
         *key, F.col("p.prev").alias("prev"), F.col("p.next").alias("next"))
     if mask_ignored:
         ex = ex.withColumn("next", F.when(F.col("next") != IGNORE_INDEX, F.col("next")))
-    table, unseen = _model(counts, alpha, V, rows_bound)
-    scored = ex.join(table, ["prev", "next"], "left").join(unseen, "prev", "left")
-    lp = F.coalesce(F.col("_lp"), F.col("_lp0"), F.log(F.lit(1.0 / V)))
+    if rows_bound is not None and rows_bound <= COUNTS_BROADCAST_ROWS and V * V <= rows_bound:
+        scored = ex.join(F.broadcast(_dense_model(counts, alpha, V)), ["prev", "next"], "left")
+        lp = F.col("_lp")
+    else:
+        table, unseen = _sparse_model(counts, alpha, V)
+        scored = ex.join(table, ["prev", "next"], "left").join(unseen, "prev", "left")
+        lp = F.coalesce(F.col("_lp"), F.col("_lp0"), F.log(F.lit(1.0 / V)))
     nll = F.when(F.col("next").isNotNull(), -lp)
     return scored.groupBy(*key).agg(F.count(nll).alias("tokens"), F.avg(nll).alias("nll"))
 
@@ -176,10 +194,8 @@ def masked_cross_entropy(df: DataFrame, counts: DataFrame, key: Sequence[str], V
                          rows_bound=rows_bound, mask_ignored=True)
 
 
-def accumulated_loss(df: DataFrame, loss: str = "nll") -> DataFrame:
-    """Per update — mean of micro-batch means (what the update optimizes) and the
-    last micro-batch's mean (what the source prints)."""
-    micro = df.groupBy("update_id", "batch_idx", "epoch").agg(F.avg(loss).alias("_m"))
-    last = F.max_by("_m", F.struct("epoch", "batch_idx"))
-    return micro.groupBy("update_id").agg(F.avg("_m").alias("loss"), last.alias("logged_loss"),
-                                         F.count(F.lit(1)).alias("micro_batches"))
+def perplexity(losses: DataFrame, tokens: str = "tokens", nll: str = "nll") -> DataFrame:
+    """E7 over all rows of a loss table: ``tokens``, token-weighted mean ``nll`` and ``perplexity``."""
+    n = F.sum(F.col(tokens)).cast("long")
+    mean = F.sum(F.col(nll) * F.col(tokens)) / F.nullif(n, F.lit(0))
+    return losses.agg(n.alias("tokens"), mean.alias("nll"), F.exp(mean).alias("perplexity"))

@@ -7,13 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The vector table is one row per vocabulary id; broadcast it only below this.
-VECTOR_BROADCAST_ROWS = 1_000_000
-
-
-def _vector_rows(vectors: DataFrame, bound: int | None) -> int:
-    """Size check before broadcasting the vector table (one row per id)."""
-    return bound if bound is not None else vectors.count()
+from tessera.operators.sizes import broadcast_if_small
 
 
 def rms_normalize(df: DataFrame, col: str = "embedding", out: str | None = None, eps: float = 1e-6) -> DataFrame:
@@ -27,56 +21,62 @@ def rms_normalize(df: DataFrame, col: str = "embedding", out: str | None = None,
 
 
 def lookup_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: str = "ids",
-                   vec_id: str = "vec_id", vec: str = "embedding", out: str = "vectors",
-                   vector_rows: int | None = None) -> DataFrame:
+                   vec_id: str = "vec_id", vec: str = "embedding", out: str = "vectors") -> DataFrame:
     """Gather ``vectors[id]`` for every id of an array, keeping positions.
 
-    Returns ``(key..., out)`` with ``out`` an array of vectors (NULL where an id
-    has no vector). The vector table is broadcast when its bound is known.
+    Returns ``(key..., out)``, one row per input row, with ``out`` an array of vectors
+    (NULL where an id has no vector). The vector table is broadcast if its bytes are
+    measured to be few. A gathered row holds all its vectors: trim long arrays first
+    (``batching.last_tokens``), or use ``pooled_vectors``, which gathers none.
     """
-    ex = df.select(*key, F.posexplode_outer(ids).alias("pos", "_id"))
-    v = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v"))
-    small = _vector_rows(vectors, vector_rows) <= VECTOR_BROADCAST_ROWS
-    joined = ex.join(F.broadcast(v) if small else v, "_id", "left")
+    # rows are numbered before they are exploded: in one projection the number would count exploded rows
+    ex = (df.select(*key, F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_ids"))
+          .select(*key, "_row", F.posexplode_outer("_ids").alias("pos", "_id")))
+    v = broadcast_if_small(vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v")))
+    joined = ex.join(v, "_id", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "_v"))
-    return (joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    return (joined.groupBy(*key, "_row").agg(F.array_sort(F.collect_list(item)).alias("_p"))
             .select(*key, F.transform("_p", lambda s: s["_v"]).alias(out)))
 
 
 def pooled_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: str = "ids",
-                   vec_id: str = "vec_id", vec: str = "embedding", dim: int | None = None,
-                   vector_rows: int | None = None) -> DataFrame:
+                   vec_id: str = "vec_id", vec: str = "embedding", dim: int | None = None) -> DataFrame:
     """Mean of the gathered vectors per row without materializing the gather.
 
     Counts ids per row first (partial aggregate), joins each distinct id once,
-    and sums ``count * vector`` element-wise.
+    and sums ``count * vector`` element-wise. One row per input row: ``tokens`` are
+    its ids with a vector, ``missing`` those without, and ``pooled`` is the mean over
+    ``tokens`` (NULL if there is none). ``dim`` is read from the vectors if not given;
+    vectors of several lengths are an error.
     """
-    counts = (df.select(*key, F.explode(ids).alias("_id")).groupBy(*key, "_id")
-              .agg(F.count(F.lit(1)).alias("_c")))
-    v = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v"))
-    small = _vector_rows(vectors, vector_rows) <= VECTOR_BROADCAST_ROWS
-    joined = counts.join(F.broadcast(v) if small else v, "_id")
-    d = dim or 0
-    weighted = joined.select(*key, "_c", F.transform("_v", lambda x: x.cast("double") * F.col("_c")).alias("_w"))
-    sums = weighted.groupBy(*key).agg(
-        F.sum("_c").alias("tokens"),
-        *[F.sum(F.col("_w")[i]).alias(f"_s{i}") for i in range(d)])
-    return sums.select(*key, "tokens",
-                       F.array(*[F.col(f"_s{i}") / F.col("tokens") for i in range(d)]).alias("pooled"))
+    if dim is None:
+        size = vectors.agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi")).first()
+        if size["lo"] is None or size["lo"] != size["hi"] or size["lo"] < 1:
+            raise ValueError(f"vectors need one length; found {size['lo']} to {size['hi']}")
+        dim = int(size["lo"])
+    counts = (df.select(*key, F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_ids"))
+              .select(*key, "_row", F.explode_outer("_ids").alias("_id")).groupBy(*key, "_row", "_id").agg(F.count("_id").alias("_c")))
+    v = broadcast_if_small(vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v")))
+    joined = counts.join(v, "_id", "left")
+    weighted = joined.select(*key, "_row", "_c", F.col("_v").isNotNull().alias("_has"),
+                             F.transform("_v", lambda x: x.cast("double") * F.col("_c")).alias("_w"))
+    n = F.sum(F.when(F.col("_has"), F.col("_c")).otherwise(0))
+    sums = weighted.groupBy(*key, "_row").agg(
+        n.alias("tokens"), (F.sum("_c") - n).alias("missing"),
+        *[F.sum(F.col("_w")[i]).alias(f"_s{i}") for i in range(dim)])
+    mean = F.array(*[F.col(f"_s{i}") / F.col("tokens") for i in range(dim)])
+    return sums.select(*key, "tokens", "missing", F.when(F.col("tokens") > 0, mean).alias("pooled"))
 
 
 def append_token(df: DataFrame, drawn: DataFrame, ids: str = "ids", key: str = "prev",
-                 token: str = "drawn", drawn_rows: int | None = None) -> DataFrame:
+                 token: str = "drawn") -> DataFrame:
     """Append the token drawn for each row's last id (join on that id).
 
-    ``drawn`` has one row per context token (at most the vocabulary); with a
-    known bound under ``VECTOR_BROADCAST_ROWS`` it is broadcast, otherwise
-    shuffle-joined.
+    ``drawn`` has one row per context token (at most the vocabulary); it is
+    broadcast if its bytes are measured to be few.
     """
     last = F.try_element_at(ids, F.lit(-1))
-    d = drawn.select(F.col(key).alias("_last"), F.col(token).alias("_next"))
-    if drawn_rows is not None and drawn_rows <= VECTOR_BROADCAST_ROWS:
-        d = F.broadcast(d)
+    d = broadcast_if_small(drawn.select(F.col(key).alias("_last"), F.col(token).alias("_next")))
     joined = df.withColumn("_last", last).join(d, "_last", "left")
     return (joined.withColumn(ids, F.when(F.col("_next").isNotNull(), F.concat(ids, F.array("_next")))
                               .otherwise(F.col(ids)))

@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, ids_fingerprint
-from tessera.functions.text import words
+from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, encoded_length, ids_fingerprint
+from tessera.functions.text import EOS_TEXT, words
 from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
 from tessera.plans import finetune, pretrain
 from tessera.session import materialize, shared_dir
-from tessera.sources.tables import balance, id_bounds, load_corpus, read_table, split_bucket
+from tessera.sources.tables import balance, load_corpus, load_pairs, read_table, rename_pairs, split_bucket
 from tessera.streaming.redact_stream import run_redaction_stream
 
 # Fixed parameters of the registered queries.
@@ -28,8 +28,9 @@ SEGMENT_WORDS = 16
 VOCAB_SIZE = 5000
 BATCH = 8
 ACCUM = 8
-STEPS = 100
+STEP_BUDGET = 100
 EPOCHS = 2
+FREQUENT_TERMS = 30
 SEED = 42
 TEMPERATURE = 0.8
 TOP_K = 50
@@ -83,6 +84,11 @@ def q_scrub_hook(spark, base):
     return redact.extract_redacted(out, "output", "scrubbed").select("doc_id", "scrubbed")
 
 
+def q_scrub_hook_chunked(spark, base):
+    out = redact.redact_with(_docs(spark, base), chunk_words=SEGMENT_WORDS)
+    return redact.extract_redacted(out, "output", "scrubbed").select("doc_id", "scrubbed")
+
+
 def q_redact_stream(spark, base):
     sink = shared_dir(spark, "redacted-stream")
     return run_redaction_stream(spark, f"{base.rstrip('/')}/documents*.parquet",
@@ -90,18 +96,32 @@ def q_redact_stream(spark, base):
                                 sink, sink + "-checkpoint")
 
 
+def _frequent(texts: DataFrame, pattern: str, tag: str) -> DataFrame:
+    """The most frequent matches of a pattern, as dictionary terms."""
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("term"))
+    top = found.groupBy("term").count().orderBy(F.desc("count"), "term").limit(FREQUENT_TERMS)
+    return top.select("term", F.lit(tag).alias("tag"))
+
+
 def _terms(spark, base) -> DataFrame:
+    """Terms to redact: customer and nation names, and frequent words and two-word phrases of the corpus."""
+    docs = _nb(spark, base)
     names = read_table(spark, base, "customer", ["c_name"]).select(F.col("c_name").alias("term"),
                                                                    F.lit("NAME").alias("tag"))
     places = read_table(spark, base, "nation", ["n_name"]).select(F.col("n_name").alias("term"),
                                                                   F.lit("PLACE").alias("tag"))
-    return names.unionByName(places).groupBy("term").agg(F.min("tag").alias("tag"))
+    own = _frequent(docs, "[A-Za-z]{6,}", "WORD").union(_frequent(docs, "[A-Za-z]{3,} [A-Za-z]{3,}", "PHRASE"))
+    return materialize(names.unionByName(places).unionByName(own), "terms")
 
 
 def q_redact_terms(spark, base):
     return redact.redact_terms(_docs(spark, base), _terms(spark, base)).select("doc_id", "text")
 
 
+def q_redact_terms_join(spark, base):
+    return redact.redact_terms(_docs(spark, base), _terms(spark, base), method="join").select("doc_id", "text")
+
+
 def q_weak_pairs(spark, base):
     return finetune.document_pairs(spark, base, SEGMENT_WORDS).select(
         "doc_id", _long("seg_idx").alias("seg_idx"), "original_text", "redacted_text")
@@ -120,8 +140,35 @@ def q_conversation_pairs(spark, base):
     return finetune.conversation_pairs(spark, base).select("conv_id", "turn", "original_text", "redacted_text")
 
 
+def q_pair_load(spark, base):
+    """S2 + P2: a table of (source_text, target_text) pairs loaded and renamed, both ways."""
+    table = materialize(finetune.conversation_pairs(spark, base).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("original_text").alias("source_text"), F.col("redacted_text").alias("target_text")), "pair-table")
+    loaded = load_pairs(table, id_col="id")
+    renamed = rename_pairs(table).select(F.col("id").alias("pair_id"), F.md5("original_text").alias("renamed_md5"))
+    return loaded.join(renamed, "pair_id")
+
+
 # ---- tokens -----------------------------------------------------------------
 
+def _edge_docs(spark, base) -> DataFrame:
+    """Documents where some texts carry the end literal, are blank, or are NULL, by their id."""
+    k = F.col("doc_id")
+    text = (F.when(k % 11 == 0, F.lit(" \t\n\x1c")).when(k % 13 == 0, F.lit(None).cast("string"))
+            .when(k % 7 == 0, F.concat(F.lit(EOS_TEXT), F.substring("text", 1, 40), F.lit(EOS_TEXT), F.col("text")))
+            .otherwise(F.col("text")))
+    return _docs(spark, base).withColumn("text", text)
+
+
+def q_edge_rows(spark, base):
+    """P5 and T5 on rows that exercise them: blank and NULL texts, texts with the end literal."""
+    d = corpus.scrub_status(_edge_docs(spark, base))
+    d = tokens.count_special(tokens.encode_bytes(d))
+    return d.select("doc_id", F.coalesce("status", F.lit("blank")).alias("status"), _long("n_special").alias("n_special"),
+                    ids_fingerprint("ids").alias("ids_md5"))
+
+
 def q_encode_bytes(spark, base):
     d = tokens.count_special(tokens.encode_bytes(_nb(spark, base)))
     return d.select("doc_id", _long(F.size("ids")).alias("n_tokens"), _long("n_special").alias("n_special"),
@@ -135,37 +182,59 @@ def q_decode_roundtrip(spark, base):
 
 def q_token_stats(spark, base):
     d = corpus.drop_blank(balance(read_table(spark, base, "documents", ["doc_id", "text", "lang"]), "doc_id"))
-    return tokens.token_stats(tokens.encode_bytes(d), by=["lang"])
+    return tokens.token_stats(d, by=["lang"], n=encoded_length("text"))
 
 
 def _vocab(spark, base):
-    return tokens.build_vocab(_nb(spark, base), VOCAB_SIZE)
+    """The capped vocabulary, built once (it is measured, looked up and joined)."""
+    return materialize(tokens.build_vocab(_nb(spark, base), VOCAB_SIZE), "vocabulary")
+
+
+def q_vocab_summary(spark, base):
+    """End id and size in byte mode and in word mode."""
+    vocab = _vocab(spark, base)
+    return vocab.agg(F.count(F.lit(1)).alias("word_size")).select(
+        F.lit(tokens.eos_id()).cast("long").alias("byte_eos"), F.lit(tokens.vocab_size()).cast("long").alias("byte_size"),
+        F.lit(tokens.eos_id(vocab)).cast("long").alias("word_eos"), "word_size")
 
 
 def q_build_vocab(spark, base):
     return _vocab(spark, base).select("token", _long("id").alias("id"), _long("freq").alias("freq"))
 
 
-def q_encode_vocab(spark, base):
-    enc = tokens.encode_vocab(_nb(spark, base), _vocab(spark, base), vocab_rows=VOCAB_SIZE)
+def _encoded(spark, base, vocab, method):
+    return tokens.encode_vocab(_nb(spark, base), vocab, method=method)
+
+
+def _encode_vocab_out(enc: DataFrame) -> DataFrame:
     return enc.select("doc_id", _long(F.size("ids")).alias("n_tokens"),
                       _long(F.size(F.filter("ids", lambda x: x == tokens.UNK_ID))).alias("n_unk"),
                       ids_fingerprint("ids").alias("ids_md5"))
 
 
+def q_encode_vocab(spark, base):
+    return _encode_vocab_out(_encoded(spark, base, _vocab(spark, base), "auto"))
+
+
+def q_encode_vocab_join(spark, base):
+    return _encode_vocab_out(_encoded(spark, base, _vocab(spark, base), "join"))
+
+
 def q_decode_vocab(spark, base):
     vocab = _vocab(spark, base)
-    enc = tokens.encode_vocab(_nb(spark, base), vocab, vocab_rows=VOCAB_SIZE)
-    return tokens.decode_vocab(enc, vocab, vocab_rows=VOCAB_SIZE).select("doc_id", "text")
+    return tokens.decode_vocab(_encoded(spark, base, vocab, "auto"), vocab).select("doc_id", "text")
+
+
+def q_decode_vocab_join(spark, base):
+    vocab = _vocab(spark, base)
+    return tokens.decode_vocab(_encoded(spark, base, vocab, "auto"), vocab, method="join").select("doc_id", "text")
 
 
 # ---- packing ----------------------------------------------------------------
 
 def q_doc_offsets(spark, base):
     ids = pretrain.corpus_ids(spark, base)
-    return packing.doc_offsets(ids, n_ids="n_ids", key_bounds=id_bounds(spark, base)).select(
-        "doc_id", _long("n").alias("n"),
-                                                          _long("start").alias("start"))
+    return packing.doc_offsets(ids, n_ids="n_ids").select("doc_id", _long("n").alias("n"), _long("start").alias("start"))
 
 
 def _window_out(w: DataFrame) -> DataFrame:
@@ -179,8 +248,7 @@ def q_pack_windows(spark, base):
 
 def q_pack_benchmark(spark, base):
     docs = corpus.drop_blank(load_corpus(spark, base, table="benchmark", id_col="item_id"))
-    return _window_out(packing.pack(tokens.encode_bytes(docs).select("doc_id", "ids"), SMALL_L,
-                                    key_bounds=id_bounds(spark, base, "benchmark", "item_id")))
+    return _window_out(packing.pack(tokens.encode_bytes(docs).select("doc_id", "ids"), SMALL_L))
 
 
 def q_corpus_summary(spark, base):
@@ -201,21 +269,41 @@ def q_cap_corpus(spark, base):
 # ---- batching ---------------------------------------------------------------
 
 def _schedule(spark, base):
-    cfg = pretrain.PackConfig(L=PACK_L, batch_size=BATCH, accum=ACCUM, steps=STEPS, seed=SEED)
+    """The full schedule: every window of every epoch (but for the short last batch)."""
     ids = packing.window_ids(packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L, n_ids="n_ids"))
-    return pretrain.schedule(ids, cfg, EPOCHS)
+    return batching.update_groups(batching.batches(batching.shuffle(ids, SEED, EPOCHS), BATCH, drop_last=True), ACCUM)
 
 
-def q_shuffle_batches(spark, base):
-    s = _schedule(spark, base)
-    return s.select(_long("epoch").alias("epoch"), "window_id", _long("rank").alias("rank"),
+def _schedule_out(s: DataFrame, key: str = "window_id") -> DataFrame:
+    return s.select(_long("epoch").alias("epoch"), key, _long("rank").alias("rank"),
                     "batch_idx", _long("slot").alias("slot"), "update_id")
 
 
+def q_shuffle_batches(spark, base):
+    return _schedule_out(_schedule(spark, base))
+
+
+def q_step_budget(spark, base):
+    """The part of the schedule that a budget of updates reaches."""
+    return _schedule_out(batching.limit_steps(_schedule(spark, base), STEP_BUDGET))
+
+
+def q_shuffle_batches_keep_last(spark, base):
+    """B3 with the short last batch kept: fine-tuning pairs, one update per batch."""
+    ids = finetune.document_pairs(spark, base, SEGMENT_WORDS).select(
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_idx").cast("string")).alias("example_id"))
+    s = batching.batches(batching.shuffle(ids, SEED, EPOCHS, id_col="example_id"), BATCH, drop_last=False)
+    return _schedule_out(batching.update_groups(s, 1), "example_id")
+
+
 def q_collate_batches(spark, base):
-    c = batching.collate(_schedule(spark, base), cols=("window_id",))
+    """Whole batches of one epoch's schedule with their token windows."""
+    win = materialize(_windows(spark, base, PACK_L), "windows")
+    s = _schedule(spark, base).select("epoch", "batch_idx", "slot", "window_id")
+    c = batching.collate(s.join(win, "window_id"))
     return c.select(_long("epoch").alias("epoch"), "batch_idx", _long(F.size("window_id")).alias("n"),
-                    ids_fingerprint("window_id").alias("ids_md5"))
+                    ids_fingerprint("window_id").alias("ids_md5"), ids_fingerprint(F.flatten("input")).alias("input_md5"),
+                    ids_fingerprint(F.flatten("target")).alias("target_md5"))
 
 
 def q_last_tokens(spark, base):
@@ -271,8 +359,9 @@ def q_byte_bigrams(spark, base):
 
 
 def _word_candidates(spark, base):
-    w = _nb(spark, base).select(words("text").alias("w"))
-    return scores.candidates(scores.bigrams(w, ids="w"))
+    """Next-word scores over the capped vocabulary, so a group has at most its size."""
+    enc = tokens.encode_vocab(_nb(spark, base), _vocab(spark, base))
+    return scores.candidates(scores.bigrams(enc, ids="ids"))
 
 
 def _filtered(cands: DataFrame, temperature: float, k: int, p: float | None) -> DataFrame:
@@ -285,53 +374,37 @@ def _filtered(cands: DataFrame, temperature: float, k: int, p: float | None) ->
 
 def q_next_token_probs(spark, base):
     f = _filtered(_word_candidates(spark, base), TEMPERATURE, TOP_K, TOP_P)
-    return f.select("prev", "item", _r6("prob").alias("prob"))
+    return f.select(_long("prev").alias("prev"), _long("item").alias("item"), _r6("prob").alias("prob"))
 
 
 def q_next_token_sample(spark, base):
     f = _filtered(_word_candidates(spark, base), TEMPERATURE, TOP_K, TOP_P)
-    return scores.draw_one(f, ["prev"], SEED).select("prev", "drawn")
+    return scores.draw_one(f, ["prev"], SEED).select(_long("prev").alias("prev"), _long("drawn").alias("drawn"))
 
 
-def _window_loss(spark, base, win: DataFrame | None = None):
-    win = win if win is not None else _windows(spark, base)
-    # The count table (<= 257*257 rows) feeds two joins; write it once.
+def _window_loss(spark, base):
+    # the count table (<= 257*257 rows) is written once
     counts = materialize(_byte_counts(spark, base), "byte-counts")
-    return scores.cross_entropy(win, counts, ["window_id"], BYTE_VOCAB, 1.0, prev="input", nxt="target",
-                                rows_bound=BYTE_VOCAB * BYTE_VOCAB)
+    return scores.cross_entropy(_windows(spark, base), counts, ["window_id"], BYTE_VOCAB, 1.0, prev="input",
+                                nxt="target", rows_bound=BYTE_VOCAB * BYTE_VOCAB)
 
 
 def q_window_loss(spark, base):
     return _window_loss(spark, base).select("window_id", _long("tokens").alias("tokens"), _r6("nll").alias("nll"))
 
 
-def q_sft_loss(spark, base):
-    counts = materialize(_byte_counts(spark, base), "byte-counts")
-    ex = finetune.examples(spark, base, SFT_L, "uniform").withColumn("k", F.struct("doc_id", "seg_idx"))
-    per = scores.masked_cross_entropy(ex, counts, ["k", "overflow"], BYTE_VOCAB, 1.0,
-                                      rows_bound=BYTE_VOCAB * BYTE_VOCAB)
-    # token-weighted over all scored targets of a group (not a mean of row means)
-    tot = per.withColumn("_s", F.col("nll") * F.col("tokens")).groupBy("overflow").agg(
-        F.sum("tokens").alias("tokens"), F.sum("_s").alias("_s"))
-    return tot.select("overflow", _long("tokens").alias("tokens"),
-                      _r6(F.col("_s") / F.nullif(F.col("tokens"), F.lit(0))).alias("nll"))
+def q_corpus_loss(spark, base):
+    """E7 over the corpus: token-weighted mean cross-entropy and perplexity."""
+    p = scores.perplexity(_window_loss(spark, base))
+    return p.select("tokens", _r6("nll").alias("nll"), F.round("perplexity", 4).alias("perplexity"))
 
 
-def _update_loss(spark, base):
-    loss = _window_loss(spark, base)
-    sched = _schedule(spark, base)
-    return scores.accumulated_loss(sched.join(loss, "window_id"), "nll")
-
-
-def q_update_loss(spark, base):
-    u = _update_loss(spark, base)
-    return u.select("update_id", _r6("loss").alias("loss"), _r6("logged_loss").alias("logged_loss"),
-                    _long("micro_batches").alias("micro_batches"))
-
-
-def q_loss_log(spark, base):
-    u = corpus.sample_every(_update_loss(spark, base), LOG_EVERY, "update_id", bounds=(1, STEPS))
-    return u.select("update_id", _long("step").alias("step"), _r6("logged_loss").alias("logged_loss"))
+def q_sft_loss(spark, base):
+    counts = materialize(_byte_counts(spark, base), "byte-counts")
+    ex = finetune.examples(spark, base, SFT_L, "uniform")
+    # token-weighted over all scored targets of a group
+    loss = scores.masked_cross_entropy(ex, counts, ["overflow"], BYTE_VOCAB, 1.0, rows_bound=BYTE_VOCAB * BYTE_VOCAB)
+    return loss.select("overflow", _long("tokens").alias("tokens"), _r6("nll").alias("nll"))
 
 
 def q_event_log_sample(spark, base):
@@ -340,8 +413,20 @@ def q_event_log_sample(spark, base):
     return s.select("event_type", "event_id", _long("step").alias("step"), "value")
 
 
+def q_event_log_sample_zero(spark, base):
+    """P6 as the fine-tuning log counts: from 0, every n-th step of each type."""
+    ev = read_table(spark, base, "events", ["event_id", "event_type", "value"])
+    s = corpus.sample_every(ev, LOG_EVERY, "event_id", by=["event_type"], one_based=False)
+    return s.select("event_type", "event_id", _long("step").alias("step"), "value")
+
+
 # ---- vectors ----------------------------------------------------------------
 
+def _whole(c) -> Column:
+    """Fingerprint of a whole vector: its values in ten-thousandths, as integers."""
+    return F.md5(F.array_join(F.transform(c, lambda x: F.round(x * 10_000).cast("long")), ","))
+
+
 def _unit_vectors(spark, base):
     return vectors.rms_normalize(read_table(spark, base, "embeddings", ["vec_id", "embedding", "label"]))
 
@@ -350,16 +435,18 @@ def q_rms_vectors(spark, base):
     v = _unit_vectors(spark, base)
     return v.select("vec_id", F.col("label").cast("long").alias("label"),
                     _r6(F.col("embedding")[0]).alias("first"),
-                    _r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x))).alias("abs_sum"))
+                    _r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x))).alias("abs_sum"),
+                    _whole("embedding").alias("vector_md5"))
 
 
 def q_doc_vectors(spark, base):
     conv = balance(read_table(spark, base, "conversations", ["conv_id", "turn", "text"]), "conv_id")
     ids = tokens.encode_bytes(conv)
-    pooled = vectors.pooled_vectors(ids, ["conv_id", "turn"], _unit_vectors(spark, base), dim=64)
-    return pooled.select("conv_id", "turn", _long("tokens").alias("tokens"),
+    pooled = vectors.pooled_vectors(ids, ["conv_id", "turn"], _unit_vectors(spark, base))
+    return pooled.select("conv_id", "turn", _long("tokens").alias("tokens"), _long("missing").alias("missing"),
                          _r6(F.col("pooled")[0]).alias("first"),
-                         _r6(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+                         _r6(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+                         _whole("pooled").alias("pooled_md5"))
 
 
 def q_gather_vectors(spark, base):
@@ -367,16 +454,17 @@ def q_gather_vectors(spark, base):
     g = vectors.lookup_vectors(b, ["doc_id"], _unit_vectors(spark, base))
     return g.select(F.col("doc_id").alias("item_id"), _long(F.size("vectors")).alias("n"),
                     _r6(F.try_element_at(F.try_element_at("vectors", F.lit(1)), F.lit(1))).alias("first"),
-                    _r6(F.try_element_at(F.try_element_at("vectors", F.lit(-1)), F.lit(1))).alias("last"))
+                    _r6(F.try_element_at(F.try_element_at("vectors", F.lit(-1)), F.lit(1))).alias("last"),
+                    _whole(F.flatten("vectors")).alias("vectors_md5"))
 
 
 def q_append_drawn(spark, base):
     cands = scores.candidates(_byte_counts(spark, base))
     drawn = scores.draw_one(_filtered(cands, CHAT_TEMPERATURE, CHAT_TOP_K, None), ["prev"], CHAT_SEED)
     ids = pretrain.corpus_ids(spark, base)
-    out = vectors.append_token(ids, drawn, ids="ids", key="prev", token="drawn", drawn_rows=BYTE_VOCAB)
+    out = vectors.append_token(ids, drawn, ids="ids", key="prev", token="drawn")
     return out.select("doc_id", _long(F.size("ids")).alias("n"),
-                      _long(F.try_element_at("ids", F.lit(-1))).alias("last"))
+                      _long(F.try_element_at("ids", F.lit(-1))).alias("last"), ids_fingerprint("ids").alias("ids_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -384,17 +472,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redact_documents": q_redact_documents,
     "scrub_documents": q_scrub_documents,
     "scrub_hook": q_scrub_hook,
+    "scrub_hook_chunked": q_scrub_hook_chunked,
     "redact_stream": q_redact_stream,
     "redact_terms": q_redact_terms,
+    "redact_terms_join": q_redact_terms_join,
     "weak_pairs": q_weak_pairs,
     "segment_agreement": q_segment_agreement,
     "conversation_pairs": q_conversation_pairs,
+    "pair_load": q_pair_load,
+    "edge_rows": q_edge_rows,
     "encode_bytes": q_encode_bytes,
     "decode_roundtrip": q_decode_roundtrip,
     "token_stats": q_token_stats,
     "build_vocab": q_build_vocab,
+    "vocab_summary": q_vocab_summary,
     "encode_vocab": q_encode_vocab,
+    "encode_vocab_join": q_encode_vocab_join,
     "decode_vocab": q_decode_vocab,
+    "decode_vocab_join": q_decode_vocab_join,
     "doc_offsets": q_doc_offsets,
     "pack_windows": q_pack_windows,
     "pack_benchmark": q_pack_benchmark,
@@ -402,6 +497,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_split": q_corpus_split,
     "cap_corpus": q_cap_corpus,
     "shuffle_batches": q_shuffle_batches,
+    "shuffle_batches_keep_last": q_shuffle_batches_keep_last,
+    "step_budget": q_step_budget,
     "collate_batches": q_collate_batches,
     "last_tokens": q_last_tokens,
     "cut_generated": q_cut_generated,
@@ -414,9 +511,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "next_token_sample": q_next_token_sample,
     "window_loss": q_window_loss,
     "sft_loss": q_sft_loss,
-    "update_loss": q_update_loss,
-    "loss_log": q_loss_log,
+    "corpus_loss": q_corpus_loss,
     "event_log_sample": q_event_log_sample,
+    "event_log_sample_zero": q_event_log_sample_zero,
     "rms_vectors": q_rms_vectors,
     "doc_vectors": q_doc_vectors,
     "gather_vectors": q_gather_vectors,

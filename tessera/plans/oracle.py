@@ -98,7 +98,7 @@ wl AS (SELECT w, count(*) AS tokens, avg(-lp) AS nll FROM pp JOIN lp USING (prev
 
 
 def SCHEDULE() -> str:
-    L, size, accum, steps, seed = C.PACK_L, C.BATCH, C.ACCUM, C.STEPS, C.SEED
+    L, size, accum, seed = C.PACK_L, C.BATCH, C.ACCUM, C.SEED
     epochs = ", ".join(str(e) for e in range(C.EPOCHS))
     return f"""nt AS (SELECT sum({NTOK()}) AS N FROM documents WHERE {NB('text')}),
 ww AS (SELECT CAST(greatest((N - 1) // {L}, 0) AS BIGINT) AS W FROM nt),
@@ -108,8 +108,12 @@ skey AS (SELECT window_id, epoch, md5('{seed}|' || epoch || '|' || window_id) AS
 srk AS (SELECT window_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY key, window_id) AS rank,
                count(*) OVER (PARTITION BY epoch) AS n_epoch FROM skey),
 sb AS (SELECT *, (rank - 1) // {size} AS batch_idx, (rank - 1) % {size} AS slot, n_epoch // {size} AS nb FROM srk),
-su AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update_id FROM sb WHERE batch_idx < nb),
-sched AS (SELECT * FROM su WHERE update_id <= {steps})"""
+sched AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update_id FROM sb WHERE batch_idx < nb)"""
+
+
+SCHEDULE_OUT = """SELECT CAST(epoch AS BIGINT) AS epoch, CAST(window_id AS BIGINT) AS window_id, CAST(rank AS BIGINT) AS rank,
+       CAST(batch_idx AS BIGINT) AS batch_idx, CAST(slot AS BIGINT) AS slot, CAST(update_id AS BIGINT) AS update_id
+FROM sched"""
 
 
 CONV_PAIRS = """wp AS (SELECT u.conv_id AS doc_id, u.turn AS seg_idx, u.text AS original_text, a.text AS redacted_text
@@ -140,10 +144,20 @@ def SFT_OUT() -> str:
        CAST(len(list_filter(target, lambda x: x <> -100)) AS BIGINT) AS scored FROM sft"""
 
 
+def VOCAB() -> str:
+    return f"""vw AS (SELECT unnest(regexp_extract_all(text, '{WORD_RE}')) AS token FROM documents WHERE {NB('text')}),
+vc AS (SELECT token, count(*) AS freq FROM vw GROUP BY token),
+vt AS (SELECT token, freq FROM vc ORDER BY freq DESC, token LIMIT {C.VOCAB_SIZE - 2}),
+V AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id, freq FROM vt)"""
+
+
 def CANDIDATES_WORDS() -> str:
-    return f"""cw_p AS (SELECT regexp_extract_all(text, '{WORD_RE}') AS w FROM documents WHERE {NB('text')}),
-cw_u AS (SELECT unnest(list_slice(w, 1, len(w) - 1)) AS prev, unnest(list_slice(w, 2, len(w))) AS item FROM cw_p),
-cand AS (SELECT prev, item, ln(count(*)) AS score FROM cw_u GROUP BY 1, 2)"""
+    return f"""{VOCAB()},
+cw_p AS (SELECT doc_id, regexp_extract_all(text, '{WORD_RE}') AS w FROM documents WHERE {NB('text')}),
+cw_u AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM cw_p),
+cw_i AS (SELECT doc_id, pos, coalesce(V.id, 0) AS id FROM cw_u LEFT JOIN V USING (token)),
+cand AS (SELECT x.id AS prev, y.id AS item, ln(count(*)) AS score FROM cw_i x
+         JOIN cw_i y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 GROUP BY 1, 2)"""
 
 
 def FILTERED(T: float, k: int, p: float | None) -> str:
@@ -169,6 +183,11 @@ drawn AS (SELECT prev, coalesce(arg_min(CASE WHEN cum > u THEN item END, CASE WH
                                 arg_max(item, pos)) AS drawn FROM dc GROUP BY prev)"""
 
 
+def WHOLE(c: str) -> str:
+    """md5 of a vector's values in whole ten-thousandths."""
+    return f"md5(array_to_string(list_transform({c}, lambda a: CAST(round(a * 10000) AS BIGINT)), ','))"
+
+
 def UNIT_VECTORS() -> str:
     return """uv_x AS (SELECT vec_id, label, list_transform(embedding, lambda a: CAST(a AS DOUBLE)) AS x FROM embeddings),
 uv_i AS (SELECT vec_id, label, x, 1.0 / sqrt(list_sum(list_transform(x, lambda a: a * a)) / len(x) + 1e-6) AS inv FROM uv_x),
@@ -192,14 +211,38 @@ SELECT doc_id, CASE WHEN {nb} THEN 'ok' ELSE 'blank' END AS status,
        CASE WHEN {nb} THEN {EXTRACT('o')} ELSE 'Please enter text to redact.' END AS scrubbed FROM f"""
     q["scrub_hook"] = f"""WITH f AS (SELECT doc_id, text, {FULL_OUTPUT()} AS o FROM documents)
 SELECT doc_id, CASE WHEN {nb} THEN {EXTRACT('o')} END AS scrubbed FROM f"""
-    q["redact_stream"] = f"SELECT doc_id, {RULES('text')} AS text FROM documents WHERE {nb}"
-    q["redact_terms"] = f"""WITH terms AS (SELECT term, min(tag) AS tag FROM (
-        SELECT c_name AS term, 'NAME' AS tag FROM customer UNION ALL SELECT n_name, 'PLACE' FROM nation) GROUP BY term),
-p AS (SELECT doc_id, regexp_extract_all(text, '{WORD_OR_GAP_RE}') AS parts FROM documents),
-u AS (SELECT doc_id, unnest(parts) AS tok, unnest(range(len(parts))) AS pos FROM p),
-r AS (SELECT doc_id, string_agg(coalesce('[' || t.tag || ']', u.tok), '' ORDER BY pos) AS text
-      FROM u LEFT JOIN terms t ON u.tok = t.term GROUP BY doc_id)
+    q["scrub_hook_chunked"] = f"""WITH {WEAK_PAIRS()},
+pred AS (SELECT doc_id, string_agg({STRIP('redacted_text')}, ' ' ORDER BY seg_idx) AS scrubbed FROM wp GROUP BY doc_id)
+SELECT doc_id, {STRIP('scrubbed')} AS scrubbed FROM documents LEFT JOIN pred USING (doc_id)"""
+    q["redact_stream"] = f"SELECT doc_id, {RULES('text')} AS text FROM documents"
+    # list steps: runs, candidate places by first word, the longest at each place, a left-to-right choice, rebuilding
+    def frequent(pattern: str, tag: str) -> str:
+        return f"""SELECT term, '{tag}' AS tag FROM (SELECT unnest(regexp_extract_all(text, '{pattern}')) AS term
+        FROM documents WHERE {nb}) AS f GROUP BY term ORDER BY count(*) DESC, term LIMIT {C.FREQUENT_TERMS}"""
+    q["redact_terms"] = f"""WITH raw AS (SELECT c_name AS term, 'NAME' AS tag FROM customer UNION ALL SELECT n_name, 'PLACE' FROM nation
+        UNION ALL (SELECT * FROM ({frequent('[A-Za-z]{6,}', 'WORD')}) AS a)
+        UNION ALL (SELECT * FROM ({frequent('[A-Za-z]{3,} [A-Za-z]{3,}', 'PHRASE')}) AS b)),
+tp AS (SELECT list_transform(regexp_extract_all(term, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'),
+         lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS p, tag FROM raw),
+tw AS (SELECT array_to_string(list_slice(p, CASE WHEN regexp_matches(p[1], '[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 2 END,
+         len(p) - CASE WHEN regexp_matches(p[-1], '[\\p{{L}}\\p{{N}}]') THEN 0 ELSE 1 END), '') AS norm, tag FROM tp),
+terms AS MATERIALIZED (SELECT norm, regexp_extract(norm, '^[\\p{{L}}\\p{{N}}]+') AS first,
+         len(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')) AS n, min(tag) AS tag
+         FROM tw WHERE regexp_matches(norm, '[\\p{{L}}\\p{{N}}]') GROUP BY norm),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS p FROM documents),
+u AS MATERIALIZED (SELECT doc_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i FROM d),
+c AS (SELECT u.doc_id, u.i, terms.n, terms.tag FROM u JOIN terms ON u.part = terms.first JOIN d ON d.doc_id = u.doc_id
+      WHERE regexp_replace(array_to_string(d.p[u.i:u.i + terms.n - 1], ''), '\\s+', ' ', 'g') = terms.norm
+        AND len(d.p) >= u.i + terms.n - 1),
+best AS (SELECT doc_id, i, max(n) AS n, arg_max(tag, n) AS tag FROM c GROUP BY doc_id, i),
+h AS (SELECT doc_id, list({{'i': i, 'n': n, 'tag': tag}} ORDER BY i) AS hits FROM best GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(list_transform(hits, lambda x: [x]),
+        lambda a, x: CASE WHEN x[1].i >= a[-1].i + a[-1].n THEN list_concat(a, x) ELSE a END)) AS hit FROM h),
+m AS (SELECT doc_id, hit.i AS i, hit.tag AS tag, unnest(range(hit.i, hit.i + hit.n)) AS j FROM k),
+r AS (SELECT u.doc_id, string_agg(CASE WHEN m.j IS NULL THEN part WHEN m.j = m.i THEN '[' || tag || ']' ELSE '' END, '' ORDER BY u.i) AS text
+      FROM u LEFT JOIN m ON m.doc_id = u.doc_id AND m.j = u.i GROUP BY u.doc_id)
 SELECT d.doc_id, coalesce(r.text, d.text) AS text FROM documents d LEFT JOIN r USING (doc_id)"""
+    q["redact_terms_join"] = q["redact_terms"]
     q["weak_pairs"] = f"""WITH {WEAK_PAIRS()}
 SELECT doc_id, CAST(seg_idx AS BIGINT) AS seg_idx, original_text, redacted_text FROM wp"""
     q["segment_agreement"] = f"""WITH {WEAK_PAIRS()},
@@ -211,6 +254,15 @@ SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(eq) AS BIGINT) AS matches, ro
     q["conversation_pairs"] = """SELECT u.conv_id, u.turn, u.text AS original_text, a.text AS redacted_text
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""
+    q["pair_load"] = """SELECT u.conv_id || ':' || u.turn AS pair_id, u.text AS original_text, a.text AS redacted_text,
+       md5(u.text) AS renamed_md5
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+    q["edge_rows"] = f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(9) || chr(10) || chr(28)
+         WHEN doc_id % 13 = 0 THEN NULL
+         WHEN doc_id % 7 = 0 THEN '{EOS}' || left(text, 40) || '{EOS}' || text ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN {nb} THEN 'ok' ELSE 'blank' END AS status,
+       CAST(len(string_split(text, '{EOS}')) - 1 AS BIGINT) AS n_special, {FP(ENC('text'))} AS ids_md5 FROM e"""
 
     q["encode_bytes"] = f"""WITH d AS (SELECT doc_id, text, {ENC('text')} AS ids FROM documents WHERE {nb})
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens,
@@ -221,12 +273,12 @@ FROM documents WHERE {nb}"""
     q["token_stats"] = f"""SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST(min(n) AS BIGINT) AS min_tokens,
        CAST(max(n) AS BIGINT) AS max_tokens
 FROM (SELECT lang, {NTOK()} - 1 AS n FROM documents WHERE {nb}) GROUP BY lang"""
-    vocab = f"""vw AS (SELECT unnest(regexp_extract_all(text, '{WORD_RE}')) AS token FROM documents WHERE {nb}),
-vc AS (SELECT token, count(*) AS freq FROM vw GROUP BY token),
-vt AS (SELECT token, freq FROM vc ORDER BY freq DESC, token LIMIT {C.VOCAB_SIZE - 2}),
-V AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id, freq FROM vt)"""
+    vocab = VOCAB()
     q["build_vocab"] = f"""WITH {vocab}
 SELECT token, CAST(id AS BIGINT) AS id, CAST(freq AS BIGINT) AS freq FROM V"""
+    q["vocab_summary"] = f"""WITH {vocab}
+SELECT CAST(256 AS BIGINT) AS byte_eos, CAST(257 AS BIGINT) AS byte_size, CAST(1 AS BIGINT) AS word_eos,
+       count(*) AS word_size FROM V"""
     words_pos = f"""p AS (SELECT doc_id, regexp_extract_all(text, '{WORD_RE}') AS w FROM documents WHERE {nb}),
 u AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM p)"""
     q["encode_vocab"] = f"""WITH {vocab}, {words_pos},
@@ -234,9 +286,11 @@ e AS (SELECT doc_id, string_agg(CAST(coalesce(V.id, 0) AS VARCHAR), ',' ORDER BY
              sum(CASE WHEN V.id IS NULL THEN 1 ELSE 0 END) AS unk FROM u LEFT JOIN V USING (token) GROUP BY doc_id)
 SELECT p.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(unk, 0) AS BIGINT) AS n_unk,
        md5(coalesce(s, '')) AS ids_md5 FROM p LEFT JOIN e USING (doc_id)"""
-    q["decode_vocab"] = f"""WITH {vocab}, {words_pos}
-SELECT doc_id, string_agg(CASE WHEN V.id IS NULL THEN '<unk>' ELSE u.token END, ' ' ORDER BY pos) AS text
-FROM u LEFT JOIN V USING (token) GROUP BY doc_id"""
+    q["decode_vocab"] = f"""WITH {vocab}, {words_pos},
+t AS (SELECT doc_id, string_agg(CASE WHEN V.id IS NULL THEN '<unk>' ELSE u.token END, ' ' ORDER BY pos) AS text
+      FROM u LEFT JOIN V USING (token) GROUP BY doc_id)
+SELECT doc_id, coalesce(t.text, '') AS text FROM p LEFT JOIN t USING (doc_id)"""
+    q["encode_vocab_join"], q["decode_vocab_join"] = q["encode_vocab"], q["decode_vocab"]
 
     q["doc_offsets"] = f"""WITH d AS (SELECT doc_id, {NTOK()} AS n FROM documents WHERE {nb})
 SELECT doc_id, CAST(n AS BIGINT) AS n,
@@ -253,13 +307,22 @@ SELECT docs, CAST(N AS BIGINT) AS tokens, CAST(greatest((N - 1) // {L}, 0) AS BI
        THEN 'train' ELSE 'holdout' END AS split, count(*) AS docs FROM documents WHERE {nb} GROUP BY 1"""
     q["cap_corpus"] = f"SELECT doc_id, n_chars FROM documents WHERE {nb} ORDER BY doc_id LIMIT {C.CAP_N}"
 
-    q["shuffle_batches"] = f"""WITH {SCHEDULE()}
-SELECT CAST(epoch AS BIGINT) AS epoch, CAST(window_id AS BIGINT) AS window_id, CAST(rank AS BIGINT) AS rank,
-       CAST(batch_idx AS BIGINT) AS batch_idx, CAST(slot AS BIGINT) AS slot, CAST(update_id AS BIGINT) AS update_id
-FROM sched"""
-    q["collate_batches"] = f"""WITH {SCHEDULE()}
+    q["shuffle_batches"] = f"WITH {SCHEDULE()}\n{SCHEDULE_OUT}"
+    q["step_budget"] = f"WITH {SCHEDULE()}\n{SCHEDULE_OUT} WHERE update_id <= {C.STEP_BUDGET}"
+    epochs = ", ".join(str(e) for e in range(C.EPOCHS))
+    q["shuffle_batches_keep_last"] = f"""WITH {WEAK_PAIRS()},
+x AS (SELECT doc_id || ':' || seg_idx AS example_id, unnest([{epochs}]) AS epoch FROM wp),
+y AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5('{C.SEED}|' || epoch || '|' || example_id), example_id) AS rank,
+             count(*) OVER (PARTITION BY epoch) AS n FROM x)
+SELECT CAST(epoch AS BIGINT) AS epoch, example_id, rank, (rank - 1) // {C.BATCH} AS batch_idx, (rank - 1) % {C.BATCH} AS slot,
+       CAST(epoch * ((n + {C.BATCH - 1}) // {C.BATCH}) + (rank - 1) // {C.BATCH} + 1 AS BIGINT) AS update_id FROM y"""
+    q["collate_batches"] = f"""WITH {STREAM()}, {SCHEDULE()},
+i AS (SELECT gp // {L} AS w, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY gp) AS s FROM g GROUP BY 1),
+o AS (SELECT (gp - 1) // {L} AS w, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY gp) AS s FROM g WHERE gp >= 1 GROUP BY 1)
 SELECT CAST(epoch AS BIGINT) AS epoch, CAST(batch_idx AS BIGINT) AS batch_idx, CAST(count(*) AS BIGINT) AS n,
-       md5(string_agg(CAST(window_id AS VARCHAR), ',' ORDER BY slot)) AS ids_md5 FROM sched GROUP BY epoch, batch_idx"""
+       md5(string_agg(CAST(window_id AS VARCHAR), ',' ORDER BY slot)) AS ids_md5,
+       md5(string_agg(i.s, ',' ORDER BY slot)) AS input_md5, md5(string_agg(o.s, ',' ORDER BY slot)) AS target_md5
+FROM sched JOIN i ON i.w = window_id JOIN o ON o.w = window_id GROUP BY epoch, batch_idx"""
     q["last_tokens"] = f"""WITH d AS (SELECT doc_id, {ENC('text')} AS ids FROM documents WHERE {nb}),
 t AS (SELECT doc_id, list_slice(ids, greatest(len(ids) - {L}, 0) + 1, len(ids)) AS t FROM d)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n, {FP('t')} AS ids_md5 FROM t"""
@@ -288,11 +351,14 @@ FROM a GROUP BY overflow"""
     q["byte_bigrams"] = f"""WITH {PAIRS_MODEL()}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(nxt AS BIGINT) AS next, CAST(c AS BIGINT) AS count FROM cnt"""
     q["next_token_probs"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}
-SELECT prev, item, round(prob, 6) AS prob FROM fin"""
+SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
     q["next_token_sample"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}, {DRAW(C.SEED)}
-SELECT prev, drawn FROM drawn"""
+SELECT CAST(prev AS BIGINT) AS prev, CAST(drawn AS BIGINT) AS drawn FROM drawn"""
     q["window_loss"] = f"""WITH {PAIRS_MODEL()}
 SELECT CAST(w AS BIGINT) AS window_id, CAST(tokens AS BIGINT) AS tokens, round(nll, 6) AS nll FROM wl"""
+    q["corpus_loss"] = f"""WITH {PAIRS_MODEL()}
+SELECT CAST(count(*) AS BIGINT) AS tokens, round(avg(-lp), 6) AS nll, round(exp(avg(-lp)), 4) AS perplexity
+FROM pp JOIN lp USING (prev, nxt)"""
     q["sft_loss"] = f"""WITH {PAIRS_MODEL()}, {SFT(C.SFT_L, True)},
 x AS (SELECT overflow, unnest(input) AS prev, unnest(target) AS nxt FROM sft),
 y AS (SELECT overflow, prev, nxt FROM x WHERE nxt <> -100),
@@ -302,45 +368,42 @@ agg AS (SELECT overflow, count(*) AS tokens, sum(-l) AS tot FROM s GROUP BY over
 grp AS (SELECT DISTINCT overflow FROM sft)
 SELECT grp.overflow, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round(tot / nullif(tokens, 0), 6) AS nll
 FROM grp LEFT JOIN agg USING (overflow)"""
-    upd = f"""{PAIRS_MODEL()}, {SCHEDULE()},
-j AS (SELECT sched.update_id, sched.batch_idx, sched.epoch, wl.nll FROM sched JOIN wl ON sched.window_id = wl.w),
-mb AS (SELECT update_id, batch_idx, epoch, avg(nll) AS mm FROM j GROUP BY 1, 2, 3),
-upd AS (SELECT update_id, avg(mm) AS loss, arg_max(mm, epoch * 1000000000 + batch_idx) AS logged_loss,
-               count(*) AS micro_batches FROM mb GROUP BY update_id)"""
-    q["update_loss"] = f"""WITH {upd}
-SELECT CAST(update_id AS BIGINT) AS update_id, round(loss, 6) AS loss, round(logged_loss, 6) AS logged_loss,
-       CAST(micro_batches AS BIGINT) AS micro_batches FROM upd"""
-    q["loss_log"] = f"""WITH {upd},
-st AS (SELECT update_id, row_number() OVER (ORDER BY update_id) AS step, logged_loss FROM upd)
-SELECT CAST(update_id AS BIGINT) AS update_id, CAST(step AS BIGINT) AS step, round(logged_loss, 6) AS logged_loss
-FROM st WHERE step % {C.LOG_EVERY} = 0 OR step = 1"""
     q["event_log_sample"] = f"""SELECT event_type, event_id, CAST(step AS BIGINT) AS step, value FROM (
   SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events)
 WHERE step % {C.LOG_EVERY} = 0 OR step = 1"""
+    q["event_log_sample_zero"] = f"""SELECT event_type, event_id, CAST(step AS BIGINT) AS step, value FROM (
+  SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS step FROM events)
+WHERE step % {C.LOG_EVERY} = 0"""
 
     q["rms_vectors"] = f"""WITH {UNIT_VECTORS()}
 SELECT vec_id, CAST(label AS BIGINT) AS label, round(nx[1], 6) AS first,
-       round(list_sum(list_transform(nx, lambda a: abs(a))), 6) AS abs_sum FROM uv"""
+       round(list_sum(list_transform(nx, lambda a: abs(a))), 6) AS abs_sum, {WHOLE('nx')} AS vector_md5 FROM uv"""
     q["doc_vectors"] = f"""WITH {UNIT_VECTORS()},
 c AS (SELECT conv_id, turn, id, count(*) AS cnt FROM (SELECT conv_id, turn, unnest({ENC('text')}) AS id FROM conversations)
       GROUP BY 1, 2, 3),
-cv AS (SELECT c.conv_id, c.turn, c.cnt, uv.nx FROM c JOIN uv ON c.id = uv.vec_id),
-t AS (SELECT conv_id, turn, sum(cnt) AS tokens FROM cv GROUP BY 1, 2),
+cv AS (SELECT c.conv_id, c.turn, c.cnt, uv.nx FROM c LEFT JOIN uv ON c.id = uv.vec_id),
+t AS (SELECT conv_id, turn, sum(CASE WHEN nx IS NULL THEN 0 ELSE cnt END) AS tokens,
+             sum(CASE WHEN nx IS NULL THEN cnt ELSE 0 END) AS missing FROM cv GROUP BY 1, 2),
 e AS (SELECT conv_id, turn, cnt, unnest(nx) AS val, unnest(range(1, len(nx) + 1)) AS dim FROM cv),
 s AS (SELECT conv_id, turn, dim, sum(val * cnt) AS sv FROM e GROUP BY 1, 2, 3),
-p AS (SELECT s.conv_id, s.turn, dim, sv / tokens AS pv, tokens FROM s JOIN t USING (conv_id, turn))
-SELECT conv_id, turn, CAST(any_value(tokens) AS BIGINT) AS tokens, round(sum(CASE WHEN dim = 1 THEN pv END), 6) AS first,
-       round(sum(pv), 6) AS total FROM p GROUP BY conv_id, turn"""
+p AS (SELECT s.conv_id, s.turn, list(sv / tokens ORDER BY dim) AS pv FROM s JOIN t USING (conv_id, turn) GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(missing, 0) AS BIGINT) AS missing,
+       round(pv[1], 6) AS first, round(list_sum(pv), 6) AS total, {WHOLE('pv')} AS pooled_md5
+FROM conversations c LEFT JOIN t USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn)"""
     q["gather_vectors"] = f"""WITH {UNIT_VECTORS()},
-b AS (SELECT item_id, {ENC('text')} AS ids FROM benchmark)
-SELECT b.item_id, CAST(len(ids) AS BIGINT) AS n, round(f.nx[1], 6) AS first, round(l.nx[1], 6) AS last
-FROM b LEFT JOIN uv f ON f.vec_id = ids[1] LEFT JOIN uv l ON l.vec_id = ids[-1]"""
+b AS (SELECT item_id, {ENC('text')} AS ids FROM benchmark),
+e AS (SELECT item_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM b),
+v AS (SELECT item_id, flatten(list(nx ORDER BY pos)) AS nx, count(*) AS n, arg_min(nx[1], pos) AS first, arg_max(nx[1], pos) AS last
+      FROM e LEFT JOIN uv ON uv.vec_id = e.id GROUP BY item_id)
+SELECT b.item_id, CAST(coalesce(n, 0) AS BIGINT) AS n, round(first, 6) AS first, round(last, 6) AS last,
+       {WHOLE('nx')} AS vectors_md5 FROM b LEFT JOIN v USING (item_id)"""
     q["append_drawn"] = f"""WITH {PAIRS_MODEL()},
 cand AS (SELECT prev, nxt AS item, ln(c) AS score FROM cnt),
 {FILTERED(C.CHAT_TEMPERATURE, C.CHAT_TOP_K, None)}, {DRAW(C.CHAT_SEED)},
 d AS (SELECT doc_id, {ENC('text')} AS ids FROM documents WHERE {nb})
 SELECT doc_id, CAST(len(ids) + CASE WHEN drawn.drawn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n,
-       CAST(coalesce(drawn.drawn, ids[-1]) AS BIGINT) AS last
+       CAST(coalesce(drawn.drawn, ids[-1]) AS BIGINT) AS last,
+       md5(array_to_string(CASE WHEN drawn.drawn IS NULL THEN ids ELSE list_append(ids, drawn.drawn) END, ',')) AS ids_md5
 FROM d LEFT JOIN drawn ON drawn.prev = ids[-1]"""
     return q
 

@@ -14,7 +14,7 @@ from tessera.functions.bytes import encode_ids, encoded_length
 from tessera.functions.text import EOS_TEXT
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
-from tessera.sources.tables import id_bounds, load_corpus, write_windows
+from tessera.sources.tables import load_corpus, write_windows
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,6 @@ def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = No
     # cut splits an EOS literal: boundary windows encode only those.
     span = len(EOS_TEXT) * (L + 1)
     return pack(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids",
-                key_bounds=id_bounds(spark, base),
                 head_ids=encode_ids(F.substring("text", 1, span)),
                 tail_ids=encode_ids(F.substring("text", -span, span)))
 
@@ -59,8 +58,8 @@ def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = No
 def window_bigrams(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
     """Next-token counts of the windows' (input, target) pairs, straight from
     the documents (no packing): ``packing.stream_bigrams``."""
-    return stream_bigrams(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids",
-                          key_bounds=id_bounds(spark, base))
+    first = F.try_element_at(encode_ids(F.substring("text", 1, len(EOS_TEXT))), F.lit(1))
+    return stream_bigrams(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids", first_id=first)
 
 
 def schedule(win: DataFrame, cfg: PackConfig, epochs: int) -> DataFrame:

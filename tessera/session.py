@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,7 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the executor; give it the heap
-        conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "8g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -48,18 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir`` (or has already called
-    ``setCheckpointDir``); only when neither is set (local runs and tests) do we
-    create one of our own.
+    ``setCheckpointDir``). Only a local master, whose executors are this process,
+    gets a folder of its own when neither is set; on a cluster that is an error,
+    since a machine-local folder would lose what executors write.
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no SparkContext (remote session): use the conf or a local folder
-        sc = None
-    if sc is None:
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): only the conf can name it
         path = spark.conf.get(CHECKPOINT_CONF, None)
         if not path:
-            path = tempfile.mkdtemp(prefix="tessera-ckpt-")
-            spark.conf.set(CHECKPOINT_CONF, path)
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share") from None
         return path
     current = sc.getCheckpointDir()
     if current:
@@ -71,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = None
     path = path or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
         try:
             spark.conf.set(CHECKPOINT_CONF, path)
@@ -87,18 +89,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df, name: str):
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     Used where one expensive intermediate feeds several branches (Spark would
     otherwise recompute it per branch) and to cut lineage: after the write, a
     lost executor re-reads the table instead of re-running everything above.
+    ``release`` removes the tables; it runs by itself when the program ends.
     """
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES.append((df.sparkSession, path))
     return df.sparkSession.read.parquet(path)
 
 
+def release() -> int:
+    """Remove the tables that ``materialize`` wrote; frames that read them end here."""
+    n = 0
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True))
+        except Exception:  # noqa: BLE001 - the session has ended, or has no JVM of its own
+            continue
+    return n
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tessera.functions.rules import DEFAULT_RULES, Rule, with_rules
-from tessera.functions.text import nonblank
 
 
 def read_text_stream(spark: SparkSession, path: str, schema: StructType | str,
@@ -28,8 +27,8 @@ def read_text_stream(spark: SparkSession, path: str, schema: StructType | str,
 
 def redact_stream(df: DataFrame, col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES,
                   keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The batch redaction expressions on a streaming frame (blank rows dropped)."""
-    return with_rules(df.filter(nonblank(col)), col, col, rules).select(*keep, col)
+    """The batch redaction expressions on a streaming frame; every row comes back, blank and NULL ones as they are."""
+    return with_rules(df, col, col, rules).select(*keep, col)
 
 
 def write_redacted_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool = True,
@@ -45,12 +44,16 @@ def write_redacted_stream(df: DataFrame, path: str, checkpoint: str, available_n
 
 def run_redaction_stream(spark: SparkSession, source_glob: str, schema: StructType | str,
                          sink: str, checkpoint: str, col: str = "text",
-                         keep: Sequence[str] = ("doc_id",), timeout_s: int = 600) -> DataFrame:
-    """Drive S5 -> R3 -> S6 over what is available now and return the sink as a batch frame."""
+                         keep: Sequence[str] = ("doc_id",), timeout_s: float | None = None) -> DataFrame:
+    """Drive S5 -> R3 -> S6 over what is available now and return the sink as a batch frame.
+
+    It waits until the backlog is drained; ``timeout_s`` is an optional limit.
+    """
     q = write_redacted_stream(redact_stream(read_text_stream(spark, source_glob, schema), col, keep=keep),
                               sink, checkpoint)
-    finished = q.awaitTermination(timeout_s)
-    if not finished:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("redaction stream did not drain in time")
     if q.exception():

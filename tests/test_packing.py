@@ -16,9 +16,17 @@ def reference_windows(docs, L):
     return {w: (stream[w * L:w * L + L], stream[w * L + 1:w * L + L + 1]) for w in range(W)}, len(stream)
 
 
-def run(spark, docs, L, buckets=4):
+@pytest.fixture(autouse=True)
+def several_parts(spark):
+    """Sorted tables of several parts, as large ones have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def run(spark, docs, L):
     df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
-    return {r.window_id: (list(r.input), list(r.target)) for r in pack(df, L, max_buckets=buckets).collect()}
+    return {r.window_id: (list(r.input), list(r.target)) for r in pack(df, L).collect()}
 
 
 @pytest.mark.parametrize("L", [1, 2, 3, 8])
@@ -62,7 +70,7 @@ def test_long_doc_and_many_small(spark):
 def test_offsets_and_summary(spark):
     docs = [(3, [1, 2, 3]), (1, []), (2, [5] * 10)]
     df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
-    off = {r.doc_id: (r.n, r.start, r.total) for r in doc_offsets(df, max_buckets=2).collect()}
+    off = {r.doc_id: (r.n, r.start, r.total) for r in doc_offsets(df).collect()}
     assert off == {1: (1, 0, 16), 2: (11, 1, 16), 3: (4, 12, 16)}
     s = corpus_summary(df, 4).first()
     assert (s.docs, s.tokens, s.windows, s.tail) == (3, 16, 3, 3)
@@ -96,7 +104,7 @@ def test_pack_text_path_with_eos_literals(spark, L):
     span = 13 * (L + 1)
     w = pack(df.withColumn("n_ids", encoded_length("text")), L, ids=encode_ids("text"), n_ids="n_ids",
              head_ids=encode_ids(F.substring("text", 1, span)),
-             tail_ids=encode_ids(F.substring("text", -span, span)), max_buckets=3)
+             tail_ids=encode_ids(F.substring("text", -span, span)))
     got = {r.window_id: (list(r.input), list(r.target)) for r in w.collect()}
     assert got == exp
 
@@ -113,5 +121,31 @@ def test_stream_bigrams_equal_window_pairs(spark, L):
     for inp, tgt in exp.values():
         want.update(zip(inp, tgt))
     df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
-    got = {(r.prev, r.next): r["count"] for r in stream_bigrams(df, L, max_buckets=3).collect()}
+    got = {(r.prev, r.next): r["count"] for r in stream_bigrams(df, L).collect()}
     assert got == dict(want)
+
+
+def test_repeated_keys_raise(spark):
+    df = spark.createDataFrame([(1, [1]), (2, [2]), (1, [3])], "doc_id long, ids array<int>")
+    for call in (lambda: doc_offsets(df), lambda: pack(df, 2)):
+        with pytest.raises(Exception, match="repeated key"):
+            call().collect()
+
+
+def test_text_is_scanned_twice_at_most(spark):
+    """One scan for the lengths, written once; one for the windows (both branches share its exchange)."""
+    from tessera.plans import pretrain
+
+    from .conftest import SF0001
+    tracker = []
+    real = pretrain.corpus_text
+    try:
+        pretrain.corpus_text = lambda s, b, m=None, split=None: tracker.append(1) or real(s, b, m, split)
+        w = pretrain.windows(spark, SF0001, 64)
+    finally:
+        pretrain.corpus_text = real
+    assert len(tracker) == 1
+    w.collect()
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    assert final.count("FileScan parquet [doc_id") <= 1 + final.count("ordered-")

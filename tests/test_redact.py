@@ -68,12 +68,55 @@ def test_scrub_and_hook_agree(spark):
         assert h[i] == (text if status == "ok" else None)
 
 
-def test_terms(spark):
-    df = spark.createDataFrame([(1, "Hi  Alice\tfrom Paris!"), (2, "nobody"), (3, "")], "doc_id int, text string")
-    terms = spark.createDataFrame([("Alice", "NAME"), ("Paris!", "PLACE")], "term string, tag string")
-    for method in ("lookup", "join"):
-        got = {r.doc_id: r.text for r in redact_terms(df, terms, terms_rows=2, method=method).collect()}
-        assert got == {1: "Hi  [NAME]\tfrom [PLACE]", 2: "nobody", 3: ""}, method
+TERMS = [("Smith", "NAME"), ("SAUDI ARABIA", "PLACE"), ("SAUDI", "NAME"), ("Anne-Marie", "NAME"), ("  O'Neil! ", "NAME"),
+         ("New York City", "PLACE"), ("York", "NAME"), ("Smith", "ZNAME"), ("...", "X"), (None, "Y"), ("a b", "P"), ("b c", "P")]
+SENTENCES = [
+    (1, "Smith said: Smith, go to SAUDI ARABIA. (Smith)", "[NAME] said: [NAME], go to [PLACE]. ([NAME])"),
+    (2, "SAUDI  \nARABIA, SAUDI-ARABIA", "[PLACE], [NAME]-ARABIA"),           # white space may vary, other gaps may not
+    (3, "Smithson Smith2 _Smith_ Smith's", "Smithson Smith2 _[NAME]_ [NAME]'s"),
+    (4, "Anne-Marie O'Neil Anne Marie", "[NAME] [NAME] Anne Marie"),
+    (5, "New York City, New York, York", "[PLACE], New [NAME], [NAME]"),     # the longest wins
+    (6, "a b c a b  c b c", "[P] c [P]  c [P]"),                             # from the left, no overlap
+    (7, "", ""), (8, None, None), (9, "no hit", "no hit"),
+    (10, "a b", "[P]"), (10, "b a a b", "b a [P]"), (10, "a b", "[P]"),      # one key, several rows
+    (None, "Smith", "[NAME]"),
+]
+
+
+@pytest.mark.parametrize("method", ["auto", "join"])
+def test_terms(spark, method):
+    df = spark.createDataFrame([(k, t, 0) for k, t, _ in SENTENCES], "doc_id int, text string, first int")
+    terms = spark.createDataFrame(TERMS, "term string, tag string")
+    got = redact_terms(df, terms, method=method)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((k, w) for k, _, w in SENTENCES), key=str)
+    assert redact_terms(df, terms.limit(0), method=method).exceptAll(df).count() == 0
+    assert redact_terms(df, terms, method=method, out="clean").columns == [*df.columns, "clean"]
+
+
+def test_hook_in_chunks(spark):
+    long = " ".join(f"w{i} me{i}@x.org" for i in range(50))
+    df = spark.createDataFrame([(1, long), (2, "  "), (3, None), (4, "one  a.b@c.org\n two")], "doc_id int, text string")
+    seen = []
+
+    def factory():
+        model = __import__("tessera.operators.redact", fromlist=["x"]).rule_scrubber()
+
+        def run(prompts):
+            assert all(len(p.split()) <= 7 + 2 for p in prompts)  # chunk words and the two marks
+            return model(prompts)
+        return run
+    out = extract_redacted(redact_with(df, factory, chunk_words=7))
+    got = {r.doc_id: r.redacted for r in out.collect()}
+    assert got[1] == " ".join(f"w{i} [EMAIL]" for i in range(50)) and got[4] == "one [EMAIL] two"
+    assert got[2] is None and got[3] is None and out.count() == 4 and not seen
+
+
+def test_phones_and_addresses(spark):
+    got = red(spark, ["555-123-4567", "(555) 123-4567", "+44 20 7946 0958", "+1 (555) 555-1234;+33 1 42 68 53 00",
+                      "at 12 Main Street, or 7 Old Mill Rd.", "555-12-4567 2001-02-03 12 main street", "in 1999 Court"])
+    assert got == ["[PHONE]", "[PHONE]", "[PHONE]", "[PHONE];[PHONE]", "at [ADDRESS], or [ADDRESS].",
+                   "555-12-4567 2001-02-03 12 main street", "in 1999 Court"]
 
 
 def test_segment_rejoin(spark):

@@ -1,4 +1,4 @@
-"""E1-E9 against a numpy rendering of the selection steps."""
+"""E1-E8 against a numpy rendering of the selection steps."""
 
 import math
 import random
@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.scores import (accumulated_loss, bigrams, cross_entropy, draw_one, masked_cross_entropy,
-                                      softmax, top_k, top_p, with_temperature)
+from tessera.operators.scores import (bigrams, cross_entropy, draw_one, masked_cross_entropy, perplexity, softmax,
+                                      top_k, top_p, with_temperature)
 
 
 def ref_select(items, scores, T, k, p):
@@ -111,12 +111,31 @@ def test_bigrams_and_losses(spark):
     assert m[0][0] == 2 and abs(m[0][1] - np.mean([nll(1, 2), nll(2, 3)])) < 1e-12
 
 
-def test_accumulated_loss(spark):
-    rows = [(1, 0, 0, 1.0), (1, 0, 0, 3.0), (1, 1, 0, 5.0), (2, 2, 0, 7.0), (2, 0, 1, 9.0)]
-    df = spark.createDataFrame(rows, "update_id long, batch_idx long, epoch long, nll double")
-    got = {r.update_id: (r.loss, r.logged_loss, r.micro_batches) for r in accumulated_loss(df).collect()}
-    assert got[1] == (3.5, 5.0, 2)
-    assert got[2] == (8.0, 9.0, 2)  # the spilled batch of epoch 0 comes first; epoch 1 is logged
+def test_dense_and_sparse_models_agree(spark):
+    rnd = random.Random(8)
+    docs = [(i, [rnd.randrange(6) for _ in range(rnd.randrange(9))]) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, ids array<int>")
+    counts = bigrams(df.filter("doc_id < 10"), "ids")
+    dense, sparse = ({r.doc_id: (r.tokens, r.nll) for r in cross_entropy(
+        df, counts, ["doc_id"], 6, 0.5, ids="ids", rows_bound=bound).collect()} for bound in (36, None))
+    assert dense.keys() == sparse.keys() == {i for i, _ in docs}
+    for k, (n, nll) in dense.items():
+        assert n == sparse[k][0] and (nll is None) == (sparse[k][1] is None)
+        assert nll is None or abs(nll - sparse[k][1]) < 1e-12
+    losses = cross_entropy(df, counts, ["doc_id"], 6, 0.5, ids="ids", rows_bound=36)
+    p = perplexity(losses).first()
+    n = sum(v[0] for v in dense.values())
+    mean = sum(v[0] * (v[1] or 0) for v in dense.values()) / n
+    assert p.tokens == n and abs(p.nll - mean) < 1e-9 and abs(p.perplexity - math.exp(mean)) < 1e-9
+    assert perplexity(losses.limit(0)).first().nll is None
+
+
+def test_groups_are_required(spark):
+    df = spark.createDataFrame([(0, 0, 1.0, 1.0)], "prev int, item int, score double, prob double")
+    for call in (lambda: softmax(df, []), lambda: softmax(df, [], method="aggregate"), lambda: top_k(df, [], 2),
+                 lambda: top_p(df, [], 0.5), lambda: draw_one(df, [], 1)):
+        with pytest.raises(ValueError):
+            call()
 
 
 def test_softmax_methods_agree(spark):

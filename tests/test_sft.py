@@ -1,4 +1,4 @@
-"""F1-F7 against a direct rendering of the example rule (lengths L-1 .. L+2, long prompt, empty answer)."""
+"""Properties of every position (lengths L-1 .. L+2, long prompt, empty answer), and arrays by hand."""
 
 import pytest
 
@@ -17,61 +17,62 @@ def encode(s):
     return out
 
 
-def reference(raw, red, L, mode):
-    p = encode(f"[RAW] {raw} [REDACTED] ")
-    a = encode(f"{red}<|endoftext|>")
-    full = p + a
-    if len(full) > L + 1:
-        full = full[:L + 1]
-    tgt = full[1:] + [EOS_ID]
-    tgt = [-100 if i < len(p) - 1 else t for i, t in enumerate(tgt)]
-    inp = list(full)
-    pad = L - len(inp)
-    if pad > 0:
-        inp += [EOS_ID] * pad
-        tgt += [-100] * pad
-    if mode == "uniform":
-        inp, tgt = inp[:L], tgt[:L]
-    return inp, tgt, len(p)
-
-
+#: raw, redacted, and what comes out with L = 32 (prompt tokens, all tokens, scored targets)
 CASES = [
-    # prompt is 18 + len(raw) tokens, answer len(red) + 1
-    ("ab", "x" * (L - 1 - 20 - 1)),   # full = L-1
-    ("ab", "x" * (L - 20 - 1)),       # full = L
-    ("ab", "x" * (L + 1 - 20 - 1)),   # full = L+1
-    ("ab", "x" * (L + 2 - 20 - 1)),   # full = L+2 (truncated)
-    ("y" * (L + 2 - 18), "z"),        # prompt = L+2: all masked
-    ("y" * 40, "z"),                  # prompt > L+2
-    ("abc", ""),                      # empty answer
-    ("é€", "é<|endoftext|>x"),        # multibyte and literal EOS in the answer
+    # the prompt has 18 + len(raw) tokens, the answer len(red) + 1
+    ("ab", "x" * (L - 1 - 20 - 1), 20, 31, 12),   # one token short of L
+    ("ab", "x" * (L - 20 - 1), 20, 32, 13),       # exactly L
+    ("ab", "x" * (L + 1 - 20 - 1), 20, 33, 14),   # L + 1: fits with its shift
+    ("ab", "x" * (L + 2 - 20 - 1), 20, 34, 14),   # L + 2: cut
+    ("y" * (L + 2 - 18), "z", 34, 36, 0),         # the prompt alone fills L + 2: all masked
+    ("y" * 40, "z", 58, 60, 0),                   # a prompt beyond that
+    ("abc", "", 21, 22, 2),                       # empty answer
+    ("é€", "é<|endoftext|>x", 23, 28, 6),         # multibyte, and the literal end in the answer
 ]
 
 
+def pairs(spark):
+    return spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(CASES)],
+                                 "pair_id int, original_text string, redacted_text string")
+
+
 @pytest.mark.parametrize("mode", ["uniform", "reference"])
-def test_examples_match_rule(spark, mode):
-    df = spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(CASES)],
-                               "pair_id int, original_text string, redacted_text string")
-    out = {r.pair_id: r for r in sft_examples(df, L, mode).withColumn("scored", scored_tokens()).collect()}
-    for i, (raw, red) in enumerate(CASES):
-        inp, tgt, P = reference(raw, red, L, mode)
+def test_example_properties(spark, mode):
+    out = {r.pair_id: r for r in sft_examples(pairs(spark), L, mode).withColumn("scored", scored_tokens()).collect()}
+    for i, (raw, red, prompt, total, scored) in enumerate(CASES):
         r = out[i]
-        assert list(r.input) == inp, i
-        assert list(r.target) == tgt, i
-        assert r.prompt_len == P
-        n = P + len(encode(red + "<|endoftext|>"))
-        assert r.full_len == n and r.overflow == (n > L + 1)
-        # Q5: scored-token count
+        tokens = encode(f"[RAW] {raw} [REDACTED] {red}<|endoftext|>")
+        have = min(total, L + 1)
+        size = max(L, have) if mode == "reference" else L
+        assert (r.prompt_len, r.full_len, r.overflow) == (prompt, total, total > L + 1) and len(tokens) == total
+        assert len(r.input) == len(r.target) == size
+        assert list(r.input[:min(have, size)]) == tokens[:min(have, size)]
+        assert set(r.input[have:]) <= {EOS_ID}
+        # masked run, then the next token at each place, the end id after the last, then padding
+        for k, t in enumerate(r.target):
+            if k < prompt - 1 or k >= have:
+                assert t == -100, (i, k)
+            else:
+                assert t == (tokens[k + 1] if k + 1 < have else EOS_ID), (i, k)
         if mode == "reference":
-            want = (n - P + 1) if n <= L + 1 else max(0, L + 2 - P)
-            assert r.scored == want, i
-        assert len(r.input) == (L if mode == "uniform" else max(L, min(n, L + 1)))
+            assert r.scored == scored
+        else:
+            assert r.scored == sum(1 for k in range(L) if prompt - 1 <= k < have)
+
+
+def test_example_arrays_by_hand(spark):
+    df = spark.createDataFrame([(0, "a", "b"), (1, "a", "bcdef")], "pair_id int, original_text string, redacted_text string")
+    head = list(b"[RAW] a [REDACTED] ")
+    got = {r.pair_id: r for r in sft_examples(df, 22, "uniform").collect()}
+    assert list(got[0].input) == [*head, 98, 256, 256]
+    assert list(got[0].target) == [-100] * 18 + [98, 256, 256, -100]
+    assert list(got[1].input) == [*head, 98, 99, 100]
+    assert list(got[1].target) == [-100] * 18 + [98, 99, 100, 101] and got[1].overflow
+    assert list(sft_examples(df, 22, "reference").filter("pair_id = 1").first().target) == [-100] * 18 + [98, 99, 100, 101, 256]
 
 
 def test_audit(spark):
-    df = spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(CASES)],
-                               "pair_id int, original_text string, redacted_text string")
-    rows = {r.overflow: r for r in sft_audit(sft_examples(df, L)).collect()}
+    rows = {r.overflow: r for r in sft_audit(sft_examples(pairs(spark), L)).collect()}
     assert rows[True].all_masked == 2
     assert rows[True].examples + rows[False].examples == len(CASES)
     assert rows[False].min_len == rows[False].max_len == L

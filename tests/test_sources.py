@@ -47,3 +47,51 @@ def test_bounds_balance_and_sink(spark):
     write_windows(df.withColumn("p", F.col("id") % 3), path, partition_by=["p"])  # whole-folder overwrite
     back = spark.read.parquet(path)
     assert back.count() == 10 and sorted(r.p for r in back.select("p").distinct().collect()) == [0, 1, 2]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera import session
+
+    def fake(master):
+        conf = SimpleNamespace(get=lambda key, default=None: None, set=lambda *a: None)
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: conf, setCheckpointDir=lambda p: None)
+        return SimpleNamespace(sparkContext=sc, conf=conf)
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(fake(master))
+    assert session.ensure_checkpoint_dir(fake("local[4]"))
+
+
+def test_tables_are_released(spark, tmp_path):
+    from tessera import session
+
+    kept = list(session._TABLES)
+    session._TABLES.clear()
+    path = session.materialize(spark.range(3), "test-release").inputFiles()[0]
+    assert session.release() == 1 and not __import__("os").path.exists(path.removeprefix("file:").removeprefix("//"))
+    session._TABLES.extend(kept)
+
+
+def test_sizes_decide_broadcasts(spark):
+    from tessera.operators.sizes import broadcast_if_small, byte_size
+    df = spark.createDataFrame([("a" * 100, [1.0] * 50, 1), (None, None, 2)], "s string, v array<double>, k long")
+    assert byte_size(df) == (16 + 116 + 416 + 8) + (16 + 16 + 16 + 8)
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(broadcast_if_small(df, 1000)) and "broadcast" not in plan(broadcast_if_small(df, 100))
+
+
+def test_pooled_vectors_keep_rows(spark):
+    from tessera.operators.vectors import lookup_vectors, pooled_vectors
+    v = spark.createDataFrame([(1, [1.0, 3.0]), (2, [5.0, 7.0])], "vec_id int, embedding array<double>")
+    df = spark.createDataFrame([(1, [1, 2, 2]), (2, []), (3, None), (4, [9]), (5, [1, 9]), (1, [1])], "k int, ids array<int>")
+    got = sorted((r.k, r.tokens, r.missing, list(r.pooled) if r.pooled else None) for r in pooled_vectors(df, ["k"], v).collect())
+    assert got == [(1, 1, 0, [1.0, 3.0]), (1, 3, 0, [11 / 3, 17 / 3]), (2, 0, 0, None), (3, 0, 0, None), (4, 0, 1, None),
+                   (5, 1, 1, [1.0, 3.0])]
+    gathered = sorted((r.k, r.vectors) for r in lookup_vectors(df, ["k"], v).collect())
+    assert gathered[0] == (1, [[1.0, 3.0]]) and gathered[-1] == (5, [[1.0, 3.0], None]) and len(gathered) == 6
+    with pytest.raises(ValueError):
+        pooled_vectors(df, ["k"], v.union(spark.createDataFrame([(3, [1.0])], v.schema)))
+    with pytest.raises(ValueError):
+        pooled_vectors(df, ["k"], v.limit(0))
