@@ -68,7 +68,7 @@ def op8_toxicity(spark: SparkSession, base: str) -> DataFrame:
 
 def op9_urls(spark: SparkSession, base: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
-    return urls.judge_urls(table(spark, base, "pages"))
+    return urls.judge_urls(table(spark, base, "pages")).withColumn("score", F.round("score", 5))
 
 
 def op10_near_copies(spark: SparkSession, base: str) -> DataFrame:

@@ -12,17 +12,20 @@ from .conftest import SF, frame, plain
 
 
 def brute_contamination(docs, items, size=13):
+    windows = {}
+    for item, body in items:
+        b = plain(body)
+        k = min(size, len(b))
+        for j in range(len(b) - k + 1 if k else 0):
+            windows.setdefault(k, {}).setdefault(tuple(b[j:j + k]), set()).add(str(item))
     out = []
     for doc_id, text in docs:
         ws, hit, found = plain(text), set(), set()
-        for item, body in items:
-            b = plain(body)
-            k = min(size, len(b))
-            for j in range(len(b) - k + 1 if k else 0):
-                for p in range(len(ws) - k + 1):
-                    if ws[p:p + k] == b[j:j + k]:
-                        found.add(str(item))
-                        hit.update(range(p, p + k))
+        for k, known in windows.items():
+            for p in range(len(ws) - k + 1):
+                if (items_here := known.get(tuple(ws[p:p + k]))):
+                    found |= items_here
+                    hit.update(range(p, p + k))
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(ws), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(ws)))
     return sorted(out, key=str)
