@@ -222,3 +222,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in neardup.components(df).collect()}
     assert {n for n, x in got.items() if x == 0} == {*range(1, 41), 300}
     assert {n for n, x in got.items() if x == 100} == set(range(101, 160)) and got[501] == 500
+
+
+def test_near_copies_of_a_large_drifting_group(spark):
+    """Copies of one text with few to many edits: links to the first, between copies, and none at all."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    docs = [(1, " ".join(base))]
+    for k in range(160):
+        ws = (base if k % 3 else docs[rng.randrange(len(docs))][1].split())[:]
+        for _ in range(rng.randrange(1, 9)):
+            ws[rng.randrange(len(ws))] = f"new{rng.randrange(10_000)}"
+        docs.append((k + 2, " ".join(ws)))
+    want = brute_classes(docs)
+    assert 5 < len(set(want.values())) < 120
+    assert {r.doc_id: r.class_id for r in neardup.near_copies(frame(spark, docs)).collect()} == want
