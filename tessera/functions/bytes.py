@@ -51,6 +51,22 @@ def encoded_length(c, allow_special: bool = True) -> Column:
     return n - n_eos * (len(EOS_TEXT.encode("utf-8")) - 1)
 
 
+def _span(text: Column, n: int) -> Column:
+    """Characters that hold at least ``n`` whole tokens: a character is one token or more,
+    but for the EOS literal, where 13 make one, and a cut may split one."""
+    return F.when(F.instr(text, EOS_TEXT) > 0, F.lit(len(EOS_TEXT) * (n + 1))).otherwise(F.lit(n))
+
+
+def head_text(c, n: int) -> Column:
+    """The beginning of a text that holds its first ``n`` tokens (or all of it)."""
+    return F.left(col_of(c), _span(col_of(c), n))
+
+
+def tail_text(c, n: int) -> Column:
+    """The end of a text that holds its last ``n`` tokens (or all of it)."""
+    return F.right(col_of(c), _span(col_of(c), n))
+
+
 def decode_ids(c) -> Column:
     """Ids -> text; 256 decodes to the EOS literal. Bytes go back through
     ISO-8859-1 characters, then the byte string is read as UTF-8."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.bytes import EOS_ID, IGNORE_INDEX, encode_ids
+from tessera.functions.bytes import EOS_ID, IGNORE_INDEX, encode_ids, encoded_length, head_text
 from tessera.functions.text import EOS_TEXT, RAW_TAG, REDACTED_TAG, col_of
 
 
@@ -33,15 +33,17 @@ def sft_answer(df: DataFrame, col: str = "redacted_text", out: str = "answer") -
     return df.withColumn(out, answer_text(col))
 
 
-def sft_ids(df: DataFrame, raw: str = "original_text", red: str = "redacted_text") -> DataFrame:
-    """encode prompt and answer separately, keep the prompt length, concatenate."""
-    p = encode_ids(prompt_text(raw))
-    a = encode_ids(answer_text(red))
-    return (df.withColumn("_p", p).withColumn("_a", a)
-            .withColumn("prompt_len", F.size("_p"))
-            .withColumn("full", F.concat("_p", "_a"))
-            .withColumn("full_len", F.size("full"))
-            .drop("_p", "_a"))
+def sft_ids(df: DataFrame, raw: str = "original_text", red: str = "redacted_text", limit: int | None = None) -> DataFrame:
+    """encode prompt and answer separately, keep the prompt length, concatenate.
+
+    ``limit`` encodes only as much of both as the first ``limit`` tokens need; the
+    lengths are those of the whole texts, counted without an array.
+    """
+    p, a = prompt_text(raw), answer_text(red)
+    cut = (lambda t: head_text(t, limit)) if limit else (lambda t: t)
+    return (df.withColumn("prompt_len", encoded_length(p).cast("int"))
+            .withColumn("full_len", (encoded_length(p) + encoded_length(a)).cast("int"))
+            .withColumn("full", F.concat(encode_ids(cut(p)), encode_ids(cut(a)))))
 
 
 def sft_truncate(df: DataFrame, L: int) -> DataFrame:
@@ -82,7 +84,7 @@ def sft_examples(df: DataFrame, L: int, mode: str = "uniform", raw: str = "origi
     """F1-F5 in one projection; adds ``input``, ``target``, ``prompt_len``, ``full_len``, ``overflow``."""
     if mode not in ("uniform", "reference"):
         raise ValueError("mode must be 'uniform' or 'reference'")
-    out = sft_pad(sft_mask(sft_target(sft_truncate(sft_ids(df, raw, red), L), eos)), L, eos)
+    out = sft_pad(sft_mask(sft_target(sft_truncate(sft_ids(df, raw, red, L + 1), L), eos)), L, eos)
     if mode == "uniform":
         out = out.withColumn("input", F.slice("input", 1, L)).withColumn("target", F.slice("target", 1, L))
     return out

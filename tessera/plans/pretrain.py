@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.batching import batches, epochs_needed, limit_steps, shuffle, update_groups
 from tessera.operators.corpus import cap, drop_blank
 from tessera.operators.packing import pack, stream_bigrams
-from tessera.functions.bytes import encode_ids, encoded_length
+from tessera.functions.bytes import encode_ids, encoded_length, head_text, tail_text
 from tessera.functions.text import EOS_TEXT
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
@@ -46,13 +46,8 @@ def corpus_text(spark: SparkSession, base: str, max_samples: int | None = None,
 def windows(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
     """Packed byte windows. Documents cross the offsets shuffle as text and are
     encoded after it (4x less shuffle than int arrays)."""
-    # A byte token spans at most 13 characters (the EOS literal), so the first
-    # and last 13*(L+1) characters hold at least L+1 whole tokens even when the
-    # cut splits an EOS literal: boundary windows encode only those.
-    span = len(EOS_TEXT) * (L + 1)
     return pack(corpus_text(spark, base, max_samples), L, ids=encode_ids("text"), n_ids="n_ids",
-                head_ids=encode_ids(F.substring("text", 1, span)),
-                tail_ids=encode_ids(F.substring("text", -span, span)))
+                head_ids=encode_ids(head_text("text", L + 1)), tail_ids=encode_ids(tail_text("text", L + 1)))
 
 
 def window_bigrams(spark: SparkSession, base: str, L: int, max_samples: int | None = None) -> DataFrame:
