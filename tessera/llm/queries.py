@@ -18,17 +18,27 @@ from tessera.llm import (
     urls,
 )
 from tessera.llm.common import table
+from tessera.session import materialize
 
 
 def op1_fingerprints(spark: SparkSession, base: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    rows = fingerprints.document_fingerprints(table(spark, base, "documents"))
+    """Fingerprints of every document and of its edited text.
+
+    ``n_near`` is the search: for documents whose id is divisible by 20 (null for
+    others), the number of other distinct fingerprints within the radius.
+    """
+    rows = materialize(fingerprints.document_fingerprints(table(spark, base, "documents")), "op1")
+    asked = F.col("doc_id") % 20 == 0
+    near = fingerprints.near_fingerprints(rows.select("fp"), queries=rows.filter(asked).select("fp"))
+    near = near.groupBy(F.col("a").alias("_fp")).agg(F.count("*").alias("_near"))
+    rows = rows.join(near, asked & (F.col("fp") == F.col("_fp")), "left")
     fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
         fingerprints.hex_fingerprint(fp).alias("fingerprint"),
         fingerprints.hex_fingerprint(edited).alias("edited_fingerprint"),
-        fingerprints.likeness(fp, edited).alias("near_edited"), fingerprints.likeness(fp, after).alias("near_next"))
+        fingerprints.likeness(fp, edited).alias("near_edited"), fingerprints.likeness(fp, after).alias("near_next"),
+        F.when(asked, F.coalesce("_near", F.lit(0))).alias("n_near"))
 
 
 def op2_quality(spark: SparkSession, base: str) -> DataFrame:
