@@ -7,7 +7,8 @@ travels as one packed string of its words to the bucket of its minimiser, where
 sorting brings equal windows together in corpus order: all but the first of a run
 of equals repeat an earlier start.
 
-Two steps keep the traffic low. A census counts the minimisers of all super-k-mers
+Three steps keep the traffic low. A copy of an earlier text repeats it as a whole and
+sends nothing. A census counts the minimisers of all super-k-mers
 (numbers only, summed before the shuffle); a window whose minimiser occurs in one
 super-k-mer alone, without a repeat inside it, cannot occur twice, so only the other
 stretches travel. And equal strings of one task are folded into their first
@@ -102,6 +103,12 @@ def _order(key: tuple) -> tuple:
     return (doc_id is not None, doc_id or 0, tie, start)
 
 
+def _spread(*key) -> int:
+    """Bucket by content."""
+    raw = key[0] if isinstance(key[0], bytes) else repr(key).encode()
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def packed_rows(window: int, hot: int):
     """Packs the stretches listed in ``found``; equal strings of a batch travel once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +118,10 @@ def packed_rows(window: int, hot: int):
             for doc_id, tie, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "text", "found")),
                                                 strict=True):
                 words = (text or "").encode().split()
+                if any(s["mini"] is None for s in found):  # the text is a copy: all its windows start earlier
+                    if len(words) >= window:
+                        seen[(_spread(doc_id, tie, 0), b"", doc_id, tie)] = [-len(words), (doc_id, tie, 0)]
+                    continue
                 for s in found:
                     if s["hot"]:
                         pieces = [(s["start"] + j, 1) for j in range(s["n"])]
@@ -120,7 +131,7 @@ def packed_rows(window: int, hot: int):
                         packed = b" ".join(words[start:start + n + window - 1])
                         bucket = s["mini"]
                         if s["hot"]:
-                            bucket = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+                            bucket = _spread(packed)
                         places = seen.setdefault((bucket, packed), [n])
                         size += len(packed) * (len(places) == 1) + 48
                         places.append((doc_id, tie, start))
@@ -134,7 +145,7 @@ def packed_rows(window: int, hot: int):
 
 def _packed_batch(seen: dict) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in range(7)]
-    for (bucket, packed), (n, *places) in seen.items():
+    for (bucket, packed, *_), (n, *places) in seen.items():
         places.sort(key=_order)
         same = [dict(zip(("doc_id", "tie", "start"), p, strict=True)) for p in places[1:]]
         for c, v in zip(cols, (bucket, packed, *places[0], n, same), strict=True):
@@ -173,9 +184,11 @@ def repeat_rows(window: int):
         else:
             repeated = [False] * len(windows)
         for i, (_, doc_id, tie, start, n, same) in enumerate(rows):
-            for lo, hi in ranges(repeated[at[i]:at[i] + n], start):
+            if n < 0:
+                yield doc_id, tie, 0, -n
+            for lo, hi in ranges(repeated[at[i]:at[i] + max(n, 0)], start):
                 yield doc_id, tie, lo, hi
-            for p in same if same is not None else ():
+            for p in same:
                 yield p["doc_id"], p["tie"], p["start"], p["start"] + n + window - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +222,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     stretches = docs.mapInArrow(census_rows(window, minimiser), CENSUS)
     counts = stretches.groupBy("mini").agg(F.count("*").alias("c"), F.max("moves").alias("moves"))
     again = counts.filter((F.col("c") > 1) | F.col("moves")).select("mini", "c")
-    found = (stretches.drop("moves").join(again, "mini")
-             .groupBy("doc_id", "tie").agg(F.collect_set(F.struct(
-                 "mini", "start", "n", (F.col("c") > hot).alias("hot"))).alias("found")))
+    found = stretches.drop("moves").join(again, "mini")
+    found = (found.unionByName(_copies(docs), allowMissingColumns=True).groupBy("doc_id", "tie").agg(F.collect_set(F.struct(
+                 "mini", "start", "n", (F.coalesce("c", F.lit(0)) > hot).alias("hot"))).alias("found")))
     left = found.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "found")
     held = docs.join(left, docs["doc_id"].eqNullSafe(left["_d"]) & (docs["tie"] == left["_t"]))
     packed = held.select("doc_id", "tie", "text", "found").mapInArrow(packed_rows(window, hot), PACKED)
@@ -220,6 +233,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     return ranges.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """Documents whose whole text is that of an earlier one, by a digest of the text."""
+    each = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct("doc_id", "tie").alias("node"))
+    first = each.groupBy("digest").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = each.join(first.select("digest", "first"), "digest").filter(F.col("node") != F.col("first"))
+    return later.select("node.doc_id", "node.tie")
+
+
 def _kept_words(text: str | None, ranges) -> tuple[list[bytes], int]:
     words = (text or "").encode().split()
     if ranges is None or not len(ranges):
