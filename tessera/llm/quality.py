@@ -43,6 +43,8 @@ LABELLERS = (
 SYMBOLS = b"#$%&*+<=>@[]^_`{|}~\\"
 ROUNDS = 200
 SAMPLE = 20_000
+#: Features of the linear scorer: the most frequent ones of the sample, in at least LEAST_TEXTS texts.
+MOST_FEATURES, LEAST_TEXTS = 20_000, 5
 BUCKETS = 1 << 18
 FIT_ROUNDS = 200
 RATE = 0.5
@@ -225,7 +227,7 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | Non
     rows = picked.mapInArrow(feature_rows, "pattern long, cols array<int>, x array<float>")
     # only features of several sample texts are fitted, so that the driver receives few of them
     known = (rows.select(F.explode("cols").alias("c")).groupBy("c").count()
-             .filter("count >= 5").orderBy(F.desc("count"), "c").limit(20_000))
+             .filter(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "c").limit(MOST_FEATURES))
     keep = np.zeros(BUCKETS, bool)
     keep[[r["c"] for r in known.collect()]] = True
     got = rows.mapInArrow(_only(keep), rows.schema).toPandas()
