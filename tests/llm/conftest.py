@@ -22,7 +22,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-    s = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    s = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4")
          .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
