@@ -28,6 +28,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from tessera.llm.wordarrays import BYTE_WEIGHTS, Words, buffers, chunks, mix, pl
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
-MOST_TOXIC, MOST_CLEAN = 10_000, 30_000
+MOST_TOXIC, MOST_CLEAN = 5_000, 15_000
 MAX_FEATURES = 4_000
 LEAST_DOCS = 3
 LEAST_CHI2 = 30.0
@@ -212,17 +213,17 @@ def fit_severity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
     chosen.sort(key=lambda r: r["bucket"])
     buckets = np.array([r["bucket"] for r in chosen], np.int64)
     lift = np.array([r["lift"] > 0 for r in chosen])
-    rows = sample.mapInArrow(sample_rows(buckets), "toxic int, cols array<int>, n array<int>").toPandas()
-    size = np.array([len(c) for c in rows["cols"]])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.concatenate([np.asarray(c, np.int64) for c in rows["cols"]]) if size.sum() else np.empty(0, np.int64)
-    x = np.log1p(np.concatenate([np.asarray(c, float) for c in rows["n"]])) if size.sum() else np.empty(0)
-    toxic = rows["toxic"].to_numpy().astype(int)
-    evidence = np.bincount(row, weights=x * lift[col], minlength=len(rows))
+    # a few numbers per sample text, received as flat Arrow arrays
+    got = sample.mapInArrow(sample_rows(buckets), "toxic int, cols array<int>, n array<int>").toArrow().combine_chunks()
+    cols, times = (got.column(c).combine_chunks() for c in ("cols", "n"))
+    toxic = got.column("toxic").to_numpy().astype(int)
+    row = np.repeat(np.arange(len(toxic)), pc.list_value_length(cols).to_numpy())
+    col, x = cols.flatten().to_numpy().astype(np.int64), np.log1p(times.flatten().to_numpy().astype(float))
+    evidence = np.bincount(row, weights=x * lift[col], minlength=len(toxic))
     middle = np.median(evidence[toxic == 1])
     grade = np.where(toxic == 0, 0, 1 + (evidence > middle))
     weights, thetas = fit_ordinal(row, col, x, grade, len(buckets))
-    margin = np.bincount(row, weights=weights[col] * x, minlength=len(rows))
+    margin = np.bincount(row, weights=weights[col] * x, minlength=len(toxic))
     model = OrdinalModel(buckets, weights, thetas)
     cut = best_cut(margin, toxic)
     return replace(model, reject=float(model.exceeds(np.array([cut]))[0, 0]))
