@@ -11,10 +11,10 @@ similarity of their weighted sets.
 Texts with equal words are one node from the start. ``BANDS`` bands of registers
 bring alike nodes together: with 24 bands of 5, a pair at 0.8 shares a bucket with
 probability 0.9999. A bucket is not turned into pairs. Its nodes are compared with
-its smallest node; accepted links give components; then only nodes of a bucket
-outside its largest component are compared with the nodes of other components in
-it. So a link between two nodes of a bucket is either verified or lies within one
-component already. A link needs an exact Jaccard similarity of the shingle sets of
+its smallest node; accepted links give components; then nodes of a bucket outside its
+largest component are compared with the nodes of other components in it, but for
+pairs that exact bounds on their rare shingles rule out. So a link between two nodes
+of a bucket is either verified or lies within one component already. A link needs an exact Jaccard similarity of the shingle sets of
 at least ``SIMILARITY``. Components come from alternating star steps, each written
 to the shared folder.
 
@@ -40,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+#: Nodes among the compared ones up to which a shingle counts as rare.
+RARE = 8
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,17 +141,23 @@ def shingle_rows(size: int):
     return rows
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs (a, b)`` whose shingle sets have at least the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.struct("doc_id", "tie").alias("node"), "text").join(wanted, "node", "left_semi")
-    node = "struct<doc_id:bigint,tie:bigint>"
-    sets = texts.mapInArrow(shingle_rows(size), f"node {node}, shingles array<long>")
+NODE = "struct<doc_id:bigint,tie:bigint>"
+
+
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(node, shingles)`` of the given nodes."""
+    texts = docs.select(F.struct("doc_id", "tie").alias("node"), "text").join(nodes, "node", "left_semi")
+    return texts.mapInArrow(shingle_rows(size), f"node {NODE}, shingles array<long>")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, n, linked, own)`` of pairs: shingles of ``a``, whether they are alike, and those that ``b`` lacks."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("own", F.array_except("sa", "sb"))
+    n, common = F.size("sa"), F.size("sa") - F.size("own")
+    linked = common >= similarity * (n + F.size("sb") - common) - 1e-9
+    return both.select("a", "b", n.alias("n"), linked.alias("linked"), "own")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,29 +189,74 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _links(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links between nodes that span the components of all links found by the bands."""
+def _pairs_between(rest: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of one bucket, in different components, that may be linked.
+
+    ``rest`` has the nodes of mixed buckets (but the first of each) with their label and the
+    bucket's major one; ``facts`` has, by node and first node, the number of its shingles and
+    those that the first one lacks (``own``). A link of texts of n and m shingles shares at least f(n + m) of them,
+    f = similarity / (1 + similarity). So a text with more than n - f(n + m) rare own
+    shingles (in at most ``RARE`` nodes compared with that first node) shares a rare one
+    with any partner, and the pair is met by that shingle, at most ``RARE`` times each.
+    Only the other pairs are met by their bucket. Nothing is lost, and a group of near
+    copies that differ from each other in their own edits does not turn into all its pairs.
+    """
+    share = similarity / (1 + similarity)
+    once = rest.select("first", "node", "label").distinct().join(facts, ["first", "node"])
+    tokens = once.select("first", "node", "label", F.explode("own").alias("s"))
+    rare = tokens.groupBy("first", "s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
+    held = materialize(tokens.join(rare, ["first", "s"]), "rare")
+    counts = held.groupBy("first", "node").agg(F.count("*").alias("r"))
+    counts = once.select("first", "node", "n").join(counts, ["first", "node"], "left").fillna(0, ["r"])
+    rest = rest.join(counts, ["first", "node"])
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("band", "h", F.col("node").alias(name), *[
+            F.col(c).alias(f"{c}_{name}") for c in ("label", "major", "n", "r")])
+
+    # by bucket: neither text has so many rare shingles that a link must share one;
+    # a partner has at least similarity * n shingles, which leaves few texts to compare
+    few = rest.filter(F.col("r") <= (1 - similarity) * F.col("n") + 1e-9)
+    spare = lambda x: F.col(f"r_{x}") <= F.col(f"n_{x}") - share * (F.col("n_a") + F.col("n_b")) + 1e-9
+    by_bucket = side(few.filter("label != major"), "a").join(side(few, "b"), ["band", "h"]).filter(
+        (F.col("label_a") != F.col("label_b")) & spare("a") & spare("b")
+        & ((F.col("label_b") == F.col("major_b")) | (F.col("a") > F.col("b"))))
+    shared = held.filter("df > 1")
+    left = shared.select("first", "s", F.col("node").alias("a"), F.col("label").alias("la"))
+    right = shared.select("first", "s", F.col("node").alias("b"), F.col("label").alias("lb"))
+    by_shingle = left.join(right, ["first", "s"]).filter((F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")))
+    return by_bucket.select("a", "b").union(by_shingle.select("a", "b")).distinct()
+
+
+def _labels(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(node, label)`` of the nodes with a link that the bands find; the label is the smallest node."""
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = materialize(
         buckets.groupBy("band", "h").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = materialize(buckets.join(shared.select("band", "h", "first"), ["band", "h"]), "members")
+    sets = materialize(_shingle_sets(members.select("node").distinct(), docs, size), "shingles")
     tried = members.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = materialize(_verified(tried, docs, size, similarity), "links-to-first")
-    if not members.limit(1).count():
-        return links
-    label = components(links)
+    tried = materialize(_compared(tried, sets, similarity), "tried")
+    label = components(tried.filter("linked"))
     placed = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"))
              .groupBy("band", "h").agg(F.max_by("label", "n").alias("major"), F.count("*").alias("labels"))
              .filter("labels > 1").select("band", "h", "major"))
-    rest = materialize(placed.join(mixed, ["band", "h"]).select("band", "h", "node", "label", "first", "major"), "rest")
-    minor = rest.filter("label != major").select("band", "h", F.col("node").alias("a"), F.col("label").alias("la"))
-    other = rest.select("band", "h", F.col("node").alias("b"), F.col("label").alias("lb"), "first", "major")
-    # pairs of two minor nodes are met from both sides, and the first node was compared before
-    new = ((F.col("la") != F.col("lb")) & (F.col("b") != F.col("first")) & (F.col("a") != F.col("first"))
-           & ((F.col("lb") == F.col("major")) | (F.col("a") > F.col("b"))))
-    pairs = minor.join(other, ["band", "h"]).filter(new).select("a", "b").distinct()
-    return links.union(materialize(_verified(pairs, docs, size, similarity), "links-between"))
+    facts = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), "n", "own")
+    rest = materialize(placed.join(mixed, ["band", "h"]).filter("node != first"), "rest")
+    pairs = _pairs_between(rest, facts, similarity)
+    between = materialize(_compared(pairs, sets, similarity).filter("linked").select("a", "b"), "between")
+    if not between.limit(1).count():
+        return label
+    # the few links between components join their labels
+    for side in ("a", "b"):
+        named = label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        between = between.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    joined = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    own = joined.select(F.col("label").alias("node"), "label")  # labels, and nodes that had no link before
+    every = label.union(own.join(label, "node", "left_anti"))
+    return every.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
 
 
 def near_copy_classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -217,7 +270,7 @@ def near_copy_classes(docs: DataFrame, size: int = SHINGLE, similarity: float =
     nodes = (words.groupBy("h1", "h2").agg(F.min(F.struct(node.alias("node"), F.col("bands"))).alias("m"))
              .select("h1", "h2", "m.node", "m.bands"))
     nodes = materialize(nodes, "nodes")
-    label = components(_links(nodes.select("node", "bands"), docs, size, similarity))
+    label = _labels(nodes.select("node", "bands"), docs, size, similarity)
     named = nodes.select("h1", "h2", "node").join(label, "node", "left")
     named = named.select("h1", "h2", F.coalesce("label", "node").alias("class"))
     alone = F.coalesce(F.col("class"), F.struct("doc_id", "tie"))
