@@ -1,12 +1,13 @@
 """Near-duplicates by ProbMinHash.
 
-A text is the weighted set of its shingles (``SHINGLE`` consecutive plain words; a
-shorter text is one shingle of all its words). A shingle met ``c`` times weighs
-``1 + ln c``. Each shingle starts a Poisson process whose rate is its weight; every
-arrival picks one of ``REGISTERS`` registers, a register keeps the shingle of its
-earliest arrival, and a shingle stops as soon as its time is beyond the latest
-register of its text. Two texts agree in a register with the probability Jaccard
-similarity of their weighted sets.
+A text is the set of its shingles (``SHINGLE`` consecutive plain words; a shorter text
+is one shingle of all its words), each of weight 1 however often it occurs: links are
+defined on the sets, so the search goes by them too. Each shingle starts a Poisson
+process whose rate is its weight; every arrival picks one of ``REGISTERS`` registers, a
+register keeps the shingle of its earliest arrival, and a shingle stops as soon as its
+time is beyond the latest register of its text. Two texts agree in a register with the
+probability Jaccard similarity, which for equal weights is the Jaccard similarity of
+the sets.
 
 Texts with equal words are one node from the start. ``BANDS`` bands of registers
 bring alike nodes together: with 24 bands of 5, a pair at 0.8 shares a bucket with
@@ -113,8 +114,8 @@ def signature_rows(size: int):
             raw, offs = buffers(b.column("text"))
             for lo, hi in chunks(offs):
                 w = Words(raw, offs, lo, hi, table)
-                doc, key, count = shingles(w, size)
-                bands = band_hashes(prob_minhash(doc, key, 1 + np.log(count), w.n_docs)).view(np.int64)
+                doc, key, _ = shingles(w, size)
+                bands = band_hashes(prob_minhash(doc, key, np.ones(len(key)), w.n_docs)).view(np.int64)
                 some = w.per_doc > 0
                 ends = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
                 digest = [sequence_hash(w, seed).view(np.int64) for seed in (12, 13)]

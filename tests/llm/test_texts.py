@@ -189,6 +189,18 @@ def test_near_copies_match_brute_force(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_that_repeat_shared_words_unequally(spark):
+    """A link is one of shingle sets, so it is found however often one of two texts repeats what both have."""
+    rng = random.Random(4)
+    docs = []
+    for k in range(25):
+        once, line, own = ([f"w{rng.randrange(100_000)}" for _ in range(n)] for n in (45, 49, 18))
+        docs += [(2 * k, " ".join(once + line)), (2 * k + 1, " ".join(once + line * 300 + own))]
+    want = brute_classes(docs)
+    assert want == {d: d - d % 2 for d, _ in docs}
+    assert {r.doc_id: r.class_id for r in neardup.near_copies(frame(spark, docs)).collect()} == want
+
+
 def test_near_copies_of_edge_rows(spark):
     rows = neardup.near_copies(frame(spark, EDGE)).collect()
     assert len(rows) == len(EDGE) - 1
