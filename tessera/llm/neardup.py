@@ -41,8 +41,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Nodes (of 16 bytes) up to which their list is broadcast to the scan of the texts.
-MAX_BROADCAST = 1_000_000
 #: Nodes among the compared ones up to which a shingle counts as rare.
 RARE = 8
 
@@ -150,12 +148,9 @@ NODE = "struct<doc_id:bigint,tie:bigint>"
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``(node, shingles)`` of the given nodes.
 
-    Their list is broadcast if it is counted to be short, which spares the shuffle of all
-    texts; a longer one is joined.
+    The join is the same at every size of the node list: both sides are shuffled, none is broadcast.
     """
-    if nodes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        nodes = F.broadcast(nodes)
-    texts = docs.select(F.struct("doc_id", "tie").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = docs.select(F.struct("doc_id", "tie").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
     return texts.mapInArrow(shingle_rows(size), f"node {NODE}, shingles array<long>")
 
 

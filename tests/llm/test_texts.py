@@ -212,6 +212,15 @@ def test_near_copies_of_edge_rows(spark):
     assert neardup.near_copies(frame(spark, EDGE).limit(0)).count() == 0
 
 
+def test_shingle_sets_are_joined_alike_at_every_size(spark):
+    docs = spark.createDataFrame([(1, 0, "a b c d e f"), (None, 0, "a b"), (2, 0, "not asked for")],
+                                 "doc_id long, tie long, text string")
+    sets = neardup._shingle_sets(docs.filter("doc_id is null or doc_id = 1").select(F.struct("doc_id", "tie").alias("node")), docs, 5)
+    assert {(r.node.doc_id, len(r.shingles)) for r in sets.collect()} == {(1, 2), (None, 1)}
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_registers_agree_with_probability_jaccard():
     rng = np.random.default_rng(3)
     for share, scale in ((0.3, 1.0), (0.8, 1.0), (0.6, 4.0)):
