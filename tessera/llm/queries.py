@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    align,
     decontaminate,
     fingerprints,
     language,
@@ -86,6 +87,11 @@ def op10_near_copies(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_copies(table(spark, base, "documents"))
 
 
+def op13_alignment(spark: SparkSession, base: str) -> DataFrame:
+    """Token groups and links of every document under two tokenizers."""
+    return align.alignment_digests(table(spark, base, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_quality, op3_languages, op4_decontamination, op5_packing, op6_substrings, op7_licenses,
-    op8_toxicity, op9_urls, op10_near_copies)}
+    op8_toxicity, op9_urls, op10_near_copies, op13_alignment)}
