@@ -113,9 +113,19 @@ FROM r JOIN sc USING (page_id), cut
 """
 
 
+ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+s AS (SELECT *, octet_length(encode(payload)) AS n FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM s
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": CONTAMINATION,
     "op6_substrings": SUBSTRINGS,
     "op9_urls": _urls(),
     "op10_near_copies": NEAR_COPIES,
+    "op11_archives": ARCHIVES,
 }

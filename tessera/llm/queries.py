@@ -17,9 +17,10 @@ from tessera.llm import (
     substrings,
     toxicity,
     urls,
+    warc,
 )
 from tessera.llm.common import table
-from tessera.session import materialize
+from tessera.session import materialize, scratch_dir
 
 
 def op1_fingerprints(spark: SparkSession, base: str) -> DataFrame:
@@ -87,6 +88,13 @@ def op10_near_copies(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_copies(table(spark, base, "documents"))
 
 
+def op11_archives(spark: SparkSession, base: str) -> DataFrame:
+    """Every page's record, read back from the archives that were written for it."""
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, base, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_alignment(spark: SparkSession, base: str) -> DataFrame:
     """Token groups and links of every document under two tokenizers."""
     return align.alignment_digests(table(spark, base, "documents"))
@@ -94,4 +102,5 @@ def op13_alignment(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_quality, op3_languages, op4_decontamination, op5_packing, op6_substrings, op7_licenses,
-    op8_toxicity, op9_urls, op10_near_copies, op13_alignment)}
+    op8_toxicity, op9_urls, op10_near_copies,
+    op11_archives, op13_alignment)}
