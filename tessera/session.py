@@ -100,16 +100,22 @@ def materialize(df, name: str):
     lost executor re-reads the table instead of re-running everything above.
     ``release`` removes the tables; it runs by itself when the program ends.
     """
-    path = shared_dir(df.sparkSession, name)
+    path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder as by ``shared_dir`` that ``release`` removes."""
+    path = shared_dir(spark, name)
     if not _TABLES:
         atexit.register(release)
-    _TABLES.append((df.sparkSession, path))
-    return df.sparkSession.read.parquet(path)
+    _TABLES.append((spark, path))
+    return path
 
 
 def release() -> int:
-    """Remove the tables that ``materialize`` wrote; frames that read them end here."""
+    """Remove the folders of ``materialize`` and ``scratch_dir``; frames that read them end here."""
     n = 0
     while _TABLES:
         spark, path = _TABLES.pop()
