@@ -12,6 +12,7 @@ from tessera.llm import (
     language,
     licenses,
     neardup,
+    negatives,
     packing,
     quality,
     substrings,
@@ -95,6 +96,13 @@ def op11_archives(spark: SparkSession, base: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_negatives(spark: SparkSession, base: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, against all vectors."""
+    label = F.col("label").cast("long")
+    rows = table(spark, base, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine_negatives(negatives.whole_vectors(rows), F.col("vec_id") % 50 == 0)
+
+
 def op13_alignment(spark: SparkSession, base: str) -> DataFrame:
     """Token groups and links of every document under two tokenizers."""
     return align.alignment_digests(table(spark, base, "documents"))
@@ -103,4 +111,4 @@ def op13_alignment(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_quality, op3_languages, op4_decontamination, op5_packing, op6_substrings, op7_licenses,
     op8_toxicity, op9_urls, op10_near_copies,
-    op11_archives, op13_alignment)}
+    op11_archives, op12_negatives, op13_alignment)}
