@@ -107,14 +107,21 @@ def encoders(a_json: str, a_ranks: str, b_model: str) -> Encoders:
     return Encoders(a_json, a_ranks, b_model)
 
 
+def ends_before(ends: np.ndarray, total: int) -> np.ndarray:
+    """For each byte of ``total`` how many tokens end before or at its start: the place of the token that holds it."""
+    mark = np.zeros(total + 1, np.int32)
+    mark[ends] = 1
+    return np.cumsum(mark[:-1], dtype=np.int32)
+
+
 def group_labels(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each A and each B token the last A token of its group, by pointer jumping.
 
     ``end_a`` and ``end_b`` are the rising byte ends of both sides; the last ones are equal.
     """
-    n = len(end_a)
-    over_b = np.searchsorted(end_b, end_a)  # the B token that holds an A token's last byte, and the reverse
-    over_a = np.searchsorted(end_a, end_b)
+    n, total = len(end_a), int(end_a[-1]) if len(end_a) else 0
+    over_b = ends_before(end_b, total)[end_a - 1]  # the B token that holds an A token's last byte, and the reverse
+    over_a = ends_before(end_a, total)[end_b - 1]
     to = np.concatenate((np.where(end_b[over_b] > end_a, n + over_b, np.arange(n)), over_a))
     while True:
         further = to[to]
@@ -133,10 +140,14 @@ def align(a: list[list[int]], b: list[list[int]], side_a: Side, side_b: Side) ->
     doc_a, doc_b = np.repeat(np.arange(n_docs), n_a), np.repeat(np.arange(n_docs), n_b)
     last = label_a == np.arange(len(ids_a))
     n_groups = np.bincount(doc_a[last], minlength=n_docs)
-    # text form: the tokens of A, then of B, group after group; both labels rise, so places follow from counts
-    place_a = np.arange(len(ids_a)) + np.searchsorted(label_b, label_a, "left")
-    place_b = np.arange(len(ids_b)) + np.searchsorted(label_a, label_b, "right")
-    ends_b = np.append(label_b[1:] != label_b[:-1], True) if len(label_b) else np.empty(0, bool)
+    # text form: the tokens of A, then of B, group after group
+    group = np.cumsum(last) - last
+    of_a, of_b = group, group[label_b]
+    many = int(last.sum())
+    sizes_a, sizes_b = np.bincount(of_a, minlength=many), np.bincount(of_b, minlength=many)
+    place_a = np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[of_a]
+    place_b = np.arange(len(ids_b)) + np.cumsum(sizes_a)[of_b]
+    ends_b = np.append(of_b[1:] != of_b[:-1], True) if len(of_b) else np.empty(0, bool)
     codes = np.empty(len(ids_a) + len(ids_b), np.int64)
     codes[place_a] = ids_a + len(side_a.bytes) * last
     codes[place_b] = 2 * len(side_a.bytes) + ids_b + len(side_b.bytes) * ends_b
@@ -145,11 +156,14 @@ def align(a: list[list[int]], b: list[list[int]], side_a: Side, side_b: Side) ->
     groups = [b"".join(map(marks.__getitem__, signs[s - n:s]))[:-1].decode()
               for s, n in zip(stops.tolist(), (n_a + n_b).tolist(), strict=True)]
     # links: between neighbouring ends of either side
-    cuts = np.union1d(end_a, end_b)
-    at_a = np.searchsorted(end_a, cuts)
+    total = int(end_a[-1]) if len(end_a) else 0
+    either = np.zeros(total + 1, bool)
+    either[end_a] = either[end_b] = True
+    cuts = np.flatnonzero(either) - 1  # last byte of each link
+    at_a = ends_before(end_a, total)[cuts]
     link_doc = doc_a[at_a]
     width = len(side_b.bytes)
-    pair = (link_doc * len(side_a.bytes) + ids_a[at_a]) * width + ids_b[np.searchsorted(end_b, cuts)]
+    pair = (link_doc * len(side_a.bytes) + ids_a[at_a]) * width + ids_b[ends_before(end_b, total)[cuts]]
     pair, times = np.unique(pair, return_counts=True)
     rest = pair // width
     return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(link_doc, minlength=n_docs), "groups": groups,
