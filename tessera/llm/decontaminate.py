@@ -12,7 +12,8 @@ windows; then the windows are joined on their words instead, with equal results.
 
 Null or empty texts have no words and are never hit. Rows with the same
 ``doc_id`` are judged one by one, and repeated rows come back repeated. An empty
-benchmark hits nothing. Extra columns of either table are ignored.
+benchmark hits nothing. An item without an id hits like any other, on every path; only the
+list and number of items leave it out. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """
     windows = benchmark_windows(benchmark, size)
     lengths, by_length = _prepared(windows, max_windows)
-    named = windows.select("window", "length", "item_id")
+    named = windows.select("window", "length", "item_id", F.lit(True).alias("known"))
     judged = docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
                          _judged(plain_words(F.col("text")), by_length, lengths).alias("r"))
     rows = judged.select("doc_id", "row", F.col("r.n_words").alias("n_words"),
@@ -146,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     rows = rows.select("doc_id", "row", "n_words", "h",
                        F.col("h.window").alias("window"), F.col("h.length").alias("length"))
     rows = rows.join(F.broadcast(named) if by_length is not None else named, ["window", "length"], "left")
-    real = F.when(F.col("item_id").isNotNull(), F.col("h"))
+    real = F.when(F.col("known"), F.col("h"))
     out = (rows.groupBy("doc_id", "row", "n_words")
            .agg(F.collect_set(real).alias("hits"), F.collect_set(F.col("item_id").cast("string")).alias("items")))
     out = out.withColumn("n_hit", _covered(F.col("hits")).cast("long"))
@@ -181,13 +182,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                  max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``(doc_id, kept)``: each text's words outside every hit window, joined by one space."""
+    """``(doc_id, kept)``: each text's words outside every hit window, joined by one space.
+
+    Beyond ``max_windows`` the hits come from :func:`contamination`, by a digest of the text.
+    """
     windows = benchmark_windows(benchmark, size)
     lengths, by_length = _prepared(windows, max_windows)
-    if by_length is None:
-        raise ValueError(f"more than {max_windows} benchmark windows; raise max_windows or drop whole documents")
 
-    def kept(ws: Column) -> Column:
-        return let(_judged(ws, by_length, lengths)["hits"], lambda hits: F.array_join(F.filter(
-            ws, lambda w, i: ~F.exists(hits, lambda x: (x["start"] <= i) & (i < x["start"] + x["length"]))), " "))
-    return docs.select("doc_id", let(plain_words(docs["text"]), kept).alias("kept"))
+    def outside(ws: Column, hits: Column) -> Column:
+        return F.array_join(F.filter(
+            ws, lambda w, i: ~F.exists(hits, lambda x: (x["start"] <= i) & (i < x["start"] + x["length"]))), " ")
+
+    if by_length is not None:
+        return docs.select("doc_id", let(plain_words(docs["text"]), lambda ws: let(
+            _judged(ws, by_length, lengths)["hits"], lambda hits: outside(ws, hits))).alias("kept"))
+    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    found = contamination(docs.select(key.alias("doc_id"), "text").distinct(), benchmark, size, max_windows)
+    found = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_key"), F.col("hits").alias("_hits"))
+    joined = docs.select("doc_id", "text", key.alias("_own")).join(found, F.col("_own") == F.col("_key"), "left")
+    hits = F.coalesce("_hits", F.array().cast("array<struct<start:int,length:int,window:string>>"))
+    return joined.select("doc_id", let(hits, lambda h: let(plain_words(F.col("text")), lambda ws: outside(ws, h))).alias("kept"))

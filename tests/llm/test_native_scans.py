@@ -51,6 +51,17 @@ def test_contamination_matches_brute_force(spark, limit):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(clean, key=str)
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_items_without_an_id_hit_like_others(spark, limit):
+    """Words under them are hit and documents go, on either path; only the list of items leaves them out."""
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "one two three"), (8, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see alpha beta gamma"), (2, "one two three"), (3, "alpha beta")], "doc_id long, text string")
+    got = decontaminate.contamination(docs, items, max_windows=limit).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(3, 0, True), (3, 1, True), (0, 0, False)]
+    assert got[0].items_sha256 == hashlib.sha256(b"").hexdigest() != got[1].items_sha256
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items, max_windows=limit).collect()] == [3]
+
+
 def test_contamination_of_planted_passages(spark, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     planted = documents[:60] + [(10_000 + i, f"head {t} tail") for i, t in items[:5]]
@@ -69,10 +80,13 @@ def test_contamination_of_empty_tables(spark):
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
 
 
-def test_spans_are_removed(spark):
-    docs = spark.createDataFrame([(1, "keep alpha beta gamma this")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    assert decontaminate.remove_spans(docs, items).first()["kept"] == "keep this"
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_spans_are_removed(spark, limit):
+    docs = spark.createDataFrame([(1, "keep alpha beta gamma this"), (2, None), (2, "alpha beta gamma"), (3, "as it is"), (3, "as it is")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (None, "gamma this")], "item_id long, text string")
+    kept = sorted(map(tuple, decontaminate.remove_spans(docs, items, max_windows=limit).collect()))
+    assert kept == [(1, "keep"), (2, ""), (2, ""), (3, "as it is"), (3, "as it is")]
 
 
 def brute_licenses(docs):
