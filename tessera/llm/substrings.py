@@ -13,9 +13,10 @@ sends nothing. A census counts the minimisers of all super-k-mers
 super-k-mer alone, without a repeat inside it, cannot occur twice, so only the other
 stretches travel. And equal strings of one task are folded into their first
 occurrence, which carries the places of the others. Minimisers of more than
-``HOT`` stretches are split: their windows travel one by one to the bucket of the
-window's own hash. Nothing is capped: hashes only choose what meets where, and
-equality is decided on the words.
+``HOT`` windows are split: their windows travel one by one as a 128-bit digest of their
+words and a place; the first place of each digest is a partially aggregated minimum, joined
+back to the places, so the places of a window that stands in a third of all documents are
+never one task's list. Nothing is capped. Elsewhere equality is decided on the words.
 
 Documents are keyed by ``doc_id`` and, where ids repeat, a hash of the text; the
 order among equal ids is by that hash, null ids come first. Rows equal in both are
@@ -36,17 +37,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import tie_breaker
 from tessera.llm.wordarrays import Words, buffers, chunks, sliding_min, spaced_table
+from tessera.session import materialize
 
 WINDOW = 20
 MINIMISER = 5
 #: Longest super-k-mer, in windows; a longer stretch is cut, which loses no window.
 LONGEST = 256
-#: Stretches of one minimiser above which its windows travel one by one.
-HOT = 5_000
+#: Windows of one minimiser above which they travel one by one; a bucket holds no more.
+HOT = 50_000
 
 CENSUS = "mini long, doc_id long, tie long, start int, n int, moves boolean"
 PACKED = ("bucket long, words binary, doc_id long, tie long, start int, n int, "
           "same array<struct<doc_id:long,tie:long,start:int>>")
+RANGES = "doc_id long, tie long, lo int, hi int"
 
 
 def _stretches(w: Words, window: int, minimiser: int) -> tuple[np.ndarray, ...]:
@@ -104,12 +107,11 @@ def _order(key: tuple) -> tuple:
 
 
 def _spread(*key) -> int:
-    """Bucket by content."""
-    raw = key[0] if isinstance(key[0], bytes) else repr(key).encode()
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    """Bucket of a place."""
+    return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def packed_rows(window: int, hot: int):
+def packed_rows(window: int):
     """Packs the stretches listed in ``found``; equal strings of a batch travel once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,19 +125,12 @@ def packed_rows(window: int, hot: int):
                         seen[(_spread(doc_id, tie, 0), b"", doc_id, tie)] = [-len(words), (doc_id, tie, 0)]
                     continue
                 for s in found:
-                    if s["hot"]:
-                        pieces = [(s["start"] + j, 1) for j in range(s["n"])]
-                    else:
-                        pieces = [(s["start"], s["n"])]
-                    for start, n in pieces:
-                        packed = b" ".join(words[start:start + n + window - 1])
-                        bucket = s["mini"]
-                        if s["hot"]:
-                            bucket = _spread(packed)
-                        places = seen.setdefault((bucket, packed), [n])
-                        size += len(packed) * (len(places) == 1) + 48
-                        places.append((doc_id, tie, start))
-                if size > 16_000_000:
+                    start, n = s["start"], s["n"]
+                    packed = b" ".join(words[start:start + n + window - 1])
+                    places = seen.setdefault((s["mini"], packed), [n])
+                    size += len(packed) * (len(places) == 1) + 48
+                    places.append((doc_id, tie, start))
+                if size > 4_000_000:
                     yield _packed_batch(seen)
                     seen, size = {}, 0
             if seen:
@@ -143,6 +138,30 @@ def packed_rows(window: int, hot: int):
     return rows
 
 
+def hot_rows(window: int):
+    """Digest and place of each window of the stretches listed in ``found``."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+
+        def emit(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                              ["window", "doc_id", "tie", "start"])
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, tie, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "text", "found")), strict=True):
+                words = (text or "").encode().split()
+                for s in found:
+                    for start in range(s["start"], s["start"] + s["n"]):
+                        digest = hashlib.blake2b(b" ".join(words[start:start + window]), digest_size=16).digest()
+                        out.append((digest, doc_id, tie, start))
+                    if len(out) > 20_000:
+                        yield emit(out)
+                        out = []
+            if out:
+                yield emit(out)
+    return rows
+
+
 def _packed_batch(seen: dict) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in range(7)]
     for (bucket, packed, *_), (n, *places) in seen.items():
@@ -220,16 +239,26 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     ``docs`` has ``doc_id, tie, text``. Ranges may overlap.
     """
     stretches = docs.mapInArrow(census_rows(window, minimiser), CENSUS)
-    counts = stretches.groupBy("mini").agg(F.count("*").alias("c"), F.max("moves").alias("moves"))
-    again = counts.filter((F.col("c") > 1) | F.col("moves")).select("mini", "c")
+    counts = stretches.groupBy("mini").agg(F.count("*").alias("c"), F.sum("n").alias("windows"), F.max("moves").alias("moves"))
+    again = counts.filter((F.col("c") > 1) | F.col("moves")).select("mini", "windows")
     found = stretches.drop("moves").join(again, "mini")
-    found = (found.unionByName(_copies(docs), allowMissingColumns=True).groupBy("doc_id", "tie").agg(F.collect_set(F.struct(
-                 "mini", "start", "n", (F.coalesce("c", F.lit(0)) > hot).alias("hot"))).alias("found")))
+    found = found.unionByName(_copies(docs), allowMissingColumns=True).groupBy("doc_id", "tie").agg(F.collect_set(F.struct(
+        "mini", "start", "n", (F.coalesce("windows", F.lit(0)) > hot).alias("hot"))).alias("found"))
+    found = materialize(found, "stretches")
     left = found.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "found")
-    held = docs.join(left, docs["doc_id"].eqNullSafe(left["_d"]) & (docs["tie"] == left["_t"]))
-    packed = held.select("doc_id", "tie", "text", "found").mapInArrow(packed_rows(window, hot), PACKED)
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "tie", "start")
-    ranges = dealt.mapInArrow(repeat_rows(window), "doc_id long, tie long, lo int, hi int")
+    held = docs.join(left, docs["doc_id"].eqNullSafe(left["_d"]) & (docs["tie"] == left["_t"])).select("doc_id", "tie", "text", "found")
+
+    def part(is_hot: bool) -> DataFrame:
+        own = held.withColumn("found", F.filter("found", lambda s: s["hot"] == F.lit(is_hot)))
+        return own.filter(F.size("found") > 0)
+    dealt = part(False).mapInArrow(packed_rows(window), PACKED).repartition("bucket")
+    ranges = dealt.sortWithinPartitions("bucket", "doc_id", "tie", "start").mapInArrow(repeat_rows(window), RANGES)
+    if found.filter(F.exists("found", lambda s: s["hot"])).limit(1).count():
+        places = part(True).mapInArrow(hot_rows(window), "window binary, doc_id long, tie long, start int")
+        place = F.struct("doc_id", "tie", "start")
+        first = places.groupBy("window").agg(F.min(place).alias("first"))
+        later = places.join(first, "window").filter(place != F.col("first"))
+        ranges = ranges.union(later.select("doc_id", "tie", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
     return ranges.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
