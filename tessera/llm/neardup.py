@@ -1,13 +1,13 @@
 """Near-duplicates by ProbMinHash.
 
-A text is the set of its shingles (``SHINGLE`` consecutive plain words; a shorter text
-is one shingle of all its words), each of weight 1 however often it occurs: links are
-defined on the sets, so the search goes by them too. Each shingle starts a Poisson
-process whose rate is its weight; every arrival picks one of ``REGISTERS`` registers, a
-register keeps the shingle of its earliest arrival, and a shingle stops as soon as its
-time is beyond the latest register of its text. Two texts agree in a register with the
-probability Jaccard similarity, which for equal weights is the Jaccard similarity of
-the sets.
+A text is its shingles (``SHINGLE`` consecutive plain words; a shorter text is one
+shingle of all its words), each weighted ``1 + ln(occurrences)``. Each shingle starts a
+Poisson process whose rate is its weight; every arrival picks one of ``REGISTERS``
+registers, a register keeps the shingle of its earliest arrival, and a shingle stops as
+soon as its time is beyond the latest register of its text. Two texts agree in a register
+with their probability Jaccard similarity, the sum over shared shingles ``i`` of
+``1 / sum_j max(x_j / x_i, y_j / y_i)`` for weights ``x`` and ``y``. Links are defined, searched and
+verified by this one similarity; without repeated shingles it is the Jaccard similarity of the sets.
 
 Texts with equal words are one node from the start. ``BANDS`` bands of registers
 bring alike nodes together: with 24 bands of 5, a pair at 0.8 shares a bucket with
@@ -15,9 +15,9 @@ probability 0.9999. A bucket is not turned into pairs. Its nodes are compared wi
 its smallest node; accepted links give components; then nodes of a bucket outside its
 largest component are compared with the nodes of other components in it, but for
 pairs that exact bounds on their rare shingles rule out. So a link between two nodes
-of a bucket is either verified or lies within one component already. A link needs an exact Jaccard similarity of the shingle sets of
-at least ``SIMILARITY``. Components come from alternating star steps, each written
-to the shared folder.
+of a bucket is either verified or lies within one component already. A link needs an
+exactly computed probability Jaccard similarity of at least ``SIMILARITY``. Components
+come from alternating star steps, each written to the shared folder.
 
 Documents are keyed by ``doc_id`` and, where ids repeat, a hash of the text; rows
 equal in both are one document. Null texts and texts without words stand alone.
@@ -60,6 +60,31 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], key[at], np.diff(np.append(at, len(key)))
 
 
+def weights(n: np.ndarray) -> np.ndarray:
+    """Weight of a shingle that occurs ``n`` times."""
+    return 1 + np.log(n)
+
+
+def probability_jaccard(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray, least: float) -> tuple[bool, np.ndarray]:
+    """Whether two weighted sets (rising keys) reach the similarity ``least``, and which keys of the first the second lacks."""
+    at = np.minimum(np.searchsorted(sb, sa), len(sb) - 1)
+    shared = sb[at] == sa
+    x, y, x_all, y_all = wa[shared], wb[at[shared]], wa.sum(), wb.sum()
+    only_x, only_y = x_all - x.sum(), y_all - y.sum()
+    if not len(x) or bound(only_x / x_all, only_y / y_all) < least:
+        return False, ~shared
+    order = np.argsort(y / x)
+    x, y = x[order], y[order]
+    # max(x_j / x_i, y_j / y_i) is the first up to the ratio of i, the second beyond it
+    total = (only_x + np.cumsum(x)) / x + (only_y + y.sum() - np.cumsum(y)) / y
+    return bool((1 / total).sum() >= least), ~shared
+
+
+def bound(a, b):
+    """Most that the similarity can be when shares ``a`` and ``b`` of the two texts' weight are not in the other text."""
+    return (1 - a) * (1 - b) / (1 - a * b)
+
+
 def sequence_hash(w: Words, seed: int) -> np.ndarray:
     """Hash of each text's whole word sequence; 0 without words."""
     out = np.zeros(w.n_docs, np.uint64)
@@ -112,8 +137,8 @@ def signature_rows(size: int):
             raw, offs = buffers(b.column("text"))
             for lo, hi in chunks(offs):
                 w = Words(raw, offs, lo, hi, table)
-                doc, key, _ = shingles(w, size)
-                bands = band_hashes(prob_minhash(doc, key, np.ones(len(key)), w.n_docs)).view(np.int64)
+                doc, key, n = shingles(w, size)
+                bands = band_hashes(prob_minhash(doc, key, weights(n), w.n_docs)).view(np.int64)
                 some = w.per_doc > 0
                 ends = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
                 digest = [sequence_hash(w, seed).view(np.int64) for seed in (12, 13)]
@@ -133,12 +158,13 @@ def shingle_rows(size: int):
             raw, offs = buffers(b.column("text"))
             for lo, hi in chunks(offs):
                 w = Words(raw, offs, lo, hi, table)
-                doc, key, _ = shingles(w, size)
+                doc, key, n = shingles(w, size)
                 ends = np.searchsorted(doc, np.arange(w.n_docs + 1)).astype(np.int32)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))],
-                    ["node", "shingles"])
+                    [part.column("node"), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(v))
+                                            for v in (key.view(np.int64), n.astype(np.int32)))],
+                    ["node", "shingles", "times"])
     return rows
 
 
@@ -146,22 +172,43 @@ NODE = "struct<doc_id:bigint,tie:bigint>"
 
 
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``(node, shingles)`` of the given nodes.
+    """``(node, shingles, times)`` of the given nodes.
 
     The join is the same at every size of the node list: both sides are shuffled, none is broadcast.
     """
     texts = docs.select(F.struct("doc_id", "tie").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
-    return texts.mapInArrow(shingle_rows(size), f"node {NODE}, shingles array<long>")
+    return texts.mapInArrow(shingle_rows(size), f"node {NODE}, shingles array<long>, times array<int>")
+
+
+def compare_rows(similarity: float):
+    """Judges each pair of weighted shingle sets; ``own`` has the shingles that ``b`` lacks, ``lost`` their share of ``a``'s weight."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+            return column.flatten().to_numpy().view(kind), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+        for batch in batches:
+            (ka, ea), (kb, eb) = flat(batch.column("sa"), np.uint64), flat(batch.column("sb"), np.uint64)
+            wa, wb = (weights(batch.column(c).flatten().to_numpy()) for c in ("ta", "tb"))
+            linked, lacking = np.zeros(batch.num_rows, bool), np.zeros(len(ka), bool)
+            share = np.zeros(len(ka))
+            for i in range(batch.num_rows):
+                p, q = slice(ea[i], ea[i + 1]), slice(eb[i], eb[i + 1])
+                linked[i], lacking[p] = probability_jaccard(ka[p], wa[p], kb[q], wb[q], similarity - 1e-9)
+                share[p] = wa[p] / wa[p].sum()
+            ends = pa.array(np.append(0, np.cumsum(lacking))[ea], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked),
+                 pa.ListArray.from_arrays(ends, pa.array(ka[lacking].view(np.int64))),
+                 pa.ListArray.from_arrays(ends, pa.array(share[lacking]))], ["a", "b", "linked", "own", "lost"])
+    return rows
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, n, linked, own)`` of pairs: shingles of ``a``, whether they are alike, and those that ``b`` lacks."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("own", F.array_except("sa", "sb"))
-    n, common = F.size("sa"), F.size("sa") - F.size("own")
-    linked = common >= similarity * (n + F.size("sb") - common) - 1e-9
-    return both.select("a", "b", n.alias("n"), linked.alias("linked"), "own")
+    """``(a, b, linked, own, lost)`` of pairs: whether they are alike, and what of ``a`` its partner lacks."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("times").alias("ta"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("times").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ta", "sb", "tb")
+    return both.mapInArrow(compare_rows(similarity), f"a {NODE}, b {NODE}, linked boolean, own array<long>, lost array<double>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,33 +244,31 @@ def _pairs_between(rest: DataFrame, facts: DataFrame, similarity: float) -> Data
     """Pairs ``(a, b)`` of nodes of one bucket, in different components, that may be linked.
 
     ``rest`` has the nodes of mixed buckets (but the first of each) with their label and the
-    bucket's major one; ``facts`` has, by node and first node, the number of its shingles and
-    those that the first one lacks (``own``). A link of texts of n and m shingles shares at least f(n + m) of them,
-    f = similarity / (1 + similarity). So a text with more than n - f(n + m) rare own
-    shingles (in at most ``RARE`` nodes compared with that first node) shares a rare one
-    with any partner, and the pair is met by that shingle, at most ``RARE`` times each.
-    Only the other pairs are met by their bucket. Nothing is lost, and a group of near
-    copies that differ from each other in their own edits does not turn into all its pairs.
+    bucket's major one; ``facts`` has, by node and first node, the shingles that the first one lacks
+    (``own``) and their shares of the node's weight (``lost``). Shares p and q of two texts that the
+    other lacks bound their similarity by ``bound(p, q)``. So two texts that share none of their rare own
+    shingles (in at most ``RARE`` nodes compared with that first node) are no link if the shares of
+    those give a bound below ``similarity``; with one in common they are met by that
+    shingle, at most ``RARE`` times each. Only the other pairs are met by their bucket. Nothing is
+    lost, and a group of near copies that differ from each other in their own edits does
+    not turn into all its pairs.
     """
-    share = similarity / (1 + similarity)
     once = rest.select("first", "node", "label").distinct().join(facts, ["first", "node"])
-    tokens = once.select("first", "node", "label", F.explode("own").alias("s"))
+    tokens = once.select("first", "node", "label", F.inline(F.arrays_zip(F.col("own").alias("s"), F.col("lost").alias("w"))))
     rare = tokens.groupBy("first", "s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
     held = materialize(tokens.join(rare, ["first", "s"]), "rare")
-    counts = held.groupBy("first", "node").agg(F.count("*").alias("r"))
-    counts = once.select("first", "node", "n").join(counts, ["first", "node"], "left").fillna(0, ["r"])
+    counts = held.groupBy("first", "node").agg(F.sum("w").alias("r"))
+    counts = once.select("first", "node").join(counts, ["first", "node"], "left").fillna(0.0, ["r"])
     rest = rest.join(counts, ["first", "node"])
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("band", "h", F.col("node").alias(name), *[
-            F.col(c).alias(f"{c}_{name}") for c in ("label", "major", "n", "r")])
+            F.col(c).alias(f"{c}_{name}") for c in ("label", "major", "r")])
 
-    # by bucket: neither text has so many rare shingles that a link must share one;
-    # a partner has at least similarity * n shingles, which leaves few texts to compare
-    few = rest.filter(F.col("r") <= (1 - similarity) * F.col("n") + 1e-9)
-    spare = lambda x: F.col(f"r_{x}") <= F.col(f"n_{x}") - share * (F.col("n_a") + F.col("n_b")) + 1e-9
+    # by bucket: both texts have so little rare weight of their own that the bound lets them be linked
+    few = rest.filter(F.col("r") <= 1 - similarity + 1e-9)
     by_bucket = side(few.filter("label != major"), "a").join(side(few, "b"), ["band", "h"]).filter(
-        (F.col("label_a") != F.col("label_b")) & spare("a") & spare("b")
+        (F.col("label_a") != F.col("label_b")) & (bound(F.col("r_a"), F.col("r_b")) >= similarity - 1e-9)
         & ((F.col("label_b") == F.col("major_b")) | (F.col("a") > F.col("b"))))
     shared = held.filter("df > 1")
     left = shared.select("first", "s", F.col("node").alias("a"), F.col("label").alias("la"))
@@ -246,7 +291,7 @@ def _labels(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     mixed = (placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"))
              .groupBy("band", "h").agg(F.max_by("label", "n").alias("major"), F.count("*").alias("labels"))
              .filter("labels > 1").select("band", "h", "major"))
-    facts = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), "n", "own")
+    facts = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), "own", "lost")
     rest = materialize(placed.join(mixed, ["band", "h"]).filter("node != first"), "rest")
     pairs = _pairs_between(rest, facts, similarity)
     between = materialize(_compared(pairs, sets, similarity).filter("linked").select("a", "b"), "between")

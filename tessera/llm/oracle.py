@@ -47,13 +47,19 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 NEAR_COPIES = f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_plain('text')} AS w FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
-      FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (g)
-      WHERE x.doc_id <> y.doc_id GROUP BY ALL),
-link AS MATERIALIZED (SELECT a, b FROM c JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
-      WHERE c.c >= 0.8 * (p.n + q.n - c.c) - 1e-9),
+s AS MATERIALIZED (SELECT doc_id, g, 1 + ln(count(*)) AS x FROM (
+        SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0) AS every GROUP BY ALL),
+n AS (SELECT doc_id, sum(x) AS whole FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.x) AS sx, sum(q.x) AS sy
+      FROM s AS p JOIN s AS q USING (g) WHERE p.doc_id < q.doc_id GROUP BY ALL),
+likely AS MATERIALIZED (SELECT a, b, p.whole - sx AS only_x, sy, q.whole - sy AS only_y FROM c
+      JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE sx > 0.79 * p.whole AND sy > 0.79 * q.whole),
+terms AS (SELECT a, b, (only_x + sum(p.x) OVER up) / p.x + (only_y + sy - sum(q.x) OVER up) / q.x AS total
+      FROM likely JOIN s AS p ON p.doc_id = a JOIN s AS q ON q.doc_id = b AND q.g = p.g
+      WINDOW up AS (PARTITION BY a, b ORDER BY q.x / p.x)),
+pair AS (SELECT a, b FROM terms GROUP BY a, b HAVING sum(1 / total) >= 0.8 - 1e-9),
+link AS MATERIALIZED (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a)
 SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reach GROUP BY a
 """
