@@ -13,41 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, neardup, packing, substrings
 from tessera.llm import toxicity as toxic
 from tessera.llm.common import table
-from tessera.session import ensure_checkpoint_dir, materialize, ship_package
-
-
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+from tessera.session import materialize, ready
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the severity model rejects."""
-    _ready(spark)
+    ready(spark)
     return toxic.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class."""
-    _ready(spark)
+    ready(spark)
     return neardup.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 20 words or more that start earlier in what is left."""
-    _ready(spark)
+    ready(spark)
     return substrings.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    _ready(spark)
+    ready(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of the documents that are left."""
-    _ready(spark)
+    ready(spark)
     return packing.pack_documents(docs)
 
 
@@ -65,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the ``documents`` of ``sf_dir``."""
-    _ready(spark)
+    ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -41,8 +41,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    ready(spark)
     return spark
 
 
@@ -89,6 +88,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows and bytes of an Arrow batch. A worker that turns a batch into Python objects holds
+#: several times its bytes, next to those that the JVM keeps for it.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches between the JVM and Python workers, unless the cluster's configuration names others."""
+    try:
+        named = spark.sparkContext.getConf()
+    except Exception:  # noqa: BLE001 - remote sessions: their server's configuration holds
+        return
+    for key, value in BATCH_CONF.items():
+        if not named.contains(key):
+            spark.conf.set(key, value)
+
+
+def ready(spark: SparkSession) -> None:
+    """What a query needs of its session: the shared folder, the package on the executors, bounded batches."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    bound_batches(spark)
+
+
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
