@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scores import draw_rows
 from tessera.operators.sizes import broadcast_if_small
 
 
@@ -81,3 +82,14 @@ def append_token(df: DataFrame, drawn: DataFrame, ids: str = "ids", key: str = "
     return (joined.withColumn(ids, F.when(F.col("_next").isNotNull(), F.concat(ids, F.array("_next")))
                               .otherwise(F.col(ids)))
             .drop("_last", "_next"))
+
+
+def append_drawn(df: DataFrame, table: DataFrame, row: Sequence[str], seed: int, ids: str = "ids", by: str = "prev") -> DataFrame:
+    """Append to each row a token of its own, drawn from the distribution of its last id.
+
+    ``table`` is a ``scores.cumulative_table``; rows without ids, or whose last id it lacks, stay as they are.
+    """
+    last = df.withColumn("_last", F.try_element_at(ids, F.lit(-1)))
+    drawn = draw_rows(last, table, "_last", row, seed, by, "_next")
+    longer = F.when(F.col("_next").isNotNull(), F.concat(ids, F.array("_next"))).otherwise(F.col(ids))
+    return drawn.withColumn(ids, longer).drop("_last", "_next")

@@ -1,5 +1,6 @@
 """E1-E8 against a numpy rendering of the selection steps."""
 
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import scores
 from tessera.operators.scores import (bigrams, cross_entropy, draw_one, masked_cross_entropy, perplexity, softmax,
                                       top_k, top_p, with_temperature)
 
@@ -146,3 +148,46 @@ def test_softmax_methods_agree(spark):
     b = {(r.prev, r.item): r.prob for r in softmax(df, ["prev"], temperature=0.7, method="aggregate").collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.3, 0.9, 1.0])
+@pytest.mark.parametrize("bins, small", [(4, 3), (256, 10_000), (2, 1)])
+def test_threshold_nucleus_equals_the_window(spark, p, bins, small):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([0.0, 0.5, 1.5, -2.0]) if g % 2 else rng.gauss(0, 2)) for g in range(6) for i in range(1 + 40 * g)]
+    rows += [(None, i, float(i % 3)) for i in range(20)] + [(99, 7, 1.0)]
+    df = spark.createDataFrame(rows, "g int, item int, score double")
+    want = sorted(map(tuple, scores.top_p(df, ["g"], p).select("g", "item").collect()), key=str)
+    got = scores.top_p(df, ["g"], p, method="threshold", bins=bins, small=small)
+    assert got.columns == df.columns and sorted(map(tuple, got.select("g", "item").collect()), key=str) == want
+
+
+def test_threshold_nucleus_of_one_large_group(spark):
+    """No task holds the group: its rows meet in histograms, and only the cut's bin is ordered."""
+    df = spark.range(300_000).selectExpr("1 as g", "id as item", "cast(crc32(cast(id as string)) % 100003 as double) / 20000 as score")
+    got = scores.top_p(df, ["g"], 0.7, method="threshold", small=500)
+    want = scores.top_p(df, ["g"], 0.7)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(_p#" not in plan and "Window" in plan  # prefix sums of parts, no running sum of a group
+
+
+def test_rows_draw_apart_from_each_other(spark):
+    probs = spark.createDataFrame([(1, k, 1.0 / 8, -float(k % 3)) for k in range(8)] + [(2, 5, 1.0, 0.0)], "prev int, item int, prob double, score double")
+    table = scores.cumulative_table(probs, ["prev"])
+    rows = spark.createDataFrame([(i, (1, 2, 3, None)[i % 4]) for i in range(400)], "id int, ctx int")
+    got = {r.id: r.drawn for r in scores.draw_rows(rows, table, "ctx", ["id"], 42).collect()}
+    order = sorted(range(8), key=lambda k: (k % 3, k))
+    for i in range(400):
+        u = int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:8], 16) / 2**32
+        want = {0: order[min(int(u * 8), 7)], 1: 5}.get(i % 4)
+        assert got[i] == want
+    assert len({got[i] for i in range(0, 400, 4)}) == 8
+
+
+@pytest.mark.parametrize("cum", [[1.0], [0.5, 1.0], [0.1, 0.1, 0.4, 0.9], [k / 37 for k in range(1, 38)]])
+def test_first_above_is_a_bisection(spark, cum):
+    us = [0.0, 0.1, 0.35, 0.4, 0.89, 0.9, 0.99, 1.5]
+    df = spark.createDataFrame([(u, cum) for u in us], "u double, cum array<double>")
+    got = {r.u: r.at for r in df.select("u", scores.first_above(F.col("cum"), F.col("u")).alias("at")).collect()}
+    assert got == {u: next((i for i, c in enumerate(cum) if c > u), len(cum) - 1) for u in us}
