@@ -4,7 +4,9 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import batching
 from tessera.operators.batching import (batches, collate, cut_at, epochs_needed, last_tokens, limit_steps, shuffle,
                                         update_groups)
 from tessera.operators.corpus import cap
@@ -77,3 +79,37 @@ def test_cap_last_cut(spark):
     g = spark.createDataFrame([([9, 9, 1, 256, 2], 2), ([9, 1, 2, 3], 1), ([9], 1)], "ids array<int>, prompt_len int")
     got = [list(r.ids_cut) for r in cut_at(g, 256, 2, "ids", "prompt_len").collect()]
     assert got == [[9, 9, 1, 256], [9, 1, 2], [9]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 63, 64, 65, 1000])
+def test_permutation_is_a_bijection_with_an_inverse(spark, n):
+    df = spark.range(n).withColumn("epoch", F.lit(3))
+    out = df.select("id", batching.permuted("id", n, 9, "epoch").alias("at"))
+    out = out.select("id", "at", batching.permuted("at", n, 9, F.lit(3), inverse=True).alias("back")).collect()
+    assert sorted(r["at"] for r in out) == list(range(n)) and all(r["id"] == r["back"] for r in out)
+
+
+def test_permutations_differ_by_epoch_and_seed(spark):
+    ids = spark.range(500).withColumnRenamed("id", "window_id")
+    s = batching.permuted_schedule(ids, 500, 1, epochs=2)
+    got = {(r.epoch, r["rank"]): r.window_id for r in s.collect()}
+    assert sorted(got) == [(e, k) for e in range(2) for k in range(1, 501)]
+    orders = [[got[e, k] for k in range(1, 501)] for e in range(2)]
+    other = {r["rank"]: r.window_id for r in batching.permuted_schedule(ids, 500, 2).collect()}
+    orders.append([other[k] for k in range(1, 501)])
+    for a in range(3):
+        for b in range(a):
+            assert sum(x == y for x, y in zip(orders[a], orders[b])) < 12
+        moved = [abs(x - k) for k, x in enumerate(orders[a])]
+        assert 130 < sum(moved) / 500 < 200  # a random order moves an id by a third of n on average
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_one_batch_of_one_epoch(spark):
+    ids = spark.range(103).withColumnRenamed("id", "window_id")
+    s = batching.batches(batching.permuted_schedule(ids, 103, 5, epochs=3), 10, drop_last=False)
+    want = {(r.epoch, r.batch_idx, r.slot): r.window_id for r in s.collect()}
+    for epoch, batch in ((0, 0), (2, 7), (1, 10), (1, 11)):
+        got = {r.slot: r.id for r in batching.batch_ids(spark, 103, 10, 5, epoch, batch).collect()}
+        assert got == {k[2]: v for k, v in want.items() if k[:2] == (epoch, batch)}
