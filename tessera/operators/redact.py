@@ -22,6 +22,8 @@ from tessera.operators.sft import answer_text, prompt_text
 from tessera.operators.sizes import broadcast_if_small
 
 # R5 splits a text into runs of letters and digits, and the runs between them.
+# Terms that a plan may carry as literals.
+SCAN_TERMS = 20_000
 TERM_PART_RE = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+"
 
 
@@ -154,17 +156,28 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
 
     A term matches at word boundaries (any character that is no letter or digit) and
     across several words; from left to right the longest term wins, and matches do not
-    overlap. The distinct words of each text are joined with the terms' first words,
-    so only texts with a candidate are grouped, and only they are rebuilt, in one
-    expression. The join broadcasts the dictionary if it is measured to be small
-    (``auto``) or not at all (``join``); the rows are the same. Rows are matched by
-    ``key`` and a hash of the text, so keys may repeat; NULL and empty texts stay.
+    overlap. Methods give the same rows:
+
+    * ``scan`` (a dictionary of at most ``SCAN_TERMS``, counted first): the terms travel inside the
+      plan as hash sets by their number of runs; a text is cut into runs once, each place that begins like
+      a term has its windows looked up, and hits are replaced, all in one projection without an exchange.
+    * ``join``: the distinct words of each text are joined with the terms' first words, so only
+      texts with a candidate are grouped, and only they are rebuilt. Rows are matched by ``key``
+      and a hash of the text, so keys may repeat.
+
+    ``auto`` scans if the dictionary fits. NULL and empty texts stay.
     """
-    if method not in ("auto", "join"):
+    if method not in ("auto", "scan", "join"):
         raise ValueError(f"unknown method {method!r}")
     names = df.columns
     t = term_table(terms, term, tag)
-    t = broadcast_if_small(t) if method == "auto" else t
+    if method != "join":
+        rows = t.limit(SCAN_TERMS + 1).collect()
+        if len(rows) <= SCAN_TERMS:
+            return df.withColumn(out or col, _scanned(col_of(col), rows))
+        if method == "scan":
+            raise ValueError(f"the dictionary has more than {SCAN_TERMS} terms")
+        t = broadcast_if_small(t)
     rows = df.withColumn("_hash", F.xxhash64(col_of(col)))
     words = F.array_distinct(F.regexp_extract_all(col_of(col), F.lit("[\\p{L}\\p{N}]+"), 0))
     found = rows.select(F.col(key).alias("_key"), "_hash", F.explode(words).alias("first")).join(t, "first")
@@ -175,6 +188,56 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
     return joined.withColumn(out or col, text).select(*names, *([out] if out and out not in names else []))
 
 
+def _scanned(text: Column, terms: Sequence) -> Column:
+    """``text`` with the terms (rows of ``term_table``) replaced; texts without a hit come through as they are."""
+    sets: dict[int, dict[str, list[str]]] = {}
+    for r in terms:
+        sets.setdefault(r["n"], {}).setdefault(r["tag"], []).append(r["norm"])
+    firsts = sorted({r["first"] for r in terms})
+    if not firsts:
+        return text
+
+    def replaced(parts: Column) -> Column:
+        def longest(norm: Column, i: Column) -> Column:
+            """Struct of the longest term at a place, null without one."""
+            found = F.lit(None).cast("struct<i:int,n:int,tag:string>")
+            for n in sorted(sets):  # the longest decides
+                window = F.array_join(F.slice(norm, i + 1, F.lit(n)), "")
+                here = F.element_at(F.transform(F.array(window), looked_up(sets[n])), 1)
+                found = F.when(here.isNotNull(), F.struct(i.cast("int").alias("i"), F.lit(n).alias("n"), here.alias("tag"))).otherwise(found)
+            return found
+
+        def looked_up(by_tag: dict[str, list[str]]):
+            def tag_of(window: Column) -> Column:
+                tag = F.lit(None).cast("string")
+                for name, norms in by_tag.items():
+                    tag = F.when(window.isin(norms), F.lit(name)).otherwise(tag)
+                return tag
+            return tag_of
+
+        def hits(norm: Column) -> Column:
+            at = F.filter(F.transform(norm, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
+            return F.filter(F.transform(at, lambda i: longest(norm, i)), lambda h: h.isNotNull())
+        norm = F.transform(parts, lambda p: F.regexp_replace(p, "\\s+", " "))
+        found = F.element_at(F.transform(F.array(norm), hits), 1)
+        return F.element_at(F.transform(F.array(found), lambda h: F.when(F.size(h) == 0, text).otherwise(_replaced(parts, h))), 1)
+    return F.when(text.isNull(), text).otherwise(
+        F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(TERM_PART_RE), 0)), replaced), 1))
+
+
+def _replaced(parts: Column, hits: Column) -> Column:
+    """The runs of a text with the hits ``(i, n, tag)``, in order of ``i``, replaced from left to right where they do not overlap."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def take(a: Column, h: Column) -> Column:
+        before = F.array_join(F.slice(parts, a["end"] + 1, F.greatest(h["i"] - a["end"], F.lit(0))), "")
+        taken = F.struct((h["i"] + h["n"]).alias("end"), F.concat(
+            a["out"], F.array(before, F.concat(F.lit("["), h["tag"], F.lit("]")))).alias("out"))
+        return F.when(h["i"] >= a["end"], taken).otherwise(a)
+    return F.aggregate(hits, start, take, lambda a: F.array_join(F.concat(a["out"], F.array(F.array_join(
+        F.slice(parts, a["end"] + 1, F.size(parts)), ""))), ""))
+
+
 def _rebuilt(text: Column, terms: Column) -> Column:
     """``text`` with the longest match at each place replaced by its tag, from left to right."""
     def matched(parts: Column) -> Column:
@@ -195,18 +258,7 @@ def _rebuilt(text: Column, terms: Column) -> Column:
             return F.filter(F.transform(norm, at), lambda h: h["n"].isNotNull())
 
         hits = F.element_at(F.transform(F.array(F.transform(parts, lambda p: F.regexp_replace(p, "\\s+", " "))), over), 1)
-        return F.element_at(F.transform(F.array(hits), lambda h: pieces(parts, h)), 1)
-
-    def pieces(parts: Column, hits: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-
-        def take(a: Column, h: Column) -> Column:
-            before = F.array_join(F.slice(parts, a["end"] + 1, F.greatest(h["i"] - a["end"], F.lit(0))), "")
-            taken = F.struct((h["i"] + h["n"]).alias("end"), F.concat(
-                a["out"], F.array(before, F.concat(F.lit("["), h["tag"], F.lit("]")))).alias("out"))
-            return F.when(h["i"] >= a["end"], taken).otherwise(a)
-        return F.aggregate(hits, start, take, lambda a: F.array_join(F.concat(a["out"], F.array(F.array_join(
-            F.slice(parts, a["end"] + 1, F.size(parts)), ""))), ""))
+        return F.element_at(F.transform(F.array(hits), lambda h: _replaced(parts, h)), 1)
     return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(TERM_PART_RE), 0)), matched), 1)
 
 

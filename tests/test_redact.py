@@ -83,7 +83,7 @@ SENTENCES = [
 ]
 
 
-@pytest.mark.parametrize("method", ["auto", "join"])
+@pytest.mark.parametrize("method", ["auto", "scan", "join"])
 def test_terms(spark, method):
     df = spark.createDataFrame([(k, t, 0) for k, t, _ in SENTENCES], "doc_id int, text string, first int")
     terms = spark.createDataFrame(TERMS, "term string, tag string")
@@ -94,6 +94,24 @@ def test_terms(spark, method):
     assert redact_terms(df, terms, method=method, out="clean").columns == [*df.columns, "clean"]
 
 
+def test_a_scan_moves_no_text(spark):
+    df = spark.createDataFrame([(k, t) for k, t, _ in SENTENCES], "doc_id int, text string")
+    plan = redact_terms(df, spark.createDataFrame(TERMS, "term string, tag string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
+
+
+def test_a_dictionary_beyond_the_plan_is_joined(spark, monkeypatch):
+    from tessera.operators import redact as module
+
+    monkeypatch.setattr(module, "SCAN_TERMS", 2)
+    df = spark.createDataFrame([(k, t) for k, t, _ in SENTENCES], "doc_id int, text string")
+    terms = spark.createDataFrame(TERMS, "term string, tag string")
+    got = redact_terms(df, terms)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((k, w) for k, _, w in SENTENCES), key=str)
+    with pytest.raises(ValueError, match="more than 2"):
+        redact_terms(df, terms, method="scan")
+
+
 def test_hook_in_chunks(spark):
     long = " ".join(f"w{i} me{i}@x.org" for i in range(50))
     df = spark.createDataFrame([(1, long), (2, "  "), (3, None), (4, "one  a.b@c.org\n two")], "doc_id int, text string")
