@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, encoded_length, ids_fingerprint
 from tessera.functions.text import EOS_TEXT, words
-from tessera.operators import batching, corpus, packing, redact, scores, sft, tokens, vectors
+from tessera.operators import batching, corpus, names, ngrams, packing, redact, scores, sft, subwords, tokens, vectors
 from tessera.plans import finetune, pretrain
 from tessera.session import materialize, shared_dir
 from tessera.sources.tables import balance, load_corpus, load_pairs, read_table, rename_pairs, split_bucket
@@ -28,8 +28,12 @@ SEGMENT_WORDS = 16
 VOCAB_SIZE = 5000
 BATCH = 8
 ACCUM = 8
-STEP_BUDGET = 100
+STEP_BUDGET = pretrain.PackConfig.steps
 EPOCHS = 2
+SUBWORD_MERGES = 256
+CODEC_MERGES = 64
+NGRAM_ORDER = 4
+NAME_EVERY = 3
 FREQUENT_TERMS = 30
 SEED = 42
 TEMPERATURE = 0.8
@@ -122,6 +126,37 @@ def q_redact_terms_join(spark, base):
     return redact.redact_terms(_docs(spark, base), _terms(spark, base), method="join").select("doc_id", "text")
 
 
+def _named_segments(spark, base) -> DataFrame:
+    """Segments of the documents; every ``NAME_EVERY``-th has a customer's name behind a cue word. ``name`` is NULL for the others.
+
+    Names are spelled from the customer's key, so that they are words which no text has by itself.
+    """
+    seg = redact.segment(_nb(spark, base), SEGMENT_WORDS)
+    people = read_table(spark, base, "customer", ["c_custkey"])
+    n = people.count()
+    letters = ("0123456789abcdef", "aeioubdklmnrstvz")
+
+    def spelled(part: str, size: int) -> Column:
+        return F.initcap(F.translate(F.substring(F.md5(F.concat(F.lit(part), F.col("c_custkey").cast("string"))), 1, size), *letters))
+    people = people.select(F.col("c_custkey").alias("_key"), F.concat(spelled("g", 5), F.lit(" "), spelled("f", 7)).alias("name"))
+    own = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_idx").cast("string")))
+    cue = F.element_at(F.array(*[F.lit(c) for c in ("from", "by", "Dear", "Mr")]), (own % 4 + 1).cast("int"))
+    seg = seg.withColumn("_key", F.when(own % NAME_EVERY == 0, F.floor(own / NAME_EVERY) % max(n, 1))).withColumn("_cue", cue)
+    w = F.split("segment", " ")
+    rows = seg.join(people, "_key", "left").withColumn("_w", w)
+    text = F.concat_ws(" ", F.array_join(F.slice("_w", 1, 8), " "), "_cue", "name", F.array_join(F.slice("_w", 9, SEGMENT_WORDS), " "))
+    return rows.select("doc_id", "seg_idx", "_key", "name", F.when(F.col("name").isNull(), F.col("segment")).otherwise(text).alias("text"))
+
+
+def q_redact_names(spark, base):
+    """Names found by a tagger that learnt from those of every other customer."""
+    rows = materialize(_named_segments(spark, base), "named-segments")
+    known = rows.filter("_key % 2 = 0").select("name").distinct()
+    model = names.learn_names(rows, known)
+    out = names.redact_names(rows, model, out="redacted")
+    return out.select("doc_id", _long("seg_idx").alias("seg_idx"), (F.col("_key") % 2 == 0).alias("known"), "name", "redacted")
+
+
 def q_weak_pairs(spark, base):
     return finetune.document_pairs(spark, base, SEGMENT_WORDS).select(
         "doc_id", _long("seg_idx").alias("seg_idx"), "original_text", "redacted_text")
@@ -230,6 +265,23 @@ def q_decode_vocab_join(spark, base):
     return tokens.decode_vocab(_encoded(spark, base, vocab, "auto"), vocab, method="join").select("doc_id", "text")
 
 
+def _merges(spark, base, n: int) -> DataFrame:
+    return subwords.learn_merges(_nb(spark, base), n)
+
+
+def q_subword_vocab(spark, base):
+    """Byte-pair merges of the corpus in the order in which they were learnt."""
+    return _merges(spark, base, SUBWORD_MERGES).select(
+        *[_long(c).alias(c) for c in ("rank", "lo", "hi", "id")], F.lower(F.hex("piece")).alias("piece"))
+
+
+def q_subword_roundtrip(spark, base):
+    """T1, T2 with learned subwords: every text encoded and decoded."""
+    merges = _merges(spark, base, CODEC_MERGES)
+    enc = materialize(subwords.encode_subwords(_docs(spark, base), merges), "subword-ids")
+    return subwords.decode_subwords(enc, merges)
+
+
 # ---- packing ----------------------------------------------------------------
 
 def q_doc_offsets(spark, base):
@@ -268,10 +320,14 @@ def q_cap_corpus(spark, base):
 
 # ---- batching ---------------------------------------------------------------
 
-def _schedule(spark, base):
+def _summary(spark, base) -> DataFrame:
+    return packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L, n_ids="n_ids")
+
+
+def _schedule(spark, base, epochs: int = EPOCHS):
     """The full schedule: every window of every epoch (but for the short last batch)."""
-    ids = packing.window_ids(packing.corpus_summary(pretrain.corpus_ids(spark, base), PACK_L, n_ids="n_ids"))
-    return batching.update_groups(batching.batches(batching.shuffle(ids, SEED, EPOCHS), BATCH, drop_last=True), ACCUM)
+    ids = packing.window_ids(_summary(spark, base))
+    return batching.update_groups(batching.batches(batching.shuffle(ids, SEED, epochs), BATCH, drop_last=True), ACCUM)
 
 
 def _schedule_out(s: DataFrame, key: str = "window_id") -> DataFrame:
@@ -284,8 +340,17 @@ def q_shuffle_batches(spark, base):
 
 
 def q_step_budget(spark, base):
-    """The part of the schedule that a budget of updates reaches."""
-    return _schedule_out(batching.limit_steps(_schedule(spark, base), STEP_BUDGET))
+    """The part of the schedule that the job's budget of updates reaches, in as many epochs as it takes."""
+    epochs = batching.epochs_needed(_summary(spark, base).first()["windows"], BATCH, ACCUM, STEP_BUDGET)
+    return _schedule_out(batching.limit_steps(_schedule(spark, base, epochs), STEP_BUDGET))
+
+
+def q_permuted_batches(spark, base):
+    """B2-B4 without a sort: the schedule from a keyed permutation of the window ids."""
+    summary = materialize(_summary(spark, base), "summary")
+    ids = packing.window_ids(summary)
+    s = batching.permuted_schedule(ids, max(1, summary.first()["windows"]), SEED, EPOCHS)
+    return _schedule_out(batching.update_groups(batching.batches(s, BATCH, drop_last=True), ACCUM))
 
 
 def q_shuffle_batches_keep_last(spark, base):
@@ -377,6 +442,20 @@ def q_next_token_probs(spark, base):
     return f.select(_long("prev").alias("prev"), _long("item").alias("item"), _r6("prob").alias("prob"))
 
 
+def q_next_token_nucleus(spark, base):
+    """E1, E4 on untrimmed groups: the nucleus by threshold search, softmax by aggregates."""
+    c = scores.top_p(scores.with_temperature(_word_candidates(spark, base), TEMPERATURE), ["prev"], TOP_P, method="threshold")
+    f = scores.softmax(c, ["prev"], method="aggregate")
+    return f.select(_long("prev").alias("prev"), _long("item").alias("item"), _r6("prob").alias("prob"))
+
+
+def q_ngram_loss(spark, base):
+    """Held-out loss of a Kneser-Ney model of the training split."""
+    train, test = (pretrain.corpus_ids(spark, base, split=s).select("doc_id", "ids") for s in ("train", "holdout"))
+    loss = ngrams.cross_entropy(test, ngrams.learn(train, NGRAM_ORDER, BYTE_VOCAB), ["doc_id"], BYTE_VOCAB)
+    return loss.select("doc_id", "tokens", _r6("nll").alias("nll"))
+
+
 def q_next_token_sample(spark, base):
     f = _filtered(_word_candidates(spark, base), TEMPERATURE, TOP_K, TOP_P)
     return scores.draw_one(f, ["prev"], SEED).select(_long("prev").alias("prev"), _long("drawn").alias("drawn"))
@@ -460,9 +539,8 @@ def q_gather_vectors(spark, base):
 
 def q_append_drawn(spark, base):
     cands = scores.candidates(_byte_counts(spark, base))
-    drawn = scores.draw_one(_filtered(cands, CHAT_TEMPERATURE, CHAT_TOP_K, None), ["prev"], CHAT_SEED)
-    ids = pretrain.corpus_ids(spark, base)
-    out = vectors.append_token(ids, drawn, ids="ids", key="prev", token="drawn")
+    table = materialize(scores.cumulative_table(_filtered(cands, CHAT_TEMPERATURE, CHAT_TOP_K, None), ["prev"]), "draws")
+    out = vectors.append_drawn(pretrain.corpus_ids(spark, base), table, ["doc_id"], CHAT_SEED)
     return out.select("doc_id", _long(F.size("ids")).alias("n"),
                       _long(F.try_element_at("ids", F.lit(-1))).alias("last"), ids_fingerprint("ids").alias("ids_md5"))
 
@@ -476,6 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redact_stream": q_redact_stream,
     "redact_terms": q_redact_terms,
     "redact_terms_join": q_redact_terms_join,
+    "redact_names": q_redact_names,
     "weak_pairs": q_weak_pairs,
     "segment_agreement": q_segment_agreement,
     "conversation_pairs": q_conversation_pairs,
@@ -490,6 +569,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_vocab_join": q_encode_vocab_join,
     "decode_vocab": q_decode_vocab,
     "decode_vocab_join": q_decode_vocab_join,
+    "subword_vocab": q_subword_vocab,
+    "subword_roundtrip": q_subword_roundtrip,
     "doc_offsets": q_doc_offsets,
     "pack_windows": q_pack_windows,
     "pack_benchmark": q_pack_benchmark,
@@ -499,6 +580,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shuffle_batches": q_shuffle_batches,
     "shuffle_batches_keep_last": q_shuffle_batches_keep_last,
     "step_budget": q_step_budget,
+    "permuted_batches": q_permuted_batches,
     "collate_batches": q_collate_batches,
     "last_tokens": q_last_tokens,
     "cut_generated": q_cut_generated,
@@ -508,7 +590,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conversation_examples": q_conversation_examples,
     "byte_bigrams": q_byte_bigrams,
     "next_token_probs": q_next_token_probs,
+    "next_token_nucleus": q_next_token_nucleus,
     "next_token_sample": q_next_token_sample,
+    "ngram_loss": q_ngram_loss,
     "window_loss": q_window_loss,
     "sft_loss": q_sft_loss,
     "corpus_loss": q_corpus_loss,

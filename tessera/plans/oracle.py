@@ -97,13 +97,14 @@ lp AS (SELECT cnt.prev, cnt.nxt, ln((c + 1.0) / (cp + 257.0)) AS lp FROM cnt JOI
 wl AS (SELECT w, count(*) AS tokens, avg(-lp) AS nll FROM pp JOIN lp USING (prev, nxt) GROUP BY w)"""
 
 
-def SCHEDULE() -> str:
+def SCHEDULE(steps: int | None = None) -> str:
+    """Two epochs, or as many as ``steps`` updates take, as CTE ``sched``."""
     L, size, accum, seed = C.PACK_L, C.BATCH, C.ACCUM, C.SEED
-    epochs = ", ".join(str(e) for e in range(C.EPOCHS))
+    epochs = str(C.EPOCHS) if steps is None else f"CAST(ceil({steps} / CAST((W // {size}) // {accum} AS DOUBLE)) AS BIGINT)"
     return f"""nt AS (SELECT sum({NTOK()}) AS N FROM documents WHERE {NB('text')}),
 ww AS (SELECT CAST(greatest((N - 1) // {L}, 0) AS BIGINT) AS W FROM nt),
 sid AS (SELECT unnest(range(W)) AS window_id FROM ww),
-sep AS (SELECT window_id, unnest([{epochs}]) AS epoch FROM sid),
+sep AS (SELECT window_id, unnest(range({epochs})) AS epoch FROM sid, ww),
 skey AS (SELECT window_id, epoch, md5('{seed}|' || epoch || '|' || window_id) AS key FROM sep),
 srk AS (SELECT window_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY key, window_id) AS rank,
                count(*) OVER (PARTITION BY epoch) AS n_epoch FROM skey),
@@ -111,6 +112,50 @@ sb AS (SELECT *, (rank - 1) // {size} AS batch_idx, (rank - 1) % {size} AS slot,
 sched AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update_id FROM sb WHERE batch_idx < nb)"""
 
 
+def PERMUTED() -> str:
+    """The schedule of a keyed permutation: four rounds on the halves of an id, again while the result is not below W."""
+    size, accum = C.BATCH, C.ACCUM
+
+    def rounds(source: str) -> str:
+        out = f"SELECT *, x >> rb AS l, x % (CAST(1 AS BIGINT) << rb) AS r FROM ({source}) AS q"
+        for k in range(4):
+            to, of, bits = ("r", "l", "rb") if k % 2 else ("l", "r", "lb")
+            h = f"('0x' || substr(md5('{C.SEED}|' || epoch || '|{k}|' || {of}), 1, 8))::BIGINT"
+            out = f"SELECT * REPLACE (({to} + {h}) % (CAST(1 AS BIGINT) << {bits}) AS {to}) FROM ({out}) AS q"
+        return f"SELECT id, epoch, W, lb, rb, (l << rb) + r AS x FROM ({out}) AS q"
+    return f"""WITH RECURSIVE nt AS (SELECT sum({NTOK()}) AS N FROM documents WHERE {NB('text')}),
+ww AS (SELECT CAST(greatest((N - 1) // {C.PACK_L}, 0) AS BIGINT) AS W FROM nt),
+bb AS (SELECT W, greatest(2, length(bin(W - 1))) // 2 AS lb, greatest(2, length(bin(W - 1))) - greatest(2, length(bin(W - 1))) // 2 AS rb FROM ww),
+ids AS (SELECT id, unnest(range({C.EPOCHS})) AS epoch, W, lb, rb, id AS x FROM (SELECT unnest(range(W)) AS id, * FROM bb) AS q),
+walk AS ({rounds("SELECT * FROM ids")} UNION ALL {rounds("SELECT * FROM walk WHERE x >= W")}),
+b AS (SELECT epoch, id AS window_id, x + 1 AS rank, x // {size} AS batch_idx, x % {size} AS slot, W // {size} AS nb FROM walk WHERE x < W),
+sched AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update_id FROM b WHERE batch_idx < nb)
+{SCHEDULE_OUT}"""
+
+
+def NGRAMS() -> str:
+    """Held-out loss of the interpolated Kneser-Ney model of the training split."""
+    order, base = C.NGRAM_ORDER, 258
+    digits = " + ".join(f"coalesce(lag(w, {k}) OVER d + 1, 0) * {base ** (k - 1)}" for k in range(1, order)) or "0"
+    out = f"""t AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2))::INTEGER < {256 - C.HOLDOUT} AS train, {ENC('text')} AS ids
+      FROM documents WHERE {NB('text')}),
+u AS (SELECT doc_id, train, unnest(ids) AS w, unnest(range(len(ids))) AS pos FROM t),
+g AS (SELECT doc_id, train, w, CAST({digits} AS BIGINT) AS h FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+c{order} AS MATERIALIZED (SELECT h, w, count(*) AS c FROM g WHERE train GROUP BY ALL),
+p0 AS (SELECT DISTINCT h, w, 1 / 257.0::DOUBLE AS p FROM g WHERE NOT train)"""
+    for n in range(order - 1, 0, -1):
+        out += f",\nc{n} AS MATERIALIZED (SELECT h % {base ** (n - 1)} AS h, w, count(*) AS c FROM c{n + 1} GROUP BY ALL)"
+    for n in range(1, order + 1):
+        out += f""",
+x{n} AS (SELECT h, sum(c) AS total, count(*) AS types FROM c{n} GROUP BY h),
+d{n} AS (SELECT count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2))::DOUBLE AS d FROM c{n}),
+p{n} AS MATERIALIZED (SELECT q.h, q.w, CASE WHEN total IS NULL THEN p ELSE greatest(coalesce(c, 0) - d, 0) / total + d * types / total * p END AS p
+        FROM p{n - 1} AS q LEFT JOIN c{n} AS y ON y.h = q.h % {base ** (n - 1)} AND y.w = q.w LEFT JOIN x{n} AS x ON x.h = q.h % {base ** (n - 1)}, d{n})"""
+    return f"""WITH {out}
+SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, round(avg(-ln(p)), 6) AS nll
+FROM g JOIN p{order} USING (h, w) WHERE NOT train GROUP BY doc_id"""
+
+
 SCHEDULE_OUT = """SELECT CAST(epoch AS BIGINT) AS epoch, CAST(window_id AS BIGINT) AS window_id, CAST(rank AS BIGINT) AS rank,
        CAST(batch_idx AS BIGINT) AS batch_idx, CAST(slot AS BIGINT) AS slot, CAST(update_id AS BIGINT) AS update_id
 FROM sched"""
@@ -308,7 +353,8 @@ SELECT docs, CAST(N AS BIGINT) AS tokens, CAST(greatest((N - 1) // {L}, 0) AS BI
     q["cap_corpus"] = f"SELECT doc_id, n_chars FROM documents WHERE {nb} ORDER BY doc_id LIMIT {C.CAP_N}"
 
     q["shuffle_batches"] = f"WITH {SCHEDULE()}\n{SCHEDULE_OUT}"
-    q["step_budget"] = f"WITH {SCHEDULE()}\n{SCHEDULE_OUT} WHERE update_id <= {C.STEP_BUDGET}"
+    q["step_budget"] = f"WITH {SCHEDULE(C.STEP_BUDGET)}\n{SCHEDULE_OUT} WHERE update_id <= {C.STEP_BUDGET}"
+    q["permuted_batches"] = PERMUTED()
     epochs = ", ".join(str(e) for e in range(C.EPOCHS))
     q["shuffle_batches_keep_last"] = f"""WITH {WEAK_PAIRS()},
 x AS (SELECT doc_id || ':' || seg_idx AS example_id, unnest([{epochs}]) AS epoch FROM wp),
@@ -352,6 +398,10 @@ FROM a GROUP BY overflow"""
 SELECT CAST(prev AS BIGINT) AS prev, CAST(nxt AS BIGINT) AS next, CAST(c AS BIGINT) AS count FROM cnt"""
     q["next_token_probs"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
+    q["next_token_nucleus"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, 1_000_000_000, C.TOP_P)}
+SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
+    q["ngram_loss"] = NGRAMS()
+    q["subword_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     q["next_token_sample"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}, {DRAW(C.SEED)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(drawn AS BIGINT) AS drawn FROM drawn"""
     q["window_loss"] = f"""WITH {PAIRS_MODEL()}
@@ -399,12 +449,16 @@ SELECT b.item_id, CAST(coalesce(n, 0) AS BIGINT) AS n, round(first, 6) AS first,
        {WHOLE('nx')} AS vectors_md5 FROM b LEFT JOIN v USING (item_id)"""
     q["append_drawn"] = f"""WITH {PAIRS_MODEL()},
 cand AS (SELECT prev, nxt AS item, ln(c) AS score FROM cnt),
-{FILTERED(C.CHAT_TEMPERATURE, C.CHAT_TOP_K, None)}, {DRAW(C.CHAT_SEED)},
-d AS (SELECT doc_id, {ENC('text')} AS ids FROM documents WHERE {nb})
-SELECT doc_id, CAST(len(ids) + CASE WHEN drawn.drawn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n,
-       CAST(coalesce(drawn.drawn, ids[-1]) AS BIGINT) AS last,
-       md5(array_to_string(CASE WHEN drawn.drawn IS NULL THEN ids ELSE list_append(ids, drawn.drawn) END, ',')) AS ids_md5
-FROM d LEFT JOIN drawn ON drawn.prev = ids[-1]"""
+{FILTERED(C.CHAT_TEMPERATURE, C.CHAT_TOP_K, None)},
+dc AS (SELECT prev, item, round(sum(prob) OVER (PARTITION BY prev ORDER BY score DESC, item), 9) AS cum,
+              row_number() OVER (PARTITION BY prev ORDER BY score DESC, item) AS pos FROM fin),
+d AS (SELECT doc_id, {ENC('text')} AS ids, ('0x' || substr(md5('{C.CHAT_SEED}|' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS u
+      FROM documents WHERE {nb}),
+drawn AS (SELECT doc_id, coalesce(arg_min(CASE WHEN cum > u THEN item END, CASE WHEN cum > u THEN pos END), arg_max(item, pos)) AS drawn
+          FROM d JOIN dc ON dc.prev = ids[-1] GROUP BY doc_id)
+SELECT doc_id, CAST(len(ids) + CASE WHEN drawn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n, CAST(coalesce(drawn, ids[-1]) AS BIGINT) AS last,
+       md5(array_to_string(CASE WHEN drawn IS NULL THEN ids ELSE list_append(ids, drawn) END, ',')) AS ids_md5
+FROM d LEFT JOIN drawn USING (doc_id)"""
     return q
 
 
