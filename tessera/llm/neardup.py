@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, tie_breaker
@@ -181,7 +181,8 @@ def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def compare_rows(similarity: float):
-    """Judges each pair of weighted shingle sets; ``own`` has the shingles that ``b`` lacks, ``lost`` their share of ``a``'s weight."""
+    """Judges each pair of weighted shingle sets; ``own`` has the shingles that ``b`` lacks, ``lost`` their share of ``a``'s
+    weight; ``n`` and ``x`` are the number and the weight of ``a``'s shingles."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
             return column.flatten().to_numpy().view(kind), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
@@ -190,25 +191,27 @@ def compare_rows(similarity: float):
             (ka, ea), (kb, eb) = flat(batch.column("sa"), np.uint64), flat(batch.column("sb"), np.uint64)
             wa, wb = (weights(batch.column(c).flatten().to_numpy()) for c in ("ta", "tb"))
             linked, lacking = np.zeros(batch.num_rows, bool), np.zeros(len(ka), bool)
-            share = np.zeros(len(ka))
+            share, whole = np.zeros(len(ka)), np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
                 p, q = slice(ea[i], ea[i + 1]), slice(eb[i], eb[i + 1])
                 linked[i], lacking[p] = probability_jaccard(ka[p], wa[p], kb[q], wb[q], similarity - 1e-9)
-                share[p] = wa[p] / wa[p].sum()
+                whole[i] = wa[p].sum()
+                share[p] = wa[p] / whole[i]
             ends = pa.array(np.append(0, np.cumsum(lacking))[ea], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(linked),
                  pa.ListArray.from_arrays(ends, pa.array(ka[lacking].view(np.int64))),
-                 pa.ListArray.from_arrays(ends, pa.array(share[lacking]))], ["a", "b", "linked", "own", "lost"])
+                 pa.ListArray.from_arrays(ends, pa.array(share[lacking])), pa.array(np.diff(ea)), pa.array(whole)],
+                ["a", "b", "linked", "own", "lost", "n", "x"])
     return rows
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, linked, own, lost)`` of pairs: whether they are alike, and what of ``a`` its partner lacks."""
+    """``(a, b, linked, own, lost, n, x)`` of pairs: whether they are alike, and what of ``a`` its partner lacks."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("times").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("times").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ta", "sb", "tb")
-    return both.mapInArrow(compare_rows(similarity), f"a {NODE}, b {NODE}, linked boolean, own array<long>, lost array<double>")
+    return both.mapInArrow(compare_rows(similarity), f"a {NODE}, b {NODE}, linked boolean, own array<long>, lost array<double>, n long, x double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,29 +249,36 @@ def _pairs_between(rest: DataFrame, facts: DataFrame, similarity: float) -> Data
     ``rest`` has the nodes of mixed buckets (but the first of each) with their label and the
     bucket's major one; ``facts`` has, by node and first node, the shingles that the first one lacks
     (``own``) and their shares of the node's weight (``lost``). Shares p and q of two texts that the
-    other lacks bound their similarity by ``bound(p, q)``. So two texts that share none of their rare own
-    shingles (in at most ``RARE`` nodes compared with that first node) are no link if the shares of
-    those give a bound below ``similarity``; with one in common they are met by that
-    shingle, at most ``RARE`` times each. Only the other pairs are met by their bucket. Nothing is
-    lost, and a group of near copies that differ from each other in their own edits does
-    not turn into all its pairs.
+    other lacks bound their similarity by ``bound(p, q)``. A share is at least that of the rare own shingles
+    (in at most ``RARE`` nodes compared with that first node) if none of them is in both texts; and what
+    the texts have in common weighs at most ``(1 - q) y`` in the other, and as each weight is 1 or more, at most the
+    excess of the own weight over its number of shingles above that here. Pairs whose shares give a bound
+    below ``similarity`` have a rare shingle in common or no link; they are met by that shingle, at
+    most ``RARE`` times each. Only the other pairs are met by their bucket. Nothing is lost, and a
+    group of near copies that differ from each other in their own edits does not turn into all its pairs.
     """
     once = rest.select("first", "node", "label").distinct().join(facts, ["first", "node"])
     tokens = once.select("first", "node", "label", F.inline(F.arrays_zip(F.col("own").alias("s"), F.col("lost").alias("w"))))
     rare = tokens.groupBy("first", "s").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
     held = materialize(tokens.join(rare, ["first", "s"]), "rare")
     counts = held.groupBy("first", "node").agg(F.sum("w").alias("r"))
-    counts = once.select("first", "node").join(counts, ["first", "node"], "left").fillna(0.0, ["r"])
+    counts = once.select("first", "node", "n", "x").join(counts, ["first", "node"], "left").fillna(0.0, ["r"])
     rest = rest.join(counts, ["first", "node"])
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("band", "h", F.col("node").alias(name), *[
-            F.col(c).alias(f"{c}_{name}") for c in ("label", "major", "r")])
+            F.col(c).alias(f"{c}_{name}") for c in ("label", "major", "r", "n", "x")])
+
+    def apart(own: str, other: str) -> Column:
+        """Least share of one text's weight that the other lacks, without a rare shingle in common."""
+        x, n, r = (F.col(f"{c}_{own}") for c in ("x", "n", "r"))
+        common = (1 - F.col(f"r_{other}")) * F.col(f"x_{other}") + x - n
+        return F.greatest(r, 1 - common / x)
 
     # by bucket: both texts have so little rare weight of their own that the bound lets them be linked
     few = rest.filter(F.col("r") <= 1 - similarity + 1e-9)
     by_bucket = side(few.filter("label != major"), "a").join(side(few, "b"), ["band", "h"]).filter(
-        (F.col("label_a") != F.col("label_b")) & (bound(F.col("r_a"), F.col("r_b")) >= similarity - 1e-9)
+        (F.col("label_a") != F.col("label_b")) & (bound(apart("a", "b"), apart("b", "a")) >= similarity - 1e-9)
         & ((F.col("label_b") == F.col("major_b")) | (F.col("a") > F.col("b"))))
     shared = held.filter("df > 1")
     left = shared.select("first", "s", F.col("node").alias("a"), F.col("label").alias("la"))
@@ -291,7 +301,7 @@ def _labels(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     mixed = (placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"))
              .groupBy("band", "h").agg(F.max_by("label", "n").alias("major"), F.count("*").alias("labels"))
              .filter("labels > 1").select("band", "h", "major"))
-    facts = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), "own", "lost")
+    facts = tried.select(F.col("a").alias("node"), F.col("b").alias("first"), "own", "lost", "n", "x")
     rest = materialize(placed.join(mixed, ["band", "h"]).filter("node != first"), "rest")
     pairs = _pairs_between(rest, facts, similarity)
     between = materialize(_compared(pairs, sets, similarity).filter("linked").select("a", "b"), "between")
