@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Separators of the plain word rule, applied after A-Z are lower-cased.
@@ -53,3 +55,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     tie, repeated = tie_breaker(docs)
     out = docs.select("doc_id", tie.alias("tie"), "text")
     return out.dropDuplicates(["doc_id", "tie"]) if repeated else out
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts of a bounded table of ``ids (keys..., more columns)``: one row per id, however often a document repeats.
+
+    Of several texts of an id the smallest is taken. Written once, since fitting reads it several times.
+    """
+    named = ids.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = docs[keys[0]] == named[f"_{keys[0]}"]
+    for k in keys[1:]:
+        same = same & (docs[k] == named[f"_{k}"])
+    more = [c for c in ids.columns if c not in keys]
+    rows = docs.select(*keys, "text").join(F.broadcast(named), same).groupBy(*keys, *more).agg(F.min("text").alias("text"))
+    return materialize(rows, "sample")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sample_texts
 from tessera.llm.wordarrays import mix
 
 SIGNS = 64
@@ -131,7 +132,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelMo
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (rows.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").distinct()
            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language))
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+    sample = sample_texts(rows, ids, ["doc_id", "lang"])
     got = sample.select("rank", "lang", "text").mapInArrow(code_rows, "rank int, lang string, codes array<int>").toPandas()
     got = got[got["codes"].map(len) > 0]
     if not len(got):

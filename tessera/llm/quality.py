@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sample_texts
 from tessera.llm.wordarrays import Words, buffers, chunks, mix, seeded, spaced_table
 
 #: (share, good up to, bad from): a share between the two gives no vote.
@@ -223,9 +224,9 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | Non
     if not len(counts):
         return None, None
     labels = fit_labels(_unpacked(counts["pattern"].to_numpy()), counts["n"].to_numpy().astype(float))
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
-    rows = picked.mapInArrow(feature_rows, "pattern long, cols array<int>, x array<float>")
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = sample_texts(docs, ids, ["doc_id"]).select("text")
+    rows = rows.mapInArrow(feature_rows, "pattern long, cols array<int>, x array<float>")
     # only features of several sample texts are fitted, so that the driver receives few of them
     known = (rows.select(F.explode("cols").alias("c")).groupBy("c").count()
              .filter(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "c").limit(MOST_FEATURES))

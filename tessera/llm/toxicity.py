@@ -12,11 +12,12 @@ at most ``MOST_TOXIC`` and ``MOST_CLEAN`` in order of a hash of the id. Features
 against the label, at most ``MAX_FEATURES``; choice and fit see counts and chosen
 features only, never texts on the driver. A text is rejected from the probability of a
 grade above 0 that splits the sample's labels best. Scoring is one pass over whole texts
-without a shuffle.
+without a shuffle. Grade 2 is cut out of the toxic rows by this model's own evidence, as the
+labels have no degrees: it orders texts, it is no label.
 
 Null or empty texts have no features and get the severity of an empty text. Without
 rows of both labels nothing is learnt: every severity is 0. Repeated label rows of a
-document count once (toxic if any says so); repeated documents come back repeated.
+document count once (toxic if any says so); repeated documents come back repeated, and teach once.
 Extra columns are ignored.
 """
 
@@ -32,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sample_texts
 from tessera.llm.wordarrays import BYTE_WEIGHTS, Words, buffers, chunks, mix, plain_table, seeded
 
 BUCKETS = 1 << 20
@@ -195,7 +197,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
            .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     picked = [one.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
               for k, most in enumerate((most_clean, most_toxic))]
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "toxic")
+    sample = sample_texts(docs, picked[0].union(picked[1]), ["doc_id"]).select("text", "toxic")
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return nothing

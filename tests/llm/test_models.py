@@ -70,6 +70,14 @@ def test_toxicity_on_documents_without_their_label(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len(gone)
 
 
+def test_toxicity_of_unseen_documents_at_a_larger_size(spark):
+    big = SF.replace("sf0.01", "sf0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = toxicity.grade_documents(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.rejected for r in toxic) >= 0.94 * len(toxic) and sum(r.rejected for r in clean) <= 0.01 * len(clean)
+
+
 def test_toxicity_of_odd_rows_and_labels(spark):
     rows = [*ODD, *[(100 + k, f"kind words here {k} idiot" if k % 2 else f"kind words here {k}") for k in range(60)]]
     labels = [(100 + k, k % 2) for k in range(60)] * 2 + [(None, 1), (101, None), (103, 0), (1, 0), (2, 0)]
@@ -83,6 +91,49 @@ def test_toxicity_of_odd_rows_and_labels(spark):
     assert toxicity.grade_documents(df.limit(0), marks).count() == 0
 
 
+def test_samples_hold_one_row_of_a_repeated_id(spark):
+    """A document that repeats very often fills no sample, and brings one text of its id."""
+    from tessera.llm.common import sample_texts
+
+    rows = [(1, f"copy {k % 3}") for k in range(500)] + [(k, f"text {k}") for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sample_texts(df, df.select("doc_id").distinct(), ["doc_id"]).collect()
+    assert len(got) == 39 and {r.text for r in got if r.doc_id == 1} == {"copy 0"}
+    labels, weights = quality.fit_quality(df, sample=30)
+    assert labels is not None and weights is not None
+
+
+def test_scores_equal_a_plain_sum(spark, docs):
+    """Margins of the fitted model, feature by feature in plain Python."""
+    from collections import Counter
+
+    from tessera.llm.wordarrays import BYTE_WEIGHTS, mix, seeded
+
+    from .conftest import plain
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_severity(docs, labels)
+    rows = docs.select("doc_id", "text").limit(25).collect()
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    mask = 2**64 - 1
+
+    def bucket(word):
+        raw = word.encode()
+        powers, p = seeded(2, len(raw)).tolist(), {n: seeded(40 + n, n).tolist() for n in toxicity.PREFIXES}
+        total = sum(int(BYTE_WEIGHTS[b]) * powers[j] for j, b in enumerate(raw)) + len(raw) * 0xD6E8FEB86659FD93 & mask
+        yield int(mix(np.array([total & mask], np.uint64))[0]) % toxicity.BUCKETS
+        for n in toxicity.PREFIXES:
+            if len(raw) >= n:
+                begin = sum(int(BYTE_WEIGHTS[raw[j]]) * p[n][j] for j in range(n)) & mask
+                yield int(mix(np.array([begin], np.uint64))[0]) % toxicity.BUCKETS
+    import pyarrow as pa
+
+    got = model.margins(pa.array([r.text for r in rows]))
+    for r, margin in zip(rows, got, strict=True):
+        counts = Counter(b for w in plain(r.text) for b in bucket(w))
+        assert margin == pytest.approx(sum(weight[b] * np.log1p(n) for b, n in counts.items() if b in weight), abs=1e-9)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
     n, k = 3000, 6
