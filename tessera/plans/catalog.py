@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import checked
 from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, encoded_length, ids_fingerprint
 from tessera.functions.text import EOS_TEXT, words
 from tessera.operators import batching, corpus, names, ngrams, packing, redact, scores, sft, subwords, tokens, vectors
@@ -79,6 +80,15 @@ def q_redact_documents(spark, base):
     return redact.redact(_docs(spark, base)).select("doc_id", "text")
 
 
+def q_redact_checked(spark, base):
+    """R1 with tests of the values: documents, each with numbers from a hash of its id behind it, some of them valid."""
+    d = F.translate(F.md5(F.col("doc_id").cast("string")), "abcdef", "012345")
+    octets = F.concat_ws(".", *[(F.substring(d, k, 3).cast("int") % 300).cast("string") for k in (1, 4, 7, 10)])
+    planted = F.concat(F.col("text"), F.lit(" pay "), F.substring(d, 1, 16), F.lit(", "), F.substring(d, 17, 3), F.lit("-"),
+                       F.substring(d, 20, 2), F.lit("-"), F.substring(d, 22, 4), F.lit(" from "), octets, F.lit(". password: "), F.substring(d, 26, 7))
+    return checked.redact_checked(_nb(spark, base).select("doc_id", planted.alias("text")))
+
+
 def q_scrub_documents(spark, base):
     return redact.scrub(_docs(spark, base)).select("doc_id", "status", "scrubbed")
 
@@ -548,6 +558,7 @@ def q_append_drawn(spark, base):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_tag_counts": q_pii_tag_counts,
     "redact_documents": q_redact_documents,
+    "redact_checked": q_redact_checked,
     "scrub_documents": q_scrub_documents,
     "scrub_hook": q_scrub_hook,
     "scrub_hook_chunked": q_scrub_hook_chunked,

@@ -7,6 +7,7 @@ enumerates window ids directly. Regexes stay inside the Java/RE2 common subset.
 
 from __future__ import annotations
 
+from tessera.functions import checked
 from tessera.functions.rules import DEFAULT_RULES, duck_replacement
 from tessera.plans import catalog as C
 
@@ -133,6 +134,49 @@ sched AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update
 {SCHEDULE_OUT}"""
 
 
+def CHECKED() -> str:
+    """Values with their own tests, kind after kind: candidates and the parts between them, put together again."""
+    def quoted(p: str) -> str:
+        return "'" + p.replace("'", "''") + "'"
+
+    d = "regexp_replace(v, '[ -]', '', 'g')"
+    luhn = (f"list_sum(list_transform(string_split(reverse({d}), ''), lambda c, i: "
+            "CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][c::INTEGER + 1] ELSE c::INTEGER END)) % 10 = 0")
+    turned = "(replace(v, ' ', '')[5:] || replace(v, ' ', '')[:4])"
+    remainder = (f"list_reduce(list_concat([0], list_transform(string_split({turned}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' "
+                 "THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END)")
+    hexes, octet = checked.HEXES, checked.OCTET
+    groups = "len(list_filter(string_split(v, ':'), lambda g: g <> ''))"
+    valid = {
+        "KEY": f"regexp_full_match(v, {quoted(checked.KEY_FORMS)})",
+        "IBAN": f"length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND regexp_full_match(v, {quoted(checked.IBAN_RUN)}) AND {remainder} = 1",
+        "CARD": f"length({d}) BETWEEN 13 AND 19 AND regexp_full_match({d}, '[0-9]+') AND replace({d}, {d}[1], '') <> '' AND {luhn}",
+        "SSN": f"regexp_full_match(v, {quoted(checked.SSN_FORM)})",
+        "PHONE": f"regexp_full_match(v, {quoted(checked.PHONE_FORM)})",
+        "IP": f"(regexp_full_match(v, '{octet}(?:\\.{octet}){{3}}') OR regexp_full_match(v, '{hexes}(?::{hexes}){{7}}') OR "
+              f"(regexp_full_match(v, '(?:{hexes}(?::{hexes})*)?::(?:{hexes}(?::{hexes})*)?') AND {groups} BETWEEN 2 AND 7))",
+    }
+    secret = checked.SECRET_FORM
+    digits = "translate(md5(CAST(doc_id AS VARCHAR)), 'abcdef', '012345')"
+    octets = " || '.' || ".join(f"(substr({digits}, {k}, 3)::INTEGER % 300)" for k in (1, 4, 7, 10))
+    out = f"""WITH t0 AS (SELECT doc_id, text || ' pay ' || substr({digits}, 1, 16) || ', ' || substr({digits}, 17, 3) || '-' || substr({digits}, 20, 2)
+        || '-' || substr({digits}, 22, 4) || ' from ' || {octets} || '. password: ' || substr({digits}, 26, 7) AS s FROM documents WHERE {NB('text')}),
+s0 AS (SELECT doc_id, regexp_replace(s, {quoted(secret)}, '\\1[SECRET]', 'g') AS s FROM t0)"""
+    for k, c in enumerate(checked.CHECKED):
+        ok, tag = valid[c.tag], f"'[{c.tag}]'"
+        if c.tag == "IP":
+            within = (f"list_transform([regexp_extract(v, '^(.*?)([.:]?)$', 1)], lambda w: CASE WHEN {ok.replace('(v,', '(w,')} "
+                      f"THEN {tag} || substr(v, length(w) + 1) ELSE v END)[1]")
+        else:
+            within = f"array_to_string(list_transform(string_split(p, ' '), lambda v: CASE WHEN {ok} THEN {tag} ELSE v END), ' ')"
+        out += f""",
+c{k + 1} AS (SELECT doc_id, s, regexp_extract_all(s, {quoted(c.cut)}) AS parts FROM s{k}),
+s{k + 1} AS (SELECT doc_id, CASE WHEN regexp_matches(s, {quoted(c.gate)}) THEN array_to_string(list_transform(parts, lambda p, i:
+        CASE WHEN NOT regexp_full_match(p, {quoted(c.run)}) OR regexp_matches(coalesce(parts[i + 1], ''), '^[A-Za-z0-9]') THEN p
+        ELSE list_transform([p], lambda v: CASE WHEN {ok} THEN {tag} ELSE {within} END)[1] END), '') ELSE s END AS s FROM c{k + 1})"""
+    return f"{out}\nSELECT doc_id, s AS text FROM s{len(checked.CHECKED)}"
+
+
 def NGRAMS() -> str:
     """Held-out loss of the interpolated Kneser-Ney model of the training split."""
     order, base = C.NGRAM_ORDER, 258
@@ -401,6 +445,7 @@ SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6
     q["next_token_nucleus"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, 1_000_000_000, C.TOP_P)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
     q["ngram_loss"] = NGRAMS()
+    q["redact_checked"] = CHECKED()
     q["subword_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     q["next_token_sample"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}, {DRAW(C.SEED)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(drawn AS BIGINT) AS drawn FROM drawn"""
