@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tessera.functions import checked
 from tessera.functions.bytes import BYTE_VOCAB, EOS_ID, encoded_length, ids_fingerprint
 from tessera.functions.text import EOS_TEXT, words
-from tessera.operators import batching, corpus, names, ngrams, packing, redact, scores, sft, subwords, tokens, vectors
+from tessera.operators import agreement, batching, corpus, names, ngrams, packing, redact, scores, sft, subwords, tokens, vectors
 from tessera.plans import finetune, pretrain
-from tessera.session import materialize, shared_dir
+from tessera.session import materialize, scratch_dir, shared_dir
 from tessera.sources.tables import balance, load_corpus, load_pairs, read_table, rename_pairs, split_bucket
-from tessera.streaming.redact_stream import run_redaction_stream
+from tessera.streaming.conversations import redact_conversations
+from tessera.streaming.redact_stream import read_text_stream, run_redaction_stream
 
 # Fixed parameters of the registered queries.
 PACK_L = 512
@@ -110,6 +111,28 @@ def q_redact_stream(spark, base):
                                 sink, sink + "-checkpoint")
 
 
+def q_conversation_stream(spark, base):
+    """S5, R3 across messages: numbers that begin in one message and end in the next, as a stream.
+
+    Each message is extended by the first half of a number and, after the first one, begins with the second half of the
+    last; a NULL message ends each conversation. The pieces of a conversation are joined again.
+    """
+    conv = read_table(spark, base, "conversations", ["conv_id", "turn", "text"])
+    said = conv.select("conv_id", "turn", F.concat(
+        F.when(F.col("turn") > 0, F.concat(F.lit("555-"), F.lpad((F.col("conv_id") % 10_000).cast("string"), 4, "0"), F.lit(" "))).otherwise(""),
+        F.coalesce("text", F.lit("")), F.lit(" call +1 ("), (F.col("turn") + 200).cast("string"), F.lit(")")).alias("text"))
+    end = conv.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("text", F.lit(None).cast("string"))
+    source, sink = scratch_dir(spark, "messages"), scratch_dir(spark, "pieces")
+    said.union(end).repartitionByRange(4, "turn").sortWithinPartitions("turn").write.parquet(source)
+    stream = read_text_stream(spark, source, "conv_id long, turn long, text string")
+    q = (redact_conversations(stream).writeStream.format("parquet").outputMode("append").option("path", sink)
+         .option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    pieces = spark.read.schema("conv_id long, piece long, text string").parquet(sink)
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"))
+    return whole.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+
+
 def _frequent(texts: DataFrame, pattern: str, tag: str) -> DataFrame:
     """The most frequent matches of a pattern, as dictionary terms."""
     found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("term"))
@@ -181,6 +204,14 @@ def q_segment_agreement(spark, base):
     return agree.select(_long("pairs").alias("pairs"), _long("matches").alias("matches"), _r6("rate").alias("rate"))
 
 
+def q_span_agreement(spark, base):
+    """R9 by spans: what the rules find against what the checked rules find, segment by segment."""
+    seg = redact.segment(_docs(spark, base), SEGMENT_WORDS)
+    both = checked.redact_checked(redact.redact(seg, "segment", out="pred"), "segment", "target")
+    out = agreement.span_agreement(both, "segment", "pred", "target")
+    return out.select("tag", *[_long(c).alias(c) for c in ("predicted", "given", "matched")], _r6("precision").alias("precision"), _r6("recall").alias("recall"))
+
+
 def q_conversation_pairs(spark, base):
     return finetune.conversation_pairs(spark, base).select("conv_id", "turn", "original_text", "redacted_text")
 
@@ -381,6 +412,15 @@ def q_collate_batches(spark, base):
                     ids_fingerprint(F.flatten("target")).alias("target_md5"))
 
 
+def q_batch_rows(spark, base):
+    """Windows and schedule as versioned tables, joined bucket by bucket."""
+    cfg = pretrain.PackConfig(L=PACK_L, batch_size=BATCH, accum=ACCUM, seed=SEED)
+    sched, win = pretrain.prepare_tables(spark, base, scratch_dir(spark, "prepared"), "v1", cfg, EPOCHS, buckets=8)
+    rows = pretrain.batch_rows(sched, win)
+    return rows.select(_long("epoch").alias("epoch"), "batch_idx", _long("slot").alias("slot"), "update_id", "window_id",
+                       ids_fingerprint("input").alias("input_md5"), ids_fingerprint("target").alias("target_md5"))
+
+
 def q_last_tokens(spark, base):
     d = batching.last_tokens(pretrain.corpus_ids(spark, base), PACK_L, out="tail")
     return d.select("doc_id", _long(F.size("tail")).alias("n"), ids_fingerprint("tail").alias("ids_md5"))
@@ -563,11 +603,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_hook": q_scrub_hook,
     "scrub_hook_chunked": q_scrub_hook_chunked,
     "redact_stream": q_redact_stream,
+    "conversation_stream": q_conversation_stream,
     "redact_terms": q_redact_terms,
     "redact_terms_join": q_redact_terms_join,
     "redact_names": q_redact_names,
     "weak_pairs": q_weak_pairs,
     "segment_agreement": q_segment_agreement,
+    "span_agreement": q_span_agreement,
     "conversation_pairs": q_conversation_pairs,
     "pair_load": q_pair_load,
     "edge_rows": q_edge_rows,
@@ -593,6 +635,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "step_budget": q_step_budget,
     "permuted_batches": q_permuted_batches,
     "collate_batches": q_collate_batches,
+    "batch_rows": q_batch_rows,
     "last_tokens": q_last_tokens,
     "cut_generated": q_cut_generated,
     "sft_examples": q_sft_examples,

@@ -444,6 +444,16 @@ SELECT CAST(prev AS BIGINT) AS prev, CAST(nxt AS BIGINT) AS next, CAST(c AS BIGI
 SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
     q["next_token_nucleus"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, 1_000_000_000, C.TOP_P)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(item AS BIGINT) AS item, round(prob, 6) AS prob FROM fin"""
+    q["conversation_stream"] = f"""WITH m AS (SELECT conv_id, string_agg(
+        CASE WHEN turn > 0 THEN '555-' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0') || ' ' ELSE '' END || coalesce(text, '') || ' call +1 (' || (turn + 200) || ')',
+        ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+SELECT conv_id, {RULES('text')} AS text FROM m"""
+    q["batch_rows"] = f"""WITH {STREAM()}, {SCHEDULE()},
+i AS (SELECT gp // {C.PACK_L} AS w, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY gp) AS s FROM g GROUP BY 1),
+o AS (SELECT (gp - 1) // {C.PACK_L} AS w, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY gp) AS s FROM g WHERE gp >= 1 GROUP BY 1)
+SELECT CAST(epoch AS BIGINT) AS epoch, CAST(batch_idx AS BIGINT) AS batch_idx, CAST(slot AS BIGINT) AS slot, CAST(update_id AS BIGINT) AS update_id,
+       CAST(window_id AS BIGINT) AS window_id, md5(i.s) AS input_md5, md5(o.s) AS target_md5
+FROM sched JOIN i ON i.w = window_id JOIN o ON o.w = window_id"""
     q["ngram_loss"] = NGRAMS()
     q["redact_checked"] = CHECKED()
     q["subword_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

@@ -15,6 +15,7 @@ from tessera.functions.text import EOS_TEXT
 from tessera.operators.tokens import encode_bytes
 from tessera.session import shared_dir
 from tessera.sources.tables import load_corpus, write_windows
+from tessera.sources.versions import save_version
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,20 @@ def prepare(spark: SparkSession, base: str, out: str | None = None, cfg: PackCon
     return out
 
 
+def prepare_tables(spark: SparkSession, base: str, path: str, version: str, cfg: PackConfig = PackConfig(),
+                   epochs: int | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``prepare`` into versioned tables ``path/windows`` and ``path/schedule``, both bucketed by ``window_id``.
+
+    Each is replaced whole; a call that was cut short goes on with what is missing. Returns the
+    schedule and the windows, which ``batch_rows`` joins as they lie.
+    """
+    win = save_version(windows(spark, base, cfg.L, cfg.max_samples), f"{path}/windows", version, "window_id", buckets)
+    epochs = epochs or epochs_needed(win.count(), cfg.batch_size, cfg.accum, cfg.steps)
+    sched = schedule(win.select("window_id"), cfg, epochs).select(
+        F.col("epoch").cast("int").alias("epoch"), "batch_idx", "slot", "update_id", "window_id")
+    return save_version(sched, f"{path}/schedule", version, "window_id", buckets), win
+
+
 def batch_rows(sched: DataFrame, win: DataFrame) -> DataFrame:
-    """Physical rows of a schedule: join the window arrays by id (one shuffle join)."""
+    """Physical rows of a schedule: join the window arrays by id (one shuffle join; none for tables of ``prepare_tables``)."""
     return sched.join(win, "window_id")
