@@ -40,6 +40,22 @@ def lookup_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: s
             .select(*key, F.transform("_p", lambda s: s["_v"]).alias(out)))
 
 
+def lookup_vector_pieces(df: DataFrame, key: Sequence[str], vectors: DataFrame, size: int, ids: str = "ids",
+                         vec_id: str = "vec_id", vec: str = "embedding", out: str = "vectors") -> DataFrame:
+    """J2 for rows of any length: ``(key..., row, piece, out)`` with ``size`` ids to a piece, so no group or row holds more vectors than that.
+
+    ``row`` tells input rows apart, ``piece`` counts from 0; a row without ids has no piece. Vectors are joined as in ``lookup_vectors``.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    ex = (df.select(*key, F.monotonically_increasing_id().alias("row"), F.col(ids).alias("_ids"))
+          .select(*key, "row", F.posexplode("_ids").alias("_pos", "_id")))
+    v = broadcast_if_small(vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v")))
+    joined = ex.join(v, "_id", "left").withColumn("piece", F.floor(F.col("_pos") / size))
+    return (joined.groupBy(*key, "row", "piece").agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_p"))
+            .select(*key, "row", "piece", F.transform("_p", lambda s: s["_v"]).alias(out)))
+
+
 def pooled_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: str = "ids",
                    vec_id: str = "vec_id", vec: str = "embedding", dim: int | None = None) -> DataFrame:
     """Mean of the gathered vectors per row without materializing the gather.

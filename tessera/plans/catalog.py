@@ -36,6 +36,7 @@ SUBWORD_MERGES = 256
 CODEC_MERGES = 64
 NGRAM_ORDER = 4
 NAME_EVERY = 3
+PIECE = 64
 FREQUENT_TERMS = 30
 SEED = 42
 TEMPERATURE = 0.8
@@ -587,6 +588,13 @@ def q_gather_vectors(spark, base):
                     _whole(F.flatten("vectors")).alias("vectors_md5"))
 
 
+def q_gather_pieces(spark, base):
+    """J2 in pieces of a fixed number of vectors: the bytes of the conversations."""
+    conv = balance(read_table(spark, base, "conversations", ["conv_id", "turn", "text"]), "conv_id")
+    g = vectors.lookup_vector_pieces(tokens.encode_bytes(conv), ["conv_id", "turn"], _unit_vectors(spark, base), PIECE)
+    return g.select("conv_id", "turn", "piece", _long(F.size("vectors")).alias("n"), _whole(F.flatten("vectors")).alias("vectors_md5"))
+
+
 def q_append_drawn(spark, base):
     cands = scores.candidates(_byte_counts(spark, base))
     table = materialize(scores.cumulative_table(_filtered(cands, CHAT_TEMPERATURE, CHAT_TOP_K, None), ["prev"]), "draws")
@@ -655,5 +663,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rms_vectors": q_rms_vectors,
     "doc_vectors": q_doc_vectors,
     "gather_vectors": q_gather_vectors,
+    "gather_pieces": q_gather_pieces,
     "append_drawn": q_append_drawn,
 }

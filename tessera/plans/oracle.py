@@ -502,6 +502,12 @@ v AS (SELECT item_id, flatten(list(nx ORDER BY pos)) AS nx, count(*) AS n, arg_m
       FROM e LEFT JOIN uv ON uv.vec_id = e.id GROUP BY item_id)
 SELECT b.item_id, CAST(coalesce(n, 0) AS BIGINT) AS n, round(first, 6) AS first, round(last, 6) AS last,
        {WHOLE('nx')} AS vectors_md5 FROM b LEFT JOIN v USING (item_id)"""
+    q["gather_pieces"] = f"""WITH {UNIT_VECTORS()},
+b AS (SELECT conv_id, turn, {ENC('text')} AS ids FROM conversations),
+e AS (SELECT conv_id, turn, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM b),
+v AS (SELECT conv_id, turn, pos // {C.PIECE} AS piece, flatten(list(nx ORDER BY pos)) AS nx, count(*) AS n
+      FROM e LEFT JOIN uv ON uv.vec_id = e.id GROUP BY ALL)
+SELECT conv_id, turn, CAST(piece AS BIGINT) AS piece, CAST(n AS BIGINT) AS n, {WHOLE('nx')} AS vectors_md5 FROM v"""
     q["append_drawn"] = f"""WITH {PAIRS_MODEL()},
 cand AS (SELECT prev, nxt AS item, ln(c) AS score FROM cnt),
 {FILTERED(C.CHAT_TEMPERATURE, C.CHAT_TOP_K, None)},
