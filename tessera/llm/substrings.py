@@ -254,11 +254,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     dealt = part(False).mapInArrow(packed_rows(window), PACKED).repartition("bucket")
     ranges = dealt.sortWithinPartitions("bucket", "doc_id", "tie", "start").mapInArrow(repeat_rows(window), RANGES)
     if found.filter(F.exists("found", lambda s: s["hot"])).limit(1).count():
-        places = materialize(part(True).mapInArrow(hot_rows(window), "window binary, doc_id long, tie long, start int"), "hot-windows")
+        places = part(True).mapInArrow(hot_rows(window), "window binary, doc_id long, tie long, start int")
         place = F.struct("doc_id", "tie", "start")
-        first = places.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        # both sides are tables of their own, so Spark splits the places of a window that very many texts hold
-        later = places.join(materialize(first.drop("n"), "hot-firsts").hint("merge"), "window").filter(place != F.col("first"))
+        # the minimum is dealt by another key than the join, so that Spark may split the join's side of a window that very many texts hold
+        first = places.groupBy(F.concat("window", F.unhex(F.lit("00"))).alias("_w")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        first = first.filter("n > 1").select(F.substring("_w", 1, 16).alias("window"), "first")
+        later = places.join(first.hint("merge"), "window").filter(place != F.col("first"))
         ranges = ranges.union(later.select("doc_id", "tie", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
     return ranges.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
