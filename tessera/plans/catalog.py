@@ -32,8 +32,7 @@ BATCH = 8
 ACCUM = 8
 STEP_BUDGET = pretrain.PackConfig.steps
 EPOCHS = 2
-SUBWORD_MERGES = 256
-CODEC_MERGES = 64
+SUBWORD_MERGES = 64
 NGRAM_ORDER = 4
 NAME_EVERY = 3
 PIECE = 64
@@ -173,7 +172,7 @@ def _named_segments(spark, base) -> DataFrame:
     def spelled(part: str, size: int) -> Column:
         return F.initcap(F.translate(F.substring(F.md5(F.concat(F.lit(part), F.col("c_custkey").cast("string"))), 1, size), *letters))
     people = people.select(F.col("c_custkey").alias("_key"), F.concat(spelled("g", 5), F.lit(" "), spelled("f", 7)).alias("name"))
-    own = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_idx").cast("string")))
+    own = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_idx").cast("string"))), 1, 8), 16, 10).cast("long")
     cue = F.element_at(F.array(*[F.lit(c) for c in ("from", "by", "Dear", "Mr")]), (own % 4 + 1).cast("int"))
     seg = seg.withColumn("_key", F.when(own % NAME_EVERY == 0, F.floor(own / NAME_EVERY) % max(n, 1))).withColumn("_cue", cue)
     w = F.split("segment", " ")
@@ -207,7 +206,7 @@ def q_segment_agreement(spark, base):
 
 def q_span_agreement(spark, base):
     """R9 by spans: what the rules find against what the checked rules find, segment by segment."""
-    seg = redact.segment(_docs(spark, base), SEGMENT_WORDS)
+    seg = redact.segment(_nb(spark, base), SEGMENT_WORDS)
     both = checked.redact_checked(redact.redact(seg, "segment", out="pred"), "segment", "target")
     out = agreement.span_agreement(both, "segment", "pred", "target")
     return out.select("tag", *[_long(c).alias(c) for c in ("predicted", "given", "matched")], _r6("precision").alias("precision"), _r6("recall").alias("recall"))
@@ -319,7 +318,7 @@ def q_subword_vocab(spark, base):
 
 def q_subword_roundtrip(spark, base):
     """T1, T2 with learned subwords: every text encoded and decoded."""
-    merges = _merges(spark, base, CODEC_MERGES)
+    merges = _merges(spark, base, SUBWORD_MERGES)
     enc = materialize(subwords.encode_subwords(_docs(spark, base), merges), "subword-ids")
     return subwords.decode_subwords(enc, merges)
 

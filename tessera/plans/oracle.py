@@ -134,8 +134,9 @@ sched AS (SELECT *, epoch * (nb // {accum}) + batch_idx // {accum} + 1 AS update
 {SCHEDULE_OUT}"""
 
 
-def CHECKED() -> str:
-    """Values with their own tests, kind after kind: candidates and the parts between them, put together again."""
+def CHECKED(source: str, keys: str) -> str:
+    """CTEs over ``source (keys, s)``: values with their own tests, kind after kind, as candidates and the parts between
+    them that are put together again. The last one is ``checked (keys, s)``."""
     def quoted(p: str) -> str:
         return "'" + p.replace("'", "''") + "'"
 
@@ -157,11 +158,7 @@ def CHECKED() -> str:
               f"(regexp_full_match(v, '(?:{hexes}(?::{hexes})*)?::(?:{hexes}(?::{hexes})*)?') AND {groups} BETWEEN 2 AND 7))",
     }
     secret = checked.SECRET_FORM
-    digits = "translate(md5(CAST(doc_id AS VARCHAR)), 'abcdef', '012345')"
-    octets = " || '.' || ".join(f"(substr({digits}, {k}, 3)::INTEGER % 300)" for k in (1, 4, 7, 10))
-    out = f"""WITH t0 AS (SELECT doc_id, text || ' pay ' || substr({digits}, 1, 16) || ', ' || substr({digits}, 17, 3) || '-' || substr({digits}, 20, 2)
-        || '-' || substr({digits}, 22, 4) || ' from ' || {octets} || '. password: ' || substr({digits}, 26, 7) AS s FROM documents WHERE {NB('text')}),
-s0 AS (SELECT doc_id, regexp_replace(s, {quoted(secret)}, '\\1[SECRET]', 'g') AS s FROM t0)"""
+    out = f"s0 AS (SELECT {keys}, regexp_replace(s, {quoted(secret)}, '\\1[SECRET]', 'g') AS s FROM {source})"
     for k, c in enumerate(checked.CHECKED):
         ok, tag = valid[c.tag], f"'[{c.tag}]'"
         if c.tag == "IP":
@@ -170,11 +167,73 @@ s0 AS (SELECT doc_id, regexp_replace(s, {quoted(secret)}, '\\1[SECRET]', 'g') AS
         else:
             within = f"array_to_string(list_transform(string_split(p, ' '), lambda v: CASE WHEN {ok} THEN {tag} ELSE v END), ' ')"
         out += f""",
-c{k + 1} AS (SELECT doc_id, s, regexp_extract_all(s, {quoted(c.cut)}) AS parts FROM s{k}),
-s{k + 1} AS (SELECT doc_id, CASE WHEN regexp_matches(s, {quoted(c.gate)}) THEN array_to_string(list_transform(parts, lambda p, i:
+c{k + 1} AS (SELECT {keys}, s, regexp_extract_all(s, {quoted(c.cut)}) AS parts FROM s{k}),
+s{k + 1} AS (SELECT {keys}, CASE WHEN regexp_matches(s, {quoted(c.gate)}) THEN array_to_string(list_transform(parts, lambda p, i:
         CASE WHEN NOT regexp_full_match(p, {quoted(c.run)}) OR regexp_matches(coalesce(parts[i + 1], ''), '^[A-Za-z0-9]') THEN p
         ELSE list_transform([p], lambda v: CASE WHEN {ok} THEN {tag} ELSE {within} END)[1] END), '') ELSE s END AS s FROM c{k + 1})"""
-    return f"{out}\nSELECT doc_id, s AS text FROM s{len(checked.CHECKED)}"
+    return f"{out},\nchecked AS (SELECT * FROM s{len(checked.CHECKED)})"
+
+
+def REDACT_CHECKED() -> str:
+    digits = "translate(md5(CAST(doc_id AS VARCHAR)), 'abcdef', '012345')"
+    octets = " || '.' || ".join(f"(substr({digits}, {k}, 3)::INTEGER % 300)" for k in (1, 4, 7, 10))
+    return f"""WITH t0 AS (SELECT doc_id, text || ' pay ' || substr({digits}, 1, 16) || ', ' || substr({digits}, 17, 3) || '-' || substr({digits}, 20, 2)
+        || '-' || substr({digits}, 22, 4) || ' from ' || {octets} || '. password: ' || substr({digits}, 26, 7) AS s FROM documents WHERE {NB('text')}),
+{CHECKED('t0', 'doc_id')}
+SELECT doc_id, s AS text FROM checked"""
+
+
+def SPANS(source: str) -> str:
+    """CTEs over ``source (k, side, raw, red)``: spans ``(k, side, lo, hi, tag)`` by the longest common subsequence of the words.
+
+    One row of its table follows from the one above as a running maximum, since a match is never worse than its neighbours.
+    """
+    return f"""al AS (SELECT k, side, regexp_extract_all(raw, '{WORD_RE}') AS a, regexp_extract_all(red, '{WORD_RE}') AS b FROM {source} WHERE raw <> red),
+lcs AS (SELECT k, side, a, b, 0 AS i, [list_transform(range(len(b) + 1), lambda x: 0)] AS t FROM al
+        UNION ALL SELECT k, side, a, b, i + 1, list_append(t, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: list_max(
+            list_transform(range(1, j + 1), lambda h: CASE WHEN a[i + 1] = b[h] THEN t[i + 1][h] + 1 ELSE t[i + 1][h + 1] END)))))
+        FROM lcs WHERE i < len(a)),
+way AS (SELECT k, side, a, b, t, len(a) AS i, len(b) AS j, [{{'i': len(a), 'j': len(b)}}] AS p FROM lcs WHERE i = len(a)
+        UNION ALL SELECT k, side, a, b, t, CASE WHEN t[i + 1][j + 1] = t[i][j + 1] OR a[i] = b[j] THEN i - 1 ELSE i END,
+               CASE WHEN t[i + 1][j + 1] = t[i][j + 1] THEN j ELSE j - 1 END,
+               CASE WHEN t[i + 1][j + 1] <> t[i][j + 1] AND a[i] = b[j] THEN list_prepend({{'i': i - 1, 'j': j - 1}}, p) ELSE p END
+        FROM way WHERE i > 0 AND j > 0),
+ends AS (SELECT k, side, b, list_prepend({{'i': -1, 'j': -1}}, p) AS p FROM way WHERE i = 0 OR j = 0),
+gap AS (SELECT k, side, b, p[g] AS lo, p[g + 1] AS hi FROM ends, unnest(range(1, len(p))) AS u(g)),
+spans AS (SELECT DISTINCT k, side, lo.i + 1 AS lo, hi.i AS hi, unnest(regexp_extract_all(array_to_string(b[lo.j + 2:hi.j], ' '), '\\[([A-Z]+)\\]', 1)) AS tag FROM gap)"""
+
+
+def SPAN_AGREEMENT() -> str:
+    return f"""WITH RECURSIVE {WEAK_PAIRS()},
+raw AS (SELECT doc_id, seg_idx, original_text AS s FROM wp),
+{CHECKED('raw', 'doc_id, seg_idx')},
+both_sides AS (SELECT doc_id || ':' || seg_idx AS k, 'p' AS side, original_text AS raw, redacted_text AS red FROM wp
+               UNION ALL SELECT wp.doc_id || ':' || wp.seg_idx, 't', original_text, s FROM wp JOIN checked USING (doc_id, seg_idx)),
+{SPANS('both_sides')},
+c AS (SELECT tag, side, count(*) AS n FROM spans GROUP BY ALL),
+m AS (SELECT tag, count(*) AS n FROM spans AS x JOIN spans AS y USING (k, lo, hi, tag) WHERE x.side = 'p' AND y.side = 't' GROUP BY tag),
+n AS (SELECT tag, CAST(coalesce(sum(n) FILTER (side = 'p'), 0) AS BIGINT) AS predicted, CAST(coalesce(sum(n) FILTER (side = 't'), 0) AS BIGINT) AS given
+      FROM c GROUP BY tag)
+SELECT tag, predicted, given, coalesce(m.n, 0) AS matched, round(coalesce(m.n, 0) / nullif(predicted, 0)::DOUBLE, 6) AS precision,
+       round(coalesce(m.n, 0) / nullif(given, 0)::DOUBLE, 6) AS recall FROM n LEFT JOIN m USING (tag)"""
+
+
+def SUBWORDS() -> str:
+    """Byte-pair merges one at a time: the most frequent pair of the unit table, replaced in all units."""
+    out = f"""w0 AS MATERIALIZED (SELECT array_to_string(list_transform(regexp_extract_all(hex(encode(unit)), '..'), lambda h: chr(('0x' || h)::INTEGER)), '') AS s,
+        count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?{WORD_RE}|[ \\t\\n\\r\\f\\x0B]+')) AS unit FROM documents WHERE {NB('text')}) AS u GROUP BY ALL),
+p0 AS (SELECT i AS id, printf('%02x', i) AS piece FROM range(256) AS r(i))"""
+    for k in range(C.SUBWORD_MERGES):
+        out += f""",
+b{k} AS MATERIALIZED (SELECT pair, unicode(pair[1]) AS lo, unicode(pair[2]) AS hi FROM (
+        SELECT substr(s, i, 2) AS pair, sum(n) AS n FROM w{k}, unnest(range(1, length(s))) AS t(i) GROUP BY 1) AS q
+        WHERE n >= 2 ORDER BY n DESC, lo, hi LIMIT 1),
+w{k + 1} AS MATERIALIZED (SELECT replace(s, pair, chr({257 + k})) AS s, n FROM w{k}, b{k} WHERE length(s) > 1),
+p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} UNION ALL SELECT {257 + k}, x.piece || y.piece FROM b{k} JOIN p{k} AS x ON x.id = lo JOIN p{k} AS y ON y.id = hi)"""
+    rows = " UNION ALL ".join(f"SELECT {k} AS rank, lo, hi, {257 + k} AS id FROM b{k}" for k in range(C.SUBWORD_MERGES))
+    return f"""WITH {out}
+SELECT CAST(rank AS BIGINT) AS rank, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(m.id AS BIGINT) AS id, piece
+FROM ({rows}) AS m JOIN p{C.SUBWORD_MERGES} USING (id)"""
 
 
 def NGRAMS() -> str:
@@ -455,7 +514,9 @@ SELECT CAST(epoch AS BIGINT) AS epoch, CAST(batch_idx AS BIGINT) AS batch_idx, C
        CAST(window_id AS BIGINT) AS window_id, md5(i.s) AS input_md5, md5(o.s) AS target_md5
 FROM sched JOIN i ON i.w = window_id JOIN o ON o.w = window_id"""
     q["ngram_loss"] = NGRAMS()
-    q["redact_checked"] = CHECKED()
+    q["redact_checked"] = REDACT_CHECKED()
+    q["span_agreement"] = SPAN_AGREEMENT()
+    q["subword_vocab"] = SUBWORDS()
     q["subword_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     q["next_token_sample"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}, {DRAW(C.SEED)}
 SELECT CAST(prev AS BIGINT) AS prev, CAST(drawn AS BIGINT) AS drawn FROM drawn"""
