@@ -183,6 +183,78 @@ def REDACT_CHECKED() -> str:
 SELECT doc_id, s AS text FROM checked"""
 
 
+def NAMES() -> str:
+    """Names planted into segments, a hidden Markov model counted from every other one, and the best tags by recursion over the words."""
+    n_words, letters = C.SEGMENT_WORDS, "'0123456789abcdef', 'aeioubdklmnrstvz'"
+    word, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
+    sentence = rf"(?:{word}[^\p{{L}}\p{{N}}.!?\n]*)+{gap}*|{gap}+"
+
+    def spelled(part: str, size: int) -> str:
+        x = f"translate(substr(md5('{part}' || c_custkey), 1, {size}), {letters})"
+        return f"upper({x}[1]) || {x}[2:]"
+
+    def logs(c: str, cells: str, total: str) -> str:
+        return f"({c} + 0.5) / ({total} + 0.5 * {cells})"
+
+    moves = ", ".join(f"CASE WHEN {u} = 3 AND t IN (0, 1) OR t = 1 AND {u} IN (0, 1) THEN -1000000000 ELSE "
+                      f"CAST(round(1000000 * ln({logs(f'to{u}', '4', '(to0 + to1 + to2 + to3)')})) AS BIGINT) END" for u in range(4))
+    tos = ", ".join(f"count(*) FILTER (next = {u}) AS to{u}" for u in range(4))
+    shape = rf"substr(regexp_replace(regexp_replace(regexp_replace(word, '\p{{Lu}}+', 'X', 'g'), '\p{{N}}+', '9', 'g'), '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]+', 'x', 'g'), 1, 3)"
+
+    def shape_log(t: int) -> str:
+        cells = "(kinds + n_often)" if t <= 1 else "kinds"
+        return f"CAST(round(1000000 * (ln({logs(f'c{t}', cells, f'n{t}')}) - ln(greatest(1, {'rare' if t <= 1 else 'types'})))) AS BIGINT)"
+
+    def word_log(t: int) -> str:
+        return f"CAST(round(1000000 * ln({logs(f'w{t}', '(kinds + n_often)', f'n{t}')})) AS BIGINT)"
+
+    codes = "['O', 'C', 'F', 'R']"
+    return f"""WITH RECURSIVE {WEAK_PAIRS()},
+people AS (SELECT c_custkey, {spelled('g', 5)} || ' ' || {spelled('f', 7)} AS name FROM customer),
+np AS (SELECT greatest(count(*), 1) AS n FROM customer),
+sg AS (SELECT doc_id, seg_idx, original_text AS s, string_split(original_text, ' ') AS w,
+              ('0x' || substr(md5(doc_id || ':' || seg_idx), 1, 8))::BIGINT AS own FROM wp),
+sk AS (SELECT sg.*, CASE WHEN own % {C.NAME_EVERY} = 0 THEN own // {C.NAME_EVERY} % n END AS k FROM sg, np),
+rows AS MATERIALIZED (SELECT doc_id, seg_idx, k, name, CASE WHEN name IS NULL THEN s ELSE concat_ws(' ', array_to_string(w[1:8], ' '),
+        ['from', 'by', 'Dear', 'Mr'][own % 4 + 1], name, array_to_string(w[9:{n_words}], ' ')) END AS text FROM sk LEFT JOIN people ON c_custkey = k),
+known AS (SELECT DISTINCT name FROM rows WHERE k % 2 = 0),
+se AS MATERIALIZED (SELECT doc_id, seg_idx, j AS sent, ss[j] AS sentence, regexp_extract_all(ss[j], '{word}') AS ws
+      FROM (SELECT doc_id, seg_idx, regexp_extract_all(text, '{sentence}') AS ss FROM rows) AS q, unnest(range(1, len(ss) + 1)) AS u(j)),
+tk AS MATERIALIZED (SELECT doc_id, seg_idx, sent, p AS pos, ws[p] AS word, ws[p] || ' ' || ws[p + 1] AS pair FROM se, unnest(range(1, len(ws) + 1)) AS u(p)),
+st AS (SELECT tk.*, name IS NOT NULL AS starts FROM tk LEFT JOIN known ON name = pair),
+t1 AS (SELECT *, CASE WHEN lag(starts) OVER o THEN 3 WHEN starts THEN 2 ELSE 0 END AS raw FROM st
+       WINDOW o AS (PARTITION BY doc_id, seg_idx, sent ORDER BY pos)),
+t2 AS (SELECT *, CASE WHEN raw = 0 AND lead(raw) OVER o = 2 THEN 1 ELSE raw END AS t FROM t1 WINDOW o AS (PARTITION BY doc_id, seg_idx, sent ORDER BY pos)),
+tw AS MATERIALIZED (SELECT *, lead(t) OVER (PARTITION BY doc_id, seg_idx, sent ORDER BY pos) AS next FROM t2),
+tags AS (SELECT t FROM range(4) AS r(t)),
+sums AS MATERIALIZED (SELECT tags.t, count(word) AS n, count(*) FILTER (pos = 1) AS starts, {tos} FROM tags LEFT JOIN tw USING (t) GROUP BY tags.t),
+mv AS MATERIALIZED (SELECT t, [{moves}] AS m FROM sums),
+s0 AS (SELECT t, CASE WHEN t = 3 THEN -1000000000 ELSE CAST(round(1000000 * ln({logs('starts', '4', '(SELECT sum(starts) FROM sums)')})) AS BIGINT) END AS s FROM sums),
+wt AS (SELECT word, count(*) FILTER (t <= 1) AS plain, count(*) FILTER (t = 0) AS w0, count(*) FILTER (t = 1) AS w1,
+              count(*) FILTER (t = 2) AS w2, count(*) FILTER (t = 3) AS w3 FROM tw GROUP BY word),
+ft AS (SELECT word FROM wt WHERE plain >= 20 ORDER BY plain DESC, word LIMIT 50000),
+ws_ AS MATERIALIZED (SELECT wt.*, ft.word IS NOT NULL AS often, {shape.replace('word', 'wt.word')} AS shape FROM wt LEFT JOIN ft USING (word)),
+sh AS (SELECT shape, count(*) AS types, count(*) FILTER (NOT often) AS rare, coalesce(sum(w0) FILTER (NOT often), 0) AS c0, coalesce(sum(w1) FILTER (NOT often), 0) AS c1,
+              sum(w2) AS c2, sum(w3) AS c3 FROM ws_ GROUP BY shape),
+k_ AS (SELECT (SELECT count(*) + 1 FROM sh) AS kinds, (SELECT count(*) FROM ft) AS n_often, {', '.join(f'(SELECT n FROM sums WHERE t = {t}) AS n{t}' for t in range(4))}),
+sl AS MATERIALIZED (SELECT shape, {', '.join(f'{shape_log(t)} AS e{t}' for t in range(4))} FROM sh, k_),
+em AS MATERIALIZED (SELECT word, CASE WHEN ws_.often THEN {word_log(0)} ELSE e0 END AS e0, CASE WHEN ws_.often THEN {word_log(1)} ELSE e1 END AS e1, e2, e3
+      FROM ws_ JOIN sl USING (shape), k_),
+el AS MATERIALIZED (SELECT doc_id, seg_idx, sent, pos, [e0, e1, e2, e3] AS e FROM tk JOIN em USING (word)),
+vt AS (SELECT doc_id, seg_idx, sent, 1 AS pos, t, s + e[t + 1] AS score, {codes}[t + 1] AS path FROM el, s0 WHERE pos = 1
+       UNION ALL SELECT doc_id, seg_idx, sent, pos, t, b.s + e[t + 1], b.p || {codes}[t + 1] FROM (
+         SELECT x.doc_id, x.seg_idx, x.sent, y.pos, u.t, any_value(y.e) AS e, max({{'s': x.score + mv.m[u.t + 1], 'p': x.path}}) AS b
+         FROM vt AS x JOIN el AS y ON y.doc_id = x.doc_id AND y.seg_idx = x.seg_idx AND y.sent = x.sent AND y.pos = x.pos + 1
+         JOIN mv ON mv.t = x.t, tags AS u GROUP BY x.doc_id, x.seg_idx, x.sent, y.pos, u.t) AS q),
+best AS (SELECT doc_id, seg_idx, sent, max({{'s': score, 'p': path}}).p AS path FROM vt JOIN se USING (doc_id, seg_idx, sent) WHERE pos = len(ws) GROUP BY ALL),
+told AS (SELECT doc_id, seg_idx, sent, CASE WHEN contains(path, 'F') THEN array_to_string(list_transform(range(1, len(ws) + 1), lambda i:
+           CASE path[i] WHEN 'F' THEN '[NAME]' WHEN 'R' THEN '' ELSE ws[i] END
+           || CASE WHEN path[i + 1] = 'R' THEN '' ELSE coalesce(regexp_extract_all(sentence, '{word}|{gap}+')[2 * i], '') END), '') ELSE sentence END AS s
+         FROM se LEFT JOIN best USING (doc_id, seg_idx, sent)),
+whole AS (SELECT doc_id, seg_idx, string_agg(s, '' ORDER BY sent) AS redacted FROM told GROUP BY ALL)
+SELECT doc_id, CAST(seg_idx AS BIGINT) AS seg_idx, k % 2 = 0 AS known, name, coalesce(redacted, text) AS redacted FROM rows LEFT JOIN whole USING (doc_id, seg_idx)"""
+
+
 def SPANS(source: str) -> str:
     """CTEs over ``source (k, side, raw, red)``: spans ``(k, side, lo, hi, tag)`` by the longest common subsequence of the words.
 
@@ -516,6 +588,7 @@ FROM sched JOIN i ON i.w = window_id JOIN o ON o.w = window_id"""
     q["ngram_loss"] = NGRAMS()
     q["redact_checked"] = REDACT_CHECKED()
     q["span_agreement"] = SPAN_AGREEMENT()
+    q["redact_names"] = NAMES()
     q["subword_vocab"] = SUBWORDS()
     q["subword_roundtrip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     q["next_token_sample"] = f"""WITH {CANDIDATES_WORDS()}, {FILTERED(C.TEMPERATURE, C.TOP_K, C.TOP_P)}, {DRAW(C.SEED)}
