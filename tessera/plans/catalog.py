@@ -173,7 +173,7 @@ def _named_segments(spark, base) -> DataFrame:
         return F.initcap(F.translate(F.substring(F.md5(F.concat(F.lit(part), F.col("c_custkey").cast("string"))), 1, size), *letters))
     people = people.select(F.col("c_custkey").alias("_key"), F.concat(spelled("g", 5), F.lit(" "), spelled("f", 7)).alias("name"))
     own = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_idx").cast("string"))), 1, 8), 16, 10).cast("long")
-    cue = F.element_at(F.array(*[F.lit(c) for c in ("from", "by", "Dear", "Mr")]), (own % 4 + 1).cast("int"))
+    cue = F.element_at(F.array(*[F.lit(c) for c in ("from", "by", "Dear", "Mr")]), (F.floor(own / 1009) % 4 + 1).cast("int"))  # apart from the key's parity
     seg = seg.withColumn("_key", F.when(own % NAME_EVERY == 0, F.floor(own / NAME_EVERY) % max(n, 1))).withColumn("_cue", cue)
     w = F.split("segment", " ")
     rows = seg.join(people, "_key", "left").withColumn("_w", w)

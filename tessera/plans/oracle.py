@@ -216,7 +216,7 @@ sg AS (SELECT doc_id, seg_idx, original_text AS s, string_split(original_text, '
               ('0x' || substr(md5(doc_id || ':' || seg_idx), 1, 8))::BIGINT AS own FROM wp),
 sk AS (SELECT sg.*, CASE WHEN own % {C.NAME_EVERY} = 0 THEN own // {C.NAME_EVERY} % n END AS k FROM sg, np),
 rows AS MATERIALIZED (SELECT doc_id, seg_idx, k, name, CASE WHEN name IS NULL THEN s ELSE concat_ws(' ', array_to_string(w[1:8], ' '),
-        ['from', 'by', 'Dear', 'Mr'][own % 4 + 1], name, array_to_string(w[9:{n_words}], ' ')) END AS text FROM sk LEFT JOIN people ON c_custkey = k),
+        ['from', 'by', 'Dear', 'Mr'][own // 1009 % 4 + 1], name, array_to_string(w[9:{n_words}], ' ')) END AS text FROM sk LEFT JOIN people ON c_custkey = k),
 known AS (SELECT DISTINCT name FROM rows WHERE k % 2 = 0),
 se AS MATERIALIZED (SELECT doc_id, seg_idx, j AS sent, ss[j] AS sentence, regexp_extract_all(ss[j], '{word}') AS ws
       FROM (SELECT doc_id, seg_idx, regexp_extract_all(text, '{sentence}') AS ss FROM rows) AS q, unnest(range(1, len(ss) + 1)) AS u(j)),
