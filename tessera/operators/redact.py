@@ -174,7 +174,7 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
     if method != "join":
         rows = t.limit(SCAN_TERMS + 1).collect()
         if len(rows) <= SCAN_TERMS:
-            return df.withColumn(out or col, _scanned(col_of(col), rows))
+            return _scanned(df, col, out or col, rows)
         if method == "scan":
             raise ValueError(f"the dictionary has more than {SCAN_TERMS} terms")
         t = broadcast_if_small(t)
@@ -188,41 +188,32 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
     return joined.withColumn(out or col, text).select(*names, *([out] if out and out not in names else []))
 
 
-def _scanned(text: Column, terms: Sequence) -> Column:
-    """``text`` with the terms (rows of ``term_table``) replaced; texts without a hit come through as they are."""
+def _literals(values: Sequence[str]) -> str:
+    """SQL list of strings; one text of SQL is parsed far faster than as many literals are made one by one."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def _scanned(df: DataFrame, col: str, out: str, terms: Sequence) -> DataFrame:
+    """``df`` with the terms (rows of ``term_table``) in ``col`` replaced; texts without a hit come through as they are."""
     sets: dict[int, dict[str, list[str]]] = {}
     for r in terms:
         sets.setdefault(r["n"], {}).setdefault(r["tag"], []).append(r["norm"])
-    firsts = sorted({r["first"] for r in terms})
-    if not firsts:
-        return text
-
-    def replaced(parts: Column) -> Column:
-        def longest(norm: Column, i: Column) -> Column:
-            """Struct of the longest term at a place, null without one."""
-            found = F.lit(None).cast("struct<i:int,n:int,tag:string>")
-            for n in sorted(sets):  # the longest decides
-                window = F.array_join(F.slice(norm, i + 1, F.lit(n)), "")
-                here = F.element_at(F.transform(F.array(window), looked_up(sets[n])), 1)
-                found = F.when(here.isNotNull(), F.struct(i.cast("int").alias("i"), F.lit(n).alias("n"), here.alias("tag"))).otherwise(found)
-            return found
-
-        def looked_up(by_tag: dict[str, list[str]]):
-            def tag_of(window: Column) -> Column:
-                tag = F.lit(None).cast("string")
-                for name, norms in by_tag.items():
-                    tag = F.when(window.isin(norms), F.lit(name)).otherwise(tag)
-                return tag
-            return tag_of
-
-        def hits(norm: Column) -> Column:
-            at = F.filter(F.transform(norm, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
-            return F.filter(F.transform(at, lambda i: longest(norm, i)), lambda h: h.isNotNull())
-        norm = F.transform(parts, lambda p: F.regexp_replace(p, "\\s+", " "))
-        found = F.element_at(F.transform(F.array(norm), hits), 1)
-        return F.element_at(F.transform(F.array(found), lambda h: F.when(F.size(h) == 0, text).otherwise(_replaced(parts, h))), 1)
-    return F.when(text.isNull(), text).otherwise(
-        F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(TERM_PART_RE), 0)), replaced), 1))
+    if not sets:
+        return df.withColumn(out, F.col(col))
+    known = []
+    for n in sorted(sets):
+        # white space is made alike in the window only: most runs of a text are in none
+        window = "get(_parts, i)" if n == 1 else f"regexp_replace(array_join(slice(_parts, i + 1, {n}), ''), r'\\s+', ' ')"
+        cases = " ".join(f"when w in ({_literals(norms)}) then {_literals([tag])}" for tag, norms in sorted(sets[n].items()))
+        known.append(f"named_struct('i', cast(i as int), 'n', {n}, 'tag', element_at(transform(array({window}), w -> case {cases} end), 1))")
+    firsts = _literals(sorted({r["first"] for r in terms}))
+    rows = df.withColumn("_parts", F.regexp_extract_all(F.col(col), F.lit(TERM_PART_RE), 0))
+    rows = rows.withColumn("_at", F.expr(f"filter(transform(_parts, (w, i) -> if(w in ({firsts}), i, null)), i -> i is not null)"))
+    # of the terms at a place the longest decides
+    longest = f"try_element_at(filter(array({', '.join(known)}), x -> x.tag is not null), -1)"
+    rows = rows.withColumn("_hits", F.expr(f"filter(transform(_at, i -> {longest}), h -> h is not null)"))
+    text = F.when(F.size("_hits") > 0, _replaced(F.col("_parts"), F.col("_hits"))).otherwise(F.col(col))
+    return rows.withColumn(out, text).drop("_parts", "_at", "_hits")
 
 
 def _replaced(parts: Column, hits: Column) -> Column:

@@ -144,3 +144,11 @@ def test_segment_rejoin(spark):
                                                                        (2, 0, "x")}
     back = {r.doc_id: r.text for r in rejoin(seg).collect()}
     assert back == {1: "a b c d e", 2: "x"}
+
+
+@pytest.mark.parametrize("method", ["scan", "join"])
+def test_terms_with_quotes_and_backslashes(spark, method):
+    df = spark.createDataFrame([(1, "by O'Brien \\ x\\y 'q' now"), (2, "a\\'b \\n c")], "doc_id int, text string")
+    terms = spark.createDataFrame([("O'Brien", "N"), ("x\\y", "P"), ("a\\'b", "Q's"), ("n c", "R")], "term string, tag string")
+    got = {r.doc_id: r.text for r in redact_terms(df, terms, method=method).collect()}
+    assert got == {1: "by [N] \\ [P] 'q' now", 2: "[Q's] \\[R]"}
