@@ -12,7 +12,8 @@ equal those of one-at-a-time learning. Only units that hold a merged pair are co
 their old pairs are taken from the pair counts, their new ones added. The state is written to the
 shared folder every few rounds; the driver sees a bounded head of the pair counts only.
 
-Encoding happens once per distinct unit. A merge can apply to a unit only if its piece
+A few merges are applied to each text in their order, and its ids decoded where they lie. With many merges
+encoding happens once per distinct unit. A merge can apply to a unit only if its piece
 occurs in it, so a unit's candidate merges come from a join of its substrings with the
 pieces, and are applied in rank order. Ids come back to the texts by joining units.
 """
@@ -34,6 +35,10 @@ UNIT_RE = " ?[^ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+"
 HEAD = 512
 #: Rounds between writes of the state.
 ROUNDS_PER_WRITE = 8
+#: Merges that a text takes as it lies; a pass over the text for each.
+ROW_MERGES = 256
+#: Bytes of the symbols that a plan may carry.
+ROW_SYMBOL_BYTES = 1 << 20
 SURROGATES = (0xD800, 0x800)
 MERGES = "rank int, lo int, hi int, id int, piece binary"
 
@@ -75,6 +80,13 @@ def _pairs(signs: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(signs) - 1), lambda i: F.substr(signs, i, F.lit(2)))
 
 
+def _signed(signs: Column, n: Column) -> Column:
+    """Array of ``(pair, n)`` of the adjacent pairs."""
+    none = F.array().cast("array<string>")
+    pairs = F.when(F.char_length(signs) > 1, _pairs(signs)).otherwise(none)
+    return F.transform(pairs, lambda p: F.struct(p.alias("pair"), n.alias("n")))
+
+
 def _pair_counts(words: DataFrame, signs: str, n: Column) -> DataFrame:
     held = words.filter(F.char_length(signs) > 1).select(F.explode(_pairs(F.col(signs))).alias("pair"), n.alias("n"))
     return held.groupBy("pair").agg(F.sum("n").alias("n"))
@@ -137,8 +149,7 @@ def learn_merges(df: DataFrame, n_merges: int, text: str = "text", least: int =
         after = _merge(F.col("signs"), new)
         words = words.withColumn("after", after).filter(F.char_length("signs") > 1)
         touched = words.filter("after != signs")
-        change = (touched.select(F.explode(_pairs(F.col("signs"))).alias("pair"), (-F.col("n")).alias("n"))
-                  .union(touched.filter(F.char_length("after") > 1).select(F.explode(_pairs(F.col("after"))).alias("pair"), "n")))
+        change = touched.select(F.inline(F.concat(_signed(F.col("signs"), -F.col("n")), _signed(F.col("after"), F.col("n")))))
         counts = counts.union(change).groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
         words = words.select(F.col("after").alias("signs"), "n")
         if rounds % ROUNDS_PER_WRITE == 0:
@@ -189,13 +200,37 @@ def encode_units(distinct: DataFrame, merges: DataFrame) -> DataFrame:
     return each.select("unit", F.transform("_s", symbol_of).alias("ids"))
 
 
+def _encoded_in_row(text: Column, merges: Sequence[tuple[int, int, int]]) -> Column:
+    """Ids of a text by all merges in their order, on the text as one string of signs.
+
+    The end id's sign, which no merge holds, stands behind each unit, so no pair reaches into the next one.
+    """
+    apart = sign_of(EOS_ID)
+    signs = F.regexp_replace(byte_signs(text), UNIT_RE, "$0" + apart)
+    signs = F.replace(_merge(signs, merges), F.lit(apart), F.lit(""))
+    return _ids(F.coalesce(signs, F.lit("")))
+
+
+def _ids(signs: Column) -> Column:
+    """Symbols of a string of signs, split once."""
+    return F.transform(F.filter(F.split(signs, "", -1), lambda c: c != ""), symbol_of)
+
+
 def encode_subwords(df: DataFrame, merges: DataFrame, key: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
     """Subword ids of each text, ``(key, out)``, one row per input row; NULL and empty texts give none.
 
-    Distinct units are encoded once and joined back by unit (broadcast if their codes are measured to
-    be small, else a shuffled join whose hot units Spark splits). Rows are dealt by number before
+    Up to ``ROW_MERGES`` merges are applied to each text as it lies, without an exchange. With more of them,
+    distinct units are encoded once and joined back by unit (broadcast if their codes are measured to
+    be small, else a shuffled join whose hot units Spark splits). Rows are then dealt by number before
     they are exploded, so that the units of a row meet again without a second exchange after a broadcast.
     """
+    few = merges.orderBy("rank").limit(ROW_MERGES + 1).select("lo", "hi", "id").collect()
+    if len(few) <= ROW_MERGES:
+        return df.select(F.col(key), _encoded_in_row(F.col(text), [tuple(r) for r in few]).alias(out))
+    return _encode_joined(df, merges, key, text, out)
+
+
+def _encode_joined(df: DataFrame, merges: DataFrame, key: str, text: str, out: str) -> DataFrame:
     rows = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     rows = materialize(rows, "rows")
     codes = materialize(encode_units(rows.select(F.explode(units("_text")).alias("unit")).distinct(), merges), "unit-codes")
@@ -212,13 +247,20 @@ def encode_subwords(df: DataFrame, merges: DataFrame, key: str = "doc_id", text:
 def decode_subwords(df: DataFrame, merges: DataFrame, ids: str = "ids", out: str = "text", key: str = "doc_id") -> DataFrame:
     """The text of each id array, ``(key, out)``: pieces are joined as bytes, so any cut is lossless.
 
-    Ids that are no symbol are left out.
+    Ids that are no symbol are left out. Symbols of at most ``ROW_SYMBOL_BYTES`` in all travel inside the plan and are
+    looked up where the ids lie, without an exchange; more of them are joined.
     """
     vocab = subword_vocab(df.sparkSession, merges).select(F.col("id").alias("_id"), F.hex("piece").alias("_hex"))
+    size = byte_size(vocab)
+    if size <= ROW_SYMBOL_BYTES:
+        known = {r["_id"]: r["_hex"] for r in vocab.collect()}
+        if max(known) < 2 * len(known):  # a gap costs an empty entry
+            pieces = F.split(F.lit(",".join(known.get(i, "") for i in range(max(known) + 1))), ",", -1)
+            raw = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+            return df.select(F.col(key), F.coalesce(F.decode(raw, "UTF-8"), F.lit("")).alias(out))
     rows = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_ids"))
     each = rows.select("_key", "_row", F.posexplode_outer("_ids").alias("pos", "_id"))
-    small = byte_size(vocab) <= BROADCAST_BYTES
-    each = each.join(F.broadcast(vocab) if small else vocab, "_id", "left")
+    each = each.join(F.broadcast(vocab) if size <= BROADCAST_BYTES else vocab, "_id", "left")
     item = F.when(F.col("_hex").isNotNull(), F.struct("pos", "_hex"))
     whole = each.groupBy("_key", "_row").agg(F.array_sort(F.collect_list(item)).alias("_p"))
     raw = F.unhex(F.array_join(F.transform("_p", lambda p: p["_hex"]), ""))

@@ -94,6 +94,21 @@ def test_encoding_equals_lowest_rank_first_and_comes_back(spark):
     assert sorted(map(tuple, back.collect())) == sorted((k % 30, t or "") for k, t in enumerate(texts))
 
 
+def test_a_few_merges_need_no_exchange(spark):
+    texts = ODD + ["a" * 3, "\u0100 \u0100\u0100 \xc4\x80", "e\u0301 \xe9\xe9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    merges = subwords.learn_merges(df, 40)
+    enc = subwords.encode_subwords(df, merges)
+    back = subwords.decode_subwords(enc, merges)
+    for frame in (enc, back):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    joined = subwords._encode_joined(df, merges, "doc_id", "text", "ids")
+    assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, joined.collect()))
+    assert dict(map(tuple, back.collect())) == {k: t or "" for k, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, [104, -1, 105, 100_000, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert dict(map(tuple, subwords.decode_subwords(odd, merges).collect())) == {1: "hi", 2: "", 3: ""}
+
+
 def test_codec_without_merges(spark):
     df = spark.createDataFrame([(1, "né"), (2, None)], "doc_id long, text string")
     none = subwords.learn_merges(df.limit(0), 5)
