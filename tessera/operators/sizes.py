@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 BROADCAST_BYTES = 64 << 20
 #: Entries of a dictionary that Python workers hold; each costs far more there than its text.
@@ -16,6 +16,11 @@ def _bytes(c: Column, kind: DataType) -> Column:
         return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
     if isinstance(kind, ArrayType):
         return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, StructType):
+        row = F.lit(16).cast("long")
+        for f in kind.fields:
+            row = row + _bytes(c[f.name], f.dataType)
+        return row
     return F.lit(8).cast("long")
 
 

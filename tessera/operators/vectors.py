@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.scores import draw_rows
-from tessera.operators.sizes import broadcast_if_small
+from tessera.operators.sizes import broadcast_if_small, byte_size
+from tessera.session import materialize
+
+#: Bytes of the vectors that a row may carry while its pieces are gathered.
+ROW_TABLE_BYTES = 1 << 20
 
 
 def rms_normalize(df: DataFrame, col: str = "embedding", out: str | None = None, eps: float = 1e-6) -> DataFrame:
@@ -44,18 +48,44 @@ def lookup_vector_pieces(df: DataFrame, key: Sequence[str], vectors: DataFrame,
                          vec_id: str = "vec_id", vec: str = "embedding", out: str = "vectors") -> DataFrame:
     """J2 for rows of any length: ``(key..., row, piece, out)`` with ``size`` ids to a piece, so no group or row holds more vectors than that.
 
-    ``row`` tells input rows apart, ``piece`` counts from 0; a row without ids has no piece. Vectors are joined as in ``lookup_vectors``.
+    ``row`` tells input rows apart, ``piece`` counts from 0; a row without ids has no piece. If the vectors of the ids that occur
+    are measured to be few (``ROW_TABLE_BYTES``; ids nearly without gaps), they travel as one broadcast array and each piece
+    takes its own from that, without an exchange; else they are joined as in ``lookup_vectors``.
     """
     if size < 1:
         raise ValueError("size must be positive")
-    ex = (df.select(*key, F.monotonically_increasing_id().alias("row"), F.col(ids).alias("_ids"))
-          .select(*key, "row", F.posexplode("_ids").alias("_pos", "_id")))
-    v = broadcast_if_small(vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v")))
-    joined = ex.join(v, "_id", "left").withColumn("piece", F.floor(F.col("_pos") / size))
+    rows = df.select(*key, F.monotonically_increasing_id().alias("row"), F.col(ids).alias("_ids"))
+    v = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_v"))
+    table = _dense_table(df.select(F.explode(F.array_distinct(ids)).alias("_id")).distinct(), v)
+    if table is not None:
+        last = F.floor((F.size("_ids") - 1) / size).cast("int")
+        at = F.when(F.size("_ids") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        # places of a piece, not a slice: that would read the whole array once a piece
+        pieces = F.transform(at, lambda p: F.struct(p.cast("long").alias("piece"), F.transform(
+            F.sequence(p * size, F.least((p + 1) * size, F.size("_ids")) - 1), lambda i: F.get("_table", F.get("_ids", i))).alias(out)))
+        return rows.crossJoin(F.broadcast(table)).select(*key, "row", F.inline(pieces))
+    ex = rows.select(*key, "row", F.posexplode("_ids").alias("_pos", "_id"))
+    joined = ex.join(broadcast_if_small(v), "_id", "left").withColumn("piece", F.floor(F.col("_pos") / size))
     return (joined.groupBy(*key, "row", "piece").agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_p"))
             .select(*key, "row", "piece", F.transform("_p", lambda s: s["_v"]).alias(out)))
 
 
+def _dense_table(wanted: DataFrame, vectors: DataFrame) -> DataFrame | None:
+    """One row ``_table``: the vectors of the ``wanted`` ids, each at its id's place; None if they are many, far apart or not unique."""
+    if vectors.schema["_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return None
+    held = vectors.join(broadcast_if_small(wanted), "_id", "left_semi").filter("_id >= 0")
+    few = held.limit(ROW_TABLE_BYTES // 64 + 1)  # a look at the ids before their vectors are written
+    seen = few.agg(F.count("_id").alias("n"), F.countDistinct("_id").alias("ids"), F.max("_id").alias("last")).first()
+    if seen["n"] > ROW_TABLE_BYTES // 64 or seen["n"] != seen["ids"] or (seen["last"] or 0) > 2 * seen["n"] + 1000:
+        return None
+    held = materialize(held, "vectors")
+    if byte_size(held) > ROW_TABLE_BYTES:
+        return None
+    places = held.sparkSession.range((seen["last"] or 0) + 1).withColumnRenamed("id", "_id").join(F.broadcast(held), "_id", "left")
+    return places.agg(F.array_sort(F.collect_list(F.struct("_id", "_v"))).alias("_t")).select(F.transform("_t", lambda x: x["_v"]).alias("_table"))
+
+
 def pooled_vectors(df: DataFrame, key: Sequence[str], vectors: DataFrame, ids: str = "ids",
                    vec_id: str = "vec_id", vec: str = "embedding", dim: int | None = None) -> DataFrame:
     """Mean of the gathered vectors per row without materializing the gather.
