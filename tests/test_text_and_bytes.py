@@ -1,7 +1,7 @@
 """P1/P5 blank semantics and T1/T2/T5 byte codec."""
 
 
-from tessera.functions.bytes import EOS_ID, decode_ids, encode_ids, encoded_length
+from tessera.functions.bytes import EOS_ID, decode_ids, encode_ids, encoded_length, ids_fingerprint
 from tessera.functions.text import nonblank, py_strip
 from tessera.operators.corpus import drop_blank, scrub_status
 from tessera.operators.tokens import count_special
@@ -58,3 +58,32 @@ def test_encode_decode_roundtrip_and_special(spark):
 def test_count_special(spark):
     df = spark.createDataFrame([("a<|endoftext|>b",), ("<|endoftext|>",), ("",)], "text string")
     assert [r.n_special for r in count_special(df).collect()] == [1, 1, 0]
+
+
+def test_ids_of_a_column_equal_those_of_each_text(spark):
+    import re
+
+    literal = "<|endoftext|>"
+    texts = [None, "", "a", literal, f"{literal}x{literal}{literal}é", "ends <|endof", "text|> goes on", "中\x00", None, f"<{literal}>", "", literal[1:]]
+    texts = texts * 40
+
+    def plain(t, special):
+        if t is None:
+            return None
+        parts = re.split(re.escape(literal), t) if special else [t]
+        return [i for k, p in enumerate(parts) for i in ([256] if k else []) + list(p.encode())]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    for special in (True, False):
+        got = {r.k: r.ids for r in df.select("k", encode_ids("t", special).alias("ids")).collect()}
+        assert got == {k: plain(t, special) for k, t in enumerate(texts)}
+
+
+def test_fingerprint_of_ids_leaves_nulls_out(spark):
+    from hashlib import md5
+
+    rows = [[], [1], [1, -100, 256], [None, 5, None], [None], None, [-1 << 31, 7], [-1 << 31, None, 7]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, ids array<int>")
+    plan = df.select("k", ids_fingerprint("ids").alias("f"))
+    want = {k: None if r is None else md5(",".join(str(i) for i in r if i is not None).encode()).hexdigest() for k, r in enumerate(rows)}
+    assert {r.k: r.f for r in plan.collect()} == want
+    assert "array_contains" in plan._jdf.queryExecution().optimizedPlan().toString()
