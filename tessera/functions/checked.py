@@ -50,11 +50,18 @@ class Checked:
     valid: Callable[[Column], Column]
     # signs other than letters and digits with which a candidate may begin
     begins: str = ""
+    # a class of the signs that the gate's alternatives begin with
+    first: str = ""
 
     @property
     def cut(self) -> str:
         return f"{self.run}|[A-Za-z0-9]+|[^A-Za-z0-9{self.begins}]+"
 
+    @property
+    def coarse_cut(self) -> str:
+        """``cut`` with all parts between two candidates as one (possessive, so nothing is tried again)."""
+        return f"{self.run}|(?:(?!{self.run})(?:[A-Za-z0-9]++|[^A-Za-z0-9{self.begins}]++))++"
+
 
 def digits_of(x: Column) -> Column:
     return F.regexp_replace(x, "[ -]", "")
@@ -95,15 +102,17 @@ def address(x: Column) -> Column:
 
 
 CHECKED: tuple[Checked, ...] = (
-    Checked("KEY", "AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-", WORD_RUN, lambda x: x.rlike(f"^(?:{KEY_FORMS})$"), "_-"),
+    Checked("KEY", "AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-", WORD_RUN, lambda x: x.rlike(f"^(?:{KEY_FORMS})$"), "_-", "[Agsx]"),
     Checked("IBAN", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", IBAN_RUN, iban),
     Checked("CARD", "[0-9](?:[ -]?[0-9]){12}", DIGIT_RUN, card),
     Checked("SSN", "[0-9]{3}-[0-9]{2}-[0-9]{4}", DIGIT_RUN, lambda x: x.rlike(f"^{SSN_FORM}$")),
     Checked("PHONE", "0[1-9][ .-][0-9]{2}[ .-][0-9]{2}", DOTTED_RUN, lambda x: x.rlike(f"^{PHONE_FORM}$")),
-    Checked("IP", "[0-9]\\.[0-9]{1,3}\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::", ADDRESS_RUN, address, ":."),
+    Checked("IP", "[0-9]\\.[0-9]{1,3}\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::", ADDRESS_RUN, address, ":.", "[0-9A-Fa-f:]"),
 )
 SECRET_GATE = f"{SECRET_NAMES} ?[:=]"
 SECRET_FORM = f"({SECRET_NAMES} ?[:=] ?)(?:\"[^\"\\n]+\"|'[^'\\n]+'|[^\\s\"'\\[]\\S{{3,}})"
+# the letters that names of secrets begin with, looked at before all names are tried (Java only)
+SECRET_FIRST = "(?=[AaPpSs])"
 CHECKED_TAGS = ("SECRET", *(c.tag for c in CHECKED))
 
 
@@ -130,19 +139,25 @@ def redact_value(x: Column, c: Checked) -> Column:
                 alone = ~F.coalesce(F.get(parts, i + 1), F.lit("")).rlike("^[A-Za-z0-9]")
                 return F.when(~(part.rlike(f"^{c.run}$") & alone), part).when(c.valid(part), marker).otherwise(within(part))
             return F.array_join(F.transform(parts, one), "")
-        return F.when(s.rlike(c.gate), _let(F.regexp_extract_all(s, F.lit(f"(?s){c.cut}"), 0), told)).otherwise(s)
+        return F.when(s.rlike(f"(?={c.first})(?:{c.gate})" if c.first else c.gate), _let(F.regexp_extract_all(s, F.lit(f"(?s){c.coarse_cut}"), 0), told)).otherwise(s)
     return _let(x, cut)
 
 
 def redact_secrets(x: Column) -> Column:
-    return _let(x, lambda s: F.when(s.rlike(SECRET_GATE), F.regexp_replace(s, SECRET_FORM, "$1[SECRET]")).otherwise(s))
+    signs = lambda s: F.contains(s, F.lit(":")) | F.contains(s, F.lit("="))  # noqa: E731 - one of them is in every match
+    return _let(x, lambda s: F.when(signs(s) & s.rlike(SECRET_FIRST + SECRET_GATE), F.regexp_replace(s, SECRET_FIRST + SECRET_FORM, "$1[SECRET]")).otherwise(s))
 
 
 def redact_checked_col(c) -> Column:
-    out = redact_secrets(col_of(c))
-    for rule in CHECKED:
-        out = redact_value(out, rule)
-    return out
+    key, *numbers, ip = CHECKED
+
+    def by_digits(x: Column) -> Column:
+        for rule in numbers:
+            x = redact_value(x, rule)
+        return x
+    out = redact_value(redact_secrets(col_of(c)), key)
+    # all that the rules between these two look for has digits
+    return redact_value(_let(out, lambda s: F.when(s.rlike("[0-9]"), by_digits(s)).otherwise(s)), ip)
 
 
 def redact_checked(df: DataFrame, col: str = "text", out: str | None = None) -> DataFrame:

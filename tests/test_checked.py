@@ -85,3 +85,20 @@ def test_precision_and_recall_on_planted_values(spark):
         rows.append((f"word {make(good)} and {k}", f"[{tag}]", good))
     got = told(spark, [r[0] for r in rows])
     assert all((tag in g) == good for g, (_, tag, good) in zip(got, rows, strict=True))
+
+
+def test_plain_stretches_of_a_text_are_one_part_each():
+    import re
+
+    text = "pay 4539 1488 0343 6467, ab12 12ab 123-45-6789 x::y face.b 10.0.0.1. é_AKIA-7 DE89 3704 0044 0532 0130 00 end" + " w1 2" * 50
+    for c in checked.CHECKED:
+        fine, coarse = (re.findall(f"(?s){p}", text) for p in (c.cut, c.coarse_cut))
+        is_run = lambda part, c=c: re.fullmatch(c.run, part) is not None
+        merged = []
+        for part in fine:
+            if merged and not is_run(part) and not merged[-1][1]:
+                merged[-1] = (merged[-1][0] + part, False)
+            else:
+                merged.append((part, is_run(part)))
+        assert "".join(coarse) == text and coarse == [m for m, _ in merged], c.tag
+    assert len(re.findall(checked.CHECKED[2].coarse_cut, "only words here, " * 100)) == 1
