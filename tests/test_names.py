@@ -129,3 +129,21 @@ def test_runs_become_one_marker(spark):
     df = spark.createDataFrame([("Dear  Ann - Lee, and Bob!", "CFRCF"), ("Bob", "F"), ("x y", "OO")], "s string, tags string")
     got = [r[0] for r in df.select(names._without_names(F.col("s"), F.col("tags"), "[NAME]")).collect()]
     assert got == ["Dear  [NAME], and [NAME]!", "[NAME]", "x y"]
+
+
+def test_lookup_and_join_find_the_same_names_and_lookup_needs_no_exchange(spark):
+    rows, _, known = planted(3, 300, 0.5)
+    rows += [(-k, t) for k, t in enumerate(TEXTS + ["Über from Émile Zola. " * 3, "so " * 450 + "from Ann Lee", "  ... from Ann Lee", "ΑΒΓ from Ann Lee"], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = names.learn_names(df, spark.createDataFrame([(k,) for k in known + ["Ann Lee"]], "name string"), frequent=5)
+    looked, joined = (names.redact_names(df, model, out="named", method=m) for m in ("lookup", "join"))
+    got, want = (sorted((r.doc_id, r.named or "") for r in d.collect()) for d in (looked, joined))
+    assert got == want and sum("[NAME]" in t for _, t in got) > 150
+    plan = names.redact_names(df, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_stray_rest_is_left_out(spark):
+    df = spark.createDataFrame([("a - Bob Lee, c Ann!", "RFROF"), ("x y z Bob", "OROF")], "s string, tags string")
+    got = [r[0] for r in df.select(names._without_names(F.col("s"), F.col("tags"), "[NAME]")).collect()]
+    assert got == [" - [NAME], c [NAME]!", "x z [NAME]"]
