@@ -20,6 +20,7 @@ from tessera.functions.rules import DEFAULT_RULES, Rule, count_marker, count_pat
 from tessera.functions.text import (BLANK_MESSAGE, EOS_TEXT, MARKER, WORD_RE, col_of, nonblank, py_strip)
 from tessera.operators.sft import answer_text, prompt_text
 from tessera.operators.sizes import broadcast_if_small
+from tessera.session import materialize
 
 # R5 splits a text into runs of letters and digits, and the runs between them.
 # Terms that a plan may carry as literals.
@@ -165,7 +166,8 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
       texts with a candidate are grouped, and only they are rebuilt. Rows are matched by ``key``
       and a hash of the text, so keys may repeat.
 
-    ``auto`` scans if the dictionary fits. NULL and empty texts stay.
+    ``auto`` scans if the dictionary fits, or what is left of it without the terms whose first or last word is in no text;
+    a longer one is joined without those terms. NULL and empty texts stay.
     """
     if method not in ("auto", "scan", "join"):
         raise ValueError(f"unknown method {method!r}")
@@ -177,6 +179,10 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
             return _scanned(df, col, out or col, rows)
         if method == "scan":
             raise ValueError(f"the dictionary has more than {SCAN_TERMS} terms")
+        t = materialize(_spoken_terms(df, col, t), "spoken-terms")
+        rows = t.limit(SCAN_TERMS + 1).collect()
+        if len(rows) <= SCAN_TERMS:
+            return _scanned(df, col, out or col, rows)
         t = broadcast_if_small(t)
     rows = df.withColumn("_hash", F.xxhash64(col_of(col)))
     words = F.array_distinct(F.regexp_extract_all(col_of(col), F.lit("[\\p{L}\\p{N}]+"), 0))
@@ -188,6 +194,17 @@ def redact_terms(df: DataFrame, terms: DataFrame, key: str = "doc_id", col: str
     return joined.withColumn(out or col, text).select(*names, *([out] if out and out not in names else []))
 
 
+def _spoken_terms(df: DataFrame, col: str, terms: DataFrame) -> DataFrame:
+    """The rows of ``term_table`` whose first and last words are words of some text."""
+    found = df.select(F.explode(F.regexp_extract_all(F.col(col), F.lit("[\\p{L}\\p{N}]+"), 0)).alias("_word")).distinct()
+    ends = terms.withColumn("_last", F.regexp_extract("norm", "[\\p{L}\\p{N}]+$", 0))
+    words = ends.select(F.explode(F.array("first", "_last")).alias("_word")).distinct()
+    held = materialize(found.join(words, "_word", "left_semi"), "term-words")
+    for end in ("first", "_last"):
+        ends = ends.join(held, ends[end] == held["_word"], "left_semi")
+    return ends.drop("_last")
+
+
 def _literals(values: Sequence[str]) -> str:
     """SQL list of strings; one text of SQL is parsed far faster than as many literals are made one by one."""
     return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)

@@ -152,3 +152,19 @@ def test_terms_with_quotes_and_backslashes(spark, method):
     terms = spark.createDataFrame([("O'Brien", "N"), ("x\\y", "P"), ("a\\'b", "Q's"), ("n c", "R")], "term string, tag string")
     got = {r.doc_id: r.text for r in redact_terms(df, terms, method=method).collect()}
     assert got == {1: "by [N] \\ [P] 'q' now", 2: "[Q's] \\[R]"}
+
+
+def test_long_dictionary_is_scanned_for_the_terms_that_texts_can_hold(spark, monkeypatch):
+    from tessera.operators import redact as operator
+
+    df = spark.createDataFrame([(1, "Customer#7 met Ann  Lee in New York."), (2, None), (3, ""), (4, "Ann, Lee; York New"), (4, "no one#12")],
+                               "doc_id long, text string")
+    rows = [(f"Customer#{k}", "NAME") for k in range(100)] + [("Ann Lee", "NAME"), ("New York", "PLACE"), ("York", "PLACE"), ("...", "NONE"), (None, "NONE")]
+    terms = spark.createDataFrame(rows, "term string, tag string")
+    want = sorted((r.doc_id, str(r.text)) for r in redact_terms(df, terms, method="join").collect())
+    assert (1, "[NAME] met [NAME] in [PLACE].") in want
+    for limit, scanned in ((50, True), (2, False)):
+        monkeypatch.setattr(operator, "SCAN_TERMS", limit)
+        out = redact_terms(df, terms)
+        assert ("Join" not in out._jdf.queryExecution().optimizedPlan().toString()) == scanned
+        assert sorted((r.doc_id, str(r.text)) for r in out.collect()) == want
