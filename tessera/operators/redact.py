@@ -23,6 +23,8 @@ from tessera.operators.sizes import broadcast_if_small
 from tessera.session import materialize
 
 # R5 splits a text into runs of letters and digits, and the runs between them.
+# Words of a segment up to which one pattern matches it; Java steps into each repeat of a group.
+SHORT_SEGMENT = 256
 # Terms that a plan may carry as literals.
 SCAN_TERMS = 20_000
 TERM_PART_RE = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+"
@@ -277,6 +279,11 @@ def segment(df: DataFrame, n_words: int, key: str = "doc_id", col: str = "text",
     """Split text into segments of ``n_words`` words joined by one space."""
     if n_words < 1:
         raise ValueError("n_words must be positive")
+    if n_words <= SHORT_SEGMENT:
+        # white space as one space, then a segment is one match: no array of words, and no string of each
+        flat = F.regexp_replace(col_of(col), WORD_RE.replace("[^", "[", 1), " ")
+        run = F.regexp_extract_all(flat, F.lit(f"[^ ]++(?: [^ ]++){{0,{n_words - 1}}}+"), 0)
+        return df.select(key, F.posexplode(run).alias("seg_idx", out))
     # The word array is its own column: a lambda that referenced the
     # extraction expression would re-run it once per segment.
     words_df = df.select(key, F.regexp_extract_all(col_of(col), F.lit(WORD_RE), 0).alias("_w"))

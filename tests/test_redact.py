@@ -168,3 +168,17 @@ def test_long_dictionary_is_scanned_for_the_terms_that_texts_can_hold(spark, mon
         out = redact_terms(df, terms)
         assert ("Join" not in out._jdf.queryExecution().optimizedPlan().toString()) == scanned
         assert sorted((r.doc_id, str(r.text)) for r in out.collect()) == want
+
+
+def test_segments_of_few_words_match_those_by_word(spark, monkeypatch):
+    from tessera.operators import redact as operator
+
+    texts = ["", "   ", None, " a\tb\n\nc  ", "x\x1cy z w q\x0br", " ".join(map(str, range(40))), "é " * 33, "\U0001f600 b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 4, 16):
+        monkeypatch.setattr(operator, "SHORT_SEGMENT", 256)
+        plan = operator.segment(df, n)
+        assert "array_join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        short = sorted(plan.collect())
+        monkeypatch.setattr(operator, "SHORT_SEGMENT", 0)
+        assert short == sorted(operator.segment(df, n).collect()) and len(short) > 5
