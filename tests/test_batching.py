@@ -113,3 +113,15 @@ def test_one_batch_of_one_epoch(spark):
     for epoch, batch in ((0, 0), (2, 7), (1, 10), (1, 11)):
         got = {r.slot: r.id for r in batching.batch_ids(spark, 103, 10, 5, epoch, batch).collect()}
         assert got == {k[2]: v for k, v in want.items() if k[:2] == (epoch, batch)}
+
+
+def test_collate_query_moves_each_window_once(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    from .conftest import SF0001
+
+    written, keep = {}, catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    rows = catalog.q_collate_batches(spark, SF0001).collect()
+    assert written["windows"].columns == ["window_id", "ids"] and rows
+    assert written["windows"].filter(f"size(ids) != {catalog.PACK_L + 1}").count() == 0
