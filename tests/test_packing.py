@@ -143,3 +143,19 @@ def test_text_is_scanned_twice_at_most(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     final = w._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert sum("documents.parquet" in line for line in final.splitlines() if "FileScan" in line) == 1
+
+
+def test_bigrams_are_counted_without_a_row_for_each_pair(spark):
+    from tessera.operators import packing
+
+    rows = [(1, [5, 5, 5]), (2, []), (3, [7]), (4, [5, 7, 9, 9]), (5, list(range(200)) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2)
+    for L in (1, 4, 50, 10_000):
+        stream = [x for _, ids in rows for x in [*ids, 256]]
+        n = (len(stream) - 1) // L * L
+        want = {}
+        for pair in zip(stream[:n], stream[1:n + 1]):
+            want[pair] = want.get(pair, 0) + 1
+        out = packing.stream_bigrams(df, L)
+        assert {(r["prev"], r["next"]): r["count"] for r in out.collect()} == want
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
