@@ -125,3 +125,37 @@ def test_collate_query_moves_each_window_once(spark, monkeypatch):
     rows = catalog.q_collate_batches(spark, SF0001).collect()
     assert written["windows"].columns == ["window_id", "ids"] and rows
     assert written["windows"].filter(f"size(ids) != {catalog.PACK_L + 1}").count() == 0
+
+
+def test_collate_query_moves_a_byte_an_id_and_leaves_no_shuffle_files(spark, monkeypatch):
+    import time
+
+    from tessera.plans import catalog
+
+    from .conftest import SF0001
+
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    moved, gather = [], batching.collate
+    monkeypatch.setattr(batching, "collate", lambda df, cols: moved.append(dict(df.dtypes)["ids"]) or gather(df, cols))
+    before, conf = shuffle_files(), spark.conf.getAll
+    df = catalog.q_collate_batches(spark, SF0001)
+    for _ in range(40):  # Spark removes them behind the scenes
+        if not (left := shuffle_files() - before):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.getAll == conf
+    assert moved and set(moved) == {"binary"}
+    assert df.count() == df.select("epoch", "batch_idx").distinct().count() > 0
+
+
+def test_collate_gathers_without_a_sort_before_the_exchange(spark):
+    df = spark.range(64).select(F.shiftright("id", 6).alias("epoch"), (F.col("id") % 8).alias("batch_idx"),
+                                (8 - (F.col("id") / 8).cast("int")).alias("slot"), F.col("id").alias("window_id"))
+    c = collate(df, cols=("window_id",))
+    got = {r.batch_idx: r.window_id for r in c.collect()}
+    assert got == {b: [b + 8 * k for k in range(7, -1, -1)] for b in range(8)}
+    plan = c._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange"):]

@@ -69,3 +69,16 @@ def test_parts_of_outlier_ids_are_even(spark):
     assert len(parts) > 4 and max(r["count"] for r in parts) < 4 * n / len(parts)
     got = {r.id: r.before for r in prefix_sum(df, ["id"], F.lit(2)).collect()}
     assert got[1 << 60] == 2 * (n - 1) and got[0] == 0 and got[8] == 14
+
+
+def test_dropped_sort_columns_are_not_written(spark, monkeypatch):
+    from tessera.operators import ordering
+
+    written, keep = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, name: written.append(df.columns) or keep(df, name))
+    df = spark.range(50).withColumn("k", F.md5(F.col("id").cast("string")))
+    got = {r.id: r["rank"] for r in global_rank(df, ["k", "id"], drop=["k"]).collect()}
+    assert got == {r.id: r["rank"] for r in global_rank(df, ["k", "id"]).collect()}
+    assert "k" not in written[0] and "k" in written[1]
+    with pytest.raises(ValueError):
+        prefix_sum(df, ["k", "id"], unique=True, drop=["k"])

@@ -1,7 +1,11 @@
 """P1/P5 blank semantics and T1/T2/T5 byte codec."""
 
 
-from tessera.functions.bytes import EOS_ID, decode_ids, encode_ids, encoded_length, ids_fingerprint
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions.bytes import (EOS_ID, decode_ids, encode_ids, encoded_length, ids_fingerprint, join_packed,
+                                     pack_ids, unpack_ids)
 from tessera.functions.text import nonblank, py_strip
 from tessera.operators.corpus import drop_blank, scrub_status
 from tessera.operators.tokens import count_special
@@ -87,3 +91,40 @@ def test_fingerprint_of_ids_leaves_nulls_out(spark):
     want = {k: None if r is None else md5(",".join(str(i) for i in r if i is not None).encode()).hexdigest() for k, r in enumerate(rows)}
     assert {r.k: r.f for r in plan.collect()} == want
     assert "array_contains" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_ids_come_back(spark):
+    rows = [list(range(257)), [], None, [255], [254, 0, 255, 1, 254], [0, 1], [256] * 3, [97, 256, 255, 254, 253], [255] * 50]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, ids array<int>").repartition(2)
+    out = df.select("k", "ids", pack_ids("ids").alias("b"), unpack_ids(pack_ids("ids")).alias("back")).collect()
+    assert len(out) == len(rows) and all(r.back == r.ids for r in out)
+    assert {r.k: r.b and len(r.b) for r in out} == {0: 259, 1: b"", 2: None, 3: 2, 4: 8, 5: 2, 6: 3, 7: 7, 8: 100}
+    for bad in ([257], [-1], [1, None]):
+        with pytest.raises(Exception, match="byte ids|an id is NULL"):
+            spark.createDataFrame([(bad,)], "ids array<int>").select(pack_ids("ids")).collect()
+
+
+def test_packed_ids_joined_without_an_end(spark):
+    rows = [[[1, 2, 3], [4, 255, 256], [254, 254]], [], None, [[]], [[9], [], [256, 7]], [list(range(257)), [254]]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, w array<array<int>>")
+    each = df.select("k", F.posexplode_outer("w").alias("i", "ids")).withColumn("b", pack_ids("ids"))
+    df = df.join(each.filter("ids IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("s")), "k", "left")
+    df = df.withColumn("p", F.when(F.col("w").isNotNull(), F.coalesce(F.col("s.b"), F.array().cast("array<binary>"))))
+    out = df.select("k", join_packed("p", without="first").alias("f"), join_packed("p", without="last").alias("l")).collect()
+    for r in out:
+        w = rows[r.k]
+        assert r.f == (w if w is None else [x for a in w for x in a[1:]])
+        assert r.l == (w if w is None else [x for a in w for x in a[:-1]])
+    with pytest.raises(ValueError):
+        join_packed("p", without="both")
+
+
+def test_tables_of_packed_ids(spark):
+    from tessera.session import materialize, stored_packed
+
+    rows = [(1, [1, 256, 255]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>")
+    t = materialize(df.select("k", stored_packed("ids")), "packed")
+    assert t.dtypes == df.dtypes and sorted((r.k, r.ids) for r in t.collect()) == rows
+    stored = spark.read.parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    assert dict(stored.dtypes)["ids"] == "binary"
